@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -74,3 +75,9 @@ def uri(path: str) -> str:
     if path.startswith("file:/") and not path.startswith("file://"):
         return "file://" + path[len("file:"):]
     return path if "://" in path else "file://" + os.path.abspath(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
