@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexforge.llm import langid, mixing, warc
+from lexforge.llm import langid, mixing, simhash, substring, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of fingerprints of 4-word shingles at 4 or fewer differing bits: doc_id, fingerprint, component_id."""
+    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, width=1, radius=4, blocks=6)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated passages of 50 words: doc_id, n_words, n_removed, kept_sha256."""
+    found = substring.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
     mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -29,6 +41,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
+    "op3_simhash": op3_simhash,
+    "op4_substring": op4_substring,
     "op10_mixing": op10_mixing,
 }
 

@@ -138,7 +138,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     headers, and a null payload.
     """
     source = uri(folder)
-    rows = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # the number is given: index rows are few bytes, and would be put into one task by size
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(source)
