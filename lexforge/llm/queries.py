@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexforge.llm import langid, mixing, simhash, substring, warc
+from lexforge.llm import langid, mixing, quality, simhash, spm, substring, warc
+
+
+#: The SentencePiece model of op9 and the pipeline.
+MODEL = os.environ.get("LEXFORGE_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +37,18 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document: doc_id, score, accepted."""
+    return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: doc_id, n_ids, ids_sha256 (of the ids joined by one space) and decoded_sha256 (of the decoded text)."""
+    encoded = spm.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL)
+    digest = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+    return spm.decode(digest, MODEL, keep=("n_ids", "ids_sha256")).select("doc_id", "n_ids", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
     mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -43,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op4_substring": op4_substring,
+    "op5_quality": op5_quality,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_mixing": op10_mixing,
 }
 
