@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexforge.llm import langid, mixing, quality, simhash, spm, substring, warc
+from lexforge.llm import langid, mixing, permindex, quality, simhash, spm, substring, warc
 
 
 #: The SentencePiece model of op9 and the pipeline.
@@ -42,6 +42,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector: query_id, rank, vec_id, score."""
+    return permindex.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: doc_id, n_ids, ids_sha256 (of the ids joined by one space) and decoded_sha256 (of the decoded text)."""
     encoded = spm.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_substring": op4_substring,
     "op5_quality": op5_quality,
+    "op8_permutation_index": op8_permutation_index,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mixing": op10_mixing,
 }
