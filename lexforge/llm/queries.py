@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexforge.llm import langid, mixing, permindex, quality, simhash, spm, substring, warc
+from lexforge.llm import langid, mixing, permindex, quality, simhash, spm, substring, syncmer, warc
 
 
 #: The SentencePiece model of op9 and the pipeline.
@@ -42,6 +42,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against its edited text's and its next document's."""
+    found = syncmer.edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector: query_id, rank, vec_id, score."""
     return permindex.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_substring": op4_substring,
     "op5_quality": op5_quality,
+    "op7_syncmers": op7_syncmers,
     "op8_permutation_index": op8_permutation_index,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mixing": op10_mixing,
