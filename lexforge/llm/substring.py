@@ -14,7 +14,9 @@ for each of them and never a pair.
 
 Hashes travel packed: a row holds what one task has for one slot of the hash
 space, and the answer for a document is one bit for each of its hashes there.
-The slots grow in number with the input, so what a task holds doesn't.
+Answers travel packed as well, one row from a slot to each slot of the document
+keys, where they become one row a document. The slots grow in number with the
+input, so what a task holds doesn't.
 """
 
 from __future__ import annotations
@@ -80,7 +82,8 @@ def _slots(hashes: np.ndarray, slots: int) -> np.ndarray:
 
 
 _PACKED = "slot int, row_keys binary, ids binary, counts binary, hashes binary"
-_ANSWER = "row_key long, kind int, slot int, bits binary"
+_ANSWERS = "target int, slot int, row_keys binary, counts binary, bits binary"
+_ANSWER = "own long, {0}_slots array<int>, {0}_bits array<binary>"
 
 
 def _dealt(keys: list, ids: list, arrays: list[np.ndarray], slots: int, pack) -> pa.RecordBatch:
@@ -121,17 +124,36 @@ def _gathered(batches, hashes_of, slots: int, pack) -> Iterator[pa.RecordBatch]:
         yield _dealt(keys, ids, arrays, slots, pack)
 
 
-def _answers(table: pa.Table, kind: int, dtype: str, decide) -> pa.Table:
-    """For each document of a slot with a chosen hash: a bit for each of its hashes. decide(values, ids, owners) gives the bits of all."""
+def _answers(table: pa.Table, dtype: str, slots: int, decide) -> pa.Table:
+    """For each document of a slot with a chosen hash: a bit for each of its hashes there. decide(values, ids, owners) gives the bits of all."""
     join = lambda name, t: np.frombuffer(b"".join(table.column(name).to_pylist()), t)
     keys, ids, counts, values = join("row_keys", np.int64), join("ids", np.int64), join("counts", np.uint32).astype(np.int64), join("hashes", dtype)
     owner = np.repeat(np.arange(len(keys)), counts)
     chosen = decide(values, ids, owner)
     ends = np.cumsum(counts)
     which = np.flatnonzero(np.bincount(owner[chosen], minlength=len(keys)))
-    bits = [np.packbits(chosen[ends[k] - counts[k] : ends[k]]).tobytes() for k in which]
-    slot = table.column("slot")[0].as_py()
-    return pa.table([pa.array(keys[which]), pa.array(np.full(len(which), kind, np.int32)), pa.array(np.full(len(which), slot, np.int32)), pa.array(bits, pa.binary())], ["row_key", "kind", "slot", "bits"])
+    target = (keys[which].view(np.uint64) % np.uint64(slots)).astype(np.int32)
+    which = which[np.argsort(target, kind="stable")]
+    target = np.sort(target, kind="stable")
+    rows: list[tuple] = []
+    for own in np.split(np.arange(len(which)), np.flatnonzero(np.diff(target)) + 1) if len(which) else []:
+        at = which[own]
+        bits = b"".join(np.packbits(chosen[ends[k] - counts[k] : ends[k]]).tobytes() for k in at)
+        rows.append((int(target[own[0]]), table.column("slot")[0].as_py(), keys[at].tobytes(), counts[at].astype(np.uint32).tobytes(), bits))
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, [pa.int32(), pa.int32(), *[pa.binary()] * 3])], ["target", "slot", "row_keys", "counts", "bits"])
+
+
+def _by_document(table: pa.Table, kind: str) -> pa.Table:
+    """One row a document of its slots and their bits, from the packed answers to one slot of the keys."""
+    join = lambda name, t: np.frombuffer(b"".join(table.column(name).to_pylist()), t)
+    keys, sizes = join("row_keys", np.int64), -(-join("counts", np.uint32).astype(np.int64) // 8)
+    slot = np.repeat(table.column("slot").to_numpy(), [len(x) // 8 for x in table.column("row_keys").to_pylist()])
+    data, ends = b"".join(table.column("bits").to_pylist()), np.cumsum(sizes)
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    offsets = pa.array(np.append(starts, len(keys)), pa.int32())
+    bits = pa.array([data[ends[k] - sizes[k] : ends[k]] for k in order.tolist()], pa.binary())
+    return pa.table([pa.array(keys[order][starts]), pa.ListArray.from_arrays(offsets, pa.array(slot[order].astype(np.int32))), pa.ListArray.from_arrays(offsets, bits)], ["own", f"{kind}_slots", f"{kind}_bits"])
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,38 +226,39 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         pack = lambda h, at: (h.astype(np.uint32) & ~np.uint32(1)) | (at % block == 0)
         return _gathered(batches, lambda row: rolling(words_of(row[2]), block), slots, lambda h, at: pack(h, at).astype(np.uint32))
 
-    def collected(answers: DataFrame) -> DataFrame:
-        return answers.groupBy(F.col("row_key").alias("own")).agg(F.collect_list(F.struct("kind", "slot", "bits")).alias("answers"))
+    def told(packed: DataFrame, kind: str, dtype: str, decide) -> DataFrame:
+        """The answers by document, written; then the shuffles before them can go."""
+        answers = packed.groupBy("slot").applyInArrow(lambda t: _answers(t, dtype, slots, decide), _ANSWERS)
+        found = written(answers.groupBy("target").applyInArrow(lambda t: _by_document(t, kind), _ANSWER.format(kind)), kind)
+        release(spark)
+        return found
 
-    anchors = written(rows.mapInArrow(probes, _PACKED).groupBy("slot").applyInArrow(lambda t: _answers(t, 0, "<u4", _anchored), _ANSWER), "anchors")
-    release(spark)
+    anchors = told(rows.mapInArrow(probes, _PACKED), "anchor", "<u4", _anchored)
 
     def extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def windows(row: list) -> np.ndarray:
             hashes = rolling(words_of(row[2]), block)
-            starts = _candidates(hashes, slots, [(x["slot"], x["bits"]) for x in row[3]], block, window)
+            starts = _candidates(hashes, slots, list(zip(row[3], row[4])), block, window)
             return longer(hashes, block, window)[starts]
 
         return _gathered(batches, windows, slots, lambda h, at: h)
 
-    hit = rows.join(collected(anchors), F.col("row_key") == F.col("own")).select("row_key", "doc_id", "text", "answers")
-    repeats = written(hit.mapInArrow(extensions, _PACKED).groupBy("slot").applyInArrow(lambda t: _answers(t, 1, "<u8", _earlier), _ANSWER), "repeats")
-    release(spark)
-
+    hit = rows.join(anchors, F.col("row_key") == F.col("own")).select("row_key", "doc_id", "text", "anchor_slots", "anchor_bits")
+    repeats = told(hit.mapInArrow(extensions, _PACKED), "repeat", "<u8", _earlier)
     # of the anchors, only those of rows that lose words matter now
-    needed = anchors.join(repeats.select("row_key").distinct(), "row_key", "left_semi").select(*repeats.columns).union(repeats)
+    known = repeats.join(anchors.withColumnRenamed("own", "its"), F.col("own") == F.col("its")).drop("its")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
-            for text, answers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, *answers in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
                 words = words_of(text)
                 n = len(words)
                 gone = np.empty(0, np.int64)
-                if answers:
+                if answers[0]:
                     hashes = rolling(words, block)
-                    starts = _candidates(hashes, slots, [(x["slot"], x["bits"]) for x in answers if x["kind"] == 0], block, window)
-                    chosen = _places(longer(hashes, block, window)[starts], slots, [(x["slot"], x["bits"]) for x in answers if x["kind"] == 1], starts)
+                    starts = _candidates(hashes, slots, list(zip(answers[0], answers[1])), block, window)
+                    chosen = _places(longer(hashes, block, window)[starts], slots, list(zip(answers[2], answers[3])), starts)
                     gone = _covering(chosen, 0, window - 1, n)
                 if len(gone):
                     stay = np.ones(n, bool)
@@ -245,5 +268,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             columns = zip(*found) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, [pa.int64(), pa.int64(), pa.string()])]], ["doc_id", "n_words", "n_removed", "kept"])
 
-    told = rows.join(collected(needed), F.col("row_key") == F.col("own"), "left").select("doc_id", "text", "answers")
-    return told.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    joined = rows.join(known, F.col("row_key") == F.col("own"), "left").select("doc_id", "text", "anchor_slots", "anchor_bits", "repeat_slots", "repeat_bits")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
