@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexforge.llm import langid, mixing, permindex, quality, simhash, spm, substring, syncmer, warc
+from lexforge.llm import langid, mixing, permindex, quality, secrets, simhash, spm, substring, syncmer, warc
 
 
 #: The SentencePiece model of op9 and the pipeline.
@@ -42,6 +42,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in every document, scored: doc_id, start, length, value_sha256, score, is_secret."""
+    found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "start", "length", F.sha2(F.encode("value", "UTF-8"), 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint against its edited text's and its next document's."""
     found = syncmer.edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_substring": op4_substring,
     "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
     "op7_syncmers": op7_syncmers,
     "op8_permutation_index": op8_permutation_index,
     "op9_sentencepiece": op9_sentencepiece,
