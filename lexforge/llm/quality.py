@@ -208,10 +208,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     return fit(x, posterior(np.stack([codes // 4**k % 4 for k in range(len(LABELLERS))], 1), prior, rates))
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the columns named in ``keep``, score): the probability that a document is good; 0 for a text without words."""
+def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """(doc_id, the columns named in ``keep``, text if asked for, score): the probability that a document is good; 0 for a text without words."""
     own = _texts(docs, id_col, text_col) if not keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
-    names = [c for c in own.columns if c != "text"]
+    names = [c for c in own.columns if c != "text" or with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

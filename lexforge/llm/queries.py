@@ -61,9 +61,7 @@ def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: doc_id, n_ids, ids_sha256 (of the ids joined by one space) and decoded_sha256 (of the decoded text)."""
-    encoded = spm.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL)
-    digest = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
-    return spm.decode(digest, MODEL, keep=("n_ids", "ids_sha256")).select("doc_id", "n_ids", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+    return spm.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexforge.llm.graph import components
 from lexforge.session import written
@@ -251,3 +251,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = written(labels, "labels")
     same = [F.col(x) == F.col(f"_{x}") for x in names]
     return prints.join(labels, same).select("doc_id", *names, "component_id")
+
+
+def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the near-duplicates that :func:`near_duplicates` finds: of each component the row with the smallest id stays, with all its columns.
+
+    Of rows that share that id, one stays, as it is with rows of a null id that
+    are all alike: the first by text. What goes is decided on (id, component)
+    alone, so texts are only read again, and shuffled once.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    kept = docs.join(stays, docs[id_col].cast("long").eqNullSafe(F.col("_stays"))).drop("_stays")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, *[c for c in docs.columns if c not in (id_col, text_col)]))
+    return kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

@@ -185,8 +185,8 @@ def _scan(giants: DataFrame, model: bytes) -> DataFrame:
     return traced.mapInArrow(trace, "row long, part long, ids array<int>")
 
 
-def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT) -> DataFrame:
-    """(doc_id, ids) for each row, equal to the library's for the whole text.
+def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), giant: int = GIANT) -> DataFrame:
+    """(doc_id, the columns named in ``keep``, ids) for each row, equal to the library's for the whole text.
 
     A null text has no ids, as has an empty one. Repeated rows are encoded
     alike. Texts over ``giant`` characters are cut, encoded by several tasks and
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     empty table gives an empty result; other columns aren't read.
     """
     model = model_bytes(model_path)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("text"))
     of_kind = kind(model)
     if of_kind == "bpe" and not can_cut(model):
         return _whole(rows, model)
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     texts = giants.select("row", "text")
     parts = _whole(_cut_rows(texts).repartition(tasks, "row", "part"), model) if of_kind == "bpe" else _scan(texts, model)
     joined = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.union(giants.select("doc_id", "row").join(joined, "row").select("doc_id", "ids"))
+    return small.union(giants.drop("text").join(joined, "row").select("doc_id", *keep, "ids"))
 
 
 def piece_bytes(model: bytes) -> list[bytes | None]:
@@ -242,3 +242,10 @@ def decode(encoded: DataFrame, model_path: str, *, keep: tuple[str, ...] = ()) -
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, 512) for c in names], pa.array(found, pa.string())], [*names, "text"])
 
     return encoded.select(*names, "ids").mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_ids, ids_sha256 (of the ids joined by one space) and decoded_sha256 (of the text decoded from them), for each row."""
+    encoded = encode(docs, model_path, id_col=id_col, text_col=text_col)
+    digest = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+    return decode(digest, model_path, keep=("n_ids", "ids_sha256")).select("doc_id", "n_ids", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
