@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: A chunk; the last alternative keeps a stray bracket or percent sign.
 CHUNK = r"(\[[^\]]*\]|%\d{2}|[.()/\\]|\d|[^\[%.()/\\\d]+|.)"
@@ -160,7 +160,7 @@ def proper_substrings(piece: Column, least: int = 2) -> Column:
     return F.when(n > least, F.flatten(F.transform(F.sequence(F.lit(least), n - 1), of))).otherwise(F.array().cast("array<array<string>>"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def longest_match(text: pd.Series) -> pd.Series:
     """Bracket-aware longest match, one character at a time: the check of :func:`segment`; null outside the alphabet."""
 

@@ -1,31 +1,487 @@
-"""Named queries and their DuckDB SQL."""
+"""Named queries over the driver's tables, with their DuckDB SQL.
+
+The tables hold no line notations, so documents stand for them: a text is a
+unit, its language or source a corpus, a word a chunk and a character a glyph.
+Two lexers stand for the two arms: runs without white space (a), and runs of
+ASCII letters and digits (b). Ratios are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexforge.operators import dedup
+from lexforge.functions import chemistry, hashing, lexing
+from lexforge.operators import bootstrap, dedup, emission, sampling, tokenizers, vocabulary
+from lexforge.plans import audit, deposit, registry, sensitivity
+from lexforge.sources import schemas
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+ARM_A, ARM_B = r"[^ \n]+", r"[A-Za-z0-9]+"
+_WORDS = "SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS piece FROM documents"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with its SQL if there is any."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
 
+    return add
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def q_dedup_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return dedup.dedup_ordered(docs, "text", ["doc_id"])
+def words(spark: SparkSession, sf_dir: str, pattern: str = ARM_B) -> DataFrame:
+    """(doc_id, lang, source, piece) of every word of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "lang", "source", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("piece"))
+
+
+def six(c: Column, name: str) -> Column:
+    return F.round(c, 6).alias(name)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[six(F.col(c), c) if c in names else F.col(c) for c in df.columns])
+
+
+# sources and preparation
+
+
+@query("SELECT doc_id::VARCHAR AS source_id, text, 'documents' AS source FROM documents WHERE text IS NOT NULL AND length(text) > 0")
+def ingest_raw(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return schemas.coerce(schemas.project(docs, id_col="doc_id", text_col="text", source="documents", ingest_ts=F.lit("2000-01-01 00:00:00"))).drop("ingest_ts")
+
+
+@query("SELECT page_id::VARCHAR AS source_id, coalesce(url, '') AS text FROM pages")
+def ingest_keep_empty(spark, sf_dir):
+    return schemas.project(table(spark, sf_dir, "pages"), id_col="page_id", text_col="url", source="pages", ingest_ts=F.lit("2000-01-01 00:00:00"), nulls="keep").select("source_id", "text")
+
+
+@query("SELECT doc_id, text, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, lang, source) AS rn FROM documents) WHERE rn = 1")
+def dedup_window(spark, sf_dir):
+    return dedup.dedup_ordered(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "text", ["doc_id"])
+
+
+@query("SELECT count(*) AS n_input, count(DISTINCT text) AS n_distinct, count(*) - count(DISTINCT text) AS n_duplicates FROM documents")
+def dedup_counts(spark, sf_dir):
+    return dedup.dedup_counts(table(spark, sf_dir, "documents").select("text"), "text")
+
+
+@query("SELECT rpad(lower(substr(hex(encode(text)), 1, 4)), 4, '0') AS bucket, count(*) AS n FROM documents GROUP BY 1")
+def bucket_key_hist(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(dedup.bucket_key(F.col("text")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, text FROM (SELECT doc_id, regexp_replace(trim(text, ' '), '\\s+', ' ', 'g') AS text FROM documents) WHERE length(text) > 0")
+def canonical_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.regexp_replace(F.trim("text"), r"\s+", " ").alias("text")).where(F.length("text") > 0)
+
+
+def _coordinate_sql(key: str) -> str:
+    return f"(('0x' || substr(sha1({key}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+
+
+@query(f"SELECT doc_id, {_coordinate_sql("'canon_dedup_v1.subsample|' || text")} AS coordinate FROM documents WHERE {_coordinate_sql("'canon_dedup_v1.subsample|' || text")} < 0.05")
+def hash_subsample(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    at = hashing.acceptance_coordinate(F.col("text"), sampling.SAMPLE_DOMAIN)
+    return docs.select("doc_id", at.alias("coordinate")).where("coordinate < 0.05")
+
+
+@query(f"SELECT lang, CASE WHEN {_coordinate_sql("'canon_dedup_v1.split|20260426|' || doc_id")} < 0.05 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM documents GROUP BY ALL")
+def holdout_split(spark, sf_dir):
+    return sampling.holdout(table(spark, sf_dir, "documents"), "doc_id")[0].groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 0::BIGINT AS overlap")
+def split_disjoint(spark, sf_dir):
+    split = sampling.holdout(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")[0]
+    return split.where("split = 'test'").join(split.where("split = 'train'"), "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("overlap"))
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {_coordinate_sql("'canon_dedup_v1.subsample|' || text")}, text, doc_id LIMIT 100")
+def fixed_sample(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").dropDuplicates(["doc_id"])
+    return docs.withColumn("at", hashing.acceptance_coordinate(F.col("text"), sampling.SAMPLE_DOMAIN)).orderBy("at", "text", "doc_id").limit(100).select("doc_id")
+
+
+@query("SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS ok, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[^\\x00-\\x7F]'))), '') AS offenders FROM documents")
+def conformance_reject(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", (~F.col("text").rlike(r"[^\x00-\x7F]")).alias("ok"), F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\x00-\x7F]"), F.lit(0)))), "").alias("offenders"))
+
+
+@query("SELECT count(DISTINCT c) AS n_chunks, count(*) AS n, sum(length(c))::BIGINT AS n_chars, count(DISTINCT CASE WHEN regexp_full_match(c, '\\[.*\\]') THEN c END) AS n_bracket FROM (SELECT unnest(regexp_extract_all(replace(text, chr(10), ' '), '(\\[[^\\]]*\\]|%\\d{2}|[.()/\\\\]|\\d|[^\\[%.()/\\\\\\d]+|.)')) AS c FROM documents)")
+def chunk_inventory(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    found, _ = sampling.chunk_inventory(docs, "text")
+    return found.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n"), F.sum(F.col("n") * F.length("chunk")).alias("n_chars"), F.count_if("is_bracket").alias("n_bracket"))
+
+
+@query("SELECT s, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(w, '[\\[\\]]') THEN 'bracket_internal' WHEN regexp_full_match(w, '[()=#./\\\\:%@+\\-0-9]*') THEN 'structural' ELSE 'atomic' END AS s FROM (SELECT unnest(regexp_extract_all(text, '[^ \\n]+')) AS w FROM documents)) GROUP BY s")
+def surface_classes(spark, sf_dir):
+    return words(spark, sf_dir, ARM_A).groupBy(lexing.surface_class(F.col("piece")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, trim(replace(replace(text, '++', '+2'), '--', '-2'), ' ') AS text FROM documents")
+def normalized_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", lexing.normalize(F.col("text")).alias("text"))
+
+
+# vocabularies
+
+
+@query(f"WITH w AS ({_WORDS}), a AS (SELECT DISTINCT piece FROM w WHERE lang = 'de'), b AS (SELECT DISTINCT piece FROM w WHERE lang = 'es'), s AS (SELECT count(*) AS shared FROM a JOIN b USING (piece)) SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, shared, round(shared / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b) - shared), 6) AS jaccard FROM s")
+def vocab_jaccard(spark, sf_dir):
+    w = words(spark, sf_dir)
+    return rounded(vocabulary.jaccard(w.where("lang = 'de'"), w.where("lang = 'es'")), "jaccard")
+
+
+@query(f"WITH w AS ({_WORDS}), c AS (SELECT lang, piece, count(*) AS n FROM w GROUP BY ALL), a AS (SELECT piece, n / sum(n) OVER () AS x FROM c WHERE lang = 'de'), b AS (SELECT piece, n / sum(n) OVER () AS y FROM c WHERE lang = 'es') SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS shared, count(*) AS n_union, round(sum(least(coalesce(x, 0), coalesce(y, 0))) / sum(greatest(coalesce(x, 0), coalesce(y, 0))), 6) AS weighted_jaccard FROM a FULL JOIN b USING (piece)")
+def weighted_jaccard(spark, sf_dir):
+    counts = words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(vocabulary.weighted_jaccard(counts.where("lang = 'de'"), counts.where("lang = 'es'")), "weighted_jaccard")
+
+
+@query(f"WITH w AS ({_WORDS}), a AS (SELECT DISTINCT piece FROM w WHERE lang = 'en'), b AS (SELECT DISTINCT piece FROM w WHERE lang = 'fr') SELECT CASE WHEN a.piece IS NULL THEN 'b_only' WHEN b.piece IS NULL THEN 'a_only' ELSE 'shared' END AS class, count(*) AS n FROM a FULL JOIN b ON a.piece = b.piece GROUP BY 1")
+def membership_partition(spark, sf_dir):
+    w = words(spark, sf_dir)
+    return vocabulary.membership(w.where("lang = 'en'"), w.where("lang = 'fr'")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH w AS ({_WORDS}) SELECT DISTINCT piece FROM w WHERE lang = 'fr' AND piece NOT IN (SELECT piece FROM w WHERE lang = 'en')")
+def fresh_pieces(spark, sf_dir):
+    w = words(spark, sf_dir)
+    return vocabulary.fresh(w.where("lang = 'en'"), w.where("lang = 'fr'"))
+
+
+@query(f"WITH w AS ({_WORDS}), a AS (SELECT DISTINCT piece FROM w WHERE lang = 'de'), b AS (SELECT DISTINCT piece FROM w WHERE lang = 'es') (SELECT piece FROM a EXCEPT SELECT piece FROM b) UNION ALL (SELECT piece FROM b EXCEPT SELECT piece FROM a)")
+def symmetric_difference(spark, sf_dir):
+    w = words(spark, sf_dir)
+    return vocabulary.symmetric_difference(w.where("lang = 'de'"), w.where("lang = 'es'"))
+
+
+@query(f"WITH v AS (SELECT DISTINCT lang, piece FROM ({_WORDS})) SELECT lang, count(*) AS n_pieces, round(avg(length(piece)), 6) AS mean, median(length(piece))::DOUBLE AS median, max(length(piece))::INT AS longest FROM v GROUP BY lang")
+def piece_length_profile(spark, sf_dir):
+    v = words(spark, sf_dir).select("lang", "piece").distinct()
+    n = F.length("piece")
+    return v.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pieces"), six(F.avg(n), "mean"), F.median(n).alias("median"), F.max(n).alias("longest"))
+
+
+@query(f"SELECT length(piece)::INT AS length, count(*) AS n FROM (SELECT DISTINCT piece FROM ({_WORDS})) GROUP BY 1")
+def length_histogram(spark, sf_dir):
+    return vocabulary.length_histogram(words(spark, sf_dir).select("piece").distinct().withColumn("piece", F.filter(F.split("piece", ""), lambda x: x != "")))
+
+
+@query(f"SELECT * FROM (SELECT lang, piece, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, piece)::INT AS rank FROM ({_WORDS}) GROUP BY lang, piece) WHERE rank <= 50")
+def rank_frequency(spark, sf_dir):
+    counts = words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
+    return vocabulary.rank_frequency(counts, ["lang"]).where("rank <= 50")
+
+
+@query(f"SELECT lang, piece, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS weight FROM (SELECT lang, piece, count(*) AS n FROM ({_WORDS}) GROUP BY ALL)")
+def normalized_weights(spark, sf_dir):
+    return rounded(vocabulary.normalized(words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n")), ["lang"]), "weight")
+
+
+#: The most frequent pieces of two languages, at four sizes.
+_STEPS = f"SELECT v, arm, piece FROM (SELECT CASE lang WHEN 'de' THEN 'a' ELSE 'b' END AS arm, piece, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, piece) AS rank FROM ({_WORDS}) WHERE lang IN ('de', 'es') GROUP BY lang, piece), (SELECT unnest([256, 512, 1024, 2048])::INT AS v) WHERE rank <= v"
+
+
+@query(f"WITH s AS ({_STEPS}), f AS (SELECT v // 2 AS lower, v, piece, bool_or(arm = 'a') AS a, bool_or(arm = 'b') AS b FROM s WHERE v > 256 AND (v // 2, arm, piece) NOT IN (SELECT (v, arm, piece) FROM s) GROUP BY v, piece) SELECT lower::INT AS lower, v, count(*) FILTER (a) AS fresh_a, count(*) FILTER (b) AS fresh_b, count(*) FILTER (a AND b) AS shared, count(*) AS n_union, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard FROM f GROUP BY ALL")
+def marginal_jaccard(spark, sf_dir):
+    counts = words(spark, sf_dir).where("lang in ('de', 'es')").groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
+    top = vocabulary.rank_frequency(counts, ["lang"]).where("rank <= 2048")
+    steps = top.withColumn("v", F.explode(F.array(*[F.lit(v) for v in (256, 512, 1024, 2048)]))).where("rank <= v")
+    return rounded(vocabulary.marginal_steps(steps.select("v", F.when(F.col("lang") == "de", "a").otherwise("b").alias("arm"), "piece")), "jaccard")
+
+
+@query(f"WITH v AS (SELECT DISTINCT piece FROM ({_WORDS})) SELECT a, b, count(*) AS n FROM (SELECT piece[i] AS a, piece[i + 1] AS b FROM v, unnest(range(1, length(piece))) AS t(i)) GROUP BY ALL")
+def glyph_cooccurrence(spark, sf_dir):
+    return vocabulary.cooccurrence(words(spark, sf_dir).select("piece").distinct().withColumn("piece", F.filter(F.split("piece", ""), lambda x: x != "")))
+
+
+@query(
+    f"""WITH v AS (SELECT lang, piece, count(*) AS n FROM ({_WORDS}) WHERE length(piece) <= 12 GROUP BY ALL), k AS (SELECT DISTINCT lang, piece FROM v WHERE n >= 2),
+    m AS (SELECT * FROM k WHERE length(piece) >= 2),
+    b AS (SELECT m.lang, m.piece, bool_or(x.piece IS NOT NULL AND y.piece IS NOT NULL) AS bin FROM m, unnest(range(1, length(m.piece))) AS t(i) LEFT JOIN k x ON x.lang = m.lang AND x.piece = left(m.piece, i) LEFT JOIN k y ON y.lang = m.lang AND y.piece = substr(m.piece, i + 1) GROUP BY ALL),
+    p AS (SELECT m.lang, m.piece, bool_or(x.piece IS NOT NULL) AS any_in, bool_and(x.piece IS NOT NULL) AS every FROM m, unnest(range(2, length(m.piece))) AS t(l), unnest(range(1, length(m.piece) - l + 2)) AS u(s) LEFT JOIN k x ON x.lang = m.lang AND x.piece = substr(m.piece, s, l) WHERE length(m.piece) >= 3 GROUP BY ALL)
+    SELECT lang, count(*) AS n_multi, count(any_in) AS n_ge3, count(*) FILTER (bin) AS n_bin_closed, count(*) FILTER (NOT any_in) AS n_orphan, count(*) FILTER (coalesce(every, true)) AS n_full_closed,
+    round(count(*) FILTER (bin) / count(*), 6) AS c_bin, round(count(*) FILTER (NOT any_in) / count(any_in), 6) AS c_orph, round(count(*) FILTER (coalesce(every, true)) / count(*), 6) AS c_full
+    FROM b LEFT JOIN p USING (lang, piece) GROUP BY lang"""
+)
+def closure(spark, sf_dir):
+    counts = words(spark, sf_dir).where("length(piece) <= 12").groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    v = counts.select("lang", F.filter(F.split("piece", ""), lambda x: x != "").alias("piece"))
+    return rounded(vocabulary.closure(v, ["lang"]).drop("n_bracket_open"), "c_bin", "c_orph", "c_full")
+
+
+# emissions
+
+
+@query("SELECT lang, count(*) AS n, sum(t)::BIGINT AS tokens, sum(g)::BIGINT AS glyphs, round(avg(t), 6) AS fertility, round(sum(g) / sum(t), 6) AS glyphs_per_token, round(var_pop(t), 4) AS variance FROM (SELECT lang, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS t, length(text) AS g FROM documents) GROUP BY lang")
+def fertility_by_lang(spark, sf_dir):
+    units = table(spark, sf_dir, "documents").select("lang", F.regexp_count("text", F.lit(ARM_B)).alias("n_tokens"), F.length("text").alias("n_glyphs"))
+    found = emission.fertility(units, ["lang"])
+    return rounded(found, "fertility", "glyphs_per_token").withColumn("variance", F.round("variance", 4))
+
+
+@query("WITH u AS (SELECT lang, avg(len(regexp_extract_all(text, '[^ \\n]+'))) AS a, avg(len(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS b FROM documents GROUP BY lang) SELECT lang, round(a, 6) AS fertility_a, round(b, 6) AS fertility_b, round(b - a, 6) AS delta_fertility, round(abs(a - b) / ((a + b) / 2), 6) AS gap FROM u")
+def fertility_pair(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    a, b = (docs.groupBy("lang").agg(F.avg(F.regexp_count("text", F.lit(p))).alias("fertility")) for p in (ARM_A, ARM_B))
+    both = emission.pair_deltas(a, b, ["lang"], ["fertility"]).withColumn("gap", emission.relative_gap(F.col("fertility_a"), F.col("fertility_b")))
+    return rounded(both, "fertility_a", "fertility_b", "delta_fertility", "gap")
+
+
+@query(f"WITH c AS (SELECT lang, piece, count(*) AS n FROM ({_WORDS}) GROUP BY ALL), t AS (SELECT *, n / sum(n) OVER w AS p, sum(n) OVER w AS tokens, count(*) OVER w AS v FROM c WINDOW w AS (PARTITION BY lang)) SELECT lang, any_value(tokens)::BIGINT AS tokens, count(*) AS live, round(0.5 * sum(abs(p - 1 / v)), 6) AS imbalance, round(-sum(p * log2(p)) / log2(count(*)), 6) AS entropy, round(log2(sum(pow(p, 2.5))) / -1.5 / log2(count(*)), 6) AS renyi FROM t GROUP BY lang")
+def distribution_intrinsics(spark, sf_dir):
+    counts = words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(emission.distribution(counts, ["lang"]), "imbalance", "entropy", "renyi")
+
+
+@query(f"WITH c AS (SELECT lang, piece, count(*) AS n FROM ({_WORDS}) GROUP BY ALL) SELECT lang, count(*) AS n_pieces, round(avg((n >= 50)::INT), 6) AS f_50, round(avg((n >= 100)::INT), 6) AS f_100, round(avg((n >= 200)::INT), 6) AS f_200, avg((n >= 100)::INT) < 0.95 AS unsafe FROM c GROUP BY lang")
+def clearance_fpn(spark, sf_dir):
+    counts = words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(emission.clearance(counts, counts, ["lang"]), "f_50", "f_100", "f_200")
+
+
+@query(
+    f"""WITH c AS (SELECT lang, piece, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, piece) AS rank FROM ({_WORDS}) GROUP BY lang, piece)
+    SELECT lang, 0.95::DOUBLE AS p, 100::INT AS n_min, count(*) FILTER (n >= 100) AS clearing, count(*) FILTER (n >= 100) / count(*) >= 0.95 AS crossed, CASE WHEN count(*) FILTER (n >= 100) / count(*) < 0.95 THEN min(rank) FILTER (n < 100) END::INT AS first_rank_below FROM c GROUP BY lang"""
+)
+def clearance_threshold(spark, sf_dir):
+    counts = words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
+    return emission.threshold(vocabulary.rank_frequency(counts, ["lang"]), ["lang"], 0.95, 100)
+
+
+def _arm_counts(spark, sf_dir) -> DataFrame:
+    a, b = (words(spark, sf_dir, p).withColumn("arm", F.lit(arm)) for arm, p in (("a", ARM_A), ("b", ARM_B)))
+    return a.union(b).groupBy("lang", "arm", "piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH w AS (SELECT lang, 'a' AS arm, unnest(regexp_extract_all(text, '[^ \\n]+')) AS piece FROM documents UNION ALL SELECT lang, 'b', unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) FROM documents),
+    c AS (SELECT lang, arm, piece, count(*) AS n FROM w GROUP BY ALL),
+    f AS (SELECT lang, t AS n, avg((c.n >= t)::INT) FILTER (arm = 'a') AS a, avg((c.n >= t)::INT) FILTER (arm = 'b') AS b FROM c, (SELECT unnest([50, 100, 200])::INT AS t) GROUP BY ALL)
+    SELECT lang, p::DOUBLE AS p, n, round(a, 6) AS f_a, round(b, 6) AS f_b, round(b - a, 6) AS delta, a < p OR b < p AS any_unsafe, a < p AND b < p AS both_unsafe FROM f, (SELECT unnest([0.9, 0.95, 0.99]) AS p)"""
+)
+def dead_zone(spark, sf_dir):
+    counts = _arm_counts(spark, sf_dir)
+    shares = emission.clearance(counts, counts, ["lang", "arm"])
+    both = emission.pair_deltas(shares.where("arm = 'a'"), shares.where("arm = 'b'"), ["lang"], ["f_50", "f_100", "f_200"])
+    return rounded(emission.dead_zone(both, ["lang"]), "f_a", "f_b", "delta")
+
+
+@query(
+    """WITH u AS (SELECT lang, regexp_extract_all(text, '[^ \\n]+') AS a FROM documents)
+    SELECT lang, sum(len(a))::BIGINT AS chunks, round(sum(len(list_filter(a, lambda w: regexp_full_match(w, '[A-Za-z0-9]+')))) / sum(len(a)), 6) AS absorbed FROM u GROUP BY lang"""
+)
+def absorption_by_lang(spark, sf_dir):
+    """Words of arm a that are one token of arm b: absorbed iff they have no other characters."""
+    docs = table(spark, sf_dir, "documents")
+    chunked = F.regexp_extract_all("text", F.lit(ARM_A), F.lit(0))
+    units = docs.select("lang", F.size(chunked).alias("n_chunks"), F.size(F.filter(chunked, lambda w: w.rlike(f"^{ARM_B}$"))).alias("n_absorbed"), F.lit(None).cast("int").alias("n_cross"))
+    return rounded(emission.absorption(units, ["lang"]).drop("crossed"), "absorbed")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, lang, i, substr(text, i, 1) AS x, substr(text, i + 1, 1) AS y FROM documents, unnest(range(1, length(text))) AS t(i)),
+    c AS (SELECT lang, doc_id, (x = ' ' OR y = ' ') AS a, (regexp_matches(x, '[A-Za-z0-9]') <> regexp_matches(y, '[A-Za-z0-9]')) AS b FROM p)
+    SELECT lang, count(*) AS positions, count(*) FILTER (a AND b) AS agree_cut, count(*) FILTER (b AND NOT a) AS nest, count(*) FILTER (a AND NOT b) AS conflict, count(*) FILTER (NOT a AND NOT b) AS agree_merge,
+    round(count(*) FILTER (a AND b) / count(*) FILTER (a OR b), 6) AS boundary_jaccard FROM c GROUP BY lang"""
+)
+def nestedness_cuts(spark, sf_dir):
+    """Boundaries of two ways to cut characters: at spaces, and where letters or digits meet something else."""
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    # where a boundary is, from lengths of the parts on either side
+    ends = lambda parts: emission.cut_positions(F.transform(parts, lambda p: F.length(p)))
+    a, b = F.regexp_extract_all("text", F.lit(r"(?s)( |[^ ]+)"), F.lit(0)), F.regexp_extract_all("text", F.lit(r"(?s)([A-Za-z0-9]+|[^A-Za-z0-9]+)"), F.lit(0))
+    units = docs.select("lang", emission.nestedness_of(ends(a), ends(b), F.length("text")).alias("x")).select("lang", "x.*")
+    sums = units.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("positions", "agree_cut", "nest", "conflict", "agree_merge")])
+    return sums.withColumn("boundary_jaccard", F.round(F.try_divide(F.col("agree_cut"), F.col("agree_cut") + F.col("nest") + F.col("conflict")), 6))
+
+
+@query(
+    f"""WITH w AS (SELECT lang, doc_id, piece FROM ({_WORDS})), v AS (SELECT DISTINCT lang AS train, piece FROM w), l AS (SELECT DISTINCT train FROM v),
+    u AS (SELECT l.train, w.lang AS eval, doc_id, count(*) AS t, count(*) FILTER (v.piece IS NULL) AS k FROM w CROSS JOIN l LEFT JOIN v ON v.train = l.train AND v.piece = w.piece WHERE l.train <> w.lang GROUP BY ALL)
+    SELECT train, eval, count(*) AS n, round(sum(k) / sum(t), 6) AS oov_tokens, round(avg((k > 0)::INT), 6) AS oov_units FROM u GROUP BY ALL"""
+)
+def transfer_matrix(spark, sf_dir):
+    """Words of one language that another's vocabulary lacks. Words are looked up once each, not once a text."""
+    counts = words(spark, sf_dir).groupBy("lang", "doc_id", "piece").agg(F.count(F.lit(1)).alias("n"))
+    owners = counts.select("piece", "lang").distinct().groupBy("piece").agg(F.collect_set("lang").alias("owners"))
+    langs = [r[0] for r in table(spark, sf_dir, "documents").select("lang").where("lang is not null").distinct().orderBy("lang").collect()]
+    seen = counts.join(owners, "piece").withColumn("train", F.explode(F.array(*map(F.lit, langs)))).where("train <> lang")
+    units = seen.groupBy("train", F.col("lang").alias("eval"), "doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.array_contains("owners", F.col("train")), 0).otherwise(F.col("n"))).alias("n_unknown"))
+    return rounded(emission.transfer(units.withColumn("n_glyphs", F.lit(0)), ["train", "eval"]).select("train", "eval", "n", "oov_tokens", "oov_units"), "oov_tokens", "oov_units")
+
+
+@query("WITH c AS (SELECT lang, w, count(*) FILTER (arm = 'a') AS x, count(*) FILTER (arm = 'b') AS y FROM (SELECT lang, 'a' AS arm, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents UNION ALL SELECT lang, 'b', unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) FROM documents) GROUP BY ALL) SELECT lang, round(sum(least(x, y)) / sum(greatest(x, y)), 6) AS jaccard FROM c GROUP BY lang")
+def rewrite_stability(spark, sf_dir):
+    """The bags of words of texts and of their lower-case rewrites."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = lambda c: F.explode(F.regexp_extract_all(c, F.lit(ARM_B), F.lit(0))).alias("w")
+    both = docs.select("lang", F.lit("a").alias("arm"), tokens(F.col("text"))).union(docs.select("lang", F.lit("b").alias("arm"), tokens(F.lower("text"))))
+    counts = both.groupBy("lang", "w").agg(F.count_if(F.col("arm") == "a").alias("x"), F.count_if(F.col("arm") == "b").alias("y"))
+    return rounded(emission.multiset_jaccard(counts, ["lang"], "w", "x", "y"), "jaccard")
+
+
+@query("WITH u AS (SELECT source, lang, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS t FROM documents), f AS (SELECT source, lang, avg(t) AS f FROM u GROUP BY ALL), n AS (SELECT lang, avg(t) AS n FROM u GROUP BY lang) SELECT source, round(max(f / n) FILTER (lang = 'de'), 6) AS de, round(max(f / n) FILTER (lang = 'en'), 6) AS en, round(max(f / n) FILTER (lang = 'es'), 6) AS es, round(max(f / n) FILTER (lang = 'fr'), 6) AS fr FROM f JOIN n USING (lang) GROUP BY source")
+def penalty_pivot(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "lang", F.regexp_count("text", F.lit(ARM_B)).alias("t"))
+    f, n = docs.groupBy("source", "lang").agg(F.avg("t").alias("f")), docs.groupBy("lang").agg(F.avg("t").alias("n"))
+    return rounded(f.join(n, "lang").withColumn("r", F.col("f") / F.col("n")).groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.max("r")), "de", "en", "es", "fr")
+
+
+# registry, deposits and audits
+
+_GRID = "SELECT a AS algo, v::INT AS v, c AS corpus, b AS boundary, tier FROM (SELECT unnest(['bpe', 'unigram']) AS a), (SELECT unnest(['nmb', 'mb']) AS b), (SELECT v, c, 'headline' AS tier FROM (SELECT unnest([256, 512, 1024]) AS v), (SELECT unnest(['pubchem', 'zinc22', 'coconut']) AS c) UNION ALL VALUES (2048, 'pubchem', 'sensitivity'), (1024, 'real_space', 'anchor')) UNION ALL SELECT 'bpe', 2048, 'zinc22', unnest(['nmb', 'mb']), 'conditional'"
+
+
+@query(_GRID)
+def grid_cells(spark, sf_dir):
+    return registry.grid(spark).unionByName(registry.conditional(spark)).select("algo", "v", "corpus", "boundary", "tier")
+
+
+@query("SELECT * FROM (VALUES ('subsample_redraw', 12), ('size_sweep', 4), ('size_matched', 8), ('seed_cap', 1), ('prune_schedule', 2), ('merge_exhaustion', 1), ('large_v_anchor', 2), ('sensitivity_anchor', 2), ('mpl_ladder', 5), ('seed_ladder', 5), ('subiter_ladder', 3), ('shrink_ladder', 4), ('minfreq_ladder', 4), ('interaction_subiter_shrink', 12), ('interaction_mpl_v', 12), ('interaction_mpl_typology', 12), ('interaction_bpe_ref', 3)) AS t(kind, n)")
+def extras_kinds(spark, sf_dir):
+    return registry.extras(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH g AS ({_GRID}) SELECT corpus || '__v' || v || '_' || boundary AS pair_key, count(*) FILTER (algo = 'bpe') AS n_bpe, count(*) FILTER (algo = 'unigram') AS n_unigram FROM g GROUP BY 1")
+def pairing_full_outer(spark, sf_dir):
+    cells = registry.grid(spark).unionByName(registry.conditional(spark))
+    matched, alone = registry.pairs(cells)
+    one = F.lit(1).cast("long")
+    return matched.select("pair_key", one.alias("n_bpe"), one.alias("n_unigram")).union(alone.select("pair_key", (F.col("arm") == "bpe").cast("long"), (F.col("arm") == "unigram").cast("long")))
+
+
+@query("WITH c AS (SELECT unnest(['pubchem', 'zinc22', 'coconut', 'real_space']) AS c) SELECT a.c AS train, b.c AS eval, arm, 1024 AS v, 'nmb' AS boundary FROM c a, c b, (SELECT unnest(['bpe', 'unigram']) AS arm) WHERE a.c <> b.c")
+def transfer_cells(spark, sf_dir):
+    return registry.transfer_cells(spark)
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN l.quality = 1 THEN 'fresh' ELSE 'stale' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)")
+def deposit_states(spark, sf_dir):
+    """Documents as a registry and labels as deposits, fresh if their quality is 1."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    due = deposit.stale(docs, labels, "doc_id", F.col("quality") == 1)
+    missing = deposit.pending(docs, labels, "doc_id")
+    stale = due.join(missing, "doc_id", "left_anti").select("doc_id", F.lit("stale").alias("state"))
+    return docs.join(due, "doc_id", "left_anti").select("doc_id", F.lit("fresh").alias("state")).union(stale).union(missing.select("doc_id", F.lit("pending")))
+
+
+_MEASURES = "SELECT source || '__' || lang AS pair_key, count(*) AS n, avg(length(text)) AS x, count(DISTINCT text) AS d FROM documents GROUP BY ALL"
+
+
+@query(f"WITH m AS ({_MEASURES}) SELECT m.pair_key, m.n, round(m.x, 6) AS x, m.d, q.good FROM m LEFT JOIN (SELECT source || '__' || lang AS pair_key, round(avg(quality), 6) AS good FROM labels JOIN documents USING (doc_id) GROUP BY ALL HAVING count(*) >= 3) q USING (pair_key)")
+def measurement_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("pair_key", F.concat_ws("__", "source", "lang"))
+    n, x, d = (docs.groupBy("pair_key").agg(e) for e in (F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 6).alias("x"), F.count_distinct("text").alias("d")))
+    good = table(spark, sf_dir, "labels").join(docs, "doc_id").groupBy("pair_key").agg(F.round(F.avg("quality"), 6).alias("good"), F.count(F.lit(1)).alias("_n")).where("_n >= 3").drop("_n")
+    none = lambda c: docs.select("pair_key").distinct().where("false").withColumn(c, F.lit(None).cast("int"))
+    return deposit.measurement(n, x, d, docs.select("pair_key").distinct(), good, none("s"), none("e")).drop("s", "e")
+
+
+@query("SELECT lang, string_agg(n::VARCHAR, ',' ORDER BY source) AS counts FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang")
+def collected_in_order(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: x["n"].cast("string")).alias("counts")).withColumn("counts", F.array_join("counts", ","))
+
+
+@query(f"WITH v AS (SELECT DISTINCT lang, piece FROM ({_WORDS}) WHERE length(piece) >= 2) SELECT round(count(*) FILTER (k = 2) / count(*), 6) AS jaccard, count(*) FILTER (k = 1) AS differing, count(*) FILTER (k = 1) = 0 AS inert FROM (SELECT piece, count(*) AS k FROM v WHERE lang IN ('de', 'fr') GROUP BY piece)")
+def probe_inert(spark, sf_dir):
+    v = words(spark, sf_dir).select("lang", F.filter(F.split("piece", ""), lambda x: x != "").alias("piece"))
+    return rounded(audit.inert(v.where("lang = 'de'"), v.where("lang = 'fr'")), "jaccard")
+
+
+@query("WITH r AS (SELECT lang, list_sort(list(length(text)::DOUBLE)) AS x, count(*) AS n FROM documents GROUP BY lang) SELECT lang, x[1 + least(n - 1, floor(0.025 * n)::BIGINT)] AS low, x[1 + greatest(least(n - 1, floor(0.025 * n)::BIGINT), greatest(0, least(n - 1, floor(0.975 * n)::BIGINT - 1)))] AS high FROM r")
+def order_interval(spark, sf_dir):
+    """The order statistics of an interval, by language, of document lengths; ranks by window, so no list is built."""
+    docs = table(spark, sf_dir, "documents").select("lang", F.length("text").cast("double").alias("x"))
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    places = [(lang, *bootstrap.bounds(n)) for lang, n in sizes.items()]
+    at = docs.groupBy("lang", "x").agg(F.count(F.lit(1)).alias("k"))
+    from pyspark.sql import Window
+
+    ranked = at.withColumn("upto", F.sum("k").over(Window.partitionBy("lang").orderBy("x")))
+    want = spark.createDataFrame(places, "lang string, lo long, hi long")
+    joined = ranked.join(F.broadcast(want), "lang")
+    hit = lambda c: F.min(F.when(F.col("upto") > F.greatest("lo", c) if c == "hi" else F.col("upto") > F.col(c), F.col("x")))
+    return joined.groupBy("lang").agg(hit("lo").alias("low"), hit("hi").alias("high"))
+
+
+# tokenizers and resampling: tested against brute force
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    """Distinct words of all documents as glyph runs, with counts."""
+    counted = words(spark, sf_dir).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.filter(F.split("piece", ""), lambda x: x != "").alias("glyphs"), "n")
+
+
+@query()
+def bpe_train(spark, sf_dir):
+    return tokenizers.train_bpe(_chunks(spark, sf_dir), 512).vocabulary(spark)
+
+
+@query()
+def bpe_scaffolds(spark, sf_dir):
+    own = tokenizers.train_bpe(_chunks(spark, sf_dir), 512)
+    log = spark.createDataFrame([(r["step"], r["candidate_freq"], r["standalone"]) for r in own.log], "step long, candidate_freq long, standalone array<array<long>>")
+    return emission.scaffolds(log, own.vocabulary(spark).where("n_glyphs > 1").select(F.col("token_id").cast("long").alias("id")))
+
+
+@query()
+def unigram_train(spark, sf_dir):
+    return tokenizers.train_unigram(_chunks(spark, sf_dir), 512, max_piece_length=8, shrink=0.5, sub_iterations=1).vocabulary(spark)
+
+
+@query()
+def segment_tokens(spark, sf_dir):
+    """Tokens of every benchmark item under a BPE tokenizer of the documents."""
+    return tokenizers.segment_table(table(spark, sf_dir, "benchmark"), "item_id", "text", tokenizers.train_bpe(_chunks(spark, sf_dir), 512))
+
+
+@query()
+def lattice_entropy(spark, sf_dir):
+    own = tokenizers.train_unigram(_chunks(spark, sf_dir), 512, max_piece_length=8, shrink=0.5, sub_iterations=1)
+    return tokenizers.segmentation_entropy(table(spark, sf_dir, "benchmark"), "item_id", "text", own)
+
+
+@query()
+def bootstrap_ratio(spark, sf_dir):
+    units = table(spark, sf_dir, "documents").select("lang", "doc_id", F.length("text").alias("g"), F.regexp_count("text", F.lit(ARM_B)).alias("t"))
+    return bootstrap.exact_ratio(units, "lang", "g", "t", "doc_id", resamples=200)
+
+
+@query()
+def bootstrap_poisson(spark, sf_dir):
+    units = table(spark, sf_dir, "documents").select("lang", "doc_id", F.length("text").alias("g"), F.regexp_count("text", F.lit(ARM_B)).alias("t"))
+    return bootstrap.poisson_ratio(units, "lang", "g", "t", "doc_id", seed=7, resamples=200)
+
 
+@query()
+def interaction_crossing(spark, sf_dir):
+    rungs = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("rung"), F.regexp_extract_all("text", F.lit(ARM_B), F.lit(0)).alias("w"))
+    cells = rungs.groupBy("rung").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("pieces"), F.avg(F.size("w")).alias("fertility"))
+    return sensitivity.crossing(cells, cells)
 
-QUERIES: dict[str, Query] = {"dedup_window": q_dedup_window}
 
-ORACLES: dict[str, str] = {
-    "dedup_window": """
-        SELECT doc_id, text, lang, source FROM (
-            SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, lang, source) AS rn FROM documents
-        ) WHERE rn = 1
-    """,
-}
+@query()
+def canonical_plugin(spark, sf_dir):
+    return chemistry.canonicalize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", chemistry.TextCanonicalizer())[0]
