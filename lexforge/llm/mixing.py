@@ -61,7 +61,9 @@ def _same(a: str, b: str) -> Column:
 
 
 def _hash(id_col: str, text_col: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS)
+    """The first 48 bits of the MD5 of ``id|text``, a hash that other engines have too; nulls are empty."""
+    both = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def source_limits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,8 @@ the exact measure.
 Vectors come in blocks and queries in blocks, and each pair of blocks is a task
 of its own with its own inverted files, so none grows with the input, and
 copies of one vector are spread over all blocks. The share that is reranked is
-of what a block holds, and ties at its edge are all in.
+of what a block holds (at least ``FLOOR`` vectors, so small tables are searched
+exactly), and ties at its edge are all in.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from lexforge.session import written
 
 #: Pivots, pivots in a vector's list, and the share of a block that is reranked.
 PIVOTS, PREFIX, SHARE = 256, 128, 0.35
+#: The fewest vectors of a block that are reranked for a query, if it has as many.
+FLOOR = 1024
 #: Vectors of a block, and queries of a block.
 BLOCK, QUERIES = 8192, 16384
 
@@ -75,7 +78,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     by_copy = np.lexsort((ids, copy_of))  # the ids of each vector's copies, smallest first
     start = np.searchsorted(copy_of[by_copy], np.arange(len(x) + 1))
     index, orders = Index(x, pivots, length), prefixes(q, pivots, length)
-    many = min(len(x), max(8 * k, int(np.ceil(share * len(x)))))
+    many = min(len(x), max(8 * k, FLOOR, int(np.ceil(share * len(x)))))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(q)):
         away = index.footrule(orders[i])

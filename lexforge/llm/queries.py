@@ -95,4 +95,66 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
         FROM p LEFT JOIN h ON h.payload_digest = p.payload_digest AND p.payload_bytes >= 1000
     """,
+    "op4_substring": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS win FROM w, unnest(range(1, len(words) - 48)) AS t(i)
+        ), m AS (
+            SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM s
+        ), g AS (
+            SELECT doc_id, list(DISTINCT i + k) AS gone FROM m, unnest(range(0, 50)) AS u(k) WHERE first < doc_id GROUP BY doc_id
+        ), p AS (
+            SELECT doc_id, words[j] AS word, j, coalesce(list_contains(gone, j), false) AS out
+            FROM w LEFT JOIN g USING (doc_id), unnest(range(1, len(words) + 1)) AS v(j)
+        ), k AS (
+            SELECT doc_id, count(*) FILTER (out) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT out), '') AS kept FROM p GROUP BY doc_id
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k USING (doc_id)
+    """,
+    "op8_permutation_index": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS score
+            FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+        QUALIFY rank <= 20
+    """,
+    "op10_mixing": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 12))::BIGINT AS hash
+            FROM documents
+        ), t AS (
+            SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source
+        ), w AS (
+            SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM t
+        ), c AS (
+            SELECT *, sum(s) OVER ()::DOUBLE AS total, sum(weight) OVER () AS all_weight,
+                   coalesce(sum(s) OVER b, 0)::DOUBLE AS capped, coalesce(sum(weight) OVER b, 0) AS capped_weight
+            FROM w WINDOW b AS (ORDER BY s / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), l AS (
+            SELECT *, (total - 3.0::DOUBLE * capped) / (all_weight - capped_weight) AS level FROM c
+        ), f AS (
+            SELECT min_by(level, capped_weight) AS final FROM l WHERE level * weight <= 3.0::DOUBLE * s
+        ), g AS (
+            SELECT source, s, CASE WHEN final IS NULL THEN 3.0::DOUBLE * s ELSE least(3.0::DOUBLE * s, final * weight) END AS target FROM l LEFT JOIN f ON true
+        ), r AS (
+            SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole FROM g
+        ), p AS (
+            SELECT source, hash, sum(size) AS own, sum(sum(size)) OVER (PARTITION BY source ORDER BY hash) AS upto FROM d GROUP BY source, hash
+        ), e AS (
+            SELECT p.source, hash, target - whole * s AS rest, upto <= target - whole * s AS fits,
+                   upto - own <= target - whole * s AND upto > target - whole * s AND own > 0 AND upto - (target - whole * s) <= (target - whole * s) - (upto - own) AS nearer
+            FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
+        ), x AS (
+            SELECT source, max(hash) FILTER ((fits OR nearer) AND rest > 0) AS bound FROM e GROUP BY source
+        )
+        SELECT doc_id, size, s AS source_size, target, (size * (whole + (hash <= coalesce(bound, -1))::INT))::BIGINT AS taken
+        FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN x ON x.source IS NOT DISTINCT FROM r.source
+    """,
 }
