@@ -82,9 +82,9 @@ def poisson_weight(seed: int, resample: Column, unit: Column) -> Column:
 
 def poisson_ratio(units: DataFrame, key: str, numerator: str, denominator: str, unit: str, *, seed: int, resamples: int = RESAMPLES, level: float = LEVEL) -> DataFrame:
     """(key, low, high) by Poisson weights. Sums are taken before the shuffle, so a cell with most of the units is one row a resample and task."""
-    rows = units.select(key, numerator, denominator, unit, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    w = poisson_weight(seed, F.col("b"), F.col(unit))
-    sums = rows.groupBy(key, "b").agg(F.try_divide(F.sum(w * F.col(numerator)), F.sum(w * F.col(denominator))).alias("x"))
+    rows = units.select(key, numerator, denominator, unit, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_resample"))
+    w = poisson_weight(seed, F.col("_resample"), F.col(unit))
+    sums = rows.groupBy(key, "_resample").agg(F.try_divide(F.sum(w * F.col(numerator)), F.sum(w * F.col(denominator))).alias("x"))
     low, high = bounds(resamples, level)
     at = F.array_sort(F.collect_list("x"))
     return sums.groupBy(key).agg(F.get(at, F.lit(low)).alias("low"), F.get(at, F.lit(high)).alias("high"))
