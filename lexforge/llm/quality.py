@@ -20,7 +20,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Documents that the scorer is trained on, at most about; features of the scorer.
 SAMPLE, FEATURES = 8000, 1024
@@ -153,15 +153,19 @@ def features(text: str | None) -> np.ndarray:
     return out / size * (len(kinds) / (len(kinds) + HALF)) if size else out
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6, rounds: int = 25) -> np.ndarray:
-    """Weights and bias of a logistic regression on soft labels, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge * max(1, len(x)))
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6, rounds: int = 25, rows: int = 512) -> np.ndarray:
+    """Weights and bias of a logistic regression on soft labels, by Newton's method. x can be of single precision; it is read in blocks of ``rows``."""
+    n, size = x.shape
+    w, penalty = np.zeros(size + 1), np.full(size + 1, ridge * max(1, n))
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), slope)
+        slope, curve = penalty * w, np.diag(penalty)
+        for at in range(0, n, rows):
+            own = np.hstack([x[at : at + rows].astype(np.float64), np.ones((len(x[at : at + rows]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            slope += own.T @ (p - y[at : at + rows])
+            curve += (own * (p * (1 - p) + 1e-9)[:, None]).T @ own
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -204,21 +208,33 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     if not rows:
         return np.empty(0)
     codes = np.array([r[0] for r in rows])
-    x = np.stack([np.frombuffer(r[1], np.float32) for r in rows]).astype(np.float64)
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), FEATURES)
+    del rows
     return fit(x, posterior(np.stack([codes // 4**k % 4 for k in range(len(LABELLERS))], 1), prior, rates))
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """(doc_id, the columns named in ``keep``, text if asked for, score): the probability that a document is good; 0 for a text without words."""
-    own = _texts(docs, id_col, text_col) if not keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
-    names = [c for c in own.columns if c != "text" or with_text]
+def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score): the probability that a document is good; 0 for a text without words."""
+    return _scored(_texts(docs, id_col, text_col), weights, lambda batch: batch.column("text")).select("doc_id", "score")
+
+
+def _scored(rows: DataFrame, weights: np.ndarray, text_of) -> DataFrame:
+    """``rows`` with the score; text_of(batch) gives the texts."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [0.0 if not x or not x.strip() or not len(weights) else float(1 / (1 + np.exp(-np.clip(features(x) @ weights[:-1] + weights[-1], -500, 500)))) for x in batch.column("text").to_pylist()]
+            found = [0.0 if not x or not x.strip() or not len(weights) else float(1 / (1 + np.exp(-np.clip(features(x) @ weights[:-1] + weights[-1], -500, 500)))) for x in text_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.float64())], [*names, "score"])
 
-    return own.mapInArrow(run, ", ".join([*[f"`{c}` {own.schema[c].dataType.simpleString()}" for c in names], "score double"]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def keep_accepted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """``docs`` less the rows that :func:`classify` rejects, with all columns."""
+    weights = train(docs, id_col=id_col, text_col=text_col, sample=sample)
+    rows, at = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), docs.columns.index(text_col)
+    return _scored(rows, weights, lambda batch: batch.column("row").field(at)).where(F.col("score") >= least).select("row.*")
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
