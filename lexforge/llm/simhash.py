@@ -261,7 +261,8 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     alone, so texts are only read again, and shuffled once.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stays, docs[id_col].cast("long").eqNullSafe(F.col("_stays"))).drop("_stays")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, *[c for c in docs.columns if c not in (id_col, text_col)]))
-    return kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"))
+    kept = rows.join(stays, F.col("id").eqNullSafe(F.col("stays"))).drop("stays")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("row")[text_col], F.to_json("row")))
+    return kept.withColumn("rank", rank).where("rank = 1").select("row.*")

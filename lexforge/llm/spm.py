@@ -206,6 +206,9 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     texts = giants.select("row", "text")
     parts = _whole(_cut_rows(texts).repartition(tasks, "row", "part"), model) if of_kind == "bpe" else _scan(texts, model)
     joined = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
+    if of_kind == "unigram":  # a run of unknown characters is one id, across chunks too
+        unknown = load(model).unk_id()
+        joined = joined.withColumn("ids", F.filter("ids", lambda x, i: (x != unknown) | (F.coalesce(F.get("ids", i - 1), F.lit(-1)) != unknown)))
     return small.union(giants.drop("text").join(joined, "row").select("doc_id", *keep, "ids"))
 
 

@@ -1,6 +1,6 @@
 """Removal of passages that an earlier document has, by fixed-block anchors.
 
-Index: every document's non-overlapping blocks of ``window // 2`` words. Probe:
+Index: every document's non-overlapping blocks of half a ``window`` of words. Probe:
 every rolling window of as many words. A passage of ``window`` words contains a
 whole block wherever it starts, so each repeated passage has an anchor: a
 rolling window equal to an indexed block of another document.
@@ -216,7 +216,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     don't repeat each other. A null id is larger than any other. An empty table
     gives an empty result; other columns aren't read.
     """
-    spark, block = docs.sparkSession, window // 2
+    spark, block = docs.sparkSession, (window + 1) // 2  # two blocks cover a window, and a window holds a whole indexed block
     # (id, text) stand for a row: rows equal in both have the same windows
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
