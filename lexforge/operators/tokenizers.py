@@ -20,6 +20,7 @@ from lexforge.functions.lexing import GLYPHS, SPECIALS, chunks, glyphs
 
 Piece = tuple[str, ...]
 UNKNOWN = ("?",)
+_HALF = 32
 #: Chunks that a driver's training loop takes; a larger table is an error that names the way out (a smaller sample).
 MOST_CHUNKS = 5_000_000
 
@@ -138,61 +139,61 @@ def train_bpe(table: DataFrame, size: int, *, min_frequency: int = 2, merge_brac
     pieces: list[Piece] = list(start.pieces) if start else [("[UNK]",), *[(g,) for g in base]]
     ids = {p: i for i, p in enumerate(pieces)}
     merges = list(start.merges) if start else []
-    words: list[list[Piece]] = []
+    words: list[list[int]] = []
     weight: list[int] = []
     for parts, n in rows:
         for run in runs(parts, merge_brackets):
-            if run:
-                words.append(start.segment(run) if start else [(g,) for g in run])
+            if len(run) > 1:
+                words.append([ids[p] for p in (start.segment(run) if start else [(g,) for g in run])])
                 weight.append(n)
-    pairs: Counter = Counter()
-    where: defaultdict = defaultdict(set)
+    pairs: defaultdict[int, int] = defaultdict(int)  # a pair of ids is one integer, whose order is that of the pair
+    where: defaultdict[int, list[int]] = defaultdict(list)
     for k, word in enumerate(words):
-        for pair in zip(word, word[1:]):
-            pairs[pair] += weight[k]
-            where[pair].add(k)
-    order = lambda pair: (ids[pair[0]], ids[pair[1]])
-    waiting = [(-n, order(p), p) for p, n in pairs.items()]
+        n = weight[k]
+        for x, y in zip(word, word[1:]):
+            pairs[x << _HALF | y] += n
+            where[x << _HALF | y].append(k)
+    waiting = [(-n, pair) for pair, n in pairs.items()]
     heapq.heapify(waiting)
     log: list[dict] = []
     while len(pieces) < size and waiting:
-        n, _, pair = heapq.heappop(waiting)
+        n, pair = heapq.heappop(waiting)
         if pairs.get(pair, 0) != -n:
-            continue
+            continue  # its count has changed since
         if -n < max(1, min_frequency):
             break
-        new = pair[0] + pair[1]
-        if new not in ids:
-            ids[new] = len(pieces)
-            pieces.append(new)
-        merges.append(pair)
-        changed, standing = set(), Counter()
-        for k in where.pop(pair):
-            word, at, merged = words[k], 0, []
+        a, b = pair >> _HALF, pair & (1 << _HALF) - 1
+        new = ids.setdefault(pieces[a] + pieces[b], len(pieces))
+        if new == len(pieces):
+            pieces.append(pieces[a] + pieces[b])
+        merges.append((pieces[a], pieces[b]))
+        changed, gained = set(), 0
+        for k in set(where.pop(pair)):
+            word, own, at, merged = words[k], weight[k], 0, []
             while at < len(word):
-                if at + 1 < len(word) and (word[at], word[at + 1]) == pair:
+                if word[at] == a and at + 1 < len(word) and word[at + 1] == b:
+                    for there, left in ((merged[-1] if merged else None, True), (word[at + 2] if at + 2 < len(word) else None, False)):
+                        if there is not None:
+                            old, made = (there << _HALF | a, there << _HALF | new) if left else (b << _HALF | there, new << _HALF | there)
+                            pairs[old] -= own
+                            pairs[made] += own
+                            where[made].append(k)
+                            changed.update((old, made))
                     merged.append(new)
+                    gained += own
                     at += 2
                 else:
                     merged.append(word[at])
                     at += 1
-            for p in zip(word, word[1:]):
-                pairs[p] -= weight[k]
-                changed.add(p)
-            for p in zip(merged, merged[1:]):
-                pairs[p] += weight[k]
-                where[p].add(k)
-                changed.add(p)
-            gained = (len(word) - len(merged)) * weight[k]
-            standing[ids[new]] += gained
-            standing[ids[pair[0]]] -= gained
-            standing[ids[pair[1]]] -= gained
             words[k] = merged
         pairs.pop(pair, None)
         for p in changed:
             if pairs.get(p, 0) > 0:
-                heapq.heappush(waiting, (-pairs[p], order(p), p))
-        log.append({"step": len(merges), "pair": [ids[pair[0]], ids[pair[1]]], "new_id": ids[new], "new_token": "".join(new), "candidate_freq": -n, "standalone": [[i, d] for i, d in sorted(standing.items()) if d]})
+                heapq.heappush(waiting, (-pairs[p], p))
+        standing: Counter = Counter()
+        for i, d in ((new, gained), (a, -gained), (b, -gained)):
+            standing[i] += d
+        log.append({"step": len(merges), "pair": [a, b], "new_id": new, "new_token": "".join(pieces[new]), "candidate_freq": -n, "standalone": [[i, d] for i, d in sorted(standing.items()) if d]})
     return Tokenizer("bpe", pieces, merges=merges, merge_brackets=merge_brackets, log=log)
 
 
