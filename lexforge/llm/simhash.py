@@ -32,9 +32,9 @@ from lexforge.llm.graph import components
 from lexforge.session import written
 
 #: Fingerprints in a part of a shard, and (query, node) visits held at once.
-SHARD, VISITS = 4096, 1 << 21
+SHARD, VISITS = 4096, 1 << 19
 #: Rows of a task that are searched together.
-ROWS = 1 << 18
+ROWS = 1 << 17
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
