@@ -27,7 +27,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of fingerprints of 4-word shingles at 4 or fewer differing bits: doc_id, fingerprint, component_id."""
-    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, width=1, radius=4, blocks=6)
+    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, width=1, radii=(4,), blocks=6, similarity=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -15,7 +15,12 @@ queries, and so a task holds two parts at most. All trees of a task are built
 and searched together, level by level, as integer arrays.
 
 What leaves a shard is a spanning forest of its links (at most one row a
-fingerprint), never its pairs. Exact copies are one fingerprint from the start.
+fingerprint), never its pairs; it is grown by rising radius, so that whatever is
+connected at a smaller distance is connected by links of that distance. Exact
+copies are one fingerprint from the start.
+
+Check: where a similarity is asked for, each of these links is tested exactly,
+on the sets of shingles of the two texts.
 """
 
 from __future__ import annotations
@@ -38,19 +43,24 @@ ROWS = 1 << 17
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def fingerprint(text: str | None, shingle: int = 4, width: int = 1) -> np.ndarray:
-    """``width`` 64-bit words; all zero for a text without words."""
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle of words, repeats included; of the whole sequence, if it is shorter; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, and only ASCII space splits
     if not words:
-        return np.zeros(width, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(joined[i:j], 42) for i, j in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n)
-    out = np.empty(width, np.uint64)
-    for k in range(width):
+    return np.fromiter((hashed(joined[i:j], 42) for i, j in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 4, width: int = 1) -> np.ndarray:
+    """``width`` 64-bit words; all zero for a text without words."""
+    h = _hashes(text, shingle)
+    n, out = len(h), np.zeros(width, np.uint64)
+    for k in range(width if n else 0):
         own = h if k == 0 else _mixed(h, _MIX[(k - 1) % 3] + 2 * k)
         set_bits = np.zeros(64, np.int64)
         for at in range(0, n, 1 << 15):
@@ -67,16 +77,15 @@ def _mixed(h: np.ndarray, factor: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, width: int = 1) -> DataFrame:
-    """(doc_id, f0 ... f{width-1}) for each row, whole texts; a null text has no words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(rows: DataFrame, *, shingle: int = 4, width: int = 1) -> DataFrame:
+    """(doc_id, text) to (doc_id, hash of the text, f0 ... f{width-1}), whole texts; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, shingle, width) for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(width)]], ["doc_id", *[f"f{k}" for k in range(width)]])
+            found = np.array([fingerprint(x, shingle, width) for x in batch.column(2).to_pylist()], np.uint64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(width)]], ["doc_id", "hash", *[f"f{k}" for k in range(width)]])
 
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *[f"f{k} long" for k in range(width)]]))
+    return rows.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, ", ".join(["doc_id long, hash long", *[f"f{k} long" for k in range(width)]]))
 
 
 def _spans(blocks: int) -> list[tuple[int, int]]:
@@ -153,34 +162,37 @@ class Union:
             x[further] = self.up[x[further]]
         return x
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.find(a), self.find(b)
-        while len(a):
-            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
-            a, b = self.find(a), self.find(b)
-            apart = a != b
-            a, b = a[apart], b[apart]
-
-
-def forest_links(prints: np.ndarray, groups: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (member, its set's smallest row) of the links between asking rows and tree rows of the same group."""
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Joins the sets of each pair; returns which pairs did it: a spanning forest of what they connect."""
+        at, used = np.arange(len(a)), []
+        while len(at):
+            x, y = self.find(a[at]), self.find(b[at])
+            apart = x != y
+            at, high, low = at[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+            root, first = np.unique(high, return_index=True)
+            self.up[root] = low[first]
+            used.append(at[first])
+        return np.concatenate(used) if used else np.empty(0, np.int64)
+
+
+def forest_links(prints: np.ndarray, groups: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row): links between asking rows and tree rows of the same group that connect what is within the last radius, smaller radii first."""
     trees, sets = np.flatnonzero(in_tree), Union(len(prints))
-    if not len(trees):
-        return trees, trees
-    with_tree, own = np.unique(groups[trees], return_inverse=True)
-    forest = Forest(prints[trees], own)
-    rows = np.flatnonzero(asks & np.isin(groups, with_tree))
-    for query, node in forest.search(prints[rows], np.searchsorted(with_tree, groups[rows]), radius):
-        a, b = rows[query], trees[node]
-        apart = a != b
-        sets.join(a[apart], b[apart])
-    root = sets.find(np.arange(len(prints)))
-    member = np.flatnonzero(root != np.arange(len(prints)))
-    return member, root[member]
-
-
-def links(prints: DataFrame, *, radius: int, blocks: int, width: int = 1) -> DataFrame:
-    """(a, b): links between rows of distinct fingerprints (columns node, f0, ...) that connect all that are within the radius and share two blocks."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(trees):
+        with_tree, own = np.unique(groups[trees], return_inverse=True)
+        forest = Forest(prints[trees], own)
+        rows = np.flatnonzero(asks & np.isin(groups, with_tree))
+        for radius in radii:
+            for query, node in forest.search(prints[rows], np.searchsorted(with_tree, groups[rows]), radius):
+                a, b = rows[query], trees[node]
+                used = sets.join(a, b)
+                out.append((a[used], b[used]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+
+def links(prints: DataFrame, *, radii: tuple[int, ...], blocks: int, width: int = 1) -> DataFrame:
+    """(a, b): links between rows of distinct fingerprints (columns node, f0, ...) that connect all that are within the last radius and share two blocks, those of smaller radii first."""
     names = [f"f{k}" for k in range(width)]
     keyed = prints.select("node", *names, F.explode(_keys(blocks)).alias("key"))
     large = keyed.groupBy("key").count().where(F.col("count") > SHARD).select(F.col("key").alias("own"), F.ceil(F.col("count") / SHARD).cast("int").alias("parts"))
@@ -198,12 +210,11 @@ def links(prints: DataFrame, *, radius: int, blocks: int, width: int = 1) -> Dat
             key = column("key")
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
             group = np.cumsum(new) - 1
-            sizes = np.bincount(group)
-            keep = sizes[group] > 1
+            keep = np.bincount(group)[group] > 1  # alone, none has a link
             values = np.stack([column(x).view(np.uint64) for x in names], 1)[keep]
-            member, root = forest_links(values, group[keep], (own == i)[keep], (own == j)[keep], radius)
+            a, b = forest_links(values, group[keep], (own == i)[keep], (own == j)[keep], radii)
             ids = node[keep]
-            return pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.array(ids[root])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -224,16 +235,43 @@ def links(prints: DataFrame, *, radius: int, blocks: int, width: int = 1) -> Dat
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 4, radius: int = 44, blocks: int = 10) -> DataFrame:
+def _shingles(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, text) to (node, shingles): the distinct hashes of a text's shingles, as they are for fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(_hashes(x, shingle)).view(np.int64) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return rows.mapInArrow(run, "node long, shingles array<long>")
+
+
+def _checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the links (a, b) whose texts' sets of shingles are similar enough."""
+    pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-found")
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    needed = written(distinct.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("first.id").alias("id"), F.col("first.hash").alias("hash")), "linked-texts")
+    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["id"]) & (F.xxhash64(docs["text"]) == F.col("hash"))).select("node", docs["text"]).dropDuplicates(["node"])
+    sets = written(_shingles(texts, shingle), "linked-shingles")
+    side = lambda c: sets.select(F.col("node").alias(f"{c}_node"), F.col("shingles").alias(f"{c}_set"))
+    both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where(F.try_divide(shared, F.size("a_set") + F.size("b_set") - shared) >= similarity).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 4, radii: tuple[int, ...] = (12, 24, 37, 50), blocks: int = 10, similarity: float | None = 0.8) -> DataFrame:
     """For each row: doc_id, its fingerprint (f0, ...) and component_id, the smallest doc_id reachable over links.
 
-    Two fingerprints link if they differ in at most ``radius`` of ``64 * width``
-    bits. The defaults stand for shingles of five words and a similarity of 0.8:
-    sets that share so much have a cosine of 8/9, for which 38 of 256 bits are
-    expected to differ, 6 more or less. With ``width`` 1 and ``blocks`` of at
-    least ``radius + 2`` every link is found. With wider prints a pair is found
-    if its first 64 bits agree in two blocks: surely up to ``blocks - 2``
-    differing bits there, and with the rates in the README beyond.
+    With no ``similarity``, two fingerprints link if they differ in at most the
+    last of ``radii`` bits; with ``width`` 1 and ``blocks`` of at least two more
+    every link is found.
+
+    With a similarity, texts link if their sets of shingles share that much of
+    their union. Candidates are fingerprints within the last radius whose first
+    64 bits agree in two blocks: for the defaults 38 of 256 bits are expected to
+    differ at a similarity of 0.8, 6 more or less; measured rates are in the
+    README. The links that connect the candidates, nearest first, are checked
+    on the texts.
 
     Texts without words have the fingerprint 0 and link like any other; a null
     text has no words. Repeated rows fall into the same component. A null id
@@ -241,11 +279,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gives an empty result; other columns aren't read.
     """
     names = [f"f{k}" for k in range(width)]
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, width=width), "fingerprints")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = written(fingerprints(rows, shingle=shingle, width=width), "fingerprints")
     node = F.col("f0") if width == 1 else F.xxhash64(*names)
-    distinct = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct-prints")
-    found = components(links(distinct, radius=radius, blocks=blocks, width=width), "a", "b")
-    rooted = distinct.join(found.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node"))
+    of_known = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "hash")))
+    of_any = F.min(F.struct(F.col("doc_id").alias("id"), "hash"))
+    distinct = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least"), F.coalesce(of_known, of_any).alias("first")).withColumn("node", node), "distinct-prints")
+    found = links(distinct, radii=radii, blocks=blocks, width=width)
+    if similarity is not None:
+        found = _checked(found, rows, distinct, shingle, similarity)
+    groups = components(found, "a", "b")
+    rooted = distinct.join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy(F.col("root").alias("own")).agg(F.min("least").alias("component_id"))
     labels = rooted.join(lowest, F.col("root") == F.col("own")).select(*[F.col(x).alias(f"_{x}") for x in names], "component_id")
     labels = written(labels, "labels")

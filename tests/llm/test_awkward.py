@@ -8,7 +8,7 @@ from lexforge.llm.queries import MODEL
 
 OPERATORS = {
     "langid": langid.identify,
-    "simhash": lambda d: simhash.near_duplicates(d, shingle=4, width=1, radius=4, blocks=6),
+    "simhash": lambda d: simhash.near_duplicates(d, shingle=4, width=1, radii=(4,), blocks=6, similarity=None),
     "simhash wide": simhash.near_duplicates,
     "substring": substring.remove_repeats,
     "quality": quality.classify,

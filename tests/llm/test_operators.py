@@ -107,7 +107,7 @@ def test_fingerprint_by_hand(texts):
 
 
 def test_components_equal_brute_force(docs):
-    found = simhash.near_duplicates(docs, shingle=4, width=1, radius=4, blocks=6).toPandas()
+    found = simhash.near_duplicates(docs, shingle=4, width=1, radii=(4,), blocks=6, similarity=None).toPandas()
     prints = found["f0"].to_numpy().view(np.uint64)[:, None]
     want = found["doc_id"].groupby(brute_components(prints, 4)).transform("min")
     assert (want == found["component_id"]).all()
@@ -119,7 +119,7 @@ def test_links_over_parts_of_hot_shards(spark, monkeypatch):
     rng = np.random.default_rng(3)
     prints = np.unique(np.concatenate([np.uint64(0x0123456789ABCDEF) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (900, 3)).astype(np.uint64), axis=1), rng.integers(0, 1 << 63, 300).astype(np.uint64)]))
     df = spark.createDataFrame([(int(x), int(x)) for x in prints.view(np.int64)], "node long, f0 long")
-    edges = simhash.links(df, radius=4, blocks=6).collect()
+    edges = simhash.links(df, radii=(2, 4), blocks=6).collect()
     at = {int(x): i for i, x in enumerate(prints.view(np.int64))}
     sets = simhash.Union(len(prints))
     if edges:
