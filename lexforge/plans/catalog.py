@@ -215,7 +215,7 @@ def glyph_cooccurrence(spark, sf_dir):
 
 
 @query(
-    f"""WITH v AS (SELECT lang, piece, count(*) AS n FROM ({_WORDS}) WHERE length(piece) <= 12 GROUP BY ALL), k AS (SELECT DISTINCT lang, piece FROM v WHERE n >= 2),
+    f"""WITH v AS (SELECT lang, piece, count(*) AS n FROM ({_WORDS}) GROUP BY ALL), k AS (SELECT DISTINCT lang, piece FROM v),
     m AS (SELECT * FROM k WHERE length(piece) >= 2),
     b AS (SELECT m.lang, m.piece, bool_or(x.piece IS NOT NULL AND y.piece IS NOT NULL) AS bin FROM m, unnest(range(1, length(m.piece))) AS t(i) LEFT JOIN k x ON x.lang = m.lang AND x.piece = left(m.piece, i) LEFT JOIN k y ON y.lang = m.lang AND y.piece = substr(m.piece, i + 1) GROUP BY ALL),
     p AS (SELECT m.lang, m.piece, bool_or(x.piece IS NOT NULL) AS any_in, bool_and(x.piece IS NOT NULL) AS every FROM m, unnest(range(2, length(m.piece))) AS t(l), unnest(range(1, length(m.piece) - l + 2)) AS u(s) LEFT JOIN k x ON x.lang = m.lang AND x.piece = substr(m.piece, s, l) WHERE length(m.piece) >= 3 GROUP BY ALL)
@@ -224,7 +224,7 @@ def glyph_cooccurrence(spark, sf_dir):
     FROM b LEFT JOIN p USING (lang, piece) GROUP BY lang"""
 )
 def closure(spark, sf_dir):
-    counts = words(spark, sf_dir).where("length(piece) <= 12").groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    counts = words(spark, sf_dir).select("lang", "piece").distinct()
     v = counts.select("lang", F.filter(F.split("piece", ""), lambda x: x != "").alias("piece"))
     return rounded(vocabulary.closure(v, ["lang"]).drop("n_bracket_open"), "c_bin", "c_orph", "c_full")
 
@@ -466,13 +466,13 @@ def lattice_entropy(spark, sf_dir):
 @query()
 def bootstrap_ratio(spark, sf_dir):
     units = table(spark, sf_dir, "documents").select("lang", "doc_id", F.length("text").alias("g"), F.regexp_count("text", F.lit(ARM_B)).alias("t"))
-    return bootstrap.exact_ratio(units, "lang", "g", "t", "doc_id", resamples=200)
+    return bootstrap.exact_ratio(units, "lang", "g", "t", "doc_id")
 
 
 @query()
 def bootstrap_poisson(spark, sf_dir):
     units = table(spark, sf_dir, "documents").select("lang", "doc_id", F.length("text").alias("g"), F.regexp_count("text", F.lit(ARM_B)).alias("t"))
-    return bootstrap.poisson_ratio(units, "lang", "g", "t", "doc_id", seed=7, resamples=200)
+    return bootstrap.poisson_ratio(units, "lang", "g", "t", "doc_id", seed=7)
 
 
 @query()
