@@ -357,7 +357,7 @@ def grid_cells(spark, sf_dir):
     return registry.grid(spark).unionByName(registry.conditional(spark)).select("algo", "v", "corpus", "boundary", "tier")
 
 
-@query("SELECT * FROM (VALUES ('subsample_redraw', 12), ('size_sweep', 4), ('size_matched', 8), ('seed_cap', 1), ('prune_schedule', 2), ('merge_exhaustion', 1), ('large_v_anchor', 2), ('sensitivity_anchor', 2), ('mpl_ladder', 5), ('seed_ladder', 5), ('subiter_ladder', 3), ('shrink_ladder', 4), ('minfreq_ladder', 4), ('interaction_subiter_shrink', 12), ('interaction_mpl_v', 12), ('interaction_mpl_typology', 12), ('interaction_bpe_ref', 3)) AS t(kind, n)")
+@query("SELECT kind, n::BIGINT AS n FROM (VALUES ('subsample_redraw', 12), ('size_sweep', 4), ('size_matched', 8), ('seed_cap', 1), ('prune_schedule', 2), ('merge_exhaustion', 1), ('large_v_anchor', 2), ('sensitivity_anchor', 2), ('mpl_ladder', 5), ('seed_ladder', 5), ('subiter_ladder', 3), ('shrink_ladder', 4), ('minfreq_ladder', 4), ('interaction_subiter_shrink', 12), ('interaction_mpl_v', 12), ('interaction_mpl_typology', 12), ('interaction_bpe_ref', 3)) AS t(kind, n)")
 def extras_kinds(spark, sf_dir):
     return registry.extras(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
