@@ -16,7 +16,8 @@ Hashes travel packed: a row holds what one task has for one slot of the hash
 space, and the answer for a document is one bit for each of its hashes there.
 Answers travel packed as well, one row from a slot to each slot of the document
 keys, where they become one row a document. The slots grow in number with the
-input, so what a task holds doesn't.
+input, so what a task holds doesn't; beyond ``FAN`` of them rows go to groups of
+slots first and are dealt out there, as rows for single slots would be short.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from lexforge.session import release, written
 
 #: Characters of input for each slot, at most about; windows gathered before they are dealt out.
 SLOT_CHARS, HELD = 16 << 20, 1 << 20
+#: Slots that one step deals out to, at most.
+FAN = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -82,18 +85,17 @@ def _slots(hashes: np.ndarray, slots: int) -> np.ndarray:
 
 
 _PACKED = "slot int, row_keys binary, ids binary, counts binary, hashes binary"
-_ANSWERS = "target int, slot int, row_keys binary, counts binary, bits binary"
+_ANSWERS = "target int, row_keys binary, slots binary, counts binary, bits binary"
 _ANSWER = "own long, {0}_slots array<int>, {0}_bits array<binary>"
 
 
-def _dealt(keys: list, ids: list, arrays: list[np.ndarray], slots: int, pack) -> pa.RecordBatch:
+def _dealt(keys, ids, arrays: list[np.ndarray], slot_of, dtype: str) -> pa.RecordBatch:
     """One row for each slot that a hash of the given documents falls into; in a row, documents in order, and their hashes by position."""
     sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
     hashes, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), sizes)
-    at = np.concatenate([np.arange(n) for n in sizes])
-    slot = _slots(hashes, slots)
+    slot = slot_of(hashes)
     order = np.argsort(slot, kind="stable")
-    slot, owner, values = slot[order], owner[order], pack(hashes, at)[order]
+    slot, owner, values = slot[order], owner[order], hashes[order].astype(dtype)
     starts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
     keys, ids = np.array(keys, np.int64), np.array(ids, np.int64)
     rows: list[tuple] = []
@@ -105,55 +107,109 @@ def _dealt(keys: list, ids: list, arrays: list[np.ndarray], slots: int, pack) ->
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], ["slot", "row_keys", "ids", "counts", "hashes"])
 
 
-def _gathered(batches, hashes_of, slots: int, pack) -> Iterator[pa.RecordBatch]:
-    """hashes_of(row) gives a document's hashes; rows begin with (row_key, id)."""
+def _gathered(documents: Iterator[tuple], slot_of, dtype: str) -> Iterator[pa.RecordBatch]:
+    """From (row_key, id, hashes) of documents."""
     keys, ids, arrays, held = [], [], [], 0
+    for key, own, found in documents:
+        if len(found):
+            keys.append(key)
+            ids.append(np.iinfo(np.int64).max if own is None else own)
+            arrays.append(found)
+            held += len(found)
+        if held >= HELD:
+            yield _dealt(keys, ids, arrays, slot_of, dtype)
+            keys, ids, arrays, held = [], [], [], 0
+    if held:
+        yield _dealt(keys, ids, arrays, slot_of, dtype)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(row_key, id, hashes) of packed rows."""
     for batch in batches:
-        columns = [batch.column(i) for i in range(batch.num_columns)]
         for i in range(batch.num_rows):
-            row = [c[i].as_py() for c in columns]
-            if len(found := hashes_of(row)):
-                keys.append(row[0])
-                ids.append(np.iinfo(np.int64).max if row[1] is None else row[1])
-                arrays.append(found)
-                held += len(found)
-            if held >= HELD:
-                yield _dealt(keys, ids, arrays, slots, pack)
-                keys, ids, arrays, held = [], [], [], 0
-    if held:
-        yield _dealt(keys, ids, arrays, slots, pack)
+            keys, ids, counts, hashes = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("row_keys", np.int64), ("ids", np.int64), ("counts", np.uint32), ("hashes", np.uint64)))
+            yield from zip(keys.tolist(), ids.tolist(), np.split(hashes, np.cumsum(counts.astype(np.int64))[:-1]))
+
+
+def packed(rows: DataFrame, hashes_of, slots: int, dtype: str) -> DataFrame:
+    """The hashes of all documents by slot. hashes_of(row) gives a document's; rows begin with (row_key, id)."""
+    per = -(-slots // FAN)
+    fine, coarse = (lambda h: _slots(h, slots)), (lambda h: _slots(h, slots) // np.uint32(per))
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            for i in range(batch.num_rows):
+                row = [c[i].as_py() for c in columns]
+                yield row[0], row[1], hashes_of(row)
+
+    if per == 1:
+        return rows.mapInArrow(lambda b: _gathered(documents(b), fine, dtype), _PACKED)
+    grouped = rows.mapInArrow(lambda b: _gathered(documents(b), coarse, "<u8"), _PACKED).repartition("slot")
+    return grouped.mapInArrow(lambda b: _gathered(_unpacked(b), fine, dtype), _PACKED)
+
+
+def _joined(table, name: str, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
+
+
+def _by_target(keys: np.ndarray, slot: np.ndarray, counts: np.ndarray, bits: list[bytes], target: np.ndarray) -> list[pa.Array]:
+    """Packed answers, one row for each target."""
+    rows: list[tuple] = []
+    order = np.argsort(target, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(target[order])) + 1) if len(order) else []:
+        rows.append((int(target[own[0]]), keys[own].tobytes(), slot[own].astype(np.int32).tobytes(), counts[own].astype(np.uint32).tobytes(), b"".join(bits[k] for k in own.tolist())))
+    return [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, [pa.int32(), *[pa.binary()] * 4])]
+
+
+_ANSWER_NAMES = ["target", "row_keys", "slots", "counts", "bits"]
+
 
+def _target(keys: np.ndarray, slots: int, per: int = 1) -> np.ndarray:
+    return (keys.view(np.uint64) % np.uint64(slots) // np.uint64(per)).astype(np.int32)
 
-def _answers(table: pa.Table, dtype: str, slots: int, decide) -> pa.Table:
+
+def _answers(table: pa.Table, dtype: str, slots: int, per: int, decide) -> pa.Table:
     """For each document of a slot with a chosen hash: a bit for each of its hashes there. decide(values, ids, owners) gives the bits of all."""
-    join = lambda name, t: np.frombuffer(b"".join(table.column(name).to_pylist()), t)
-    keys, ids, counts, values = join("row_keys", np.int64), join("ids", np.int64), join("counts", np.uint32).astype(np.int64), join("hashes", dtype)
+    keys, ids, counts, values = _joined(table, "row_keys", np.int64), _joined(table, "ids", np.int64), _joined(table, "counts", np.uint32).astype(np.int64), _joined(table, "hashes", dtype)
     owner = np.repeat(np.arange(len(keys)), counts)
     chosen = decide(values, ids, owner)
     ends = np.cumsum(counts)
     which = np.flatnonzero(np.bincount(owner[chosen], minlength=len(keys)))
-    target = (keys[which].view(np.uint64) % np.uint64(slots)).astype(np.int32)
-    which = which[np.argsort(target, kind="stable")]
-    target = np.sort(target, kind="stable")
-    rows: list[tuple] = []
-    for own in np.split(np.arange(len(which)), np.flatnonzero(np.diff(target)) + 1) if len(which) else []:
-        at = which[own]
-        bits = b"".join(np.packbits(chosen[ends[k] - counts[k] : ends[k]]).tobytes() for k in at)
-        rows.append((int(target[own[0]]), table.column("slot")[0].as_py(), keys[at].tobytes(), counts[at].astype(np.uint32).tobytes(), bits))
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, [pa.int32(), pa.int32(), *[pa.binary()] * 3])], ["target", "slot", "row_keys", "counts", "bits"])
+    bits = [np.packbits(chosen[ends[k] - counts[k] : ends[k]]).tobytes() for k in which.tolist()]
+    slot = np.full(len(which), table.column("slot")[0].as_py())
+    return pa.table(_by_target(keys[which], slot, counts[which], bits, _target(keys[which], slots, per)), _ANSWER_NAMES)
+
+
+def _cut_bits(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(keys, slots, counts, bits) of packed answers, by document."""
+    keys, slot, counts = _joined(table, "row_keys", np.int64), _joined(table, "slots", np.int32), _joined(table, "counts", np.uint32).astype(np.int64)
+    data, ends = b"".join(table.column("bits").to_pylist()), np.cumsum(-(-counts // 8)).tolist()
+    return keys, slot, counts, [data[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def answered(packed_rows: DataFrame, dtype: str, slots: int, decide) -> DataFrame:
+    """Packed answers by slot of the document keys."""
+    per = -(-slots // FAN)
+    answers = packed_rows.groupBy("slot").applyInArrow(lambda t: _answers(t, dtype, slots, per, decide), _ANSWERS)
+    if per == 1:
+        return answers
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, slot, counts, bits = _cut_bits(batch)
+            yield pa.RecordBatch.from_arrays(_by_target(keys, slot, counts, bits, _target(keys, slots)), _ANSWER_NAMES)
+
+    return answers.repartition("target").mapInArrow(deal, _ANSWERS)
 
 
 def _by_document(table: pa.Table, kind: str) -> pa.Table:
     """One row a document of its slots and their bits, from the packed answers to one slot of the keys."""
-    join = lambda name, t: np.frombuffer(b"".join(table.column(name).to_pylist()), t)
-    keys, sizes = join("row_keys", np.int64), -(-join("counts", np.uint32).astype(np.int64) // 8)
-    slot = np.repeat(table.column("slot").to_numpy(), [len(x) // 8 for x in table.column("row_keys").to_pylist()])
-    data, ends = b"".join(table.column("bits").to_pylist()), np.cumsum(sizes)
+    keys, slot, _, bits = _cut_bits(table)
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
     offsets = pa.array(np.append(starts, len(keys)), pa.int32())
-    bits = pa.array([data[ends[k] - sizes[k] : ends[k]] for k in order.tolist()], pa.binary())
-    return pa.table([pa.array(keys[order][starts]), pa.ListArray.from_arrays(offsets, pa.array(slot[order].astype(np.int32))), pa.ListArray.from_arrays(offsets, bits)], ["own", f"{kind}_slots", f"{kind}_bits"])
+    return pa.table([pa.array(keys[order][starts]), pa.ListArray.from_arrays(offsets, pa.array(slot[order])), pa.ListArray.from_arrays(offsets, pa.array([bits[k] for k in order.tolist()], pa.binary()))], ["own", f"{kind}_slots", f"{kind}_bits"])
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,29 +278,26 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SLOT_CHARS))
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = lambda h, at: (h.astype(np.uint32) & ~np.uint32(1)) | (at % block == 0)
-        return _gathered(batches, lambda row: rolling(words_of(row[2]), block), slots, lambda h, at: pack(h, at).astype(np.uint32))
-
-    def told(packed: DataFrame, kind: str, dtype: str, decide) -> DataFrame:
+    def told(packed_rows: DataFrame, kind: str, dtype: str, decide) -> DataFrame:
         """The answers by document, written; then the shuffles before them can go."""
-        answers = packed.groupBy("slot").applyInArrow(lambda t: _answers(t, dtype, slots, decide), _ANSWERS)
+        answers = answered(packed_rows, dtype, slots, decide)
         found = written(answers.groupBy("target").applyInArrow(lambda t: _by_document(t, kind), _ANSWER.format(kind)), kind)
         release(spark)
         return found
 
-    anchors = told(rows.mapInArrow(probes, _PACKED), "anchor", "<u4", _anchored)
+    def probes(row: list) -> np.ndarray:
+        """The lowest bit says whether a window is an indexed block; slots don't look at it."""
+        hashes = rolling(words_of(row[2]), block)
+        return (hashes & ~np.uint64(1)) | (np.arange(len(hashes)) % block == 0).astype(np.uint64)
 
-    def extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def windows(row: list) -> np.ndarray:
-            hashes = rolling(words_of(row[2]), block)
-            starts = _candidates(hashes, slots, list(zip(row[3], row[4])), block, window)
-            return longer(hashes, block, window)[starts]
+    anchors = told(packed(rows, probes, slots, "<u4"), "anchor", "<u4", _anchored)
 
-        return _gathered(batches, windows, slots, lambda h, at: h)
+    def extensions(row: list) -> np.ndarray:
+        hashes = rolling(words_of(row[2]), block)
+        return longer(hashes, block, window)[_candidates(hashes, slots, list(zip(row[3], row[4])), block, window)]
 
     hit = rows.join(anchors, F.col("row_key") == F.col("own")).select("row_key", "doc_id", "text", "anchor_slots", "anchor_bits")
-    repeats = told(hit.mapInArrow(extensions, _PACKED), "repeat", "<u8", _earlier)
+    repeats = told(packed(hit, extensions, slots, "<u8"), "repeat", "<u8", _earlier)
     # of the anchors, only those of rows that lose words matter now
     known = repeats.join(anchors.withColumnRenamed("own", "its"), F.col("own") == F.col("its")).drop("its")
 

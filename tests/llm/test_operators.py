@@ -173,6 +173,14 @@ def test_repeats_equal_brute_force(docs, texts):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found.collect()} == brute_repeats(texts, 50)
 
 
+def test_repeats_dealt_out_in_two_steps(docs, texts, monkeypatch):
+    monkeypatch.setattr(substring, "FAN", 3)
+    monkeypatch.setattr(substring, "SLOT_CHARS", 20_000)
+    monkeypatch.setattr(substring, "HELD", 500)
+    found = substring.remove_repeats(docs)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found.collect()} == brute_repeats(texts, 50)
+
+
 @pytest.mark.parametrize("window", [7, 8])
 def test_repeats_with_few_words(spark, window):
     r = random.Random(window)
