@@ -260,7 +260,7 @@ def _checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: in
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 4, radii: tuple[int, ...] = (12, 24, 37, 50), blocks: int = 10, similarity: float | None = 0.8) -> DataFrame:
-    """For each row: doc_id, its fingerprint (f0, ...) and component_id, the smallest doc_id reachable over links.
+    """For each row: doc_id, hash (of its text), its fingerprint (f0, ...) and component_id, the smallest doc_id reachable over links.
 
     With no ``similarity``, two fingerprints link if they differ in at most the
     last of ``radii`` bits; with ``width`` 1 and ``blocks`` of at least two more
@@ -294,19 +294,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = rooted.join(lowest, F.col("root") == F.col("own")).select(*[F.col(x).alias(f"_{x}") for x in names], "component_id")
     labels = written(labels, "labels")
     same = [F.col(x) == F.col(f"_{x}") for x in names]
-    return prints.join(labels, same).select("doc_id", *names, "component_id")
+    return prints.join(labels, same).select("doc_id", "hash", *names, "component_id")
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the near-duplicates that :func:`near_duplicates` finds: of each component the row with the smallest id stays, with all its columns.
 
-    Of rows that share that id, one stays, as it is with rows of a null id that
-    are all alike: the first by text. What goes is decided on (id, component)
-    alone, so texts are only read again, and shuffled once.
+    Of repeated rows (of one id and one text) the first by the other columns
+    stays, and rows of one id with different texts are documents of their own. A
+    null id stays only in a component without any other. What goes is decided on
+    (id, hash of the text, component) alone, so texts are only read again, and
+    shuffled once.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"))
-    kept = rows.join(stays, F.col("id").eqNullSafe(F.col("stays"))).drop("stays")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("row")[text_col], F.to_json("row")))
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"), F.col("hash").alias("its")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("hash"))
+    kept = rows.join(stays, F.col("id").eqNullSafe(F.col("stays")) & (F.col("hash") == F.col("its"))).drop("stays", "its")
+    rank = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.to_json("row")))
     return kept.withColumn("rank", rank).where("rank = 1").select("row.*")

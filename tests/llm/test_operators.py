@@ -152,6 +152,15 @@ def test_near_copies_meet_and_others_stay(spark):
     assert len({x["component_id"] for x in found}) == 12
 
 
+def test_one_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    rows = [(5, text, "a"), (5, other, "b"), (2, text + " end", "c"), (7, other, "d"), (None, text, "e"), (None, "alone here", "f"), (9, "q", "g"), (9, "q", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rank string")
+    kept = sorted((str(r["doc_id"]), r["text"], r["rank"]) for r in simhash.keep_representatives(df).collect())
+    assert kept == sorted([("5", other, "b"), ("2", text + " end", "c"), ("None", "alone here", "f"), ("9", "q", "g")])
+
+
 # 4
 
 
