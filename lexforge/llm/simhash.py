@@ -38,6 +38,8 @@ from lexforge.session import written
 
 #: Fingerprints in a part of a shard, and (query, node) visits held at once.
 SHARD, VISITS = 4096, 1 << 19
+#: Rows that are broadcast at most.
+SENT = 200_000
 #: Rows of a task that are searched together.
 ROWS = 1 << 17
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -236,14 +238,14 @@ def links(prints: DataFrame, *, radii: tuple[int, ...], blocks: int, width: int
 
 
 def _shingles(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, text) to (node, shingles): the distinct hashes of a text's shingles, as they are for fingerprints."""
+    """(node, text) to (node, shingles): the distinct hashes of a text's shingles, 32 bits of those for fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(_hashes(x, shingle)).view(np.int64) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+            found = [np.unique((_hashes(x, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
 
-    return rows.mapInArrow(run, "node long, shingles array<long>")
+    return rows.mapInArrow(run, "node long, shingles array<int>")
 
 
 def _checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -251,8 +253,10 @@ def _checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: in
     pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-found")
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
     needed = written(distinct.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("first.id").alias("id"), F.col("first.hash").alias("hash")), "linked-texts")
-    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["id"]) & (F.xxhash64(docs["text"]) == F.col("hash"))).select("node", docs["text"]).dropDuplicates(["node"])
-    sets = written(_shingles(texts, shingle), "linked-shingles")
+    # 24 bytes a row: with up to SENT of them texts needn't be shuffled, beyond that both sides are
+    needed = F.broadcast(needed) if needed.count() <= SENT else needed
+    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["id"]) & (F.xxhash64(docs["text"]) == F.col("hash"))).select("node", docs["text"])
+    sets = written(_shingles(texts, shingle).dropDuplicates(["node"]), "linked-shingles")
     side = lambda c: sets.select(F.col("node").alias(f"{c}_node"), F.col("shingles").alias(f"{c}_set"))
     both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
