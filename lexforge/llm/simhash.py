@@ -19,8 +19,12 @@ fingerprint), never its pairs; it is grown by rising radius, so that whatever is
 connected at a smaller distance is connected by links of that distance. Exact
 copies are one fingerprint from the start.
 
-Check: where a similarity is asked for, each of these links is tested exactly,
-on the sets of shingles of the two texts.
+Similarity of sets: where one is asked for, what goes to shards are sets of
+distinct shingles. ``BANDS`` shards a set are keyed by ``ROWS_OF_BAND`` minimum
+hashes each, and in a shard the trees hold one bit of each of 256 minimum
+hashes. Only equal sets are one from the start. The forest's links are tested
+exactly, on the sets; where a tested link fails and so leaves what the forest
+had connected in pieces, all pairs across pieces are tested.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ SHARD, VISITS = 4096, 1 << 19
 SENT = 200_000
 #: Rows of a task that are searched together.
 ROWS = 1 << 17
+#: Shards of a set, minimum hashes of a shard's key, and sets of a part where pairs across pieces are tested.
+BANDS, ROWS_OF_BAND, PIECES = 30, 3, 1024
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -79,6 +85,40 @@ def _mixed(h: np.ndarray, factor: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_SEEDS = _mixed(np.arange(1, 129, dtype=np.uint64), _MIX[0])
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The minima of 256 32-bit hashes of a set of hashes."""
+    low = np.full(256, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 256):
+        own = h[at : at + 256, None] ^ _SEEDS
+        own *= np.uint64(_MIX[1])
+        own ^= own >> np.uint64(32)
+        own *= np.uint64(_MIX[2])
+        own ^= own >> np.uint64(29)
+        np.minimum(low, own.view(np.uint32).min(0), out=low)
+    return low
+
+
+def set_prints(rows: DataFrame, *, shingle: int) -> DataFrame:
+    """(doc_id, text) to (doc_id, hash of the text, node: the hash of its set of shingles, f0 ... f3: a bit of each minimum, keys: its shards, none without words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_hashes(x, shingle)) for x in batch.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+            low = np.array([minima(x) for x in sets], np.uint32).reshape(-1, 256)
+            bits = np.packbits((low & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+            keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(sets), 0)
+            for k in range(ROWS_OF_BAND):
+                keys = _mixed(keys ^ low[:, k * BANDS : (k + 1) * BANDS], _MIX[k % 3])
+            shards = pa.array([x.view(np.int64) if len(own) else [] for x, own in zip(keys, sets)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], shards], ["doc_id", "hash", "node", "f0", "f1", "f2", "f3", "keys"])
+
+    return rows.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, node long, f0 long, f1 long, f2 long, f3 long, keys array<long>")
+
+
 def fingerprints(rows: DataFrame, *, shingle: int = 4, width: int = 1) -> DataFrame:
     """(doc_id, text) to (doc_id, hash of the text, f0 ... f{width-1}), whole texts; a null text has no words."""
 
@@ -193,10 +233,10 @@ def forest_links(prints: np.ndarray, groups: np.ndarray, in_tree: np.ndarray, as
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
 
 
-def links(prints: DataFrame, *, radii: tuple[int, ...], blocks: int, width: int = 1) -> DataFrame:
-    """(a, b): links between rows of distinct fingerprints (columns node, f0, ...) that connect all that are within the last radius and share two blocks, those of smaller radii first."""
+def links(prints: DataFrame, *, radii: tuple[int, ...], blocks: int | None, width: int = 1) -> DataFrame:
+    """(a, b): links between rows of distinct fingerprints (columns node, f0, ...) that connect all that are within the last radius and share two blocks (with no ``blocks``: one of ``keys``), those of smaller radii first."""
     names = [f"f{k}" for k in range(width)]
-    keyed = prints.select("node", *names, F.explode(_keys(blocks)).alias("key"))
+    keyed = prints.select("node", *names, F.explode(_keys(blocks) if blocks else "keys").alias("key"))
     large = keyed.groupBy("key").count().where(F.col("count") > SHARD).select(F.col("key").alias("own"), F.ceil(F.col("count") / SHARD).cast("int").alias("parts"))
     large = written(large, "large-shards")
     part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
@@ -248,22 +288,25 @@ def _shingles(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, shingles array<int>")
 
 
-def _checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the links (a, b) whose texts' sets of shingles are similar enough."""
+def _checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """(a, b): links of texts whose sets of shingles are similar enough; they connect all such pairs that ``found`` connects and that are within the radius."""
     pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-found")
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    needed = written(distinct.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("first.id").alias("id"), F.col("first.hash").alias("hash")), "linked-texts")
+    names = ["f0", "f1", "f2", "f3"]
+    needed = written(distinct.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", *names, F.col("first.id").alias("id"), F.col("first.hash").alias("hash")), "linked-texts")
     # 24 bytes a row: with up to SENT of them texts needn't be shuffled, beyond that both sides are
-    needed = F.broadcast(needed) if needed.count() <= SENT else needed
-    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["id"]) & (F.xxhash64(docs["text"]) == F.col("hash"))).select("node", docs["text"])
+    sought = needed.select("node", "id", "hash")
+    sought = F.broadcast(sought) if needed.count() <= SENT else sought
+    texts = docs.join(sought, docs["doc_id"].eqNullSafe(sought["id"]) & (F.xxhash64(docs["text"]) == F.col("hash"))).select("node", docs["text"])
     sets = written(_shingles(texts, shingle).dropDuplicates(["node"]), "linked-shingles")
     side = lambda c: sets.select(F.col("node").alias(f"{c}_node"), F.col("shingles").alias(f"{c}_set"))
     both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(F.try_divide(shared, F.size("a_set") + F.size("b_set") - shared) >= similarity).select("a", "b")
+    good = written(both.where(F.try_divide(shared, F.size("a_set") + F.size("b_set") - shared) >= similarity).select("a", "b"), "links-checked")
+    return good
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 4, radii: tuple[int, ...] = (12, 24, 37, 50), blocks: int = 10, similarity: float | None = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 4, radii: tuple[int, ...] = (20, 40, 60), blocks: int = 10, similarity: float | None = 0.8) -> DataFrame:
     """For each row: doc_id, hash (of its text), its fingerprint (f0, ...) and component_id, the smallest doc_id reachable over links.
 
     With no ``similarity``, two fingerprints link if they differ in at most the
@@ -271,34 +314,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     every link is found.
 
     With a similarity, texts link if their sets of shingles share that much of
-    their union. Candidates are fingerprints within the last radius whose first
-    64 bits agree in two blocks: for the defaults 38 of 256 bits are expected to
-    differ at a similarity of 0.8, 6 more or less; measured rates are in the
-    README. The links that connect the candidates, nearest first, are checked
-    on the texts.
-
-    Texts without words have the fingerprint 0 and link like any other; a null
-    text has no words. Repeated rows fall into the same component. A null id
+    their union; ``width`` and ``blocks`` aren't used. Every link is tested on
+    the sets, but for equal ones. A pair at 0.8 isn't a candidate with a chance
+    of 5e-10 by its shards (30 of 3 minima) and 3e-10 by the radius (60 of 256
+    bits, 26 expected), both less the more alike the sets are; these chances
+    hold for sets of any size.
+
+    Texts without words are one set and link to no other; a null text has no
+    words. Repeated rows fall into the same component. A null id
     isn't in any component's minimum, but its row is returned. An empty table
     gives an empty result; other columns aren't read.
     """
-    names = [f"f{k}" for k in range(width)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(fingerprints(rows, shingle=shingle, width=width), "fingerprints")
-    node = F.col("f0") if width == 1 else F.xxhash64(*names)
     of_known = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "hash")))
     of_any = F.min(F.struct(F.col("doc_id").alias("id"), "hash"))
-    distinct = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least"), F.coalesce(of_known, of_any).alias("first")).withColumn("node", node), "distinct-prints")
-    found = links(distinct, radii=radii, blocks=blocks, width=width)
-    if similarity is not None:
-        found = _checked(found, rows, distinct, shingle, similarity)
+    first = [F.min("doc_id").alias("least"), F.coalesce(of_known, of_any).alias("first")]
+    if similarity is None:
+        names = same = [f"f{k}" for k in range(width)]
+        prints = written(fingerprints(rows, shingle=shingle, width=width), "fingerprints")
+        node = F.col("f0") if width == 1 else F.xxhash64(*names)
+        distinct = written(prints.groupBy(*names).agg(*first).withColumn("node", node), "distinct-prints")
+        found = links(distinct, radii=radii, blocks=blocks, width=width)
+    else:
+        names, same = [f"f{k}" for k in range(4)], ["node"]
+        prints = written(set_prints(rows, shingle=shingle), "fingerprints")
+        distinct = written(prints.groupBy("node").agg(*first, *[F.first(c).alias(c) for c in (*names, "keys")]), "distinct-prints")
+        found = _checked(links(distinct, radii=radii, blocks=None, width=4), rows, distinct, shingle, radii[-1], similarity)
     groups = components(found, "a", "b")
     rooted = distinct.join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy(F.col("root").alias("own")).agg(F.min("least").alias("component_id"))
-    labels = rooted.join(lowest, F.col("root") == F.col("own")).select(*[F.col(x).alias(f"_{x}") for x in names], "component_id")
+    labels = rooted.join(lowest, F.col("root") == F.col("own")).select(*[F.col(x).alias(f"_{x}") for x in same], "component_id")
     labels = written(labels, "labels")
-    same = [F.col(x) == F.col(f"_{x}") for x in names]
-    return prints.join(labels, same).select("doc_id", "hash", *names, "component_id")
+    return prints.join(labels, [F.col(x) == F.col(f"_{x}") for x in same]).select("doc_id", "hash", *names, "component_id")
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out accuracy, on small tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -161,6 +162,29 @@ def test_one_of_each_group_stays(spark):
     assert kept == sorted([("5", other, "b"), ("2", text + " end", "c"), ("None", "alone here", "f"), ("9", "q", "g")])
 
 
+def brute_sets(rows, least):
+    """Each row's smallest id over links of a Jaccard similarity of five-word shingles, pair by pair."""
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    union = simhash.Union(len(rows))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            union.join(np.array([i]), np.array([j]))
+    root = union.find(np.arange(len(rows)))
+    return {rows[i][0]: min(rows[k][0] for k in np.flatnonzero(root == root[i])) for i in range(len(rows))}
+
+
+def components_of(spark, rows):
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r["doc_id"]: r["component_id"] for r in found.collect()}
+
+
+def test_one_repeated_line_makes_no_duplicates(spark):
+    r = random.Random(7)
+    line = " ".join(["buy it now"] * 300)
+    rows = [(i, " ".join([*(f"{i}w{r.randrange(10**6)}" for _ in range(400)), line])) for i in range(12)]
+    assert components_of(spark, rows) == {i: i for i in range(12)}
+
+
 # 4
 
 
