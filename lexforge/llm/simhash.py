@@ -303,7 +303,51 @@ def _checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: in
     both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     good = written(both.where(F.try_divide(shared, F.size("a_set") + F.size("b_set") - shared) >= similarity).select("a", "b"), "links-checked")
-    return good
+    if good.count() == pairs.count():
+        return good
+    root = lambda of, name: components(of, "a", "b").toDF(f"{name}_node", name)
+    known, pieces = root(pairs, "known"), root(good, "piece")
+    placed = needed.select("node", *names).join(known, F.col("node") == F.col("known_node"), "left").join(pieces, F.col("node") == F.col("piece_node"), "left")
+    placed = written(placed.select("node", *names, F.coalesce("known", "node").alias("known"), F.coalesce("piece", "node").alias("piece")), "pieces")
+    parts = placed.groupBy("known").agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select(F.col("known").alias("own"), F.ceil(F.col("n") / PIECES).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    open_sets = placed.join(parts, F.col("known") == F.col("own")).join(sets.withColumnRenamed("node", "its"), F.col("node") == F.col("its"))
+    cut = open_sets.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cut.select("known", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "piece", "shingles", *names)
+
+    def run(cell: pa.Table) -> pa.Table:
+        node, piece, own = (cell.column(c).to_numpy() for c in ("node", "piece", "part"))
+        prints = np.stack([cell.column(c).to_numpy().view(np.uint64) for c in names], 1)
+        a, b = across(prints, piece, own, [x.values.to_numpy() for x in cell.column("shingles")], radius, similarity)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    return good.union(cells.groupBy("known", "i", "j").applyInArrow(run, "a long, b long"))
+
+
+def across(prints: np.ndarray, pieces: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row): links that connect all pairs of rows, of different parts if there are two, that are within the radius and whose sets, ascending, are similar enough; rows of a piece are connected already."""
+    first, second = np.flatnonzero(parts == parts.min()), np.flatnonzero(parts == parts.max())
+    sizes = np.array([len(x) for x in sets])
+    of = np.unique(pieces, return_inverse=True)[1].reshape(-1)
+    sets_of = Union(int(of.max()) + 1)
+    out: list[tuple[int, int]] = []
+    for at in range(0, len(first), 128):
+        rows = first[at : at + 128]
+        away = np.bitwise_count(prints[rows][:, None] ^ prints[second][None]).sum(2, dtype=np.int64)
+        near = (away <= radius) & (np.minimum(sizes[rows][:, None], sizes[second]) >= similarity * np.maximum(sizes[rows][:, None], sizes[second]) - 1e-9)
+        near &= sets_of.find(of[rows])[:, None] != sets_of.find(of[second])
+        x, y = np.nonzero(near)
+        for k in np.argsort(away[x, y], kind="stable").tolist():
+            a, b = int(rows[x[k]]), int(second[y[k]])
+            u, v = (int(sets_of.find(of[c : c + 1])[0]) for c in (a, b))
+            if u == v:
+                continue
+            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if shared / (sizes[a] + sizes[b] - shared) >= similarity:
+                sets_of.up[max(u, v)] = min(u, v)
+                out.append((a, b))
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 4, radii: tuple[int, ...] = (20, 40, 60), blocks: int = 10, similarity: float | None = 0.8) -> DataFrame:

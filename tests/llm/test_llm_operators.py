@@ -185,6 +185,23 @@ def test_one_repeated_line_makes_no_duplicates(spark):
     assert components_of(spark, rows) == {i: i for i in range(12)}
 
 
+def test_versions_equal_brute_force(spark, monkeypatch):
+    """Versions of a text, around the similarity: links between those whose nearest others fail aren't lost, in parts or not."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(200):
+        own = list(base)
+        for k in r.sample(range(300), r.randint(4, 8)):
+            own[k] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    want = brute_sets(rows, 0.8)
+    assert 20 < len(set(want.values())) < 200
+    assert components_of(spark, rows) == want
+    monkeypatch.setattr(simhash, "PIECES", 30)
+    assert components_of(spark, rows) == want
+
+
 # 4
 
 
