@@ -202,6 +202,20 @@ def test_versions_equal_brute_force(spark, monkeypatch):
     assert components_of(spark, rows) == want
 
 
+def test_pairs_at_the_similarity_are_found(spark):
+    """Isolated pairs from 0.8 on, of 8 to 500 words, and a text with and without a line repeated often."""
+    r = random.Random(13)
+    rows = []
+    for i in range(300):
+        words = [f"{i}w{r.randrange(10**6)}" for _ in range(r.choice([8, 30, 300, 500]))]
+        cut = max(1, int(0.2 * (len(words) - 4)))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: len(words) - (cut if r.random() < 0.8 else cut + 2)]))]
+    line = " ".join(["one line of six words here"] * 60)
+    words = " ".join(f"x{k}" for k in range(300))
+    rows += [(600, words), (601, f"{words} {line}")]
+    assert components_of(spark, rows) == brute_sets(rows, 0.8)
+
+
 # 4
 
 
