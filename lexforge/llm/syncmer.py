@@ -10,8 +10,8 @@ is never longer than ``K - S`` k-mers.
 The fingerprint is a bottom sketch of the anchors' hashes, ``SKETCH`` of them,
 smallest first, 8 hex digits each. It covers the whole text and has a bounded
 length. Texts with at most ``SKETCH`` anchors have all of them in it. A text
-with fewer words than ``K`` is one anchor; one without words has the empty
-fingerprint.
+with words but without a syncmer is one anchor, the hash of its whole sequence
+of words; one without words has the empty fingerprint.
 """
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             picked = F.filter(F.transform(p, lambda x, i: F.when((i + inner <= F.size(h) - s + 1) & (F.least(x, F.get(p, i + inner - 1)) <= middle(i)), F.shiftrightunsigned(F.xxhash64(*[F.get(p, i + j) for j in range(0, inner, s)]), 32))), lambda x: x.isNotNull())
             return F.sort_array(F.array_distinct(picked))
 
-        return _let(pairs, from_pairs)
+        whole = F.array(F.shiftrightunsigned(F.aggregate(h, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)), 32))
+        return _let(_let(pairs, from_pairs), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
-    return _let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, F.array(F.shiftrightunsigned(F.aggregate(h, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)), 32))).otherwise(from_words(h)))
+    return _let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(from_words(h)))
 
 
 def _let(value: Column, use) -> Column:

@@ -367,6 +367,15 @@ def test_syncmers_equal_brute_force(spark, docs, texts):
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
 
 
+def test_short_texts_have_an_anchor(spark):
+    """Texts of 6 to 8 words, many without a syncmer: none is like another, nor like none."""
+    rows = [(i, " ".join(f"{i}w{k}" for k in range(6 + i % 3))) for i in range(60)] + [(60, "")]
+    found = {r["doc_id"]: r for r in syncmer.edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i]["fingerprint"] for i in range(60)) and found[60]["fingerprint"] == ""
+    assert len({found[i]["fingerprint"] for i in range(60)}) == 60
+    assert all(found[i]["near_next"] == 0 for i in found)
+
+
 def test_next_row_with_ties_and_nulls(spark, monkeypatch):
     monkeypatch.setattr(syncmer, "BUCKET", 3)
     ids = [5, 1, None, 9, 1, 7, 100000, 3, -4]
