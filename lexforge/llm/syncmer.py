@@ -7,11 +7,12 @@ stands around them, so an edit elsewhere leaves it: the syncmers are anchors
 that two versions of a text share wherever they agree. A gap between two anchors
 is never longer than ``K - S`` k-mers.
 
-The fingerprint is a bottom sketch of the anchors' hashes, ``SKETCH`` of them,
-smallest first, 8 hex digits each. It covers the whole text and has a bounded
-length. Texts with at most ``SKETCH`` anchors have all of them in it. A text
-with words but without a syncmer is one anchor, the hash of its whole sequence
-of words; one without words has the empty fingerprint.
+Texts are compared by all of their anchors, which are kept with their positions.
+The fingerprint is only a digest, a bottom sketch of the anchors' hashes:
+``SKETCH`` of them, smallest first, 8 hex digits each. A text with words but
+without a syncmer (with fewer than ``K`` words always, with a few more at times)
+is one anchor, the hash of its whole sequence of words; one without words has
+none, and the empty fingerprint.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ DIGITS = 8
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """The distinct 32-bit hashes of a text's closed syncmers, smallest first; s is 2, and k even and at least 4. Null gives null."""
+def placed(text: Column, k: int = K, s: int = S) -> Column:
+    """A text's anchors in order: array of (hash, at), the 32-bit hash of a closed syncmer and the number of its first word, from 0; s is 2, and k even and at least 4. Null gives null."""
     if s != 2 or k < 4 or k % 2:
         raise ValueError("s must be 2, and k even and at least 4")
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     inner = k - s + 1
+    kind = "array<struct<hash:bigint,at:int>>"
+
+    def anchor(h: Column, at: Column) -> Column:
+        return F.struct(F.shiftrightunsigned(h, 32).alias("hash"), at.cast("int").alias("at"))
 
     def from_words(h: Column) -> Column:
         pairs = F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b))
@@ -40,13 +45,17 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             def middle(i: Column) -> Column:
                 return F.least(*[F.get(p, i + j) for j in range(1, inner - 1)])
 
-            picked = F.filter(F.transform(p, lambda x, i: F.when((i + inner <= F.size(h) - s + 1) & (F.least(x, F.get(p, i + inner - 1)) <= middle(i)), F.shiftrightunsigned(F.xxhash64(*[F.get(p, i + j) for j in range(0, inner, s)]), 32))), lambda x: x.isNotNull())
-            return F.sort_array(F.array_distinct(picked))
+            return F.filter(F.transform(p, lambda x, i: F.when((i + inner <= F.size(h) - s + 1) & (F.least(x, F.get(p, i + inner - 1)) <= middle(i)), anchor(F.xxhash64(*[F.get(p, i + j) for j in range(0, inner, s)]), i))), lambda x: x.isNotNull())
 
-        whole = F.array(F.shiftrightunsigned(F.aggregate(h, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)), 32))
+        whole = F.array(anchor(F.aggregate(h, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)), F.lit(0)))
         return _let(_let(pairs, from_pairs), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
-    return _let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(from_words(h)))
+    return _let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast(kind)).otherwise(from_words(h)))
+
+
+def hashes_of(found: Column) -> Column:
+    """The distinct hashes of placed anchors, smallest first, each less 2^31, as 4 bytes."""
+    return F.sort_array(F.array_distinct(F.transform(found, lambda x: (x["hash"] - (1 << 31)).cast("int"))))
 
 
 def _let(value: Column, use) -> Column:
@@ -54,29 +63,19 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def sketch(text: Column) -> Column:
-    """The smallest ``SKETCH`` hashes of a text's anchors; null counts as empty."""
-    return F.slice(anchors(F.coalesce(text, F.lit(""))), 1, SKETCH)
-
-
-def as_text(found: Column) -> Column:
-    """A sketch as its fingerprint: 8 lower-case hex digits for each hash."""
-    return F.array_join(F.transform(found, lambda x: F.lower(F.lpad(F.hex(x), DIGITS, "0"))), "")
+def as_text(hashes: Column) -> Column:
+    """The fingerprint: 8 lower-case hex digits for each of the smallest ``SKETCH`` hashes."""
+    return F.array_join(F.transform(F.slice(hashes, 1, SKETCH), lambda x: F.lower(F.lpad(F.hex(x.cast("long") + (1 << 31)), DIGITS, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """From two sketches, the share of anchors that the texts have in common, 0 to 1: twice the shared over the sum of both.
+    """From the hashes of all anchors of two texts, the share that they have in common, 0 to 1: twice the shared over the sum of both.
 
-    Estimated from the smallest hashes of the union, and exact if that has no
-    more than ``SKETCH``. Two texts without anchors are alike, 1; one without is
-    unlike any that has some, 0.
+    Two texts without words are alike, 1; one without is unlike any that has
+    some, 0.
     """
-
-    def of(low: Column) -> Column:
-        shared = F.size(F.array_intersect(F.array_intersect(low, a), b)) / F.size(low)
-        return F.when(F.size(low) == 0, F.lit(1.0)).otherwise(2 * shared / (1 + shared))
-
-    return _let(F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH), of)
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
 #: Cells that the range of ids is counted in, and rows of a bucket, about.
@@ -114,9 +113,10 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, sketch, fingerprint) for each row; a null text is empty. Equal texts have equal fingerprints. Other columns aren't read."""
+    """(doc_id, text, anchors, hashes, fingerprint) for each row: all anchors with their positions, and their distinct hashes; a null text is empty. Equal texts have equal fingerprints. Other columns aren't read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("sketch", sketch(F.col("text"))).withColumn("fingerprint", as_text(F.col("sketch")))
+    found = rows.withColumn("anchors", placed(F.col("text"))).withColumn("hashes", hashes_of(F.col("anchors")))
+    return found.withColumn("fingerprint", as_text(F.col("hashes")))
 
 
 def edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,11 +128,11 @@ def edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     is empty; null ids come last; the row after the last is the first, so a
     single row is its own next. An empty table gives an empty result.
     """
-    prints = fingerprint(docs, id_col=id_col, text_col=text_col).select("doc_id", "text", "sketch")
+    prints = fingerprint(docs, id_col=id_col, text_col=text_col).select("doc_id", "text", "hashes")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = with_next(prints, "doc_id", ["text", "sketch"]).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    # the edited sketch is made once a row, and all columns from it
-    told = rows.select("doc_id", "n_chars", "edited", _let(sketch(F.col("edited")), lambda e: F.struct(as_text(F.col("sketch")).alias("fingerprint"), as_text(e).alias("edited_fingerprint"), likeness(F.col("sketch"), e).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))).alias("told"))
+    rows = with_next(prints, "doc_id", ["text", "hashes"]).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "hashes", "next_hashes")
+    # the edited text's hashes are made once a row, and all columns from them
+    told = rows.select("doc_id", "n_chars", "edited", _let(hashes_of(placed(F.col("edited"))), lambda e: F.struct(as_text(F.col("hashes")).alias("fingerprint"), as_text(e).alias("edited_fingerprint"), likeness(F.col("hashes"), e).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))).alias("told"))
     return told.select("doc_id", "n_chars", "edited", "told.*")

@@ -376,6 +376,19 @@ def test_short_texts_have_an_anchor(spark):
     assert all(found[i]["near_next"] == 0 for i in found)
 
 
+def test_long_texts_keep_all_anchors(spark):
+    """A passage of a hundred words that two texts of 5,000 share: likeness is exactly that of all anchors, which have positions."""
+    shared = [f"s{k}" for k in range(100)]
+    rows = [(i, " ".join([*(f"{i}a{k}" for k in range(2500)), *shared, *(f"{i}b{k}" for k in range(2500))])) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    anchors = {r["doc_id"]: [(x["hash"], x["at"]) for x in r["anchors"]] for r in syncmer.fingerprint(df).collect()}
+    near = {r["doc_id"]: r["near_next"] for r in syncmer.edits(df).collect()}
+    for i in range(4):
+        a, b = ({h for h, _ in anchors[k]} for k in (i, (i + 1) % 4))
+        assert len(a) > 1000 and near[i] == 2 * len(a & b) / (len(a) + len(b)) > 0
+        assert [at for h, at in anchors[i] if h in b] == [at for h, at in anchors[(i + 1) % 4] if h in a]
+
+
 def test_next_row_with_ties_and_nulls(spark, monkeypatch):
     monkeypatch.setattr(syncmer, "BUCKET", 3)
     ids = [5, 1, None, 9, 1, 7, 100000, 3, -4]
