@@ -360,7 +360,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     With a similarity, texts link if their sets of shingles share that much of
     their union; ``width`` and ``blocks`` aren't used. Every link is tested on
     the sets, but for equal ones. A pair at 0.8 isn't a candidate with a chance
-    of 5e-10 by its shards (30 of 3 minima) and 3e-10 by the radius (60 of 256
+    of 5e-10 by its shards (30 of 3 minima) and 1.2e-10 by the radius (60 of 256
     bits, 26 expected), both less the more alike the sets are; these chances
     hold for sets of any size.
 
