@@ -2,16 +2,16 @@
 
 Some vectors serve as pivots. A vector is represented by its nearest pivots in
 order, and posted, with its place in that order, in the inverted file of each
-of them. A query reads only the files of its own nearest pivots and ranks the
-vectors by the footrule: how far apart the two orders have the pivots,
-with the length of the list for one that is missing. The best are reranked by
-the exact measure.
+of the first ``POST``. A query reads only the files of its own nearest ``READ``
+pivots. What it reads adds up to the footrule of the two orders: how far apart
+they have the pivots, with ``POST`` as the place of one that a vector's list
+lacks. The best are reranked by the exact measure.
 
 Vectors come in blocks and queries in blocks, and each pair of blocks is a task
 of its own with its own inverted files, so none grows with the input, and
-copies of one vector are spread over all blocks. The share that is reranked is
-of what a block holds (at least ``FLOOR`` vectors, so small tables are searched
-exactly), and ties at its edge are all in.
+copies of one vector are spread over all blocks. Of each block ``LEAST`` vectors
+for each neighbour asked for and ``SHARE`` of what it holds are reranked (ties at
+the edge are all in), at every size; a share of 1 is the exact search.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lexforge.session import written
 
-#: Pivots, pivots in a vector's list, and the share of a block that is reranked.
-PIVOTS, PREFIX, SHARE = 256, 128, 0.35
-#: The fewest vectors of a block that are reranked for a query, if it has as many.
-FLOOR = 1024
+#: Pivots, files that a vector is posted in, files that a query reads; vectors reranked for each neighbour asked for, and besides the share of a block.
+PIVOTS, POST, READ, LEAST, SHARE = 256, 128, 64, 8, 0.16
 #: Vectors of a block, and queries of a block.
 BLOCK, QUERIES = 8192, 16384
 
@@ -44,24 +42,25 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 
 class Index:
-    """The inverted files of one block of distinct vectors: for a pivot, each vector's place of it (``length``, if it isn't in the vector's list)."""
+    """The inverted files of one block of distinct vectors: for each pivot the vectors that are posted there, and the pivot's place in their lists."""
 
-    def __init__(self, x: np.ndarray, pivots: np.ndarray, length: int):
-        self.length = min(length, len(pivots), 255)
-        order = prefixes(x, pivots, self.length)
-        self.files = np.full((len(pivots), len(x)), self.length, np.uint8)
-        self.files[order.T, np.arange(len(x))] = np.arange(self.length, dtype=np.uint8)[:, None]
+    def __init__(self, x: np.ndarray, pivots: np.ndarray, post: int, read: int):
+        self.n, self.post = len(x), min(post, len(pivots))
+        self.read = min(read, self.post)
+        order = prefixes(x, pivots, self.post).ravel()
+        by_pivot = np.argsort(order, kind="stable")
+        self.start = np.searchsorted(order[by_pivot], np.arange(len(pivots) + 1))
+        self.vector, self.place = (by_pivot // self.post).astype(np.int32), (by_pivot % self.post).astype(np.int16)
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
-        """The distance of a query's list to each vector's, less a constant, from the files of the query's pivots.
-
-        A pivot of the vector's list only adds how far its place v is from
-        ``length``. Over a whole list that is the same for all vectors, so these
-        terms are known from the places that the query's own files have: with q
-        for the query's place, what varies is |v - q| + v = 2 max(v, q) - q.
-        """
-        files, place = self.files[order[: self.length]], np.arange(self.length, dtype=np.uint8)[:, None]
-        return np.maximum(files, place, out=files).sum(0, dtype=np.uint16).astype(np.int32)
+        """For each vector the footrule over the pivots that a query reads, less what a vector in none of their files has (so 0 for such a one)."""
+        files = order[: self.read]
+        low, high = self.start[files], self.start[files + 1]
+        many = high - low
+        at = np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many)
+        own = np.repeat(np.arange(self.read), many)
+        apart = np.abs(self.place[at] - own) - (self.post - own)
+        return np.bincount(self.vector[at], apart, self.n)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -69,22 +68,22 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.cumsum(x * q, axis=1)[:, -1]
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, *, k: int, length: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, *, k: int, post: int, read: int, least: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of the best ``k`` found for each query in one block. Copies of a vector are indexed once."""
     _, first, copy_of = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
     x = x[first]
     by_copy = np.lexsort((ids, copy_of))  # the ids of each vector's copies, smallest first
     start = np.searchsorted(copy_of[by_copy], np.arange(len(x) + 1))
-    index, orders = Index(x, pivots, length), prefixes(q, pivots, length)
-    many = min(len(x), max(8 * k, FLOOR, int(np.ceil(share * len(x)))))
+    index, orders = Index(x, pivots, post, read), prefixes(q, pivots, read)
+    many = min(len(x), least * k + int(np.ceil(share * len(x))))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(q)):
         away = index.footrule(orders[i])
         near = np.flatnonzero(away <= np.partition(away, many - 1)[many - 1])
         if len(near) > k + 1:  # one more than k, for the query's own row; the margin is for rounding
             score = x[near] @ q[i]
-            least = np.partition(score, len(near) - k - 1)[len(near) - k - 1]
-            near = near[score >= least - 1e-9 * max(1.0, abs(least))]
+            edge = np.partition(score, len(near) - k - 1)[len(near) - k - 1]
+            near = near[score >= edge - 1e-9 * max(1.0, abs(edge))]
         score = products(q[i], x[near])
         own = [by_copy[start[v] : start[v] + min(start[v + 1] - start[v], k + 1)] for v in near.tolist()]
         score, own = np.repeat(score, [len(o) for o in own]), ids[np.concatenate(own)]
@@ -94,7 +93,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
-def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, pivots: int = PIVOTS, length: int = PREFIX, share: float = SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, pivots: int = PIVOTS, post: int = POST, read: int = READ, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every`` the ``k`` found nearest among all others, by inner product.
 
     Nearest first, ties to the smaller id; ``rank`` counts from 1. Vectors that
@@ -102,18 +101,19 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     nor do null ids. Vectors of different lengths don't meet. Rows that repeat
     an id are candidates each, but not for a query of that id; a repeated query
     id is asked once, with the smallest of its vectors. The pivots are
-    the ``pivots`` distinct vectors with the smallest hashes, for each length;
-    nothing else of the index is fitted. With fewer rows than ``k`` all
-    are returned, and none for an empty table.
+    the ``pivots`` distinct vectors whose smallest ids have the smallest MD5, for
+    each length; nothing else of the index is fitted. With fewer rows than ``k``
+    all are returned, and none for an empty table; other columns aren't read.
+    Very long vectors are vectors of another length.
     """
     rows = written(clean(vectors, id_col, vector_col).where(F.col("vec_id").isNotNull()).withColumn("dim", F.size("v")), "vectors")
     # distinct vectors, by hash, so that copies don't use up the pivots
-    marked = rows.withColumn("mark", F.xxhash64("v"))
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy("mark"))
-    marks = marked.select("dim", "mark").distinct().withColumn("at", rank).where(F.col("at") <= pivots).select(F.col("dim").alias("d"), F.col("mark").alias("m"))
-    first = marked.join(F.broadcast(marks), (F.col("dim") == F.col("d")) & (F.col("mark") == F.col("m"))).groupBy("dim", "mark").agg(F.min("v").alias("v"))
+    marked = rows.groupBy("dim", F.xxhash64("v").alias("mark")).agg(F.min("vec_id").alias("own"))
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.md5(F.col("own").cast("string")), "own"))
+    marks = marked.withColumn("at", rank).where(F.col("at") <= pivots).select(F.col("dim").alias("d"), F.col("mark").alias("m"), "own", "at")
+    first = rows.join(F.broadcast(marks), (F.col("dim") == F.col("d")) & (F.col("vec_id") == F.col("own")) & (F.xxhash64("v") == F.col("m"))).groupBy("dim", "at").agg(F.min("v").alias("v"))
     chosen: dict[int, list] = {}
-    for dim, v in first.orderBy("dim", "mark").select("dim", "v").collect():
+    for dim, v in first.orderBy("dim", "at").select("dim", "v").collect():
         chosen.setdefault(dim, []).append(v)
     means = {dim: np.array(v) / np.linalg.norm(np.array(v), axis=1, keepdims=True) for dim, v in chosen.items()}
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
@@ -133,7 +133,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         if asks.all() or not asks.any():
             found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         else:
-            found = search_block(ids[~asks], x[~asks], ids[asks], x[asks], means[dim], k=k, length=length, share=share)
+            found = search_block(ids[~asks], x[~asks], ids[asks], x[asks], means[dim], k=k, post=post, read=read, least=least, share=share)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     best = data.union(asked).groupBy("dim", "b", "qb").applyInArrow(run, "query_id long, vec_id long, score double")

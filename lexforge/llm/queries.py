@@ -113,13 +113,28 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN k USING (doc_id)
     """,
-    "op8_permutation_index": """
+    # the index itself, as one block holds it: pivots, posts, footrule over the files read, and the rerank
+    "op8_permutation_index": f"""
         WITH v AS (
             SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), g AS (
+            SELECT v, min(vec_id) AS id, count(*) OVER () AS n FROM v GROUP BY v
+        ), p AS (
+            SELECT v, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS k FROM g QUALIFY k <= {permindex.PIVOTS}
+        ), l AS (
+            SELECT g.id, k, row_number() OVER (PARTITION BY g.id ORDER BY list_inner_product(g.v, p.v) / sqrt(list_inner_product(g.v, g.v)) / sqrt(list_inner_product(p.v, p.v)) DESC, k) - 1 AS place
+            FROM g, p QUALIFY place < {permindex.POST}
+        ), q AS (
+            SELECT vec_id AS query_id, v.v, id FROM v JOIN g ON g.v = v.v WHERE vec_id % 20 = 0
+        ), a AS (
+            SELECT query_id, c.id, sum(abs(c.place - f.place) - (least({permindex.POST}, (SELECT count(*) FROM p)) - f.place)) AS away
+            FROM q JOIN l f ON f.id = q.id AND f.place < {permindex.READ} JOIN l c ON c.k = f.k GROUP BY ALL
+        ), r AS (
+            SELECT q.query_id, q.v AS q, g.v AS c FROM q CROSS JOIN g LEFT JOIN a ON a.query_id = q.query_id AND a.id = g.id
+            QUALIFY rank() OVER (PARTITION BY q.query_id ORDER BY coalesce(away, 0)) <= {permindex.LEAST} * 20 + ceil({permindex.SHARE} * g.n)
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS score
-            FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+            SELECT query_id, vec_id, list_sum(list_transform(list_zip(q, c), lambda z: z[1] * z[2])) AS score FROM r JOIN v ON v.v = r.c WHERE vec_id <> query_id
         )
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
         QUALIFY rank <= 20
