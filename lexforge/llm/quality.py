@@ -1,33 +1,34 @@
 """A quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good, bad or abstain on each document.
-Expectation-maximisation over the counts of vote patterns estimates how often
-each labeller votes what on good and on bad documents, without any true label,
-and from that the posterior of each pattern. The posteriors label a sample, on
-which a linear scorer over hashed features of the text is trained; the scorer
-decides.
+Overlapping heuristic labellers vote good, bad or abstain on each document; each
+kind of junk is seen by three or more of them, so that their agreement tells how
+far each can be trusted. Expectation-maximisation over the counts of vote
+patterns estimates how often each labeller votes what on good and on bad
+documents, without any true label, and from that the posterior of each pattern:
+one labeller's bad can be outvoted, and several doubts without a bad can be
+enough. The posteriors label a sample, on which a linear scorer over hashed
+features of the text, words among them, is trained; the scorer decides.
 
 The pattern counts cover all documents and have at most ``4 ** len(LABELLERS)``
-rows. Only the scorer's sample is bounded: about ``SAMPLE`` documents, those
+rows (75 on the test tables, as most votes go together). Only the scorer's sample is bounded: about ``SAMPLE`` documents, those
 with the smallest hashes of their ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Documents that the scorer is trained on, at most about; features of the scorer.
 SAMPLE, FEATURES = 8000, 1024
 #: Votes; a labeller is silent on texts too short for it, which says nothing, unlike an abstention.
 GOOD, BAD, ABSTAIN, SILENT = 1, 0, 2, 3
-#: The most that a labeller is assumed to call good documents bad.
-FALSE_ALARM = 0.0005
+#: The weight of words among the features; the rest has 1.
+WORDS = 0.5
 #: Characters at which the evidence of a text counts half; that of shorter ones counts less.
 HALF = 48
 
@@ -36,13 +37,19 @@ _CLASS = np.full(256, 11, np.uint8)
 for _k, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t", b"\n\r", b".", b",;:", b"!?", b"'\"()[]-", b"#$%&*|~^_+=<>@/\\`{}", range(128, 256))):
     _CLASS[list(_bytes)] = _k
 CLASSES = 12
+#: Signs that rarely end a word.
+_TAILS = frozenset(b"!?$%&*#|~^@<>+=")
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def measures(text: str | None) -> dict[str, float]:
     """What the labellers look at; all 0 for a text without words."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
-    found = dict.fromkeys(("words", "signs", "upper", "shouts", "repeats", "lone", "letters", "length", "sentence"), 0.0)
+    found = dict.fromkeys(("words", "signs", "upper", "shouts", "repeats", "lone", "letters", "length", "sentence", "top", "run", "tails", "echo", "pairs"), 0.0)
     if not words:
         return found
     kinds = _CLASS[np.frombuffer(data, np.uint8)]
@@ -53,16 +60,27 @@ def measures(text: str | None) -> dict[str, float]:
     spoken = (kinds <= 2) | (kinds == 10)
     lone = int((np.add.reduceat(spoken.astype(np.int32), starts) == 0).sum()) if len(starts) else 0
     total = len(words)
+    own = _hashed(words)
+    same = own[1:] == own[:-1]
+    echo = np.zeros(total, bool)
+    for k in (1, 2, 3):
+        echo[k:] |= own[k:] == own[:-k]
+    parted = np.flatnonzero(np.concatenate(([True], ~same, [True])))
     return {
         "words": float(total),
         "signs": n[9] / total,
         "upper": n[1] / max(1, n[0] + n[1]),
         "shouts": n[7] / total,
-        "repeats": sum(map(eq, words, islice(words, 1, None))) / total,
+        "repeats": int(same.sum()) / total,
         "lone": lone / total,
         "letters": (n[0] + n[1] + n[10]) / max(1, solid),
         "length": solid / total,
         "sentence": total / max(1, n[5] + n[7]),
+        "top": int(np.unique(own, return_counts=True)[1].max()) / total,
+        "run": float(np.diff(parted).max()),
+        "tails": sum(x[-1] in _TAILS and len(x) > 1 for x in words) / total,
+        "echo": int(echo.sum()) / total,
+        "pairs": 1 - len(np.unique(own[1:] * np.uint64(3) + own[:-1])) / max(1, total - 1),
     }
 
 
@@ -81,6 +99,11 @@ LABELLERS = (
     ("letters", lambda m: SILENT if m["words"] < 3 else BAD if m["letters"] < 0.6 else GOOD if m["letters"] > 0.85 else ABSTAIN),
     ("length", lambda m: SILENT if m["words"] < 5 else BAD if not 2.5 <= m["length"] <= 14 else GOOD if 3 <= m["length"] <= 9 else ABSTAIN),
     ("sentence", _by("sentence", 80, 40, 20)),
+    ("top", _by("top", 0.35, 0.15, 10)),
+    ("run", _by("run", 4, 2, 5)),
+    ("tails", _by("tails", 0.2, 0.05, 3)),
+    ("echo", _by("echo", 0.35, 0.15, 5)),
+    ("pairs", _by("pairs", 0.6, 0.4, 10)),
 )
 
 
@@ -94,7 +117,7 @@ def pattern(cast: tuple[int, ...]) -> int:
     return sum(v * 4**k for k, v in enumerate(cast))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray]:
     """The share of good documents, and for each labeller the rates (class, vote), by expectation-maximisation.
 
     patterns: (n, labellers) of votes. The start doubts
@@ -110,9 +133,6 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
             for v in range(3):
                 rates[k, :, v] = weight[:, patterns[:, k] == v].sum(1) + 0.1
         rates /= rates.sum(2, keepdims=True)
-        over = np.maximum(0, rates[:, GOOD, BAD] - FALSE_ALARM)  # else the heuristics' blind spots would pull what only one of them sees to the good class
-        rates[:, GOOD, BAD] -= over
-        rates[:, GOOD, GOOD] += over
         new = posterior(patterns, prior, rates)
         if np.abs(new - good).max(initial=0) < 1e-9:
             break
@@ -138,7 +158,7 @@ _BUCKET = ((np.arange(CLASSES**3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashed features: triples of byte classes, and pairs of neighbouring words by whether they are equal. Their length is below 1, and shorter for short texts."""
+    """Hashed features: triples of byte classes, pairs of neighbouring words by whether they are equal, and words by their hashes. Their length is below 1, and shorter for short texts."""
     data = (text or "").encode("utf-8", "surrogatepass")
     kinds = _CLASS[np.frombuffer(data, np.uint8)].astype(np.int64)
     out = np.zeros(FEATURES)
@@ -146,8 +166,11 @@ def features(text: str | None) -> np.ndarray:
         triples = np.bincount(kinds[:-2] * (CLASSES * CLASSES) + kinds[1:-1] * CLASSES + kinds[2:], minlength=CLASSES**3)
         out += np.sqrt(np.bincount(_BUCKET, triples / (len(kinds) - 2), FEATURES))
     words = data.split()
+    if words:
+        own = _hashed(words)
+        out += WORDS * np.sqrt(np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=FEATURES) / len(words))
     if len(words) > 1:
-        same = sum(map(eq, words, islice(words, 1, None))) / (len(words) - 1)
+        same = int((own[1:] == own[:-1]).sum()) / (len(words) - 1)
         out[[1, 2]] += 2 * np.sqrt((same, 1 - same))
     size = np.sqrt((out**2).sum())
     return out / size * (len(kinds) / (len(kinds) + HALF)) if size else out
@@ -181,9 +204,8 @@ def label_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.bincount([pattern(votes(x)) for x in batch.column(0).to_pylist()], minlength=1)
-            at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at].astype(np.int64))], ["pattern", "n"])
+            found, n = np.unique(np.array([pattern(votes(x)) for x in batch.column(0).to_pylist()], np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["pattern", "n"])
 
     counted = _texts(docs, id_col, text_col).select("text").mapInArrow(run, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     codes, counts = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.float64)
@@ -231,7 +253,7 @@ def _scored(rows: DataFrame, weights: np.ndarray, text_of) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """``docs`` less the rows that :func:`classify` rejects, with all columns."""
+    """``docs`` less the rows that :func:`classify` rejects, with all columns and in no set order; what it says of nulls, long texts and repeats holds here. The text has to be a string."""
     weights = train(docs, id_col=id_col, text_col=text_col, sample=sample)
     rows, at = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), docs.columns.index(text_col)
     return _scored(rows, weights, lambda batch: batch.column("row").field(at)).where(F.col("score") >= least).select("row.*")
@@ -240,7 +262,8 @@ def keep_accepted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """For each row: doc_id, score and accepted (score at least ``least``).
 
-    A null text, or one without words, has score 0. Repeated rows score alike.
+    A null text, or one without words, has score 0. Repeated rows score alike;
+    a score of exactly ``least`` is accepted. Texts of any length are read whole.
     An empty table gives an empty result; other columns aren't read.
     """
     weights = train(docs, id_col=id_col, text_col=text_col, sample=sample)
