@@ -7,14 +7,15 @@ delimiter, a digit, or a run of anything else. A chunk is then cut into glyphs.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-#: A chunk; the last alternative keeps a stray bracket or percent sign.
+from lexforge.functions.arrays import starts
+
+# Fixed value: a chunk; the last alternative keeps a stray bracket or percent sign.
 CHUNK = r"(\[[^\]]*\]|%\d{2}|[.()/\\]|\d|[^\[%.()/\\\d]+|.)"
-#: The same for DuckDB, whose dialect has no other form of it.
-CHUNK_SQL = CHUNK
 
 # The glyph alphabet, by role.
 ORGANIC = "B C N O P S F Cl Br I".split()
@@ -31,7 +32,6 @@ SPECIALS = ["[UNK]", "[BOS]", "[EOS]", "[SEP]", "[PAD]", "[CLS]", "[MASK]"]
 GLYPHS = frozenset([*ORGANIC, *AROMATIC, *ELEMENTS, *BONDS, *STRUCTURE, *CHARGES, *CHIRALITY])
 
 _IN_BRACKET = "|".join(sorted((x.replace("\\", "\\\\").replace("$", "\\$").replace("(", "\\(").replace(")", "\\)").replace("[", "\\[").replace("]", "\\]").replace(".", "\\.").replace("+", "\\+").replace("*", "\\*") for x in GLYPHS), key=lambda x: (-len(x), x)))
-_OUTSIDE = r"Cl|Br|[BCNOPSFIbcnops]|[-=#$:/\\().%0-9+*@\[\]HKUVWY]"
 #: A whole string of glyphs: brackets hold any glyph, outside only single characters and Cl, Br.
 _GLYPH_OUT = r"Cl|Br|[" + "".join(sorted(("\\" + g if g in "-[]\\^" else g) for g in GLYPHS if len(g) == 1 and g not in "[]")) + "]"
 CONFORMANT = rf"^(?:\[(?:{_IN_BRACKET})*\]|{_GLYPH_OUT})*$"
@@ -43,8 +43,8 @@ def glyph_fingerprint() -> str:
 
 
 def normalize(text: Column) -> Column:
-    """Double charges as a number, and no outer white space."""
-    return F.trim(F.replace(F.replace(text, F.lit("++"), F.lit("+2")), F.lit("--"), F.lit("-2")))
+    """Double charges as a number, and no outer white space of any kind."""
+    return F.regexp_replace(F.replace(F.replace(text, F.lit("++"), F.lit("+2")), F.lit("--"), F.lit("-2")), r"^\s+|\s+$", "")
 
 
 def chunks(text: Column) -> Column:
@@ -54,13 +54,8 @@ def chunks(text: Column) -> Column:
 
 def spans(parts: Column) -> Column:
     """Each part with where it starts and ends: array of (chunk, start, end)."""
-    ends = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<chunk:string,start:int,end:int>>").alias("all")),
-        lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["all"], F.array(F.struct(x.alias("chunk"), s["at"].alias("start"), (s["at"] + F.length(x)).alias("end")))).alias("all")),
-        lambda s: s["all"],
-    )
-    return ends
+    at = starts(F.transform(parts, lambda x: F.length(x)))
+    return F.zip_with(parts, at, lambda x, i: F.struct(x.alias("chunk"), i.alias("start"), (i + F.length(x)).alias("end")))
 
 
 def bracket_glyphs(chunk: Column) -> Column:
@@ -89,11 +84,26 @@ def conformant(text: Column) -> Column:
     return F.coalesce(text.rlike(CONFORMANT), F.lit(False))
 
 
-def offenders(text: Column) -> Column:
-    """Why a text isn't conformant: aromatic-<symbol> for lower-case symbols outside the alphabet, ``other`` for the rest; sorted, distinct."""
+#: What a text that no toolkit reads as a structure is reported as.
+UNPARSEABLE = "rdkit-unparseable"
+
+
+def balanced(text: Column) -> Column:
+    """Whether brackets and branches close in order, rings in pairs, and no sign is left over: what can be told of a notation without a toolkit."""
+    kinds = F.regexp_replace(F.regexp_replace(text, r"\[[^\[\]()]+\]", "*"), r"[^()\[\]]", "")
+    open_ = F.aggregate(F.split(kinds, ""), F.lit(0), lambda n, c: F.when((n < 0) | c.isin("[", "]"), -1).when(c == "(", n + 1).when(c == ")", n - 1).otherwise(n))
+    return F.coalesce((open_ == 0) & ~text.rlike(r"^[)=#]|[(=#]$|\(\)|\[\]"), F.lit(False))
+
+
+def offenders(text: Column, parses: Column | None = None) -> Column:
+    """Why a text isn't conformant: aromatic-<symbol> for lower-case symbols outside the alphabet, ``other`` for the rest; sorted, distinct. One that doesn't parse is that alone.
+
+    parses: whether a toolkit reads the text; without one, whether it is :func:`balanced`.
+    """
     inside = F.regexp_extract_all(text, F.lit(r"\[\d*([a-z][a-z]?)"), F.lit(1))
     named = F.filter(F.transform(inside, lambda x: F.when(~x.isin(AROMATIC), F.concat(F.lit("aromatic-"), F.initcap(x)))), lambda x: x.isNotNull())
-    return F.when(F.size(named) > 0, F.array_sort(F.array_distinct(named))).otherwise(F.array(F.lit("other")))
+    reads = balanced(text) if parses is None else parses
+    return F.when(~F.coalesce(reads, F.lit(False)), F.array(F.lit(UNPARSEABLE))).when(F.size(named) > 0, F.array_sort(F.array_distinct(named))).otherwise(F.array(F.lit("other")))
 
 
 def atom_spans(parts: Column) -> Column:
@@ -137,14 +147,16 @@ def relabel_rings(text: Column) -> Column:
     return F.when(~text.contains("%") & F.exists(parts, lambda c: c.rlike("^[0-9]$")), F.array_join(moved, ""))
 
 
-#: An atom token, for offsets of atoms in a string.
-ATOM = r"(\[[^\]]*\]|Cl|Br|[BCNOPSFIbcnops]|[-=#$:/\\().%0-9+*@])"
+# The tokens of a notation as atoms are looked for, by kind; a bracket atom and a two-digit ring label are tokens too.
+ATOM_TOKENS = "Br Cl B C N O S P F I b c n o s p *".split()
+SIGN_TOKENS = ["(", ")", ".", "=", "#", "-", "+", "\\", "/", ":", "~", "@", "?", ">", "$", *"0123456789"]
+_TOKEN = "|".join([r"\[[^\]]+\]", *[re.escape(t) for t in ATOM_TOKENS], r"%[0-9]{2}", *[re.escape(t) for t in SIGN_TOKENS]])
 
 
 def atom_starts(text: Column) -> Column:
-    """Where each atom's token starts, counted from 0; null for a text that isn't all tokens."""
-    tokens = F.regexp_extract_all(text, F.lit(ATOM), F.lit(1))
-    placed = F.filter(spans(tokens), lambda t: t["chunk"].rlike(r"^(\[|[A-Za-z])"))
+    """Where each atom's token starts, counted from 0, wildcards included; null for a text that isn't all tokens."""
+    tokens = F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1))
+    placed = F.filter(spans(tokens), lambda t: t["chunk"].startswith("[") | t["chunk"].isin(ATOM_TOKENS))
     return F.when(F.array_join(tokens, "") == text, F.transform(placed, lambda t: t["start"]))
 
 

@@ -6,9 +6,9 @@ pieces; what is counted by piece is long: (unit, piece, n).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lexforge.functions.arrays import starts
 
 
 def piece_counts(tokens: DataFrame, unit: str, pieces: str, *, least_glyphs: int = 1) -> DataFrame:
@@ -112,14 +112,9 @@ def absorption(units: DataFrame, by: list[str]) -> DataFrame:
     return units.groupBy(*by).agg(F.sum("n_chunks").alias("chunks"), F.try_divide(F.sum("n_absorbed"), F.sum("n_chunks")).alias("absorbed"), F.try_divide(F.sum("n_cross"), F.sum("n_chunks")).alias("crossed"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _running_ends(lengths: pd.Series) -> pd.Series:
-    return lengths.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64)[:-1].astype(np.int32))
-
-
 def cut_positions(lengths: Column) -> Column:
-    """Where tokens of the given glyph counts end, but for the last. Arrow, as running sums over an array are quadratic in SQL functions."""
-    return _running_ends(lengths)
+    """Where tokens of the given glyph counts end, but for the last."""
+    return F.slice(starts(lengths), F.lit(2), F.greatest(F.size(lengths) - 1, F.lit(0)))
 
 
 def nestedness_of(a: Column, b: Column, glyphs: Column) -> Column:

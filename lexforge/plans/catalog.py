@@ -136,7 +136,7 @@ def surface_classes(spark, sf_dir):
     return words(spark, sf_dir, ARM_A).groupBy(lexing.surface_class(F.col("piece")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, trim(replace(replace(text, '++', '+2'), '--', '-2'), ' ') AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(replace(replace(text, '++', '+2'), '--', '-2'), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def normalized_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lexing.normalize(F.col("text")).alias("text"))
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.functions import chemistry, hashing, lexing
+from lexforge.functions import arrays, chemistry, hashing, lexing
 
 
 def one(spark, *columns):
@@ -85,6 +85,31 @@ def test_offenders(spark):
     assert [r[0] for r in df.select(lexing.offenders(F.col("t"))).collect()] == [["aromatic-Te"], ["other"], ["aromatic-Te", "aromatic-Zz"]]
 
 
+def test_what_no_toolkit_reads(spark):
+    texts = ["not a smiles [[[", "CC(", "C)C", "C()C", "C[si-]1cccc1", "c1nc2ccccc2[te]1", "CCO", "[Na+].[Cl-]", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [r[0] for r in df.orderBy("i").select(lexing.offenders(F.col("t"))).collect()]
+    assert found == [["rdkit-unparseable"]] * 4 + [["aromatic-Si"], ["aromatic-Te"], ["other"], ["other"], ["other"]]
+    assert one(spark, lexing.offenders(F.lit("CCO"), F.lit(False)))[0] == ["rdkit-unparseable"]
+
+
+def test_atoms_with_wildcards_and_any_bond(spark):
+    row = one(spark, *[lexing.atom_starts(F.lit(t)) for t in ("*CC*", "C~C", "[13CH3]C(=O)Br", "C%12>?c$C", "CxC", "")])
+    assert list(row) == [[0, 1, 2, 3], [0, 2], [0, 7, 10, 12], [0, 6, 8], None, []]
+
+
+def test_white_space_goes_on_both_sides(spark):
+    assert one(spark, lexing.normalize(F.lit("\t CC++\r\n")), lexing.normalize(F.lit("a b")))[0:2] == ("CC+2", "a b")
+
+
+def test_starts_of_many_parts(spark):
+    r = random.Random(2)
+    rows = [(k, [r.randint(0, 5) for _ in range(k)]) for k in [0, 1, 2, 3, 5, 10, 99, 1000, 3001]]
+    df = spark.createDataFrame([*rows, (-1, None)], "k int, x array<int>")
+    found = {row["k"]: row["s"] for row in df.select("k", arrays.starts(F.col("x")).alias("s")).collect()}
+    assert found == {k: [sum(x[:i]) for i in range(k)] for k, x in rows} | {-1: None}
+
+
 def test_proper_substrings(spark):
     row = one(spark, *[lexing.proper_substrings(F.array(*map(F.lit, s))) for s in ("ab", "abc", "abcd")])
     assert [["".join(p) for p in x] for x in row] == [[], ["ab", "bc"], ["ab", "bc", "cd", "abc", "bcd"]]
