@@ -29,13 +29,16 @@ def starts(sizes: Column) -> Column:
     blocks, as many as a block has elements: n of them cost n to the power 1.5. No
     elements give an empty array, null gives null.
     """
-    n = F.size(sizes)
-    step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
-    count = F.ceil(n / step).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.slice(sizes, k * step + 1, step))
 
-    def placed(own: Column) -> Column:
-        sums = F.transform(own, lambda b: F.aggregate(b, F.lit(0), lambda s, x: (s + x).cast("int")))
-        return F.flatten(F.zip_with(own, _after(sums, F.lit(0)), _after))
+    def summed(all_: Column) -> Column:
+        n = F.size(all_)
+        step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        count = F.greatest(F.ceil(n / step).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(all_, k * step + 1, step))
+        return let(blocks, placed)
 
-    return F.when(sizes.isNotNull(), let(blocks, placed))
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: (s + x).cast("int")))
+        return F.flatten(F.zip_with(blocks, _after(sums, F.lit(0)), _after))
+
+    return let(sizes, lambda all_: F.when(all_.isNotNull(), summed(all_)))
