@@ -1,8 +1,9 @@
 """Secret scans with a random forest against false positives; DataFrame functions only.
 
-A pattern finds candidates: values of password-like names, quoted or not, tokens
-with dots, and long runs of key-like characters with a digit. A name and its
-equals sign are not part of a candidate. Each candidate is described by its
+A pattern finds candidates: whole private key blocks, passwords in URLs, values of
+password-like names, quoted or not, of any length, tokens with dots, and long runs
+of key-like characters with a digit. A name and its equals sign are not part of a
+candidate. Each candidate is described by its
 length, its changes between character classes, how much of it dictionary words
 cover, the path it was found under and the words beside it. A forest trained on
 labelled findings scores it; the trees are compiled into one CASE expression,
@@ -21,14 +22,18 @@ import string
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lexforge.functions.arrays import let, starts
+
 _RUN = r"A-Za-z0-9+/_\-"
 #: Names whose value is a candidate whatever it looks like; up to 8 more characters of the name may follow.
 _NAMES = r"(?i:passw|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|signing[_\- ]?key|credential)[\w\-]{0,8}"
-#: What a candidate is: a quoted value after a name, an unquoted one, a bearer's token, tokens with dots, and runs with a digit. The lookaheads let a word without a digit fail at its first character.
+#: What a candidate is: a private key block, a password in a URL (after a user of up to 64 characters), a quoted value after a name, an unquoted one, a bearer's token, tokens with dots, and runs with a digit. None has an upper length. The lookaheads let a word without a digit fail at its first character.
 CANDIDATE = (
-    rf"(?<=[\"'])(?<={_NAMES}[\"']?\s{{0,2}}[:=]{{1,2}}\s{{0,2}}[\"'])[^\s\"']{{6,512}}(?=[\"'])"
-    rf"|(?<=[:=]\s{{0,2}})(?![\s:=])(?<={_NAMES}[\"']?\s{{0,2}}[:=]{{1,2}}\s{{0,2}})[^\s\"'`<>]{{5,511}}[^\s\"'`<>.,;:)\]}}]"
-    rf"|(?<=[Bb]earer )[{_RUN}.]{{15,511}}[{_RUN}]={{0,2}}"
+    r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,32}PRIVATE KEY-----"
+    r"|(?<=:)(?<=://[^\s:/@\"'<>]{0,64}:)[^\s/@\"'<>]{3,}(?=@)"
+    rf"|(?<=[\"'])(?<={_NAMES}[\"']?\s{{0,2}}[:=]{{1,2}}\s{{0,2}}[\"'])[^\s\"']{{6,}}(?=[\"'])"
+    rf"|(?<=[:=]\s{{0,2}})(?![\s:=])(?<={_NAMES}[\"']?\s{{0,2}}[:=]{{1,2}}\s{{0,2}})[^\s\"'`<>]{{5,}}[^\s\"'`<>.,;:)\]}}]"
+    rf"|(?<=[Bb]earer )[{_RUN}.]{{15,}}[{_RUN}]={{0,2}}"
     rf"|(?<![{_RUN}])(?:SG\.[\w\-]{{8,}}\.[\w\-]{{8,}}|eyJ[\w\-]{{8,}}\.[\w\-]{{4,}}(?:\.[\w\-]+)?)"
     rf"|(?<![{_RUN}])(?=[A-Za-z+/_\-]*[0-9])[{_RUN}]{{16,}}={{0,2}}"
 )
@@ -51,10 +56,11 @@ _SECRET_WORD = r"(?i)(token|secret|passw|pwd|api[_\- ]?key|auth|bearer|credentia
 _BENIGN_WORD = r"(?i)(sha-?\d*|md5|commit|checksum|digest|uuid|guid|hash|version|revision|etag|\bid|isbn|order|invoice|phone|card|account|number|serial|href|src|url|ref|integrity|http[^\s]*)[\"'=:\s#(]{0,4}$"
 _TEST_PATH = r"(?i)(test|spec|fixture|example|sample|mock|docs?/|\.lock$|\.md$)"
 _CONFIG_PATH = r"(?i)(\.env|\.ya?ml|\.json|\.ini|\.conf|\.properties|\.toml|\.tf|\.pem|config|settings)"
-_PREFIX = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|rk_live_|sk-|xox[abprs]-|glpat-|AIza|eyJ|npm_|hf_|SG\.)"
+_PREFIX = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|rk_live_|sk-|xox[abprs]-|glpat-|AIza|eyJ|npm_|hf_|SG\.|-----BEGIN )"
+_IN_URL = r"://[^\s:/@\"'<>]{0,64}:$"
 _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
-FEATURES = ("length", "changes", "digits", "upper", "lower", "signs", "hex", "number", "distinct", "longest_run", "covered", "vowels", "uuid", "assigned", "quoted", "secret_word", "benign_word", "prose", "test_path", "config_path", "prefix")
+FEATURES = ("length", "changes", "digits", "upper", "lower", "signs", "hex", "number", "distinct", "longest_run", "covered", "vowels", "uuid", "assigned", "quoted", "secret_word", "benign_word", "prose", "test_path", "config_path", "prefix", "in_url")
 
 
 def _share(c: Column, others: str) -> Column:
@@ -92,6 +98,7 @@ def describe(c: Column, before: Column, after: Column, path: Column) -> Column:
         yes(path.rlike(_TEST_PATH)),
         yes(path.rlike(_CONFIG_PATH)),
         yes(c.rlike(_PREFIX)),
+        yes(before.rlike(_IN_URL)),
     )
 
 
@@ -118,6 +125,14 @@ def labelled_findings(n: int = 1600, seed: int = SEED) -> list[tuple[str, str, s
             ])()
             if len(value) < 6:
                 continue
+            if r.random() < 0.05:  # whole key blocks
+                kind = r.choice(["", "RSA ", "EC ", "OPENSSH "])
+                lines = "\n".join(pick(base64, 64) for _ in range(r.randint(2, 25)))
+                rows.append((f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}\n-----END {kind}PRIVATE KEY-----", prose() + r.choice(["\n", '"', ""]), r.choice(["\n", '"']), path(), 1))
+                continue
+            if r.random() < 0.08 and not set(value) & set("/@\"'<>"):
+                rows.append((value, prose() + r.choice(["postgres", "https", "redis", "amqp", "mongodb+srv", "ftp"]) + "://" + r.choice(["", "user", "admin", word()]) + ":", "@" + word() + "." + word() + "/" + word(), path(), 1))
+                continue
             known = value[:4] in ("AKIA", "ghp_", "sk_l", "xoxb", "AIza") or value.count(".") == 2
             if known and r.random() < 0.4:
                 before, after = prose(), r.choice([" ", ".", "\n", ""])
@@ -137,7 +152,10 @@ def labelled_findings(n: int = 1600, seed: int = SEED) -> list[tuple[str, str, s
         if r.random() < 0.2:  # what follows a secret's name and is none: words, calls, references
             value = r.choice([word, lambda: word() + "_" + word(), lambda: "get_" + word() + "()", lambda: "${" + word().upper() + "_" + word().upper() + "}", lambda: "os.environ[" + word().upper() + "]", lambda: "self." + word() + "_" + word(), lambda: "<" + word() + ">", lambda: r.choice(["required", "optional", "string", "changeme", "undefined", "REDACTED", "********"])])()
             q = quote()
-            if len(value) >= 6 and value[0] != "<" and value[-1] not in ")]}":
+            if r.random() < 0.1:  # what stands for a password in a URL
+                value = r.choice(["password", "pass", "PASSWORD", "changeme", "xxxx", "****", "secret", "${PASSWORD}"])
+                rows.append((value, prose() + "https://" + r.choice(["user", "username", "admin"]) + ":", "@" + r.choice(["host", "localhost", "example.com"]), path(), 0))
+            elif len(value) >= 6 and value[0] != "<" and value[-1] not in ")]}":
                 rows.append((value, prose() + secret_name() + sign() + q, q + r.choice([" ", "\n", ",", " " + word()]), path(), 0))
             continue
         placeholder = any(x in value.lower() for x in ("your_", "xxxx", "example", "changeme", "test_", "00000000", "12345678"))
@@ -209,49 +227,42 @@ def _tree(tree, x: Column) -> Column:
     return F.when(F.get(x, F.lit(tree[0])) <= tree[1], _tree(tree[2], x)).otherwise(_tree(tree[3], x))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value made once a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def findings_of(text: Column, path: Column, forest: list) -> Column:
     """All candidates of a text, in order: array of (value, start, score, piece before). ``start`` counts characters from 0."""
 
     def with_candidates(found: Column) -> Column:
         def with_pieces(pieces: Column) -> Column:
-            # where each candidate starts: the lengths of what is before it
-            starts = F.aggregate(
-                F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, c: F.struct(F.length(p).alias("gap"), F.length(c).alias("own"))),
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-                lambda s, x: F.struct((s["at"] + x["gap"] + x["own"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["gap"])).alias("all")),
-                lambda s: s["all"],
-            )
+            # where each candidate starts: the lengths of what is before it, and of the gap
+            gaps = F.transform(F.slice(pieces, 1, F.size(found)), lambda p: F.length(p))
+            before_all = F.zip_with(starts(F.zip_with(gaps, found, lambda g, c: g + F.length(c))), gaps, lambda s, g: s + g)
 
             def one(c: Column, i: Column) -> Column:
                 before, after = F.get(pieces, i), F.get(pieces, i + 1)
                 x = describe(c, F.right(before, F.lit(BEFORE)), F.left(after, F.lit(AFTER)), path)
-                score = _let(x, lambda v: sum((_tree(t, v) for t in forest[1:]), _tree(forest[0], v)) / len(forest))
+                score = let(x, lambda v: sum((_tree(t, v) for t in forest[1:]), _tree(forest[0], v)) / len(forest))
                 return F.struct(c.alias("value"), score.alias("score"), before.alias("before"))
 
             scored = F.transform(found, one)
-            return _let(starts, lambda at: F.transform(scored, lambda s, i: F.struct(s["value"].alias("value"), F.get(at, i).alias("start"), s["score"].alias("score"), s["before"].alias("before"))))
+            return let(before_all, lambda at: F.transform(scored, lambda s, i: F.struct(s["value"].alias("value"), F.get(at, i).alias("start"), s["score"].alias("score"), s["before"].alias("before"))))
 
         kind = "array<struct<value:string,start:int,score:double,before:string>>"
-        return F.when(F.size(found) > 0, _let(F.split(text, CANDIDATE, -1), with_pieces)).otherwise(F.array().cast(kind))
+        return F.when(F.size(found) > 0, let(F.split(text, CANDIDATE, -1), with_pieces)).otherwise(F.array().cast(kind))
 
-    return _let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), with_candidates)
+    return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), with_candidates)
 
 
 def _path(docs: DataFrame, path_col: str | None) -> Column:
-    return F.coalesce(docs[path_col].cast("string"), F.lit("")) if path_col else F.lit("")
+    return F.coalesce(docs[path_col].cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", least: float = LEAST, forest: list | None = None) -> DataFrame:
     """One row for each candidate of each row: doc_id, start, length, value, score and is_secret (score at least ``least``).
 
-    A null or empty text has none; a null path counts as empty. Repeated rows
-    each have theirs. An empty table gives an empty result; other columns
-    aren't read.
+    A null or empty text has none; a null path counts as empty, as does a table
+    without the path's column. Repeated rows each have theirs, as has a value that
+    a text repeats; a score of exactly ``least`` is a secret. Texts of any length
+    are read whole. An empty table gives an empty result; other columns aren't
+    read.
     """
     forest = train(docs.sparkSession) if forest is None else forest
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -260,7 +271,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", path_col: str | None = "source", least: float = LEAST, mark: str = "[SECRET]", forest: list | None = None) -> DataFrame:
-    """``docs`` with each secret in the text replaced by ``mark``; all else stays. A null text stays null."""
+    """``docs`` with each secret in the text replaced by ``mark``; all else stays, repeated rows and other columns too. A null text stays null, an empty one empty; texts of any length are read whole."""
     forest = train(docs.sparkSession) if forest is None else forest
     text = docs[text_col].cast("string")
 
@@ -270,5 +281,5 @@ def redact(docs: DataFrame, *, text_col: str = "text", path_col: str | None = "s
         rest = F.substring(text, final["start"] + F.length(final["value"]) + 1, F.length(text))
         return F.when(F.size(found) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
 
-    redacted = _let(findings_of(text, _path(docs, path_col), forest), rebuilt)
+    redacted = let(findings_of(text, _path(docs, path_col), forest), rebuilt)
     return docs.select(*[redacted.alias(c) if c == text_col else docs[c] for c in docs.columns])
