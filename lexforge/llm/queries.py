@@ -51,7 +51,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint against its edited text's and its next document's."""
     found = syncmer.edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_place")
 
 
 def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

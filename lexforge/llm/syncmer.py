@@ -7,9 +7,11 @@ stands around them, so an edit elsewhere leaves it: the syncmers are anchors
 that two versions of a text share wherever they agree. A gap between two anchors
 is never longer than ``K - S`` k-mers.
 
-Texts are compared by all of their anchors, which are kept with their positions.
-The fingerprint is only a digest, a bottom sketch of the anchors' hashes:
-``SKETCH`` of them, smallest first, 8 hex digits each. A text with words but
+Texts are compared by all of their anchors, which are kept with their positions:
+by what they share, by what they share in the same place, and by the passages in
+which anchors follow each other at one distance. The fingerprint is only a digest,
+a bottom sketch of the anchors' hashes: ``SKETCH`` of them (a parameter; None for
+all), smallest first, 8 hex digits each. A text with words but
 without a syncmer (with fewer than ``K`` words always, with a few more at times)
 is one anchor, the hash of its whole sequence of words; one without words has
 none, and the empty fingerprint.
@@ -17,8 +19,12 @@ none, and the empty fingerprint.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexforge.functions.arrays import let
+
 #: Words of a k-mer and of an s-mer, and hashes in a fingerprint.
 K, S, SKETCH = 6, 2, 64
 DIGITS = 8
@@ -48,9 +54,9 @@ def placed(text: Column, k: int = K, s: int = S) -> Column:
             return F.filter(F.transform(p, lambda x, i: F.when((i + inner <= F.size(h) - s + 1) & (F.least(x, F.get(p, i + inner - 1)) <= middle(i)), anchor(F.xxhash64(*[F.get(p, i + j) for j in range(0, inner, s)]), i))), lambda x: x.isNotNull())
 
         whole = F.array(anchor(F.aggregate(h, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)), F.lit(0)))
-        return _let(_let(pairs, from_pairs), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+        return let(let(pairs, from_pairs), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
-    return _let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast(kind)).otherwise(from_words(h)))
+    return let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast(kind)).otherwise(from_words(h)))
 
 
 def hashes_of(found: Column) -> Column:
@@ -58,14 +64,10 @@ def hashes_of(found: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(found, lambda x: (x["hash"] - (1 << 31)).cast("int"))))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value made once a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def as_text(hashes: Column) -> Column:
-    """The fingerprint: 8 lower-case hex digits for each of the smallest ``SKETCH`` hashes."""
-    return F.array_join(F.transform(F.slice(hashes, 1, SKETCH), lambda x: F.lower(F.lpad(F.hex(x.cast("long") + (1 << 31)), DIGITS, "0"))), "")
+def as_text(hashes: Column, sketch: int | None = SKETCH) -> Column:
+    """The fingerprint: 8 lower-case hex digits for each of the smallest ``sketch`` hashes (None: for each)."""
+    some = hashes if sketch is None else F.slice(hashes, 1, sketch)
+    return F.array_join(F.transform(some, lambda x: F.lower(F.lpad(F.hex(x.cast("long") + (1 << 31)), DIGITS, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -78,45 +80,95 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
-#: Cells that the range of ids is counted in, and rows of a bucket, about.
-CELLS, BUCKET = 1 << 16, 1024
+def in_place(a: Column, b: Column) -> Column:
+    """The share of both texts' placed anchors that the other has at the same word; 1 for two texts without any."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+
+
+def passages(a: Column, b: Column) -> Column:
+    """What two texts share, from their placed anchors: array of (at, other, anchors), the first word of a shared stretch in either text and how many anchors it has.
+
+    Of an anchor that a text has more than once, the first place counts. A stretch
+    goes on as long as the next shared anchor is equally far on in both texts.
+    """
+
+    def firsts(found: Column, side: int) -> Column:
+        ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"), x["at"].alias("at"))))
+        return let(ordered, lambda own: F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1)["hash"] != x["hash"])))
+
+    def matched(both: Column) -> Column:  # of a hash that both have, the first text's place comes after the second's
+        def one(x: Column, i: Column) -> Column:
+            last = F.get(both, i - 1)
+            return F.when((x["side"] == 1) & (last["hash"] == x["hash"]), F.struct(x["at"].alias("at"), last["at"].alias("other")))
+
+        return F.array_sort(F.filter(F.transform(both, one), lambda x: x.isNotNull()))
+
+    def cut(found: Column) -> Column:
+        far = lambda x: x["other"] - x["at"]
+        begun = F.filter(F.transform(found, lambda x, i: F.struct(x["at"].alias("at"), x["other"].alias("other"), i.alias("i"), ((i == 0) | ~far(F.get(found, i - 1)).eqNullSafe(far(x))).alias("new"))), lambda x: x["new"])
+        return let(begun, lambda own: F.transform(own, lambda x, k: F.struct(x["at"].alias("at"), x["other"].alias("other"), (F.coalesce(F.get(own, k + 1)["i"], F.size(found)) - x["i"]).cast("int").alias("anchors"))))
+
+    return let(let(F.array_sort(F.concat(firsts(a, 1), firsts(b, 0))), matched), cut)
+
+
+#: Buckets at most, rows of a bucket at least, about, and sampled rows for each bound.
+BUCKETS, BUCKET, SAMPLED = 1 << 16, 1024, 4
+#: Characters of the first carried column that part rows of one id.
+PREFIX = 8
+
+
+def _range_key(id_col: str, text_col: str) -> Column:
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce(F.left(F.col(text_col), F.lit(PREFIX)), F.lit("")).alias("text"))
+
+
+def _places(bounds: list, key: Column, kind: str) -> Column:
+    """How many of the ascending bounds are at or below a key: those at steps first, then the ones of one step."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    sent = lambda rows: F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")
+    upto = lambda rows: F.size(F.filter(rows, lambda b: b <= key))
+    return let(upto(sent(bounds[step - 1 :: step])), lambda c: c * step + upto(F.slice(sent(bounds), c * step + 1, step)))
 
 
 def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     """``docs`` with, for each column in ``carried``, ``next_<column>`` of the row after it by id (after the last: the first).
 
-    Nulls come last; equal ids are ordered by the carried columns. Ids are
-    counted in cells of equal width and cells gathered into buckets of about
-    ``BUCKET`` rows (at most ``CELLS`` rows reach a broadcast, whatever the
-    input). A window runs in each bucket, whose last row meets a second copy of
-    the next bucket's first.
+    Nulls come last; equal ids are ordered by the carried columns, the first of
+    which is a text. Rows are dealt out into ranges of (id, the beginning of that
+    text), whose bounds come from a sample of about ``SAMPLED`` rows a range; they
+    decide on places only, and no range grows with the spread of the ids. A
+    window runs in each, whose last row meets a second copy of the next range's
+    first. Only rows alike in id and that beginning stay together; their sort
+    can spill.
     """
-    low, high = docs.agg(F.min(id_col).cast("double"), F.max(id_col).cast("double")).first()
-    low, high = (low, high) if low is not None else (0.0, 0.0)
-    width = max(1.0, (high - low) / (CELLS - 1))
-    cell = F.coalesce(F.floor((F.col(id_col).cast("double") - low) / width), F.lit(CELLS)).cast("int")
-    cells = docs.select(cell.alias("_cell"), F.col(id_col).alias("_id")).groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("least"))
-    before = F.sum("n").over(Window.orderBy("_cell")) - F.col("n")  # over at most CELLS + 1 rows
-    dealt = cells.withColumn("bucket", F.when(F.col("_cell") == CELLS, F.lit(-1)).otherwise(F.floor(before / BUCKET)).cast("long"))
-    firsts = dealt.groupBy("bucket").agg(F.min("least").alias("first"), F.min("_cell").alias("at"))
-    ring = Window.orderBy("at")
-    last = F.max_by("bucket", "at").over(Window.partitionBy(F.lit(1)))
-    firsts = firsts.withColumn("previous", F.coalesce(F.lag("bucket").over(ring), last)).select(F.col("bucket").alias("own"), "first", "previous")
-    table = dealt.join(firsts, F.col("bucket") == F.col("own")).select(F.col("_cell").alias("_at"), F.struct("bucket", "first", "previous").alias("_map"))
-    placed = docs.withColumn("_cell", cell).join(F.broadcast(table), F.col("_cell") == F.col("_at"))
-    own, copy = F.struct(F.col("_map.bucket").alias("bucket"), F.lit(False).alias("copy")), F.struct(F.col("_map.previous").alias("bucket"), F.lit(True).alias("copy"))
-    both = F.when(F.col(id_col).eqNullSafe(F.col("_map.first")), F.array(own, copy)).otherwise(F.array(own))
-    rows = placed.withColumn("_place", F.explode(both)).drop("_cell", "_at", "_map")
+    kind = f"struct<none:boolean,id:{docs.schema[id_col].dataType.simpleString()},text:string>"
+    key = _range_key(id_col, carried[0])
+    n = docs.count()
+    buckets = max(1, min(BUCKETS, n // BUCKET))
+    bounds: list = []
+    if buckets > 1:
+        share = F.shiftrightunsigned(F.xxhash64("k"), 11) / F.lit(float(1 << 53))
+        sample = docs.select(key.alias("k")).where(share < SAMPLED * buckets / n).distinct().orderBy("k").select("k.*").collect()
+        bounds = [sample[i].asDict() for i in range(SAMPLED, len(sample), SAMPLED)]
+    keyed = docs.withColumn("_key", key).withColumn("_at", _places(bounds, F.col("_key"), kind).cast("int"))
+    firsts = keyed.groupBy("_at").agg(F.min("_key").alias("_first"))
+    ring = Window.orderBy("_at")  # over at most BUCKETS rows
+    firsts = firsts.select("_at", "_first", F.coalesce(F.lag("_at").over(ring), F.max("_at").over(Window.partitionBy(F.lit(1)))).alias("_previous"))
+    known = keyed.join(F.broadcast(firsts.withColumnRenamed("_at", "_own")), F.col("_at") == F.col("_own"))
+    own, copy = F.struct(F.col("_at").alias("bucket"), F.lit(False).alias("copy")), F.struct(F.col("_previous").alias("bucket"), F.lit(True).alias("copy"))
+    rows = known.withColumn("_place", F.explode(F.when(F.col("_key") == F.col("_first"), F.array(own, copy)).otherwise(F.array(own)))).drop("_at", "_own", "_key", "_first", "_previous")
     window = Window.partitionBy("_place.bucket").orderBy("_place.copy", F.col(id_col).asc_nulls_last(), *[c for c in carried])
     found = rows.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in carried])
     return found.where(~F.col("_place.copy")).drop("_place")
 
 
-def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sketch: int | None = SKETCH) -> DataFrame:
     """(doc_id, text, anchors, hashes, fingerprint) for each row: all anchors with their positions, and their distinct hashes; a null text is empty. Equal texts have equal fingerprints. Other columns aren't read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = rows.withColumn("anchors", placed(F.col("text"))).withColumn("hashes", hashes_of(F.col("anchors")))
-    return found.withColumn("fingerprint", as_text(F.col("hashes")))
+    return found.withColumn("fingerprint", as_text(F.col("hashes"), sketch))
 
 
 def edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,15 +176,28 @@ def edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     doc_id, n_chars, edited (the text with its last floor(n_chars / 2) code
     points replaced by the first as many, or all, of the next row's by ascending
-    id), fingerprint, edited_fingerprint, near_edited and near_next. A null text
+    id), fingerprint, edited_fingerprint, near_edited, near_next and in_place, the
+    likeness of text and edited text by anchors at the same words. A null text
     is empty; null ids come last; the row after the last is the first, so a
-    single row is its own next. An empty table gives an empty result.
+    single row is its own next. Repeated rows have a row each, and of two rows of
+    one id that with the smaller text comes first. Texts of any length are read
+    whole. An empty table gives an empty result; other columns aren't read.
     """
-    prints = fingerprint(docs, id_col=id_col, text_col=text_col).select("doc_id", "text", "hashes")
+    prints = fingerprint(docs, id_col=id_col, text_col=text_col)
+    # an anchor travels as one number: its hash, and its place below
+    packed = prints.select("doc_id", "text", F.transform("anchors", lambda x: F.shiftleft(x["hash"], 31).bitwiseOR(x["at"].cast("long"))).alias("anchors"))
+    hashes = lambda found: F.sort_array(F.array_distinct(F.transform(found, lambda x: (F.shiftright(x, 31) - (1 << 31)).cast("int"))))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = with_next(prints, "doc_id", ["text", "hashes"]).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "hashes", "next_hashes")
-    # the edited text's hashes are made once a row, and all columns from them
-    told = rows.select("doc_id", "n_chars", "edited", _let(hashes_of(placed(F.col("edited"))), lambda e: F.struct(as_text(F.col("hashes")).alias("fingerprint"), as_text(e).alias("edited_fingerprint"), likeness(F.col("hashes"), e).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))).alias("told"))
-    return told.select("doc_id", "n_chars", "edited", "told.*")
+    rows = with_next(packed, "doc_id", ["text", "anchors"]).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "next_anchors")
+
+    def told(x: Column) -> Column:
+        return F.struct(
+            as_text(x["own"]).alias("fingerprint"), as_text(x["edited"]).alias("edited_fingerprint"), likeness(x["own"], x["edited"]).alias("near_edited"), likeness(x["own"], x["next"]).alias("near_next"),
+            in_place(F.col("anchors"), x["placed"]).alias("in_place"),
+        )
+
+    # the edited text's anchors are made once a row, and all columns from them
+    made = let(F.transform(placed(F.col("edited")), lambda x: F.shiftleft(x["hash"], 31).bitwiseOR(x["at"].cast("long"))), lambda e: F.struct(hashes(F.col("anchors")).alias("own"), hashes(F.col("next_anchors")).alias("next"), hashes(e).alias("edited"), e.alias("placed")))
+    return rows.select("doc_id", "n_chars", "edited", let(made, told).alias("told")).select("doc_id", "n_chars", "edited", "told.*")
