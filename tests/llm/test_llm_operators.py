@@ -440,6 +440,76 @@ def test_long_texts_keep_all_anchors(spark):
         assert [at for h, at in anchors[i] if h in b] == [at for h, at in anchors[(i + 1) % 4] if h in a]
 
 
+def anchors_of(text, k=6):
+    """[(hash, at)] by hand."""
+
+    def xx(*parts):
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p if isinstance(p, bytes) else struct.pack("<q", p), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    h = [xx(w.encode()) for w in re.findall(WORD, text)]
+    pairs = [xx(a, b) for a, b in zip(h, h[1:])]
+    found = [((xx(pairs[i], pairs[i + 2], pairs[i + 4]) & (1 << 64) - 1) >> 32, i) for i in range(len(h) - k + 1) if min(pairs[i : i + k - 1]) in (pairs[i], pairs[i + k - 2])]
+    if found or not h:
+        return found
+    whole = 42
+    for x in h:
+        whole = xx(whole, x)
+    return [((whole & (1 << 64) - 1) >> 32, 0)]
+
+
+def test_likeness_equals_brute_force(spark, texts):
+    """All anchors with their places, both likenesses, and the share in place, of every text."""
+    dice = lambda a, b: 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
+    found = {r["doc_id"]: r for r in QUERIES["op7_syncmers"](spark, "/root/testdata/sf0.001").collect()}
+    for k, (i, text) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, next_, new = map(anchors_of, (text, after, edited))
+        hashes = lambda x: {h for h, _ in x}
+        assert found[i]["near_edited"] == pytest.approx(dice(hashes(own), hashes(new)))
+        assert found[i]["near_next"] == pytest.approx(dice(hashes(own), hashes(next_)))
+        assert found[i]["in_place"] == pytest.approx(dice(set(own), set(new)))
+        assert found[i]["fingerprint"] == "".join(f"{x:08x}" for x in sorted(hashes(own))[: syncmer.SKETCH])
+
+
+def test_fingerprint_of_all_anchors(spark, docs, texts):
+    whole = {r["doc_id"]: r["fingerprint"] for r in syncmer.fingerprint(docs, sketch=None).collect()}
+    assert whole == {i: "".join(f"{x:08x}" for x in sorted({h for h, _ in anchors_of(t)})) for i, t in texts}
+
+
+def test_shared_passages(spark):
+    """Two stretches in another order, one of them moved on by a word put in."""
+    r = random.Random(1)
+    x, y, z = ([f"{c}{r.randrange(10**6)}" for _ in range(60)] for c in "xyz")
+    rows = [(" ".join([*x, *y]), " ".join([*z, *y, *x[:30], "new", *x[30:]]))]
+    df = spark.createDataFrame(rows, "a string, b string").select(syncmer.passages(syncmer.placed(F.col("a")), syncmer.placed(F.col("b"))).alias("p"))
+    found = [(p["other"] - p["at"], p["at"]) for p in df.first()["p"]]
+    assert [d for d, _ in found] == [120, 121, 0] and found[0][1] < 30 <= found[1][1] < 60 <= found[2][1]
+    empty = spark.createDataFrame([("", "a b c d e f g h i j")], "a string, b string").select(syncmer.passages(syncmer.placed(F.col("a")), syncmer.placed(F.col("b")))).first()[0]
+    assert empty == []
+
+
+def test_ranges_with_outliers_and_hot_ids(spark, monkeypatch):
+    """One id far out, one id in a third of all rows, nulls: no range has more than a few times its share."""
+    monkeypatch.setattr(syncmer, "BUCKET", 8)
+    r = random.Random(6)
+    rows = [(r.choice([7, None, r.randrange(1000)]) if i else 10**17, f"{r.randrange(10**9):09d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(x["doc_id"], x["text"], x["next_text"]) for x in syncmer.with_next(df, "doc_id", ["text"]).collect()]
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert sorted(found, key=str) == sorted([(i, t, n) for (i, t), (_, n) in zip(order, [*order[1:], order[0]])], key=str)
+    sizes = []
+    place = syncmer._places
+    monkeypatch.setattr(syncmer, "_places", lambda b, k, kind: sizes.append((b, k, kind)) or place(b, k, kind))
+    syncmer.with_next(df, "doc_id", ["text"])
+    b, k, kind = sizes[0]
+    dealt = df.withColumn("_key", syncmer._range_key("doc_id", "text")).select(place(b, k, kind).alias("at")).groupBy("at").count().collect()
+    assert len(dealt) > 60 and max(x["count"] for x in dealt) < 80
+
+
 def test_next_row_with_ties_and_nulls(spark, monkeypatch):
     monkeypatch.setattr(syncmer, "BUCKET", 3)
     ids = [5, 1, None, 9, 1, 7, 100000, 3, -4]
