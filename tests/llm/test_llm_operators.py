@@ -392,16 +392,16 @@ def brute_sketch(text):
     top = lambda x: (x & (1 << 64) - 1) >> 32
     if not h:
         return []
-    if len(h) < syncmer.K:
-        a = 42
-        for x in h:
-            a = xx(a, x)
-        return [top(a)]
     pairs, out = [xx(a, b) for a, b in zip(h, h[1:])], set()
     for i in range(len(h) - syncmer.K + 1):
         own = pairs[i : i + syncmer.K - 1]
         if min(own) in (own[0], own[-1]):
             out.add(top(xx(own[0], own[2], own[4])))
+    if not out:  # the whole sequence is the anchor, as test_short_texts_have_an_anchor asks
+        a = 42
+        for x in h:
+            a = xx(a, x)
+        return [top(a)]
     return sorted(out)[: syncmer.SKETCH]
 
 
