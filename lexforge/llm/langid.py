@@ -20,6 +20,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexforge.llm.batches import small
+
 #: n-grams in a profile, and of a document's list.
 PROFILE = 400
 #: Documents a language that profiles are learned from, about: those with the smallest hashes of their ids.
@@ -118,7 +120,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], *, id_col: str = "
         return langs[k], float(1 - away[k] / (size * len(own)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [best(x) for x in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
@@ -127,13 +129,14 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], *, id_col: str = "
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, sample: int = SAMPLE) -> DataFrame:
     """Learns from the four fifths of ``docs`` whose id's crc32 isn't divisible by 5 and predicts for all: doc_id, held_out, lang_pred, score.
 
     A null id counts as an empty text, and so is held out. Repeated rows are
-    predicted alike. With an empty table the result is empty. Other columns,
-    whatever their names, aren't read.
+    predicted alike; texts of any length are read whole, and of two languages that
+    are equally near the smaller name wins. With an empty table the result is
+    empty. Other columns, whatever their names, aren't read.
     """
-    profiles = learn(docs.where(_checksum(id_col) != 0), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    found = predict(docs, profiles, id_col=id_col, text_col=text_col)
+    profiles = learn(docs.where(_checksum(id_col) != 0), id_col=id_col, text_col=text_col, lang_col=lang_col, size=size, sample=sample)
+    found = predict(docs, profiles, id_col=id_col, text_col=text_col, size=size)
     return found.select("doc_id", (_checksum("doc_id") == 0).alias("held_out"), "lang_pred", "score")

@@ -23,6 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lexforge.llm.batches import small
+
 #: Documents that the scorer is trained on, at most about; features of the scorer.
 SAMPLE, FEATURES = 8000, 1024
 #: Votes; a labeller is silent on texts too short for it, which says nothing, unlike an abstention.
@@ -203,7 +205,7 @@ def label_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """(share of good documents, rates, number of documents) from the votes on all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found, n = np.unique(np.array([pattern(votes(x)) for x in batch.column(0).to_pylist()], np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["pattern", "n"])
 
@@ -222,7 +224,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     chosen = _texts(docs.where(share < min(1.0, sample / n)) if n > sample else docs, id_col, text_col).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(x)) for x in texts], pa.int32()), pa.array([features(x).astype(np.float32).tobytes() for x in texts], pa.binary())], ["pattern", "features"])
 
@@ -245,7 +247,7 @@ def _scored(rows: DataFrame, weights: np.ndarray, text_of) -> DataFrame:
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [0.0 if not x or not x.strip() or not len(weights) else float(1 / (1 + np.exp(-np.clip(features(x) @ weights[:-1] + weights[-1], -500, 500)))) for x in text_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.float64())], [*names, "score"])
 

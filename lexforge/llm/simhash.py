@@ -37,11 +37,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexforge.llm.batches import small, tidy
 from lexforge.llm.graph import components
 from lexforge.session import written
 
 #: Fingerprints in a part of a shard, and (query, node) visits held at once.
-SHARD, VISITS = 4096, 1 << 19
+SHARD, VISITS = 4096, 1 << 17
 #: Rows that are broadcast at most.
 SENT = 200_000
 #: Rows of a task that are searched together.
@@ -105,7 +106,7 @@ def set_prints(rows: DataFrame, *, shingle: int) -> DataFrame:
     """(doc_id, text) to (doc_id, hash of the text, node: the hash of its set of shingles, f0 ... f3: a bit of each minimum, keys: its shards, none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [np.unique(_hashes(x, shingle)) for x in batch.column(2).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
             low = np.array([minima(x) for x in sets], np.uint32).reshape(-1, 256)
@@ -123,7 +124,7 @@ def fingerprints(rows: DataFrame, *, shingle: int = 4, width: int = 1) -> DataFr
     """(doc_id, text) to (doc_id, hash of the text, f0 ... f{width-1}), whole texts; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = np.array([fingerprint(x, shingle, width) for x in batch.column(2).to_pylist()], np.uint64).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(width)]], ["doc_id", "hash", *[f"f{k}" for k in range(width)]])
 
@@ -273,6 +274,8 @@ def links(prints: DataFrame, *, radii: tuple[int, ...], blocks: int | None, widt
                 held, size = table.slice(whole).to_batches(), table.num_rows - whole
         if size:
             yield flush(pa.Table.from_batches(held).combine_chunks())
+        held.clear()
+        tidy()
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -281,7 +284,7 @@ def _shingles(rows: DataFrame, shingle: int) -> DataFrame:
     """(node, text) to (node, shingles): the distinct hashes of a text's shingles, 32 bits of those for fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [np.unique((_hashes(x, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sentencepiece import sentencepiece_model_pb2
 
 from lexforge.llm import maxplus
+from lexforge.llm.batches import small
 from lexforge.session import written
 
 #: Characters beyond which a document is cut, and characters of a chunk, about.
@@ -118,14 +119,12 @@ def _whole(rows: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = load(model)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, max(1, len(texts)), 512):  # a few lists of ids at once
-                found = processor.encode([x or "" for x in texts[at : at + 512]], num_threads=1)
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, 512) for c in names], ids], [*names, "ids"])
+        for batch in small(batches):  # a few lists of ids at once
+            found = processor.encode([x or "" for x in batch.column("text").to_pylist()], num_threads=1)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], ids], [*names, "ids"])
 
     return rows.mapInArrow(run, schema)
 
@@ -238,11 +237,9 @@ def decode(encoded: DataFrame, model_path: str, *, keep: tuple[str, ...] = ()) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_bytes(model)
         dummy = sentencepiece_model_pb2.ModelProto.FromString(model).normalizer_spec.add_dummy_prefix
-        for batch in batches:
-            ids = batch.column("ids")
-            for at in range(0, max(1, len(ids)), 512):
-                found = [None if x is None else decoded(x.tolist(), table, dummy, model) for x in ids.slice(at, 512).to_numpy(zero_copy_only=False)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, 512) for c in names], pa.array(found, pa.string())], [*names, "text"])
+        for batch in small(batches):
+            found = [None if x is None else decoded(x.tolist(), table, dummy, model) for x in batch.column("ids").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.string())], [*names, "text"])
 
     return encoded.select(*names, "ids").mapInArrow(run, schema)
 

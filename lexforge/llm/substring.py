@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lexforge.llm.batches import small
 from lexforge.session import release, written
 
 #: Characters of input for each slot, at most about; windows gathered before they are dealt out.
@@ -137,7 +138,7 @@ def packed(rows: DataFrame, hashes_of, slots: int, dtype: str) -> DataFrame:
     fine, coarse = (lambda h: _slots(h, slots)), (lambda h: _slots(h, slots) // np.uint32(per))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
+        for batch in small(batches):
             columns = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
                 row = [c[i].as_py() for c in columns]
@@ -302,7 +303,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     known = repeats.join(anchors.withColumnRenamed("own", "its"), F.col("own") == F.col("its")).drop("its")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found: list[tuple] = []
             for text, *answers in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
                 words = words_of(text)
