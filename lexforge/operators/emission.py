@@ -101,12 +101,29 @@ def dead_zone(clearances: DataFrame, on: list[str], ps: tuple[float, ...] = (0.9
     return rows.select("*", (F.col("f_b") - F.col("f_a")).alias("delta"), ((F.col("f_a") < F.col("p")) | (F.col("f_b") < F.col("p"))).alias("any_unsafe"), ((F.col("f_a") < F.col("p")) & (F.col("f_b") < F.col("p"))).alias("both_unsafe"))
 
 
+def _placed(spans: Column, marks: Column) -> Column:
+    """For each (start, end) of some ascending spans, how many of some marks (ascending places) are at or before its start: array of (start, end, before). One sort, so no mark is looked at once a span."""
+    both = F.array_sort(F.concat(F.transform(marks, lambda m: F.struct(m.alias("at"), F.lit(0).alias("kind"), m.alias("end"))), F.transform(spans, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("kind"), x["end"].alias("end")))))
+    own = F.filter(F.transform(both, lambda x, i: F.struct(x["at"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), i.alias("i"))), lambda x: x["kind"] == 1)
+    return F.transform(own, lambda x, j: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["i"] - j).cast("int").alias("before")))
+
+
 def absorbed(chunks: Column, tokens: Column, cross: bool) -> Column:
-    """(n_chunks, n_absorbed, n_cross) of a text: chunks that are one token, and (where tokens may cross chunks) that a longer one holds."""
-    real = F.filter(chunks, lambda c: c["start"] < c["end"])
-    whole = F.size(F.filter(real, lambda c: F.exists(tokens, lambda t: (t["start"] == c["start"]) & (t["end"] == c["end"]))))
-    inside = F.size(F.filter(real, lambda c: F.exists(tokens, lambda t: (t["start"] <= c["start"]) & (c["end"] <= t["end"]) & ((t["end"] - t["start"]) > (c["end"] - c["start"])))))
-    return F.struct(F.size(real).alias("n_chunks"), whole.alias("n_absorbed"), (inside if cross else F.lit(None).cast("int")).alias("n_cross"))
+    """(n_chunks, n_absorbed, n_cross) of a text: chunks that are one token, and (where tokens may cross chunks) that a longer one holds. Tokens are ascending and don't overlap."""
+
+    def told(x: Column) -> Column:
+        real, own = x["chunks"], x["tokens"]
+
+        def of(c: Column, yes) -> Column:
+            token = F.get(own, c["before"] - 1)
+            return F.coalesce(yes(c, token), F.lit(False))
+
+        whole = F.size(F.filter(_placed(real, F.transform(own, lambda t: t["start"])), lambda c: of(c, lambda c, t: (t["start"] == c["start"]) & (t["end"] == c["end"]))))
+        inside = F.size(F.filter(_placed(real, F.transform(own, lambda t: t["start"])), lambda c: of(c, lambda c, t: (c["end"] <= t["end"]) & (t["end"] - t["start"] > c["end"] - c["start"]))))
+        return F.struct(F.size(real).alias("n_chunks"), whole.alias("n_absorbed"), (inside if cross else F.lit(None).cast("int")).alias("n_cross"))
+
+    bare = lambda xs: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return let(F.struct(F.filter(bare(chunks), lambda c: c["start"] < c["end"]).alias("chunks"), bare(tokens).alias("tokens")), told)
 
 
 def absorption(units: DataFrame, by: list[str]) -> DataFrame:
@@ -147,10 +164,10 @@ def nestedness(units: DataFrame, by: list[str]) -> DataFrame:
 
 
 def cut_through(tokens: DataFrame, by: list[str], piece: str, spans: str, cuts: str, klass) -> DataFrame:
-    """By class of piece: how many were emitted, and how many the other arm cuts inside. tokens: arrays of pieces and their spans, and the other arm's cuts."""
-    rows = tokens.select(*by, cuts, F.explode(F.arrays_zip(F.col(piece).alias("piece"), F.col(spans).alias("span"))).alias("t"))
-    hit = F.exists(cuts, lambda c: (F.col("t.span.start") < c) & (c < F.col("t.span.end")))
-    return rows.groupBy(*by, klass(F.col("t.piece")).alias("class")).agg(F.count(F.lit(1)).alias("emitted"), F.count_if(hit).alias("cut_through"))
+    """By class of piece: how many were emitted, and how many the other arm cuts inside. tokens: arrays of pieces and their spans, both in order, and the other arm's ascending cuts."""
+    inside = let(F.array_sort(cuts), lambda own: F.transform(_placed(F.col(spans), own), lambda x: F.coalesce(F.get(own, x["before"]) < x["end"], F.lit(False))))
+    rows = tokens.select(*by, F.explode(F.arrays_zip(F.col(piece).alias("piece"), inside.alias("hit"))).alias("t"))
+    return rows.groupBy(*by, klass(F.col("t.piece")).alias("class")).agg(F.count(F.lit(1)).alias("emitted"), F.count_if("t.hit").alias("cut_through"))
 
 
 #: Functional bonds by partner, bond and heteroatom; whatever else there is is ``other``.
@@ -215,13 +232,21 @@ def multiset_jaccard(counts: DataFrame, by: list[str], key: str, a: str, b: str)
     return counts.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.least(x, y)), F.sum(F.greatest(x, y))), F.lit(1.0)).alias("jaccard"))
 
 
+def _bag(xs: Column) -> Column:
+    """The distinct values of an array in order, with their counts: array of (value, n)."""
+
+    def counted(own: Column) -> Column:
+        first = F.filter(F.transform(own, lambda v, i: F.struct(v.alias("value"), i.alias("i"), ((i == 0) | ~F.get(own, i - 1).eqNullSafe(v)).alias("new"))), lambda x: x["new"])
+        return let(first, lambda runs: F.transform(runs, lambda r, k: F.struct(r["value"].alias("value"), (F.coalesce(F.get(runs, k + 1)["i"], F.size(own)) - r["i"]).cast("int").alias("n"))))
+
+    return let(F.array_sort(xs), counted)
+
+
 def bag_jaccard(a: Column, b: Column) -> Column:
-    """The multiset Jaccard of two arrays in a row; 1 for two empty ones."""
-    keys = F.array_union(a, b)
-    count = lambda xs, k: F.size(F.filter(xs, lambda x: x == k))
-    low = F.aggregate(keys, F.lit(0), lambda s, k: s + F.least(count(a, k), count(b, k)))
-    high = F.aggregate(keys, F.lit(0), lambda s, k: s + F.greatest(count(a, k), count(b, k)))
-    return F.coalesce(F.try_divide(low, high), F.lit(1.0))
+    """The multiset Jaccard of two arrays in a row; 1 for two empty ones. Both are sorted once, and of two neighbours of one value the smaller count comes first."""
+    shared = lambda both: F.aggregate(F.transform(both, lambda x, i: F.when(F.get(both, i + 1)["value"].eqNullSafe(x["value"]), x["n"]).otherwise(0)), F.lit(0), lambda s, n: s + n)
+    low = let(F.array_sort(F.concat(_bag(a), _bag(b))), shared)
+    return let(low, lambda n: F.coalesce(F.try_divide(n, F.size(a) + F.size(b) - n), F.lit(1.0)))
 
 
 def orbit_readings(encoded: DataFrame) -> DataFrame:

@@ -30,19 +30,34 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def shared_root(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``.
 
-    Executors and the driver all see it. Only where the setting is unset (a
-    local test) is a temporary folder of this machine used instead.
+    Executors and the driver all see it. Where the setting is unset, a session
+    that runs in this process alone (a local test) has a temporary folder of this
+    machine; on a cluster, whose executors wouldn't see that, it is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no shared folder, and this cluster needs one")
         if not base:
             base = tempfile.mkdtemp(prefix="lexforge-")
         _ROOTS[app] = f"{base.rstrip('/')}/lexforge-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_drop, spark, _ROOTS[app])
+        _dropped_at_stop(spark, _ROOTS[app])
     return _ROOTS[app]
 
 
+def _dropped_at_stop(spark: SparkSession, root: str) -> None:
+    """Has the folder deleted before the session stops, as there is no way to it afterwards."""
+    stop = spark.stop
+
+    def dropped() -> None:
+        _drop(spark, root)
+        stop()
+
+    spark.stop = dropped  # of this session object only
+
+
 def _drop(spark: SparkSession, root: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

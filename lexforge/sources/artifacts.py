@@ -2,42 +2,103 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexforge.operators.tokenizers import Tokenizer
+from lexforge.session import written
+from lexforge.sources.sinks import get_text, put_text
+
 VOCAB = "token_id int, glyphs array<string>, n_glyphs int, score double"
 MERGES = "rank int, left int, right int, new_id int"
-SCAFFOLD = "format string, min_frequency long, vocab_size long, merge_brackets boolean, step long, pair array<int>, new_id int, new_token string, candidate_freq long, standalone array<array<long>>"
-SCAFFOLD_FORMAT = "scaffold-log-v1"
+HEADER = ("format", "min_frequency", "vocab_size", "merge_brackets")
+SCAFFOLD = "format string, min_frequency long, vocab_size long, merge_brackets boolean, base_alphabet array<array<string>>, step long, pair array<int>, new_id int, new_token string, candidate_freq long, standalone array<array<long>>"
+# Fixed value: the tag that merge logs carry.
+SCAFFOLD_FORMAT = "smirk-scaffold-log/v1"
 
+_BPE = "model struct<vocab: map<string, int>, merges: array<array<int>>>"
+_UNIGRAM = "model struct<type: string, vocab: array<struct<glyphs: array<string>, score: double>>>"
 
-def bpe_vocabulary(spark: SparkSession, text: str) -> DataFrame:
-    """From a BPE artifact's JSON: base ids by their surface, then merge k as the next free id plus k, with the glyphs of its two operands."""
-    model = json.loads(text)["model"]
-    glyphs = {i: (surface,) for surface, i in model["vocab"].items()}
-    base = len(glyphs)
-    for k, (a, b) in enumerate(model.get("merges", [])):
-        glyphs[base + k] = glyphs[a] + glyphs[b]
-    return spark.createDataFrame([(i, list(g), len(g), None) for i, g in sorted(glyphs.items())], VOCAB)
 
+def _parsed(spark: SparkSession, text: str, schema: str) -> DataFrame:
+    return spark.createDataFrame([(text,)], "text string").select(F.from_json("text", schema)["model"].alias("model"))
 
-def unigram_vocabulary(spark: SparkSession, text: str) -> DataFrame:
-    """From a Unigram artifact's JSON: pieces by position, with their scores; any other type is an error."""
-    model = json.loads(text)["model"]
-    if model.get("type") != "Unigram":
-        raise ValueError(f"not a Unigram model: {model.get('type')}")
-    return spark.createDataFrame([(i, list(v["glyphs"]), len(v["glyphs"]), float(v["score"])) for i, v in enumerate(model["vocab"])], VOCAB)
+
+def bpe_vocabulary(spark: SparkSession, text: str) -> DataFrame:
+    """The pieces of a BPE artifact: base ids as they are listed, and for the k-th merge the k-th id after them, with all glyphs that its operands come down to.
+
+    Operands are taken apart level by level, all merges at once, so the number of
+    joins is the depth of the deepest merge.
+    """
+    model = written(_parsed(spark, text, _BPE), "artifact")
+    base = model.select(F.explode("model.vocab").alias("surface", "id"))
+    first = model.select(F.size("model.vocab")).first()[0]
+    listed = model.select(F.posexplode(F.coalesce("model.merges", F.array().cast("array<array<int>>"))).alias("k", "pair"))
+    merges = listed.select((F.col("k") + first).alias("made"), F.transform("pair", lambda x, i: F.struct(i.cast("string").alias("side"), x.alias("child"))).alias("sides"))
+    # (token, path to a part, the part): a part that is a merge gives way to its two operands
+    parts = merges.select(F.col("made").alias("token"), F.lit("").alias("path"), F.col("made").alias("part"))
+    leaves = parts.limit(0)
+    while not parts.isEmpty():
+        taken = parts.join(F.broadcast(merges), F.col("part") == F.col("made")).select("token", "path", F.explode("sides").alias("s"))
+        taken = written(taken.select("token", F.concat("path", "s.side").alias("path"), F.col("s.child").alias("part")), "parts")
+        leaves = leaves.unionByName(taken.where(F.col("part") < first))
+        parts = taken.where(F.col("part") >= first)
+    spelt = leaves.join(F.broadcast(base), F.col("part") == F.col("id")).groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "surface"))), lambda x: x["surface"]).alias("glyphs"))
+    rows = base.select(F.col("id").alias("token_id"), F.array("surface").alias("glyphs")).unionByName(spelt.withColumnRenamed("token", "token_id"))
+    return rows.select("token_id", "glyphs", F.size("glyphs").alias("n_glyphs"), F.lit(None).cast("double").alias("score")).orderBy("token_id")
 
 
-def scaffold_log(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """The header of a merge log and its records; an empty log or another format is an error."""
+def unigram_vocabulary(spark: SparkSession, text: str) -> DataFrame:
+    """The pieces of a Unigram artifact by their place in it, with their scores; another kind of artifact is an error."""
+    model = _parsed(spark, text, _UNIGRAM)
+    kind = model.select("model.type").first()[0]
+    if kind != "Unigram":
+        raise ValueError(f"the artifact is of type {kind}, not Unigram")
+    rows = model.select(F.posexplode("model.vocab").alias("token_id", "entry"))
+    return rows.select("token_id", "entry.glyphs", F.size("entry.glyphs").alias("n_glyphs"), "entry.score")
+
+
+def save_tokenizer(spark: SparkSession, own: Tokenizer, folder: str, **meta) -> None:
+    """``tokenizer.json`` and ``meta.json`` in a folder of any Hadoop file system."""
+    if own.kind == "unigram":
+        model = {"type": "Unigram", "vocab": [{"glyphs": list(p), "score": own.scores.get(p, 0.0)} for p in own.pieces]}
+    else:
+        made = {a + b for a, b in own.merges}
+        base = [p for p in own.pieces if len(p) == 1 or p not in made]
+        model = {"type": "BPE", "vocab": {"".join(p): i for i, p in enumerate(own.pieces) if p in set(base)}, "merges": [[own.ids[a], own.ids[b]] for a, b in own.merges]}
+    put_text(spark, f"{folder}/tokenizer.json", json.dumps({"model": model, "merge_brackets": own.merge_brackets}))
+    put_text(spark, f"{folder}/meta.json", json.dumps({"kind": own.kind, "vocab_size": len(own.pieces), "merges": len(own.merges)} | meta, sort_keys=True))
+
+
+def load_tokenizer(spark: SparkSession, folder: str) -> Tokenizer:
+    """What :func:`save_tokenizer` wrote, segmenting as before."""
+    body = json.loads(get_text(spark, f"{folder}/tokenizer.json"))
+    model = body["model"]
+    if model["type"] == "Unigram":
+        pieces = [tuple(v["glyphs"]) for v in model["vocab"]]
+        return Tokenizer("unigram", pieces, scores={p: v["score"] for p, v in zip(pieces, model["vocab"]) if p != ("[UNK]",)}, merge_brackets=body["merge_brackets"])
+    named = [(s,) for s, _ in sorted(model["vocab"].items(), key=lambda x: x[1])]
+    known, merges = dict.fromkeys(named), []
+    spelt = list(named)
+    for a, b in model["merges"]:
+        merges.append((spelt[a], spelt[b]))
+        if (both := spelt[a] + spelt[b]) not in known:
+            known[both] = None
+            spelt.append(both)
+    return Tokenizer("bpe", spelt, merges=merges, merge_brackets=body["merge_brackets"])
+
+
+def scaffold_log(spark: SparkSession, path: str, tag: str = SCAFFOLD_FORMAT) -> tuple[dict, DataFrame]:
+    """The header of a merge log, its base alphabet included, and its records; an empty log or another tag is an error."""
     rows = spark.read.schema(SCAFFOLD).json(path)
     head = rows.where(F.col("format").isNotNull()).first()
-    if head is None or head["format"] != SCAFFOLD_FORMAT:
-        raise ValueError(f"not a {SCAFFOLD_FORMAT} log")
-    return head.asDict(), rows.where(F.col("format").isNull()).drop("format", "min_frequency", "vocab_size", "merge_brackets")
+    if head is None or head["format"] != tag:
+        raise ValueError(f"not a {tag} log: {None if head is None else head['format']}")
+    named = {k: head[k] for k in HEADER} | {"base_alphabet": [(int(i), g) for i, g in head["base_alphabet"] or []]}
+    return named, rows.where(F.col("format").isNull()).drop(*HEADER, "base_alphabet")
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -53,16 +114,34 @@ def record_or_none(path: str | Path) -> dict | None:
         return None
 
 
-def manifest(path: str | Path) -> tuple[bytes, dict]:
-    """A stage manifest: its bytes, to be hashed, and what they say."""
-    data = Path(path).read_bytes()
-    return data, json.loads(data)
+def _document(text: str) -> object:
+    """YAML where a reader for it is installed; else JSON, which is YAML too."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def manifest(path: str | Path, spark: SparkSession | None = None) -> tuple[bytes, dict]:
+    """A stage manifest: its bytes, to be hashed, and what they say. With a session the path is of any Hadoop file system."""
+    data = Path(path).read_bytes() if spark is None else get_text(spark, str(path)).encode()
+    return data, _document(data.decode())
+
+
+def config(path: str | Path, kind: type, spark: SparkSession | None = None):
+    """A configuration file as a dataclass; a name that it doesn't have is an error."""
+    body = manifest(path, spark)[1] or {}
+    names = {f.name for f in dataclasses.fields(kind)}
+    if unknown := sorted(set(body) - names):
+        raise ValueError(f"{kind.__name__} has no {', '.join(unknown)}")
+    return kind(**body)
 
 
-def complete(path: str | Path, schema: str = "raw_v1", keys: tuple[str, ...] = ("name", "n_rows", "shards")) -> bool:
+def complete(path: str | Path, schema: str = "raw_v1", keys: tuple[str, ...] = ("name", "n_rows", "shards"), spark: SparkSession | None = None) -> bool:
     """Whether a stage's manifest parses, has the schema and all keys."""
     try:
-        found = manifest(path)[1]
+        found = manifest(path, spark)[1]
     except (OSError, ValueError):
         return False
     return isinstance(found, dict) and found.get("schema") == schema and all(k in found for k in keys)

@@ -13,9 +13,10 @@ import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexforge.functions.hashing import shard_fingerprint
+from lexforge.session import written
 from lexforge.sources.delimited import file_digests
 
 STATE = "MANIFEST.json"
@@ -65,6 +66,20 @@ def publish(spark: SparkSession, df: DataFrame, target: str, *, rows_per_shard:
     fs.delete(old, True)
 
 
+def by_bytes(df: DataFrame, n_bytes: int, order: list[str]) -> DataFrame:
+    """``df`` with a shard number: rows in order, a new shard wherever another ``n_bytes`` of content have gone by.
+
+    Rows are dealt out by range and each range's bytes summed first, so the
+    running sum is made in every range by itself.
+    """
+    size = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).cast("long")
+    ranged = written(df.withColumn("_size", size).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = ranged.groupBy("_range").agg(F.sum("_size").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_range").alias("_own"), "_before")
+    upto = F.sum("_size").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("_upto", F.coalesce(upto, F.lit(0))).join(F.broadcast(before), F.col("_range") == F.col("_own"))
+    return placed.withColumn("shard", F.floor((F.col("_upto") + F.col("_before")) / n_bytes).cast("int")).select(*df.columns, "shard")
+
+
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     """(file, sha256, n_bytes, n_rows) of a table's files."""
     rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(folder).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -79,10 +94,12 @@ def verify_shards(found: DataFrame, expected: DataFrame) -> None:
         raise ValueError(f"shards differ: {', '.join(bad)}")
 
 
-def write_manifest(folder: str | Path, *, name: str, schema: str, found: DataFrame, **more) -> Path:
-    """A stage's manifest: its shards in order, their fingerprint, and counters."""
+def write_manifest(folder: str | Path, *, name: str, schema: str, found: DataFrame, spark: SparkSession | None = None, **more) -> Path:
+    """A stage's manifest: its shards in order, their fingerprint, and counters. With a session the folder is of any Hadoop file system."""
     rows = [r.asDict() for r in found.collect()]
     body = {"schema": schema, "name": name, "n_rows": sum(r["n_rows"] for r in rows), "shards": rows, "fingerprint": shard_fingerprint(r["sha256"] for r in rows) if rows else None} | more
+    if spark is not None:
+        return Path(put_text(spark, f"{folder}/{STATE}", json.dumps(body, indent=2, sort_keys=True, default=str) + "\n"))
     return write_json(Path(folder) / STATE, body)
 
 
@@ -98,6 +115,29 @@ def write_text(path: str | Path, text: str) -> Path:
     return path
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> str:
+    """As :func:`write_text`, on any Hadoop file system: written beside and renamed into place."""
+    jvm = spark.sparkContext._jvm
+    final, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    with contextlib.closing(fs.create(staging, True)) as out:
+        out.write(bytearray(text.encode()))
+    fs.delete(final, False)
+    fs.rename(staging, final)
+    return path
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """A small text file of any Hadoop file system; an OSError if there is none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    with contextlib.closing(fs.open(at)) as data:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(data)).decode()
+
+
 def write_json(path: str | Path, body: object) -> Path:
     """JSON with sorted keys, two spaces and a last line end; NaN for undefined ratios."""
     return write_text(path, json.dumps(body, indent=2, sort_keys=True, default=str) + "\n")

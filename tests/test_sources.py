@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lexforge.operators import tokenizers
 from lexforge.sources import artifacts, delimited, schemas, sinks
 
 
@@ -77,6 +78,48 @@ def test_artifacts(spark, tmp_path):
     assert artifacts.record_or_none(tmp_path / "nope.json") is None and not artifacts.complete(tmp_path / "nope.json")
 
 
+def test_tokenizers_saved_and_loaded(spark, tmp_path):
+    """Train, save, load: the same pieces and segments, and the table readers see the same pieces."""
+    words = ["banana", "bandana", "cabana", "abba", "nab", "[13CH3]", "Clan"] * 3
+    table = tokenizers.chunk_table(spark.createDataFrame([(w,) for w in words], "t string"), "t")
+    for own in (tokenizers.train_bpe(table, 30), tokenizers.train_unigram(table, 25, max_piece_length=4), tokenizers.train_bpe(table, 28, merge_brackets=True)):
+        folder = f"file://{tmp_path}/{own.kind}{own.merge_brackets}"
+        artifacts.save_tokenizer(spark, own, folder, corpus="test")
+        back = artifacts.load_tokenizer(spark, folder)
+        assert (back.kind, back.pieces, back.merges, back.merge_brackets) == (own.kind, own.pieces, own.merges, own.merge_brackets)
+        for w in set(words) | {"xyz", "bananab"}:
+            parts = tuple(w)
+            assert back.segment(parts) == own.segment(parts)
+        text = sinks.get_text(spark, f"{folder}/tokenizer.json")
+        read = (artifacts.bpe_vocabulary if own.kind == "bpe" else artifacts.unigram_vocabulary)(spark, text)
+        assert [tuple(r["glyphs"]) for r in read.orderBy("token_id").collect()] == own.pieces
+        assert json.loads(sinks.get_text(spark, f"{folder}/meta.json"))["corpus"] == "test"
+
+
+def test_manifests_and_configs_on_any_file_system(spark, tmp_path):
+    folder = f"file://{tmp_path}/stage"
+    sinks.publish(spark, spark.range(30).withColumn("t", F.lit("x")), folder, rows_per_shard=10, order=["id"])
+    sinks.write_manifest(folder, name="x", schema="raw_v1", found=sinks.shards(spark, folder), spark=spark)
+    assert artifacts.complete(f"{folder}/{sinks.STATE}", spark=spark) and not artifacts.complete(f"{folder}/none", spark=spark)
+    assert artifacts.manifest(f"{folder}/{sinks.STATE}", spark)[1]["n_rows"] == 30
+    path = sinks.put_text(spark, f"file://{tmp_path}/config.json", json.dumps({"source": "x", "path": "/a.tsv"}))
+    assert artifacts.config(path, delimited.Delimited, spark) == delimited.Delimited("x", "/a.tsv")
+    sinks.put_text(spark, path, json.dumps({"source": "x", "path": "/a.tsv", "colour": 1}))
+    with pytest.raises(ValueError):
+        artifacts.config(path, delimited.Delimited, spark)
+
+
+def test_shards_by_bytes(spark):
+    """A shard ends where its bytes are full, over ranges."""
+    rows = [(i, "x" * (i % 17)) for i in range(400)]
+    found = sinks.by_bytes(spark.createDataFrame(rows, "id int, t string").repartition(5), 500, ["id"]).orderBy("id").collect()
+    upto, want = 0, []
+    for i, t in rows:
+        want.append(upto // 500)
+        upto += len(json.dumps({"id": i, "t": t}, separators=(",", ":")))
+    assert [r["shard"] for r in found] == want
+
+
 def test_publish_and_manifest(spark, tmp_path):
     target = tmp_path / "stage"
     for n in (10, 20):
