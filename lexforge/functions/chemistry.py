@@ -38,6 +38,25 @@ class TextCanonicalizer:
         return []
 
 
+class SignCanonicalizer(TextCanonicalizer):
+    """Rewrites of the signs alone, without any chemistry: they exercise what is built on rewrites where no toolkit is installed."""
+
+    def kekulized(self, text: str) -> str | None:
+        return text.upper() if any("a" <= c <= "z" for c in text) else None
+
+    def explicit_hydrogens(self, text: str) -> str | None:
+        return text.replace("C", "[CH]")
+
+    def without_dative(self, text: str) -> str | None:
+        return text.replace("->", "-").replace("<-", "-") or None
+
+    def other_toolkit(self, text: str) -> str | None:
+        return text[::-1] if text[::-1] != text else None
+
+    def randomized(self, text: str, n: int, seed: int) -> list[str]:
+        return [text[i:] + text[:i] for i in range(seed + 1, seed + n + 1)]
+
+
 class ToolkitCanonicalizer:
     """Rewrites by RDKit; an unparseable string gives None."""
 

@@ -163,6 +163,13 @@ def nestedness(units: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def contrast(units: DataFrame, keep: list[str], a: str, b: str) -> DataFrame:
+    """Both arms of each text from the glyph counts of their tokens: n_a, n_b, the relative gap between them, and where their boundaries agree."""
+    sizes = lambda c: F.aggregate(F.col(c), F.lit(0), lambda s, n: (s + n).cast("int"))
+    told = units.select(*keep, F.size(a).alias("n_a"), F.size(b).alias("n_b"), nestedness_of(cut_positions(F.col(a)), cut_positions(F.col(b)), sizes(a)).alias("x"))
+    return told.select(*keep, "n_a", "n_b", relative_gap(F.col("n_a"), F.col("n_b")).alias("gap"), "x.*")
+
+
 def cut_through(tokens: DataFrame, by: list[str], piece: str, spans: str, cuts: str, klass) -> DataFrame:
     """By class of piece: how many were emitted, and how many the other arm cuts inside. tokens: arrays of pieces and their spans, both in order, and the other arm's ascending cuts."""
     inside = let(F.array_sort(cuts), lambda own: F.transform(_placed(F.col(spans), own), lambda x: F.coalesce(F.get(own, x["before"]) < x["end"], F.lit(False))))

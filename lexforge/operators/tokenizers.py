@@ -13,7 +13,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexforge.functions.lexing import GLYPHS, SPECIALS, chunks, glyphs
@@ -281,24 +283,40 @@ def encode(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, keep: list[str
     sent = spark.sparkContext.broadcast(tokenizer)
     kind = "array<struct<piece:array<string>,start:int,end:int,glyph:int,id:int>>"
 
-    @F.pandas_udf(kind)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
         for batch in parts:
-            yield batch.map(lambda chunked: None if chunked is None else _tokens(own, chunked))
+            yield _encoded(own, batch.to_pylist())
 
     parts = F.transform(chunks(F.col(text_col)), glyphs)
     return df.select(*([F.col(c) for c in keep] if keep is not None else ["*"]), run(parts).alias("tokens"))
 
 
-def _tokens(own: Tokenizer, chunked) -> list[dict]:
-    found, at, glyph = [], 0, 0
-    for parts in chunked:
-        for piece in own.segment(tuple(parts)):
-            size = sum(map(len, piece))
-            found.append({"piece": list(piece), "start": at, "end": at + size, "glyph": glyph, "id": own.ids.get(piece, -1)})
-            at, glyph = at + size, glyph + len(piece)
-    return found
+def _encoded(own: Tokenizer, texts: list) -> pa.Array:
+    """The tokens of texts given as chunks of glyphs, as one flat array of each field under lists."""
+    counts, names, of_piece, ids, sizes, n_glyphs = [], [], [], [], [], []
+    for chunked in texts:
+        found = [piece for parts in chunked or () for piece in own.segment(tuple(parts))]
+        counts.append(len(found))
+        for piece in found:
+            names.extend(piece)
+        of_piece.extend(map(len, found))
+        ids.extend([own.ids.get(piece, -1) for piece in found])
+        sizes.extend([sum(map(len, piece)) for piece in found])
+    n_glyphs = np.array(of_piece, np.int64)
+    edges = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+    def starts(n: np.ndarray) -> np.ndarray:  # within a text
+        before = np.concatenate(([0], np.cumsum(n)))
+        return before[:-1] - np.repeat(before[edges[:-1]], counts)
+
+    length = np.array(sizes, np.int64)
+    at = starts(length)
+    whole = lambda x: pa.array(np.asarray(x).astype(np.int32))
+    pieces = pa.ListArray.from_arrays(whole(np.concatenate(([0], np.cumsum(n_glyphs)))), pa.array(names, pa.string()))
+    tokens = pa.StructArray.from_arrays([pieces, whole(at), whole(at + length), whole(starts(n_glyphs)), whole(ids)], ["piece", "start", "end", "glyph", "id"])
+    return pa.ListArray.from_arrays(whole(edges), tokens, mask=pa.array([x is None for x in texts]))
 
 
 def lattice_entropy(run: Piece, scores: dict[Piece, float], longest: int) -> float:

@@ -12,9 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexforge.functions import chemistry, hashing, lexing
+from lexforge.functions import hashing, lexing
 from lexforge.operators import bootstrap, dedup, emission, sampling, tokenizers, vocabulary
-from lexforge.plans import audit, deposit, registry, sensitivity
+from lexforge.plans import audit, deposit, registry
 from lexforge.sources import schemas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,13 +340,6 @@ def rewrite_stability(spark, sf_dir):
     return rounded(emission.multiset_jaccard(counts, ["lang"], "w", "x", "y"), "jaccard")
 
 
-@query("WITH u AS (SELECT source, lang, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS t FROM documents), f AS (SELECT source, lang, avg(t) AS f FROM u GROUP BY ALL), n AS (SELECT lang, avg(t) AS n FROM u GROUP BY lang) SELECT source, round(max(f / n) FILTER (lang = 'de'), 6) AS de, round(max(f / n) FILTER (lang = 'en'), 6) AS en, round(max(f / n) FILTER (lang = 'es'), 6) AS es, round(max(f / n) FILTER (lang = 'fr'), 6) AS fr FROM f JOIN n USING (lang) GROUP BY source")
-def penalty_pivot(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", "lang", F.regexp_count("text", F.lit(ARM_B)).alias("t"))
-    f, n = docs.groupBy("source", "lang").agg(F.avg("t").alias("f")), docs.groupBy("lang").agg(F.avg("t").alias("n"))
-    return rounded(f.join(n, "lang").withColumn("r", F.col("f") / F.col("n")).groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.max("r")), "de", "en", "es", "fr")
-
-
 # registry, deposits and audits
 
 _GRID = "SELECT a AS algo, v::INT AS v, c AS corpus, b AS boundary, tier FROM (SELECT unnest(['bpe', 'unigram']) AS a), (SELECT unnest(['nmb', 'mb']) AS b), (SELECT v, c, 'headline' AS tier FROM (SELECT unnest([256, 512, 1024]) AS v), (SELECT unnest(['pubchem', 'zinc22', 'coconut']) AS c) UNION ALL VALUES (2048, 'pubchem', 'sensitivity'), (1024, 'real_space', 'anchor')) UNION ALL SELECT 'bpe', 2048, 'zinc22', unnest(['nmb', 'mb']), 'conditional'"
@@ -448,19 +441,20 @@ def bpe_scaffolds(spark, sf_dir):
 
 @query()
 def unigram_train(spark, sf_dir):
-    return tokenizers.train_unigram(_chunks(spark, sf_dir), 512, max_piece_length=8, shrink=0.5, sub_iterations=1).vocabulary(spark)
+    return tokenizers.train_unigram(_chunks(spark, sf_dir), 512).vocabulary(spark)
 
 
 @query()
 def segment_tokens(spark, sf_dir):
-    """Tokens of every benchmark item under a BPE tokenizer of the documents."""
-    return tokenizers.segment_table(table(spark, sf_dir, "benchmark"), "item_id", "text", tokenizers.train_bpe(_chunks(spark, sf_dir), 512))
+    """Tokens of every document under a BPE tokenizer of their words."""
+    return tokenizers.segment_table(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizers.train_bpe(_chunks(spark, sf_dir), 512))
 
 
 @query()
 def lattice_entropy(spark, sf_dir):
-    own = tokenizers.train_unigram(_chunks(spark, sf_dir), 512, max_piece_length=8, shrink=0.5, sub_iterations=1)
-    return tokenizers.segmentation_entropy(table(spark, sf_dir, "benchmark"), "item_id", "text", own)
+    """The entropy of every document's segmentations under a Unigram tokenizer of their words."""
+    own = tokenizers.train_unigram(_chunks(spark, sf_dir), 512)
+    return tokenizers.segmentation_entropy(table(spark, sf_dir, "documents"), "doc_id", "text", own)
 
 
 @query()
@@ -473,15 +467,3 @@ def bootstrap_ratio(spark, sf_dir):
 def bootstrap_poisson(spark, sf_dir):
     units = table(spark, sf_dir, "documents").select("lang", "doc_id", F.length("text").alias("g"), F.regexp_count("text", F.lit(ARM_B)).alias("t"))
     return bootstrap.poisson_ratio(units, "lang", "g", "t", "doc_id", seed=7)
-
-
-@query()
-def interaction_crossing(spark, sf_dir):
-    rungs = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("rung"), F.regexp_extract_all("text", F.lit(ARM_B), F.lit(0)).alias("w"))
-    cells = rungs.groupBy("rung").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("pieces"), F.avg(F.size("w")).alias("fertility"))
-    return sensitivity.crossing(cells, cells)
-
-
-@query()
-def canonical_plugin(spark, sf_dir):
-    return chemistry.canonicalize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", chemistry.TextCanonicalizer())[0]
