@@ -110,8 +110,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     ``most`` times, and a source's sum misses its target by at most half of one
     document (or of a group of repeated rows, which share a hash). A null text
     has size 0, as has an empty one; a null source is a source of its own. The
-    hash is of id and text, so reruns agree. Other columns are ignored. An
-    empty table gives an empty result.
+    hash is of id and text, so reruns agree; texts of any length are counted
+    whole. Other columns are ignored. An empty table gives an empty result. The
+    targets come from windows over one row a source, which one task sorts: that
+    holds for some millions of sources, not for one a document.
     """
     narrow, limits = source_limits(docs, **options)
     times = F.col("whole") + (F.col("hash") < F.col("bound")).cast("long")
@@ -119,7 +121,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; rows that it takes 0 times are gone. All columns stay."""
+    """``docs`` with each row repeated as often as the mix takes it; rows that it takes 0 times are gone.
+
+    All columns stay, whatever their names, in no set order; nulls, repeats, ties
+    and long texts are as :func:`mix` has them.
+    """
     names = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | options
     _, limits = source_limits(docs, **options)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[names["source_col"]].cast("string").alias("source"), _hash(names["id_col"], names["text_col"]).alias("hash"))

@@ -368,8 +368,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hold for sets of any size.
 
     Texts without words are one set and link to no other; a null text has no
-    words. Repeated rows fall into the same component. A null id
-    isn't in any component's minimum, but its row is returned. An empty table
+    words. Texts of any length are read whole. Repeated rows fall into the same
+    component. A null id isn't in any component's minimum, but its row is returned. An empty table
     gives an empty result; other columns aren't read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -229,7 +229,7 @@ def decoded(ids: list[int], table: list[bytes | None], dummy: bool, model: bytes
 
 
 def decode(encoded: DataFrame, model_path: str, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, ids) to (doc_id, the columns named in ``keep``, text); null ids give a null text."""
+    """(doc_id, ids) to (doc_id, the columns named in ``keep``, text); null ids give a null text, no ids an empty one, no rows none. Repeated rows are decoded alike, ids of any number whole."""
     model = model_bytes(model_path)
     names = ["doc_id", *keep]
     schema = T.StructType([*[encoded.schema[c] for c in names], T.StructField("text", T.StringType())])

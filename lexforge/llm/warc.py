@@ -79,7 +79,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     ``min_revisit_bytes``, the one with the largest id is a response and the
     others are revisits of it; a row with a null id revisits too, unless all of
     them are null. Repeated rows of that largest id are all responses. A null
-    URL has no target header. Other columns are ignored.
+    URL has no target header. A payload of any length is one record. An empty
+    table writes nothing and has an empty index. Other columns are ignored.
     """
     spark = pages.sparkSession
     base = pages.select(
@@ -135,7 +136,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     A response's digest and length are those of the payload as read, and a
     digest that differs from its header is an error. A revisit has them in its
-    headers, and a null payload.
+    headers, and a null payload. An index row that is given twice is read twice;
+    null ids and URLs come back as nulls, and without index rows nothing is read.
+    A record of any length is read whole, by one task.
     """
     source = uri(folder)
     # the number is given: index rows are few bytes, and would be put into one task by size

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.llm import langid, mixing, quality, secrets, simhash, spm, substring, syncmer
+from lexforge.llm import langid, mixing, permindex, quality, secrets, simhash, spm, substring, syncmer, warc
 from lexforge.llm.queries import MODEL
+from lexforge.session import shared_path
 
 OPERATORS = {
     "langid": langid.identify,
@@ -53,3 +54,33 @@ def test_stages(rows, request):
         assert docs.columns == columns, name
     last = corpus_pipeline.STAGES[-1][1](docs.sparkSession, docs, "")
     assert last.count() == docs.count()
+
+
+def test_archives(awkward, empty, clashing):
+    """Nulls, empty and very long payloads, repeats; beside columns with clashing names; nothing but nulls; no rows."""
+    run = lambda df: sorted(map(str, warc.round_trip(df, id_col="doc_id", url_col="source", payload_col="text").drop("payload").collect()))
+    plain = run(awkward)
+    assert len(plain) == awkward.count() and run(clashing) == plain and run(empty) == []
+    nulls = awkward.select(*[F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes])
+    assert [r["payload_bytes"] for r in warc.round_trip(nulls, id_col="doc_id", url_col="source", payload_col="text").collect()] == [0] * awkward.count()
+    folder = shared_path(awkward.sparkSession, "awkward-warc")
+    index = warc.write_archives(awkward, folder, id_col="doc_id", url_col="source", payload_col="text")
+    assert warc.read_records(index.where("false"), folder).count() == 0
+
+
+def test_vectors(spark):
+    """Ties, repeats, a very long vector, clashing names; nothing but nulls; no rows."""
+    rows = [(i, [float(i % 3), 1.0]) for i in range(45)] + [(60, [1.0] * 5000), (61, [2.0] * 5000), (None, [1.0, 1.0]), (40, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    run = lambda d: [tuple(r) for r in permindex.nearest(d).orderBy("query_id", "rank").collect()]
+    plain = run(df)
+    assert [r for r in plain if r[0] == 60] == [(60, 1, 61, 10000.0)] and [r[2] for r in plain if r[0] == 20] == [i for i in range(45) if i % 3 == 2 and i != 20] + [1, 4, 7, 10, 13, 16]
+    beside = df.select("*", *[F.lit(1).alias(c) for c in ("v", "dim", "mark", "own", "at", "asks", "b", "qb", "score", "rank", "query_id")])
+    assert run(beside) == plain
+    assert run(df.select("vec_id", F.lit(None).cast("array<double>").alias("embedding"))) == run(df.limit(0)) == []
+
+
+def test_nothing_but_nulls(awkward):
+    nulls = awkward.select(*[F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes])
+    for name, run in OPERATORS.items():
+        assert run(nulls).count() == awkward.count(), name
