@@ -19,28 +19,44 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it is trained on the stage's own input."""
+    """Documents that the quality classifier rejects go; it is trained on the stage's own input.
+
+    Null and empty texts have score 0 and go; repeated rows go or stay together.
+    Any other column stays as it is, and an empty table stays empty.
+    """
     return quality.keep_accepted(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (shingles of five words, similarity 0.8) the document with the smallest doc_id stays; of repeated rows of that id, one."""
+    """Of each group of near-duplicates (shingles of five words, similarity 0.8) the document with the smallest doc_id stays; of repeated rows of that id, one.
+
+    Null ids stay where no other id is alike; all null and empty texts are alike.
+    Of rows equal in id and text the first by its other columns stays. An empty
+    table stays empty.
+    """
     return simhash.keep_representatives(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; n_chars follows the new text. No document goes."""
+    """Secrets in texts are replaced by a mark; n_chars follows the new text. No document goes.
+
+    Null and empty texts, null paths and repeated rows stay as they are.
+    """
     redacted = secrets.redact(docs)
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, up to three times; those it takes 0 times are gone."""
+    """Documents as often as the mix takes them, up to three times; those it takes 0 times are gone.
+
+    Null sources are a source of their own; texts without words have size 0 and
+    are in as often as their source's other documents below the threshold.
+    """
     return mixing.apply_mix(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document encoded: doc_id, source, n_ids, ids."""
+    """Each document encoded: doc_id, source, n_ids, ids. A null or empty text has no ids; repeated rows are encoded alike."""
     encoded = spm.encode(docs, MODEL, keep=("source",))
     return encoded.select("doc_id", "source", F.size("ids").alias("n_ids"), "ids")
 
@@ -53,7 +69,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", tokens_stage),
 ]
 
-#: No stage but the secrets' pattern can be said in SQL: the pipeline is tested against brute force.
+#: No stage but the secrets' pattern can be said in SQL: the pipeline is tested against brute force, stage by stage (tests/llm/test_brute_force.py).
 ORACLE_SQL: str | None = None
 
 
