@@ -246,6 +246,24 @@ def test_repeats_dealt_out_in_two_steps(docs, texts, monkeypatch):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found.collect()} == brute_repeats(texts, 50)
 
 
+@pytest.mark.parametrize("most", [0, 5, 1 << 17])
+def test_hot_passages_equal_brute_force(spark, monkeypatch, most):
+    """A passage in every document, one in a third of them, repeated rows, null ids: with no hot window, a few, or all of them taken apart."""
+    monkeypatch.setattr(substring, "MOST", most)
+    r = random.Random(3)
+    license_, notice = [f"l{k}" for k in range(90)], [f"n{k}" for k in range(55)]
+    rows = []
+    for i in range(240):
+        own = [f"{i}w{k}" for k in range(r.randint(0, 80))]
+        cut = r.randint(0, len(own))
+        middle = license_ + (["x"] if i % 5 == 0 else []) + (notice if i % 3 == 0 else notice[: r.randint(0, 49)])
+        rows.append((i if i % 40 else 1000 + i, " ".join([*own[:cut], *middle, *own[cut:]])))
+    df = spark.createDataFrame([*rows, rows[7], rows[8]], "doc_id long, text string")
+    found = [(x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in substring.remove_repeats(df).collect()]
+    want = brute_repeats(rows, 50)
+    assert len(found) == 242 and all((n, m, kept) == want[i] for i, n, m, kept in found)
+
+
 @pytest.mark.parametrize("window", [7, 8])
 def test_repeats_with_few_words(spark, window):
     r = random.Random(window)
