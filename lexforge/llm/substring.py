@@ -6,7 +6,7 @@ whole block wherever it starts, so each repeated passage has an anchor: a
 rolling window equal to an indexed block of another document.
 
 Extension: the windows of ``window`` words that contain an anchor are compared
-in full (by two independent 64-bit hashes of their word sequences) with those of
+in full (by 96 bits of two independent hashes of their word sequences) with those of
 all other documents, which gives, as a union of overlapping windows, the maximal
 exact repeats of at least ``window`` words. For each sequence only the smallest id
 that has it is kept, never a pair.
@@ -45,8 +45,8 @@ SAMPLE, SHARE, FEWEST, MOST = 20_000, 1 / 256, 16, 1 << 17
 FAN = 4096
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _POWERS = {k: [np.ones(1, np.uint64), np.ones(1, np.uint64)] for k in range(2)}
-#: A window of full length, by two hashes.
-WIDE = np.dtype([("a", "<u8"), ("b", "<u8")])
+#: A window of full length, by two hashes; a slot keeps 96 bits of them.
+WIDE, KEPT = np.dtype([("a", "<u8"), ("b", "<u8")]), np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def _powers(n: int, which: int) -> list[np.ndarray]:
@@ -425,7 +425,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         found = longer(own, block, window)[starts_of(own, row[3], row[4])]
         return found[~warm.find(found["a"])[0]]
 
-    repeats = with_hot(told(packed(hit, extensions, slots, WIDE, WIDE), "repeat", WIDE, _earlier), found_warm)
+    repeats = with_hot(told(packed(hit, extensions, slots, KEPT, WIDE), "repeat", KEPT, _earlier), found_warm)
     # of the anchors, only those of rows that lose words matter now
     known = repeats.join(anchors.withColumnRenamed("own", "its"), F.col("own") == F.col("its")).drop("its")
 
