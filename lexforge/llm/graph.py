@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexforge.session import written
+from lexforge.session import forget, written
 
 
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -23,8 +23,9 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     now = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
     if now.isEmpty():
         return spark.createDataFrame([], "node long, root long")
-    mark = None
+    mark, large = None, None
     for _ in range(most_rounds):
+        last, before = now, large
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("hub"), F.least("u", "m").alias("m"))
         large = both.join(low, both["u"] == low["hub"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -33,6 +34,7 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         stars = large.join(small, large["u"] == small["hub"])
         now = written(stars.select("v", "m").where("v <> m").union(small).toDF("u", "v").distinct(), "links")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        forget(last, before)  # what this round was made from
         if state == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = state
