@@ -11,6 +11,8 @@ estimator of the same interval, so results are labelled by method.
 from __future__ import annotations
 
 import math
+import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,13 +39,26 @@ def percentile_interval(samples: Column, n: int, level: float = LEVEL) -> Column
     return F.struct(F.get(at, F.lit(low)).alias("low"), F.get(at, F.lit(max(low, high))).alias("high"))
 
 
-def ratio_interval(numerator: np.ndarray, denominator: np.ndarray, seed: int, resamples: int = RESAMPLES, level: float = LEVEL) -> tuple[float, float]:
+def draws(n: int, seed: int, resamples: int, generator: str = "numpy") -> Iterator[np.ndarray]:
+    """How often each of ``n`` units is drawn, for each resample, by numpy's generator or the standard library's."""
+    if generator not in ("numpy", "stdlib"):
+        raise ValueError("generator: numpy or stdlib")
+    if generator == "numpy":
+        rng = np.random.default_rng(seed)
+        yield from (np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(resamples))
+    else:
+        pick = random.Random(seed).randrange
+        yield from (np.bincount(np.fromiter((pick(n) for _ in range(n)), np.int64, n), minlength=n) for _ in range(resamples))
+
+
+def ratio_interval(numerator: np.ndarray, denominator: np.ndarray, seed: int, resamples: int = RESAMPLES, level: float = LEVEL, generator: str = "numpy") -> tuple[float, float]:
     """The interval of sum over sum, resampling units; resamples whose denominator is 0 are left out."""
+    if len(numerator) != len(denominator):
+        raise ValueError("as many numerators as denominators are needed")
     if not len(numerator):
         return math.nan, math.nan
-    rng, n, found = np.random.default_rng(seed), len(numerator), []
-    for _ in range(resamples):
-        weight = np.bincount(rng.integers(0, n, n), minlength=n)
+    found = []
+    for weight in draws(len(numerator), seed, resamples, generator):
         if below := float(weight @ denominator):
             found.append(float(weight @ numerator) / below)
     if not found:
@@ -57,13 +72,13 @@ def mean_interval(values: np.ndarray, seed: int, resamples: int = RESAMPLES, lev
     return ratio_interval(values, np.ones(len(values)), seed, resamples, level)
 
 
-def exact_ratio(units: DataFrame, key: str, numerator: str, denominator: str, order: str, *, offset: int = 0, resamples: int = RESAMPLES) -> DataFrame:
+def exact_ratio(units: DataFrame, key: str, numerator: str, denominator: str, order: str, *, offset: int = 0, resamples: int = RESAMPLES, generator: str = "numpy") -> DataFrame:
     """(key, low, high): the exact interval for each cell; its seed comes from the key's text, plus an offset for a second statistic."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(order)
         name = str(own[key].iloc[0])
-        low, high = ratio_interval(own[numerator].to_numpy(float), own[denominator].to_numpy(float), bootstrap_seed(name) + offset, resamples)
+        low, high = ratio_interval(own[numerator].to_numpy(float), own[denominator].to_numpy(float), bootstrap_seed(name) + offset, resamples, generator=generator)
         return pd.DataFrame({key: [own[key].iloc[0]], "low": [low], "high": [high]})
 
     return units.select(key, order, numerator, denominator).groupBy(key).applyInPandas(run, f"{key} {units.schema[key].dataType.simpleString()}, low double, high double")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import subprocess
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexforge.operators.emission import threshold
 from lexforge.operators.tokenizers import Tokenizer
+from lexforge.sources.artifacts import load_tokenizer
+from lexforge.sources.sinks import get_text
 
 
 def digest(own: Tokenizer) -> dict[str, str]:
@@ -71,6 +75,34 @@ class Seams:
     after: list[Callable[[str], None]] = field(default_factory=list)
 
 
+def isolated(command: Callable[[str], list[str]]) -> Callable[[str], None]:
+    """A way to train each cell in a process of its own: ``command`` gives its arguments; a failure is an error that names the cell."""
+
+    def train(cell: str) -> None:
+        ended = subprocess.run(command(cell), check=False)
+        if ended.returncode:
+            raise RuntimeError(f"{cell}: ended with {ended.returncode}")
+
+    return train
+
+
+def trained_from(spark: SparkSession, folder: str, corpus_sha: str) -> bool:
+    """Whether a folder has a tokenizer that loads, with the pieces its record says, made from this corpus."""
+    try:
+        meta = json.loads(get_text(spark, f"{folder}/meta.json"))
+        own = load_tokenizer(spark, folder)
+    except (OSError, ValueError, KeyError):
+        return False
+    return meta.get("corpus_sha") == corpus_sha and meta.get("vocab_size") == len(own.pieces)
+
+
+def confirm(ranked: DataFrame, by: list[str], deposits: DataFrame, *, p: float = 0.95, n_min: int = 100, force: bool = False) -> DataFrame:
+    """Threshold records of the cells that have none yet (of all, if forced), beside the ones there are. Both have the columns of :func:`threshold`."""
+    due = ranked if force else ranked.join(deposits.select(*by), by, "left_anti")
+    made = threshold(due, by, p, n_min)
+    return made if force else deposits.unionByName(made)
+
+
 def dispatch(cells: Iterable[str], seams: Seams, *, force: bool = False, dry_run: bool = False, log: Callable[[str], None] = print) -> list[str]:
     """Cells in order; those done are skipped, unless forced. Returns what was (or would be) trained."""
     ran = []

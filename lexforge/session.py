@@ -82,7 +82,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_path = path
+    return found
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables of :func:`written` that nothing will read any more."""
+    for own in tables:
+        if path := getattr(own, "_written_path", None):
+            _drop(own.sparkSession, path)
 
 
 def uri(path: str) -> str:

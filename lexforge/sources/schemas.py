@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 RAW_V1 = T.StructType([
@@ -12,6 +14,13 @@ RAW_V1 = T.StructType([
 ])
 
 
+def identifier(name: str) -> str:
+    """A name quoted for SQL; an error unless it is letters, digits and underscores and doesn't begin with a digit."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"not an identifier: {name!r}")
+    return f"`{name}`"
+
+
 def coerce(df: DataFrame, schema: T.StructType = RAW_V1) -> DataFrame:
     """The schema's columns by name, cast; other columns go. A null where the schema has none is an error when it is met."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).to(T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))

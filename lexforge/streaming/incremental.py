@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from lexforge.operators.dedup import dedup_window
+
 
 def keyed_dedup(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """Each key once within the delay of the watermark; state older than that goes."""
@@ -24,7 +26,7 @@ def deposit_stream(stream: DataFrame, target: str, key: str, checkpoint: str, co
         spark = batch.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        new = batch.dropDuplicates([key])
+        new = dedup_window(batch, key, [])  # of rows of one key the first by the other columns, in every rerun
         if there:
             new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
         compute(new).write.mode("append").parquet(target)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge.functions import lexing
+from lexforge.functions.hashing import bootstrap_seed
 from lexforge.operators import bootstrap, dedup, emission, sampling, tokenizers, vocabulary
 
 
@@ -261,3 +262,22 @@ def test_segmentation_entropy_is_summed_over_chunks(spark, corpus):
     found = {r["id"]: r["entropy"] for r in tokenizers.segmentation_entropy(corpus, "id", "t", own).collect()}
     for r in corpus.select("id", F.transform(lexing.chunks(F.col("t")), lexing.glyphs).alias("c")).limit(40).collect():
         assert found[r["id"]] == pytest.approx(sum(tokenizers.lattice_entropy(x, own.scores, own.longest) for c in r["c"] for x in tokenizers.runs(tuple(c), False)), abs=1e-9)
+
+
+def test_intervals_by_the_standard_library():
+    """Against the plain loop: indices drawn one by one, sums over them, places among the sorted ratios."""
+    numerators, denominators = [3, 5, 2, 8, 13, 1, 4], [1, 2, 0, 3, 5, 0, 2]
+    for seed in (123, bootstrap_seed("pubchem__smirk_gpe_v256_nmb")):
+        rng, found = random.Random(seed), []
+        for _ in range(200):
+            drawn = [rng.randrange(7) for _ in range(7)]
+            if below := sum(denominators[i] for i in drawn):
+                found.append(sum(numerators[i] for i in drawn) / below)
+        found.sort()
+        low, high = bootstrap.bounds(len(found))
+        got = bootstrap.ratio_interval(np.array(numerators, float), np.array(denominators, float), seed, 200, generator="stdlib")
+        assert got == pytest.approx((found[low], found[high]))
+    with pytest.raises(ValueError):
+        bootstrap.ratio_interval(np.ones(2), np.ones(3), 1)
+    with pytest.raises(ValueError):
+        bootstrap.ratio_interval(np.ones(2), np.ones(2), 1, generator="other")

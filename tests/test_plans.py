@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge import plans
-from lexforge.operators import tokenizers
+from lexforge.operators import emission, tokenizers
 from lexforge.plans import audit, deposit, registry, sensitivity
+from lexforge.sources import artifacts, schemas
 from lexforge.streaming import deposit_stream, keyed_dedup
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -55,6 +56,33 @@ def test_registry(spark):
     assert registry.smallest_bpe(cells.where("kind is null")).where("corpus = 'zinc22' and boundary = 'mb'").first()["bpe_cell_id"] == "zinc22__bpe_v256_mb"
 
 
+def test_cells_done_and_isolated(spark, tmp_path):
+    folder, table = f"file://{tmp_path}/cell", spark.createDataFrame([(list("abab"), 3), (list("abc"), 2)], "glyphs array<string>, n long")
+    assert not audit.trained_from(spark, folder, "x")
+    artifacts.save_tokenizer(spark, tokenizers.train_bpe(table, 6), folder, corpus_sha="x")
+    assert audit.trained_from(spark, folder, "x") and not audit.trained_from(spark, folder, "y")
+    train = audit.isolated(lambda c: [sys.executable, "-c", f"open(r'{tmp_path}/{c}', 'w')" if c != "bad" else "raise SystemExit(3)"])
+    assert audit.dispatch(["a", "b"], audit.Seams(done=lambda c: c == "a", train=train), log=lambda line: None) == ["b"]
+    assert (tmp_path / "b").exists() and not (tmp_path / "a").exists()
+    with pytest.raises(RuntimeError):
+        train("bad")
+
+
+def test_confirmation_skips_what_is_there(spark):
+    ranked = spark.createDataFrame([("x", r, 300 - 100 * r) for r in range(1, 4)] + [("y", 1, 500)], "cell string, rank int, n long")
+    first = audit.confirm(ranked.where("cell = 'y'"), ["cell"], emission.threshold(ranked.limit(0), ["cell"], 0.95, 100))
+    both = {r["cell"]: (r["clearing"], r["crossed"], r["first_rank_below"]) for r in audit.confirm(ranked, ["cell"], first.withColumn("clearing", F.lit(7).cast("long"))).collect()}
+    assert both == {"x": (2, False, 3), "y": (7, True, None)}
+    assert {r["clearing"] for r in audit.confirm(ranked, ["cell"], first, force=True).collect()} == {1, 2}
+
+
+def test_identifiers():
+    assert schemas.identifier("doc_id") == "`doc_id`"
+    for bad in ("", "1a", "a b", "a`; drop", "é"):
+        with pytest.raises(ValueError):
+            schemas.identifier(bad)
+
+
 def test_deposits(spark):
     names = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
     have = spark.createDataFrame([("a", "old", 1), ("b", "new", 2)], "k string, sha string, v int")
