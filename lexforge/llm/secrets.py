@@ -27,6 +27,8 @@ from lexforge.functions.arrays import let, starts
 _RUN = r"A-Za-z0-9+/_\-"
 #: Names whose value is a candidate whatever it looks like; up to 8 more characters of the name may follow.
 _NAMES = r"(?i:passw|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|signing[_\- ]?key|credential)[\w\-]{0,8}"
+#: A long run with a digit.
+_DIGITS = rf"(?<![{_RUN}])(?=[A-Za-z+/_\-]*[0-9])[{_RUN}]{{16,}}={{0,2}}"
 #: What a candidate is: a private key block, a password in a URL (after a user of up to 64 characters), a quoted value after a name, an unquoted one, a bearer's token, tokens with dots, and runs with a digit. None has an upper length. The lookaheads let a word without a digit fail at its first character.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,32}PRIVATE KEY-----"
@@ -35,7 +37,7 @@ CANDIDATE = (
     rf"|(?<=[:=]\s{{0,2}})(?![\s:=])(?<={_NAMES}[\"']?\s{{0,2}}[:=]{{1,2}}\s{{0,2}})[^\s\"'`<>]{{5,}}[^\s\"'`<>.,;:)\]}}]"
     rf"|(?<=[Bb]earer )[{_RUN}.]{{15,}}[{_RUN}]={{0,2}}"
     rf"|(?<![{_RUN}])(?:SG\.[\w\-]{{8,}}\.[\w\-]{{8,}}|eyJ[\w\-]{{8,}}\.[\w\-]{{4,}}(?:\.[\w\-]+)?)"
-    rf"|(?<![{_RUN}])(?=[A-Za-z+/_\-]*[0-9])[{_RUN}]{{16,}}={{0,2}}"
+    rf"|{_DIGITS}"
 )
 #: Characters before and after a candidate that are looked at.
 BEFORE, AFTER = 48, 16
@@ -227,6 +229,24 @@ def _tree(tree, x: Column) -> Column:
     return F.when(F.get(x, F.lit(tree[0])) <= tree[1], _tree(tree[2], x)).otherwise(_tree(tree[3], x))
 
 
+def candidates(text: Column) -> Column:
+    """All candidates of a text, in order.
+
+    Each form but runs with a digit holds a string that most texts lack, and runs
+    hold a digit: what a text can't have isn't looked for, as the whole pattern
+    costs several times what finding those strings does.
+    """
+    low = F.lower(text)
+    every = lambda *parts: [low.contains(x) for x in parts]
+    named = every("passw", "pwd", "secret", "token", "credential", "bearer ") + [low.contains("key") & low.rlike("api|access|private|signing")]
+    other = [text.contains(x) for x in ("://", "SG.", "eyJ", "-----BEGIN ")]
+    some = named[0]
+    for x in [*named[1:], *other]:
+        some = some | x
+    none = F.array().cast("array<string>")
+    return F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(_DIGITS), F.lit(0))).otherwise(F.when(text.isNotNull(), none))
+
+
 def findings_of(text: Column, path: Column, forest: list) -> Column:
     """All candidates of a text, in order: array of (value, start, score, piece before). ``start`` counts characters from 0."""
 
@@ -248,7 +268,7 @@ def findings_of(text: Column, path: Column, forest: list) -> Column:
         kind = "array<struct<value:string,start:int,score:double,before:string>>"
         return F.when(F.size(found) > 0, let(F.split(text, CANDIDATE, -1), with_pieces)).otherwise(F.array().cast(kind))
 
-    return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), with_candidates)
+    return let(candidates(text), with_candidates)
 
 
 def _path(docs: DataFrame, path_col: str | None) -> Column:
