@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexforge.functions.lexing import piece_class, proper_substrings, surface
+from lexforge.functions.lexing import piece_class, surface
+
+
+def _sides(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, a, b): which sides each key is on. One shuffle of what each task has once, and no join; null is a key like any other."""
+    told = [d.select(key, F.lit(of_a).alias("a"), F.lit(not of_a).alias("b")) for d, of_a in ((a, True), (b, False))]
+    return told[0].union(told[1]).groupBy(key).agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
 
 
 def jaccard(a: DataFrame, b: DataFrame, key: str = "piece") -> DataFrame:
     """n_a, n_b, shared and the share of the union; null for two empty sets."""
-    sides = a.select(key).distinct().withColumn("a", F.lit(1)).join(b.select(key).distinct().withColumn("b", F.lit(1)), key, "full_outer")
-    counts = sides.agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
+    counts = _sides(a, b, key).agg(F.count_if("a").alias("n_a"), F.count_if("b").alias("n_b"), F.count_if(F.col("a") & F.col("b")).alias("shared"))
     return counts.withColumn("jaccard", F.try_divide(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
@@ -23,9 +28,12 @@ def normalized(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame:
 
 def weighted_jaccard(a: DataFrame, b: DataFrame, key: str = "piece", n: str = "n") -> DataFrame:
     """The sum of smaller over the sum of larger weights, over all pieces of either side."""
-    x, y = (normalized(d.groupBy(key).agg(F.sum(n).alias(n)), [], n).select(key, F.col("weight").alias(w)) for d, w in ((a, "wa"), (b, "wb")))
-    both = x.join(y, key, "full_outer").select(F.coalesce("wa", F.lit(0.0)).alias("wa"), F.coalesce("wb", F.lit(0.0)).alias("wb"))
-    return both.agg(F.count_if((F.col("wa") > 0) & (F.col("wb") > 0)).alias("shared"), F.count(F.lit(1)).alias("n_union"), F.try_divide(F.sum(F.least("wa", "wb")), F.sum(F.greatest("wa", "wb"))).alias("weighted_jaccard"))
+    told = [d.select(key, *[F.col(n).alias(c) if own else F.lit(None).alias(c) for c, own in (("a", of_a), ("b", not of_a))]) for d, of_a in ((a, True), (b, False))]
+    both = told[0].union(told[1]).groupBy(key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    totals = both.agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))  # one row
+    weight = lambda c: F.when((F.col(f"_{c}") > 0) & F.col(c).isNotNull(), F.col(c) / F.col(f"_{c}"))
+    shares = both.crossJoin(F.broadcast(totals)).select(weight("a").alias("wa"), weight("b").alias("wb")).where("wa is not null or wb is not null").na.fill(0.0)
+    return shares.agg(F.count_if((F.col("wa") > 0) & (F.col("wb") > 0)).alias("shared"), F.count(F.lit(1)).alias("n_union"), F.try_divide(F.sum(F.least("wa", "wb")), F.sum(F.greatest("wa", "wb"))).alias("weighted_jaccard"))
 
 
 def restricted(counts: DataFrame, allowed: DataFrame, key: str = "piece") -> DataFrame:
@@ -40,8 +48,7 @@ def multi_glyph(vocabulary: DataFrame) -> DataFrame:
 
 def membership(a: DataFrame, b: DataFrame, key: str = "piece") -> DataFrame:
     """(piece, class): shared, a_only or b_only."""
-    both = a.select(key).distinct().withColumn("a", F.lit(True)).join(b.select(key).distinct().withColumn("b", F.lit(True)), key, "full_outer")
-    return both.select(key, F.when(F.col("a").isNull(), "b_only").when(F.col("b").isNull(), "a_only").otherwise("shared").alias("class"))
+    return _sides(a, b, key).select(key, F.when(~F.col("a"), "b_only").when(~F.col("b"), "a_only").otherwise("shared").alias("class"))
 
 
 def membership_counts(j: float, n_a: int, n_b: int) -> tuple[int, int, int]:
@@ -112,23 +119,33 @@ def closure(vocabulary: DataFrame, by: list[str]) -> DataFrame:
     pieces of the vocabulary; of those of three or more, c_orph, the share of
     orphans, with no proper part of two or more glyphs among the multi-glyph
     pieces; c_full, the share whose proper parts (of two or more glyphs) are all
-    in. Parts are looked up by join, once each; what travels is the glyphs joined by
-    a separator that none has, which is shorter than an array and as exact.
+    in. Parts are looked up by one join, each with where it lies, and only parts as
+    long as some piece of the vocabulary: no others can be in it, so a piece
+    of n glyphs has n rows a length that occurs. What travels is the
+    glyphs joined by a separator that none has, and the piece's name, or its
+    SHA-256 if that is shorter. Distinct lengths go to all tasks as one row.
     """
     key = lambda p: F.array_join(p, "\x1f")
-    multi = vocabulary.where(F.size("piece") >= 2).select(*by, "piece").distinct()
-    own = vocabulary.select(*by, key(F.col("piece")).alias("part")).distinct().withColumn("known", F.lit(True))
     n = F.size("piece")
-    cuts = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(i.alias("cut"), F.array(key(F.slice("piece", F.lit(1), i)), key(F.slice("piece", i + 1, n - i))).alias("parts")))
-    multi = multi.withColumn("name", key(F.col("piece")))
-    halves = multi.select(*by, "name", F.explode(cuts).alias("c")).select(*by, "name", "c.cut", F.explode("c.parts").alias("part"))
-    split = halves.join(own, [*by, "part"], "left").groupBy(*by, "name", "cut").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("both"))
-    binary = split.groupBy(*by, "name").agg(F.bool_or("both").alias("bin"))
-    parts = multi.where(n >= 3).select(*by, "name", F.explode(F.transform(proper_substrings(F.col("piece")), key)).alias("part"))
-    held = parts.join(own, [*by, "part"], "left").groupBy(*by, "name").agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("some"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all"))
-    joined = binary.join(held, [*by, "name"], "left")
-    counted = joined.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_multi"), F.count("some").alias("n_ge3"), F.count_if("bin").alias("n_bin_closed"), F.count_if(~F.col("some")).alias("n_orphan"),
-        F.count_if(F.coalesce("all", F.lit(True))).alias("n_full_closed"), F.count_if(F.array_contains(F.split("name", "\x1f"), "[") & ~F.col("bin")).alias("n_bracket_open"),
+    own = vocabulary.select(*by, key(F.col("piece")).alias("part"), n.alias("len")).distinct()
+    name = key(F.col("piece"))
+    multi = vocabulary.where(n >= 2).select(*by, "piece").distinct().select(*by, "piece", n.alias("n"), F.when(F.length(name) > 64, F.sha2(name, 256)).otherwise(name).alias("name"))
+    lengths = own.agg(F.collect_set("len").alias("lengths"))
+    # where parts lie is exploded and what they are cut from the row after it, in compiled code; single glyphs matter only as the ends of a piece
+    placed = multi.crossJoin(F.broadcast(lengths)).select(*by, "name", "n", "piece", F.explode(F.filter("lengths", lambda k: (k >= 1) & (k < F.col("n")))).alias("len"))
+    last = F.col("n") - F.col("len")
+    placed = placed.select("*", F.explode(F.when(F.col("len") > 1, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0), last))).alias("at"))
+    parts = placed.select(*by, "name", "n", "len", "at", key(F.slice("piece", F.col("at") + 1, F.col("len"))).alias("part"))
+    held = parts.join(own.select(*by, "part"), [*by, "part"], "left_semi").groupBy(*by, "name", "n").agg(
+        F.count_if(F.col("len") >= 2).alias("known"),
+        F.collect_set(F.when(F.col("at") == 0, F.col("len"))).alias("heads"),
+        F.collect_set(F.when(F.col("at") + F.col("len") == F.col("n"), F.col("at"))).alias("tails"),
+    )
+    told = multi.select(*by, "name", "n", F.array_contains("piece", "[").alias("bracket")).join(held.drop("n"), [*by, "name"], "left")
+    known, inner = F.coalesce("known", F.lit(0)), F.col("n").cast("long") * (F.col("n") - 1) / 2 - 1
+    binary = F.coalesce(F.arrays_overlap("heads", "tails"), F.lit(False))
+    counted = told.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_multi"), F.count_if(F.col("n") >= 3).alias("n_ge3"), F.count_if(binary).alias("n_bin_closed"), F.count_if((F.col("n") >= 3) & (known == 0)).alias("n_orphan"),
+        F.count_if(known == inner).alias("n_full_closed"), F.count_if(F.col("bracket") & ~binary).alias("n_bracket_open"),
     )
     return counted.select("*", F.try_divide("n_bin_closed", "n_multi").alias("c_bin"), F.try_divide("n_orphan", "n_ge3").alias("c_orph"), F.try_divide("n_full_closed", "n_multi").alias("c_full"))
