@@ -30,6 +30,13 @@ def bounds(n: int, level: float = LEVEL) -> tuple[int, int]:
     return low, max(0, min(n - 1, int((1 - tail) * n) - 1))
 
 
+def places(n: Column, level: float = LEVEL) -> tuple[Column, Column]:
+    """:func:`bounds` of a column of sizes."""
+    tail = (1 - level) / 2
+    at = lambda share: F.floor(n * F.lit(share))
+    return F.least(n - 1, at(tail)), F.greatest(F.lit(0), F.least(n - 1, at(1 - tail) - 1))
+
+
 def percentile_interval(samples: Column, n: int, level: float = LEVEL) -> Column:
     """(low, high) of an array of ``n`` resamples, by order statistics; null for none."""
     if n == 0:

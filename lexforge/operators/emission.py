@@ -53,6 +53,13 @@ def pair_deltas(a: DataFrame, b: DataFrame, on: list[str], values: list[str], sa
     return joined.select(*on, *[c for v in values for c in (f"{v}_a", f"{v}_b")], *[(F.col(f"{v}_b") - F.col(f"{v}_a")).alias(f"delta_{v}") for v in values], *[F.col(f"{v}_a").eqNullSafe(F.col(f"{v}_b")).alias(f"same_{v}") for v in same])
 
 
+def arms_beside(rows: DataFrame, arm: str, on: list[str], values: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """:func:`pair_deltas` of two arms in one table, by one aggregation; keys that lack an arm go."""
+    of = lambda v, which: F.max(F.when(F.col(arm) == which, F.col(v)))
+    both = rows.groupBy(*on).agg(F.count_if(F.col(arm) == a).alias("_a"), F.count_if(F.col(arm) == b).alias("_b"), *[x for v in values for x in (of(v, a).alias(f"{v}_a"), of(v, b).alias(f"{v}_b"))])
+    return both.where("_a > 0 and _b > 0").drop("_a", "_b").select("*", *[(F.col(f"{v}_b") - F.col(f"{v}_a")).alias(f"delta_{v}") for v in values])
+
+
 def distribution(counts: DataFrame, by: list[str], size: Column | None = None, alpha: float = 2.5, n: str = "n") -> DataFrame:
     """From counts by piece, of a vocabulary of ``size`` (the live pieces, if not given): tokens, live pieces, imbalance D, normalised entropy eta and Renyi efficiency.
 
@@ -73,9 +80,10 @@ def distribution(counts: DataFrame, by: list[str], size: Column | None = None, a
     )
 
 
-def clearance(vocabulary: DataFrame, counts: DataFrame, by: list[str], thresholds: tuple[int, ...] = (50, 100, 200), key: str = "piece") -> DataFrame:
-    """The share of a vocabulary that fires at least n times, pieces that never fire included; unsafe if under 0.95 fire 100 times."""
-    fired = vocabulary.select(*by, key).distinct().join(counts.groupBy(*by, key).agg(F.sum("n").alias("n")), [*by, key], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def clearance(vocabulary: DataFrame | None, counts: DataFrame, by: list[str], thresholds: tuple[int, ...] = (50, 100, 200), key: str = "piece") -> DataFrame:
+    """The share of a vocabulary that fires at least n times, pieces that never fire included; unsafe if under 0.95 fire 100 times. Without a vocabulary it is the pieces that are counted, and nothing is joined."""
+    counts = counts.groupBy(*by, key).agg(F.sum("n").alias("n"))
+    fired = counts if vocabulary is None else vocabulary.select(*by, key).distinct().join(counts, [*by, key], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     shares = [F.avg((F.col("n") >= t).cast("int")).alias(f"f_{t}") for t in thresholds]
     return fired.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pieces"), *shares).withColumn("unsafe", F.col("f_100") < 0.95 if 100 in thresholds else F.lit(None).cast("boolean"))
 

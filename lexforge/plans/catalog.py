@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexforge.functions import hashing, lexing
 from lexforge.operators import bootstrap, dedup, emission, sampling, tokenizers, vocabulary
@@ -256,7 +256,7 @@ def distribution_intrinsics(spark, sf_dir):
 @query(f"WITH c AS (SELECT lang, piece, count(*) AS n FROM ({_WORDS}) GROUP BY ALL) SELECT lang, count(*) AS n_pieces, round(avg((n >= 50)::INT), 6) AS f_50, round(avg((n >= 100)::INT), 6) AS f_100, round(avg((n >= 200)::INT), 6) AS f_200, avg((n >= 100)::INT) < 0.95 AS unsafe FROM c GROUP BY lang")
 def clearance_fpn(spark, sf_dir):
     counts = words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(emission.clearance(counts, counts, ["lang"]), "f_50", "f_100", "f_200")
+    return rounded(emission.clearance(None, counts, ["lang"]), "f_50", "f_100", "f_200")
 
 
 @query(
@@ -280,9 +280,8 @@ def _arm_counts(spark, sf_dir) -> DataFrame:
     SELECT lang, p::DOUBLE AS p, n, round(a, 6) AS f_a, round(b, 6) AS f_b, round(b - a, 6) AS delta, a < p OR b < p AS any_unsafe, a < p AND b < p AS both_unsafe FROM f, (SELECT unnest([0.9, 0.95, 0.99]) AS p)"""
 )
 def dead_zone(spark, sf_dir):
-    counts = _arm_counts(spark, sf_dir)
-    shares = emission.clearance(counts, counts, ["lang", "arm"])
-    both = emission.pair_deltas(shares.where("arm = 'a'"), shares.where("arm = 'b'"), ["lang"], ["f_50", "f_100", "f_200"])
+    shares = emission.clearance(None, _arm_counts(spark, sf_dir), ["lang", "arm"])
+    both = emission.arms_beside(shares, "arm", ["lang"], ["f_50", "f_100", "f_200"])
     return rounded(emission.dead_zone(both, ["lang"]), "f_a", "f_b", "delta")
 
 
@@ -322,11 +321,15 @@ def nestedness_cuts(spark, sf_dir):
 )
 def transfer_matrix(spark, sf_dir):
     """Words of one language that another's vocabulary lacks. Words are looked up once each, not once a text."""
-    counts = words(spark, sf_dir).groupBy("lang", "doc_id", "piece").agg(F.count(F.lit(1)).alias("n"))
+    counts = words(spark, sf_dir).where("lang is not null").groupBy("lang", "doc_id", "piece").agg(F.count(F.lit(1)).alias("n"))
     owners = counts.select("piece", "lang").distinct().groupBy("piece").agg(F.collect_set("lang").alias("owners"))
-    langs = [r[0] for r in table(spark, sf_dir, "documents").select("lang").where("lang is not null").distinct().orderBy("lang").collect()]
-    seen = counts.join(owners, "piece").withColumn("train", F.explode(F.array(*map(F.lit, langs)))).where("train <> lang")
-    units = seen.groupBy("train", F.col("lang").alias("eval"), "doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.array_contains("owners", F.col("train")), 0).otherwise(F.col("n"))).alias("n_unknown"))
+    # a text's known words by the languages that have them; its own has all
+    known = counts.join(owners, "piece").select("lang", "doc_id", "n", F.explode("owners").alias("train")).groupBy("lang", "doc_id", "train").agg(F.sum("n").alias("n"))
+    texts = known.groupBy("lang", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("train", "n"))).alias("known"))
+    langs = table(spark, sf_dir, "documents").agg(F.collect_set("lang").alias("langs"))  # one row, with a value a language
+    units = texts.crossJoin(F.broadcast(langs)).select(F.col("lang").alias("eval"), "known", F.explode("langs").alias("train")).where("train <> eval")
+    n = lambda c: F.coalesce(F.try_element_at("known", F.col(c)), F.lit(0))
+    units = units.select("train", "eval", n("eval").alias("n_tokens"), (n("eval") - n("train")).alias("n_unknown"))
     return rounded(emission.transfer(units.withColumn("n_glyphs", F.lit(0)), ["train", "eval"]).select("train", "eval", "n", "oov_tokens", "oov_units"), "oov_tokens", "oov_units")
 
 
@@ -406,16 +409,12 @@ def probe_inert(spark, sf_dir):
 def order_interval(spark, sf_dir):
     """The order statistics of an interval, by language, of document lengths; ranks by window, so no list is built."""
     docs = table(spark, sf_dir, "documents").select("lang", F.length("text").cast("double").alias("x"))
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = [(lang, *bootstrap.bounds(n)) for lang, n in sizes.items()]
     at = docs.groupBy("lang", "x").agg(F.count(F.lit(1)).alias("k"))
-    from pyspark.sql import Window
-
-    ranked = at.withColumn("upto", F.sum("k").over(Window.partitionBy("lang").orderBy("x")))
-    want = spark.createDataFrame(places, "lang string, lo long, hi long")
-    joined = ranked.join(F.broadcast(want), "lang")
-    hit = lambda c: F.min(F.when(F.col("upto") > F.greatest("lo", c) if c == "hi" else F.col("upto") > F.col(c), F.col("x")))
-    return joined.groupBy("lang").agg(hit("lo").alias("low"), hit("hi").alias("high"))
+    whole = Window.partitionBy("lang")  # a row a distinct length
+    ranked = at.select("lang", "x", F.sum("k").over(whole.orderBy("x")).alias("upto"), F.sum("k").over(whole).alias("n"))
+    low, high = bootstrap.places(F.col("n"))
+    hit = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
+    return ranked.groupBy("lang").agg(hit(low).alias("low"), hit(F.greatest(low, high)).alias("high"))
 
 
 # tokenizers and resampling: tested against brute force
