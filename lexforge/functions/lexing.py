@@ -12,7 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from lexforge.functions.arrays import starts
+from lexforge.functions.arrays import let, starts
 
 # Fixed value: a chunk; the last alternative keeps a stray bracket or percent sign.
 CHUNK = r"(\[[^\]]*\]|%\d{2}|[.()/\\]|\d|[^\[%.()/\\\d]+|.)"
@@ -108,19 +108,21 @@ def offenders(text: Column, parses: Column | None = None) -> Column:
 
 def atom_spans(parts: Column) -> Column:
     """From glyphs: the span (start, end) of each atom, a bracket atom being one; null if brackets don't balance."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    # a running state: position, where the open bracket began (-1: none), whether it is broken
-    step = lambda s, g: F.struct(
-        (s["at"] + 1).alias("at"),
-        F.when(g == "[", s["at"]).when(g == "]", F.lit(-1)).otherwise(s["open"]).alias("open"),
-        (s["bad"] | ((g == "[") & (s["open"] >= 0)) | ((g == "]") & (s["open"] < 0))).alias("bad"),
-        F.when((g == "]") & (s["open"] >= 0), F.concat(s["all"], F.array(F.struct(s["open"].alias("start"), (s["at"] + 1).alias("end")))))
-        .when((s["open"] < 0) & g.isin([*ORGANIC, *[a for a in AROMATIC if len(a) == 1]]), F.concat(s["all"], F.array(F.struct(s["at"].alias("start"), (s["at"] + 1).alias("end")))))
-        .otherwise(s["all"])
-        .alias("all"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("open"), F.lit(False).alias("bad"), empty.alias("all"))
-    return F.aggregate(parts, start, step, lambda s: F.when(~s["bad"] & (s["open"] < 0), s["all"]))
+    atoms = [*ORGANIC, *[a for a in AROMATIC if len(a) == 1]]
+    span = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def told(x: Column) -> Column:
+        own, depth = x["glyphs"], x["depth"]  # depth before each glyph
+        at = F.transform(own, lambda g, i: F.struct(g.alias("glyph"), i.alias("i")))
+        of = lambda sign: F.transform(F.filter(at, lambda y: y["glyph"] == sign), lambda y: y["i"])
+        bare = F.filter(F.zip_with(at, depth, lambda y, d: F.when((d == 0) & y["glyph"].isin(atoms), span(y["i"], y["i"] + 1))), lambda y: y.isNotNull())
+        # where brackets balance, the n-th opens what the n-th closes
+        groups = F.zip_with(of("["), of("]"), lambda start, end: span(start, end + 1))
+        wrong = F.exists(F.zip_with(own, depth, lambda g, d: ((g == "[") & (d != 0)) | ((g == "]") & (d != 1))), lambda y: y)
+        return F.when(~wrong & (F.size(of("[")) == F.size(of("]"))), F.array_sort(F.concat(bare, groups)))
+
+    depth = starts(F.transform(parts, lambda g: F.when(g == "[", 1).when(g == "]", -1).otherwise(0)))
+    return let(F.struct(parts.alias("glyphs"), depth.alias("depth")), told)
 
 
 def surface_class(token: Column) -> Column:

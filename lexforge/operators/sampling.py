@@ -47,16 +47,16 @@ def filter_conformant(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFram
     return df.where(ok), df.where(~ok).select(text_col, offenders(F.col(text_col)).alias("offenders"))
 
 
-def chunk_inventory(df: DataFrame, text_col: str, *, seq: str | None = None, most: int = 3_000_000) -> tuple[DataFrame, bool]:
+def chunk_inventory(df: DataFrame, text_col: str, *, seq: str | None = None, most: int | None = 3_000_000) -> tuple[DataFrame, bool]:
     """(chunk, n, is_bracket) of distinct chunks, and whether the cap on chunks outside brackets bound.
 
     The cap keeps those seen first by ``seq`` (by chunk, without one): it is the
-    reference operator's own limit.
+    reference operator's own limit. None takes all, in one job less.
     """
     first = F.min(seq) if seq else F.min("chunk")
     all_chunks = df.select(*([seq] if seq else []), F.explode(chunks(F.col(text_col))).alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).withColumn("is_bracket", F.col("chunk").rlike(r"^\[.*\]$"))
     plain = all_chunks.where("not is_bracket")
-    bound = plain.count() > most
+    bound = most is not None and plain.count() > most
     kept = plain.orderBy("first", "chunk").limit(most) if bound else plain
     return all_chunks.where("is_bracket").unionByName(kept).drop("first"), bound
 

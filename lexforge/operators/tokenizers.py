@@ -233,8 +233,10 @@ def train_unigram(table: DataFrame, size: int, *, max_piece_length: int = 16, se
     hashes and rounded, so reruns agree.
     """
     spark = table.sparkSession
-    rows = [(list(run), n) for parts, n in _collected(table) for run in runs(parts, merge_brackets) if run]
-    work = spark.createDataFrame(rows, "run array<string>, n long").groupBy("run").agg(F.sum("n").alias("n")).repartition("run").cache()
+    own = F.col("glyphs")
+    grouped = (F.get(own, F.lit(0)) == "[") & (F.element_at(own, -1) == "]")
+    split = F.when(F.lit(not merge_brackets) & (F.size(own) > 1) & grouped, F.array(F.array(F.lit("[")), F.slice(own, F.lit(2), F.size(own) - 2), F.array(F.lit("]")))).otherwise(F.array(own))
+    work = table.select(F.explode(split).alias("run"), "n").where(F.size("run") > 0).groupBy("run").agg(F.sum("n").alias("n")).persist()
     n = F.size("run")
     subs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(max_piece_length))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: F.slice("run", s, k))))
     seeds = work.select(F.explode(subs).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))

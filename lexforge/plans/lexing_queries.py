@@ -195,7 +195,7 @@ def split_coordinates(spark, sf_dir):
 @query("SELECT piece, CASE WHEN bool_or(NOT b) THEN 'structural' ELSE 'bracket_internal' END AS class FROM (SELECT unnest(regexp_extract_all(c, '[A-Za-z0-9]+')) AS piece, regexp_full_match(c, '\\[.*\\]') AS b FROM (SELECT DISTINCT unnest(regexp_extract_all(replace(text, chr(10), ' '), '" + CHUNK + f"')) AS c FROM documents)) GROUP BY piece UNION ALL SELECT DISTINCT 'unseen ' || lang, 'unseen' FROM documents WHERE lang IS NOT NULL")
 def structural_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    chunked, _ = sampling.chunk_inventory(docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit(" "))), "text", most=1 << 60)
+    chunked, _ = sampling.chunk_inventory(docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit(" "))), "text", most=None)
     pieces = chunked.select("is_bracket", F.explode(F.regexp_extract_all("chunk", F.lit(ARM_B), F.lit(0))).alias("piece"))
     unseen = docs.where("lang is not null").select(F.concat(F.lit("unseen "), "lang").alias("piece")).distinct()
     return sampling.structural_split(pieces, pieces.select("piece").union(unseen))

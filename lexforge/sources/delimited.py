@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -53,8 +53,8 @@ def normalized(name: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_")
 
 
-def scan(spark: SparkSession, own: Delimited) -> DataFrame:
-    """(id, text) as the file has them; the columns not asked for aren't parsed."""
+def _columns(spark: SparkSession, own: Delimited) -> DataFrame:
+    """The file's columns, before the two are picked."""
     reader = spark.read.options(sep=own.delimiter, header=str(own.header).lower(), **own.options)
     if own.verbatim:
         reader = reader.options(quote="", escape="\u0000")
@@ -62,10 +62,19 @@ def scan(spark: SparkSession, own: Delimited) -> DataFrame:
     if own.mode == "positional":
         kind = T.LongType() if own.id_type in ("long", "bigint") else T.StringType()
         fields = [T.StructField("id", kind), T.StructField("text", T.StringType())]
-        return reader.option("enforceSchema", "true").schema(T.StructType(fields if own.id_first else fields[::-1])).csv(paths).select("id", "text")
+        return reader.option("enforceSchema", "true").schema(T.StructType(fields if own.id_first else fields[::-1])).csv(paths)
     df = reader.csv(paths)  # all columns as text: ids keep their leading zeros
-    if own.normalize_names:
-        df = df.withColumnsRenamed({c: normalized(c) for c in df.columns})
+    return df.withColumnsRenamed({c: normalized(c) for c in df.columns}) if own.normalize_names else df
+
+
+def scan(spark: SparkSession, own: Delimited) -> DataFrame:
+    """(id, text) as the file has them; the columns not asked for aren't parsed."""
+    return _picked(_columns(spark, own), own)
+
+
+def _picked(df: DataFrame, own: Delimited) -> DataFrame:
+    if own.mode == "positional":
+        return df.select("id", "text")
     missing = {own.id_column, own.text_column} - set(df.columns)
     if missing:
         raise ValueError(f"no such column: {', '.join(sorted(missing))}")
@@ -112,15 +121,32 @@ def tranches(spark: SparkSession, sources: dict[str, Delimited], done: set[str]
     """All tranches that aren't done as one table with a tranche_id, and what failed by tranche.
 
     A tranche that can't be planned (no such path, a wrong header) is left out
-    and told; it doesn't stop the others.
+    and told; it doesn't stop the others. Tranches of one form are one scan, however
+    many they are, and a row's tranche is looked up by its file; a tranche that
+    shares a file with another is a scan of its own.
     """
-    found, failed, stamp = None, {}, utc_now() if ingest_ts is None else ingest_ts
+    groups: dict[tuple, list[Delimited]] = {}
+    files: dict[tuple, dict[str, tuple[str, str]]] = {}
+    failed: dict[str, str] = {}
     for name in sorted(set(sources) - set(done)):
+        own = sources[name]
         try:
-            df = ingest(spark, sources[name], stamp).withColumn("tranche_id", F.lit(name))
+            df = _columns(spark, own)
+            here = _picked(df, own).inputFiles()
         except Exception as error:
             failed[name] = f"{type(error).__name__}: {str(error).splitlines()[0]}"
             continue
+        form = (tuple(df.columns), repr(replace(own, source="", path="")))
+        if files.get(form, {}).keys() & set(here):
+            form = (*form, name)
+        groups.setdefault(form, []).append(own)
+        files.setdefault(form, {}).update((f, (name, own.source)) for f in here)
+    found, stamp = None, utc_now() if ingest_ts is None else ingest_ts
+    for form, members in groups.items():
+        paths = [p for m in members for p in ([m.path] if isinstance(m.path, str) else m.path)]
+        rows = scan(spark, replace(members[0], path=paths)).select("*", F.input_file_name().alias("_file"))
+        of = spark.createDataFrame([(f, *x) for f, x in files[form].items()], "_file string, tranche_id string, _source string")
+        df = project(rows.join(of, "_file"), id_col="id", text_col="text", source=F.col("_source"), ingest_ts=stamp, nulls=members[0].nulls, keep=["tranche_id"])
         found = df if found is None else found.unionByName(df)
     return found, failed
 

@@ -26,10 +26,10 @@ def coerce(df: DataFrame, schema: T.StructType = RAW_V1) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).to(T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
 
 
-def project(df: DataFrame, *, id_col: str, text_col: str, source: str, ingest_ts: Column, nulls: str = "drop") -> DataFrame:
-    """Rows in the raw schema. ``nulls``: ``drop`` rows with a null or empty text, or ``keep`` them as empty texts."""
+def project(df: DataFrame, *, id_col: str, text_col: str, source: str | Column, ingest_ts: Column, nulls: str = "drop", keep: list[str] | None = None) -> DataFrame:
+    """Rows in the raw schema, and the columns of ``keep``. ``nulls``: ``drop`` rows with a null or empty text, or ``keep`` them as empty texts."""
     if nulls not in ("drop", "keep"):
         raise ValueError("nulls: drop or keep")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).cast("string").alias("source_id"), text.alias("text"), F.lit(source).alias("source"), ingest_ts.cast("timestamp_ntz").alias("ingest_ts"))
+    rows = df.select(F.col(id_col).cast("string").alias("source_id"), text.alias("text"), F.lit(source).alias("source"), ingest_ts.cast("timestamp_ntz").alias("ingest_ts"), *(keep or ()))
     return rows.where(F.length("text") > 0) if nulls == "drop" else rows

@@ -43,6 +43,23 @@ def test_file_sets_and_tranches(spark, tmp_path):
     assert len(delimited.aggregate_digest(digests)) == 64
     found, failed = delimited.tranches(spark, {"a": own, "b": delimited.Delimited("s", str(tmp_path / "none")), "c": own}, done={"c"})
     assert found.where("tranche_id = 'a'").count() == 2 and list(failed) == ["b"]
+    one = delimited.Delimited("t", own.path[0], header=True, id_first=False)  # shares a file with a
+    other = tmp_path / "d%20 e"
+    other.mkdir()
+    (other / "x.txt").write_text("text\tid\nN\t7\nO\t8\n")
+    (tmp_path / "named.csv").write_text("Id,Text\n1,P\n")
+    more = {"a": own, "one": one, "dir": delimited.Delimited("u", str(other), header=True, id_first=False), "n": delimited.Delimited("v", str(tmp_path / "named.csv"), mode="named", delimiter=",", header=True, normalize_names=True)}
+    found, failed = delimited.tranches(spark, more)
+    assert not failed and sorted((r["tranche_id"], r["source"], r["source_id"], r["text"]) for r in found.collect()) == [
+        ("a", "s", "0", "C0"), ("a", "s", "1", "C1"), ("dir", "u", "7", "N"), ("dir", "u", "8", "O"), ("n", "v", "1", "P"), ("one", "t", "0", "C0"),
+    ]
+    many = {}
+    for k in range(12):
+        (tmp_path / f"many-{k}.txt").write_text(f"{k}\tC\n")
+        many[f"m{k}"] = delimited.Delimited(f"s{k}", str(tmp_path / f"many-{k}.txt"))
+    found, _ = delimited.tranches(spark, many)
+    assert {(r["tranche_id"], r["source"], r["source_id"]) for r in found.collect()} == {(f"m{k}", f"s{k}", str(k)) for k in range(12)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1  # one scan
     names = "tranche_id\tgeneration\theavy_atom_bin\tlogp_bin\turl\texpected_bytes"
     (tmp_path / "list.tsv").write_text(names + "\nt1\tg\tH04\tP0\thttp://x\t12\n")
     assert delimited.tranche_list(spark, str(tmp_path / "list.tsv")).first()["expected_bytes"] == 12
