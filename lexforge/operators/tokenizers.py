@@ -223,20 +223,22 @@ def _log_sum(a: float, b: float) -> float:
     return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
-def train_unigram(table: DataFrame, size: int, *, max_piece_length: int = 16, seed_size: int = 1_000_000, sub_iterations: int = 2, shrink: float = 0.75, merge_brackets: bool = False) -> Tokenizer:
+def train_unigram(table: DataFrame, size: int, *, max_piece_length: int = 16, seed_size: int = 1_000_000, sub_iterations: int = 2, shrink: float = 0.75, merge_brackets: bool = False, tasks: int = 16) -> Tokenizer:
     """A Unigram model by EM and pruning.
 
     Seeds: single glyphs, and the substrings with the largest count times
     length. Each round runs EM (the E-step over chunks by Spark; a piece with an
     expected count under 0.5 goes) and keeps the best share, until there are
-    ``size`` pieces. Single glyphs stay. Sums are taken in the order of chunks'
-    hashes and rounded, so reruns agree.
+    ``size`` pieces. Single glyphs stay. The chunk table stays where it
+    is; the driver gets the pieces and their sums, ``seed_size`` and the single
+    glyphs at most. An E-step is ``tasks`` tasks, whose sums are taken in the
+    order of chunks and rounded, so reruns agree on clusters of any size.
     """
     spark = table.sparkSession
     own = F.col("glyphs")
     grouped = (F.get(own, F.lit(0)) == "[") & (F.element_at(own, -1) == "]")
     split = F.when(F.lit(not merge_brackets) & (F.size(own) > 1) & grouped, F.array(F.array(F.lit("[")), F.slice(own, F.lit(2), F.size(own) - 2), F.array(F.lit("]")))).otherwise(F.array(own))
-    work = table.select(F.explode(split).alias("run"), "n").where(F.size("run") > 0).groupBy("run").agg(F.sum("n").alias("n")).persist()
+    work = table.select(F.explode(split).alias("run"), "n").where(F.size("run") > 0).groupBy("run").agg(F.sum("n").alias("n")).repartition(tasks, "run").persist()
     n = F.size("run")
     subs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(max_piece_length))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: F.slice("run", s, k))))
     seeds = work.select(F.explode(subs).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
