@@ -20,6 +20,17 @@ SHRINK, SHRINK_DEFAULT = (0.5, 0.6, 0.75, 0.9, 0.95), 0.75
 MIN_FREQUENCY, MIN_FREQUENCY_DEFAULT = (0, 1, 2, 4, 8), 2
 CORPORA = ("pubchem", "zinc22", "coconut", "real_space")
 
+# Labels, folders and sizes of the extras.
+REDRAWS, REDRAWN = ("r1", "r2", "r3"), ("zinc22", "pubchem")
+SWEEP, MATCHED_SIZE, MATCHED_CORPORA, MATCHED_LABEL = ("5m", "15m"), 1024, ("pubchem", "zinc22"), "700k"
+UNCAPPED = {"v": 1024, "boundary": "mb", "label": "uncapped", "seed_size": 8_000_000}
+SLOW_PRUNING, SLOW_PRUNING_SIZES = {"boundary": "mb", "label": "shrink_0_9", "shrink": 0.9}, (256, 512)
+EXHAUSTED = {"v": 50_000, "corpus": "real_space", "label": "merge_exhaustion"}
+CONVERGED = {"v": 8192, "label": "convergence_anchor"}
+CROSSED_SIZES, CROSSED_CORPORA = (256, 1024), (("zinc22", SUBSAMPLE), ("coconut", None))
+REFERENCES = (("pubchem", 256), ("pubchem", 1024), ("zinc22", 512))
+EXTRA_SIZE, EXTRA_CORPUS, EXTRA_BOUNDARY = 512, "pubchem", "nmb"
+
 SINGLE_ARM = ("seed_cap", "prune_schedule", "merge_exhaustion")
 LARGE_ANCHOR = "large_v_anchor"
 SENSITIVITY_KINDS = ("sensitivity_anchor", "mpl_ladder", "seed_ladder", "subiter_ladder", "shrink_ladder", "minfreq_ladder", "interaction_subiter_shrink", "interaction_mpl_v", "interaction_mpl_typology", "interaction_bpe_ref")
@@ -60,22 +71,22 @@ def extras(spark: SparkSession) -> DataFrame:
     """The 92 extras over 17 kinds."""
     found: list[dict] = []
 
-    def add(kind: str, algos=("unigram",), *, v: int = 512, corpus: str = "pubchem", boundary: str = "nmb", label: str, subdir: str | None = None, **knobs) -> None:
+    def add(kind: str, algos=("unigram",), *, v: int = EXTRA_SIZE, corpus: str = EXTRA_CORPUS, boundary: str = EXTRA_BOUNDARY, label: str, subdir: str | None = None, **knobs) -> None:
         found.extend({"algo": a, "v": v, "corpus": corpus, "boundary": boundary, "tier": f"extras_{kind}", "kind": kind, "label": label, "training_subdir": subdir} | knobs for a in algos)
 
-    for label in ("r1", "r2", "r3"):
-        for corpus in ("zinc22", "pubchem"):
+    for label in REDRAWS:
+        for corpus in REDRAWN:
             add("subsample_redraw", ALGOS, corpus=corpus, label=label, subdir=f"redraw_{label}")
-    for label in ("5m", "15m"):
+    for label in SWEEP:
         add("size_sweep", ALGOS, label=label, subdir=f"size_{label}")
-    for corpus in ("pubchem", "zinc22"):
+    for corpus in MATCHED_CORPORA:
         for boundary in BOUNDARIES:
-            add("size_matched", ALGOS, v=1024, corpus=corpus, boundary=boundary, label="700k", subdir=SUBSAMPLE)
-    add("seed_cap", v=1024, boundary="mb", label="uncapped", seed_size=8_000_000)
-    for v in (256, 512):
-        add("prune_schedule", v=v, boundary="mb", label="shrink_0_9", shrink=0.9)
-    add("merge_exhaustion", ("bpe",), v=50_000, corpus="real_space", label="merge_exhaustion")
-    add(LARGE_ANCHOR, ALGOS, v=8192, label="convergence_anchor")
+            add("size_matched", ALGOS, v=MATCHED_SIZE, corpus=corpus, boundary=boundary, label=MATCHED_LABEL, subdir=SUBSAMPLE)
+    add("seed_cap", **UNCAPPED)
+    for v in SLOW_PRUNING_SIZES:
+        add("prune_schedule", v=v, **SLOW_PRUNING)
+    add("merge_exhaustion", ("bpe",), **EXHAUSTED)
+    add(LARGE_ANCHOR, ALGOS, **CONVERGED)
     add("sensitivity_anchor", ALGOS, label="anchor", subdir=SUBSAMPLE)
     ladders = (
         ("mpl_ladder", "unigram", "max_piece_length", MPL, MPL_DEFAULT), ("seed_ladder", "unigram", "seed_size", SEEDS, SEED_DEFAULT), ("subiter_ladder", "unigram", "sub_iterations", SUB_ITERATIONS, SUB_ITERATION_DEFAULT),
@@ -90,11 +101,11 @@ def extras(spark: SparkSession) -> DataFrame:
             if si != SUB_ITERATION_DEFAULT and sf != SHRINK_DEFAULT:
                 add("interaction_subiter_shrink", label=f"si{si}_sf{_number(sf)}", subdir=SUBSAMPLE, sub_iterations=si, shrink=sf)
     for mpl in MPL:
-        for v in (256, 1024):
+        for v in CROSSED_SIZES:
             add("interaction_mpl_v", v=v, label=str(mpl), subdir=SUBSAMPLE, max_piece_length=mpl)
-        for corpus, subdir in (("zinc22", SUBSAMPLE), ("coconut", None)):
+        for corpus, subdir in CROSSED_CORPORA:
             add("interaction_mpl_typology", corpus=corpus, label=str(mpl), subdir=subdir, max_piece_length=mpl)
-    for corpus, v in (("pubchem", 256), ("pubchem", 1024), ("zinc22", 512)):
+    for corpus, v in REFERENCES:
         add("interaction_bpe_ref", ("bpe",), v=v, corpus=corpus, label="ref", subdir=SUBSAMPLE)
     return _cells(spark, found)
 

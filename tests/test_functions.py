@@ -121,3 +121,26 @@ def test_text_plugin(spark):
     assert [tuple(r) for r in kept.collect()] == [(1, "a b")] and seen.get == {"n_input": 3, "n_rejected": 2}
     orbit = chemistry.orbit(spark.createDataFrame([(1, "C1CC1")], "id int, t string"), "id", "t", plug=chemistry.TextCanonicalizer())
     assert {(r["axis"], r["text"]) for r in orbit.collect()} == {("canonical", "C1CC1"), ("rings", "C2CC2")}
+
+
+def test_pieces_of_starts_against_brute_force(spark):
+    r = random.Random(5)
+    rows = []
+    for _ in range(60):
+        edges = sorted(r.sample(range(40), 2 * r.randint(0, 8)))
+        spans = list(zip(edges[::2], edges[1::2]))
+        if r.random() < 0.5:  # without gaps
+            spans = list(zip(edges, edges[1:]))
+        rows.append((sorted(r.randrange(40) for _ in range(r.randint(0, 12))), spans))
+    df = spark.createDataFrame(rows, "s array<int>, p array<struct<start:int,end:int>>")
+    for row in df.select("s", "p", lexing.piece_of(F.col("s"), F.col("p")).alias("found")).collect():
+        assert row["found"] == [next((i for i, (a, b) in enumerate(row["p"]) if a <= s < b), -1) for s in row["s"]]
+    long = spark.range(1).select(lexing.piece_of(F.sequence(F.lit(0), F.lit(99_999)), F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda i: F.struct((i * 2).alias("start"), (i * 2 + 2).alias("end")))).alias("x"))
+    assert long.select(F.element_at("x", -1), F.size("x")).first()[:] == (49_999, 100_000)
+
+
+def test_atom_spans_of_awkward_glyphs(spark):
+    rows = [("[[C]",), ("C]",), ("[C]]",), ("[C",), ("",), (None,), ("C[N][O]c",), ("[]C",)]
+    df = spark.createDataFrame([(t, None if t is None else list(t)) for (t,) in rows], "t string, g array<string>")
+    found = {x["t"]: x["a"] and [tuple(y) for y in x["a"]] for x in df.select("t", lexing.atom_spans(F.col("g")).alias("a")).collect()}
+    assert found == {"[[C]": None, "C]": None, "[C]]": None, "[C": None, "": [], None: None, "C[N][O]c": [(0, 1), (1, 4), (4, 7), (7, 8)], "[]C": [(0, 2), (2, 3)]}

@@ -281,3 +281,15 @@ def test_intervals_by_the_standard_library():
         bootstrap.ratio_interval(np.ones(2), np.ones(3), 1)
     with pytest.raises(ValueError):
         bootstrap.ratio_interval(np.ones(2), np.ones(2), 1, generator="other")
+
+
+def test_places_and_arms_beside(spark):
+    rows = spark.range(1, 400).select("id", *bootstrap.places(F.col("id"))).collect()
+    assert all((r[1], r[2]) == bootstrap.bounds(r[0]) for r in rows)
+    both = emission.arms_beside(spark.createDataFrame([("x", "a", 1.0), ("x", "b", 3.0), ("y", "a", 1.0)], "k string, arm string, f double"), "arm", ["k"], ["f"]).collect()
+    assert [r[:] for r in both] == [("x", 1.0, 3.0, 2.0)]
+
+
+def test_closure_of_a_very_long_piece(spark):
+    df = spark.createDataFrame([(["a"] * 3000,), (["a"] * 2,), (["a"] * 2998,), (["b"],)], "piece array<string>")
+    assert vocabulary.closure(df, []).first()[:6] == (3, 2, 1, 0, 1, 0)
