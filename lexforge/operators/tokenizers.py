@@ -258,7 +258,8 @@ def train_unigram(table: DataFrame, size: int, *, max_piece_length: int = 16, se
                     for run, count in zip(batch["run"], batch["n"]):
                         for piece, e in forward_backward(tuple(run), sent.value, longest)[1].items():
                             total[piece] += e * count
-                yield pd.DataFrame({"piece": [list(p) for p in total], "e": list(total.values())})
+                if total:  # a task can have no chunks
+                    yield pd.DataFrame({"piece": [list(p) for p in total], "e": list(total.values())})
 
             sums = work.sortWithinPartitions("run").mapInPandas(expect, "piece array<string>, e double").groupBy("piece").agg(F.sum(F.round("e", 6).cast("decimal(38,6)")).alias("e")).collect()
             expected = {tuple(r["piece"]): float(r["e"]) for r in sums}
