@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexforge.llm import langid, mixing, permindex, quality, secrets, simhash, spm, substring, syncmer, warc
+from lexforge.llm import funnel, hamerly, langid, mixing, permindex, quality, secrets, simhash, spm, substring, suffix, syncmer, warc
 
 
 #: The SentencePiece model of op9 and the pipeline.
@@ -70,6 +70,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 components in one of 8 clusters, after 10 rounds: vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
+    return hamerly.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, components=64, seed="3")
+
+
+def op12_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document's bytes without repeated strings of 50 bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    found = suffix.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=50)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The funnels of op13, and how long an attempt may take in microseconds.
+FUNNELS = [
+    funnel.Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
+    funnel.Funnel("B", ("signup", "view", "click", "purchase"), ("error",)),
+    funnel.Funnel("C", ("click", "click", "purchase", "view"), ("signup",)),
+]
+WITHIN = 5 * 60 * 1_000_000
+
+
+def op13_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three funnels of four steps over all clicks: funnel, client_id, n1 to n4, deepest, t2 to t4, same_depth."""
+    return funnel.counted(spark.read.parquet(f"{sf_dir}/clicks.parquet"), FUNNELS, percent=25, window=WITHIN).withColumnRenamed("client", "client_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -81,8 +106,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_permutation_index": op8_permutation_index,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mixing": op10_mixing,
+    "op11_centroids": op11_centroids,
+    "op12_suffix": op12_suffix,
+    "op13_funnels": op13_funnels,
 }
 
+_FUNNEL_ROWS = ", ".join(f"('{f.name}', {list(f.steps)}, '{f.excluded[0]}')" for f in FUNNELS)
+
+
+def _next_step(k: int) -> str:
+    """SQL: of the attempts at step k, whether and when they reach the next."""
+    return f"""
+        a{k + 1} AS (
+            SELECT a.*, CASE WHEN a.t{k} IS NOT NULL AND n.t - a.t1 <= {WITHIN} AND (x.t IS NULL OR x.t > n.t) THEN n.t END AS t{k + 1}
+            FROM a{k} a ASOF LEFT JOIN e n ON n.client_id = a.client_id AND n.kind = a.steps[{k + 1}] AND a.t{k} < n.t
+            ASOF LEFT JOIN e x ON x.client_id = a.client_id AND x.kind = a.bad AND a.t{k} < x.t
+        )"""
+
+
+def _round_sql(k: int) -> str:
+    """SQL: the centroids after round k, from those before."""
+    return f"""
+        near{k} AS MATERIALIZED (
+            SELECT v.n, min_by(c.cluster, {_AWAY} * 8 + c.cluster) AS cluster FROM v, c{k} c GROUP BY v.n
+        ), sums{k} AS (
+            SELECT cluster, i, sum(x[i]::HUGEINT) AS s, count(*) AS n FROM v JOIN near{k} USING (n), unnest(range(1, 65)) AS t(i) GROUP BY cluster, i
+        ), means{k} AS (
+            SELECT cluster, list(floor_div ORDER BY i) AS x FROM (SELECT cluster, i, ((s - ((s % n) + n) % n) // n)::DOUBLE AS floor_div FROM sums{k}) GROUP BY cluster
+        ), c{k + 1} AS MATERIALIZED (
+            SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN means{k} m USING (cluster)
+        )"""
+
+
+#: Squared distance in doubles, exact for whole numbers below 2 ** 53.
+_AWAY = "(list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x))"
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
         WITH p AS (
@@ -172,4 +230,58 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, s AS source_size, target, (size * (whole + (hash <= coalesce(bound, -1))::INT))::BIGINT AS taken
         FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN x ON x.source IS NOT DISTINCT FROM r.source
     """,
+    "op11_centroids": f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS cluster, x FROM v WHERE vec_id IS NOT NULL QUALIFY cluster < 8
+        ), {", ".join(_round_sql(k) for k in range(10))}, f AS (
+            SELECT v.n, vec_id, min_by(c.cluster, {_AWAY} * 8 + c.cluster) AS cluster, min({_AWAY})::BIGINT AS distance FROM v, c10 c GROUP BY v.n, vec_id
+        ), h AS (
+            SELECT cluster, sha256(array_to_string(x::BIGINT[], ',')) AS centroid_sha256 FROM c10
+        )
+        SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+               (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM f JOIN h USING (cluster)
+    """,
+    "op12_suffix": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents
+        ), c AS (
+            SELECT doc_id, at, substr(b, 2 * at + 1, 698) AS b FROM d, unnest(range(0, strlen(b) // 2 - 49, 300)) AS t(at)
+        ), w AS (
+            SELECT doc_id, at + i AS i, min(doc_id) OVER (PARTITION BY substr(b, 2 * i + 1, 100)) AS first FROM c, unnest(range(0, least(300, strlen(b) // 2 - 49))) AS t(i)
+        ), s AS (
+            SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 50 AS new FROM w WHERE first < doc_id
+        ), g AS (
+            SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM s
+        ), r AS (
+            SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM g GROUP BY doc_id, span
+        ), p AS (
+            SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS begin FROM r
+        ), k AS (
+            SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(b, 2 * begin + 1, 2 * (lo - begin)), '' ORDER BY lo) || substr(any_value(b), 2 * max(hi) + 1) AS kept
+            FROM p JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, (strlen(b) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, b))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op13_funnels": f"""
+        WITH e AS (
+            SELECT DISTINCT client_id, kind, epoch_us(arrived_at) AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL
+        ), f(funnel, steps, bad) AS (
+            VALUES {_FUNNEL_ROWS}
+        ), a1 AS (
+            SELECT funnel, steps, bad, client_id, t AS t1 FROM f JOIN e ON kind = steps[1]
+        ), {", ".join(_next_step(k) for k in (1, 2, 3))}, g AS (
+            SELECT funnel, client_id, count(t1) AS n1, count(t2) AS n2, count(t3) AS n3, count(t4) AS n4,
+                   max(CASE WHEN t4 IS NOT NULL THEN 4 WHEN t3 IS NOT NULL THEN 3 WHEN t2 IS NOT NULL THEN 2 ELSE 1 END)::INT AS deepest,
+                   list_sort(list(t2 - t1) FILTER (t2 IS NOT NULL)) AS d2, list_sort(list(t3 - t2) FILTER (t3 IS NOT NULL)) AS d3, list_sort(list(t4 - t3) FILTER (t4 IS NOT NULL)) AS d4
+            FROM a4 GROUP BY funnel, client_id
+        )
+        SELECT funnel, client_id, n1, n2, n3, n4, deepest, d2[((25 * n2 + 99) // 100)::INT] AS t2, d3[((25 * n3 + 99) // 100)::INT] AS t3, d4[((25 * n4 + 99) // 100)::INT] AS t4,
+               count(*) OVER (PARTITION BY funnel, deepest) AS same_depth
+        FROM g
+    """,
 }
