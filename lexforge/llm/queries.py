@@ -249,9 +249,9 @@ ORACLES: dict[str, str] = {
         WITH d AS (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents
         ), c AS (
-            SELECT doc_id, at, substr(b, 2 * at + 1, 698) AS b FROM d, unnest(range(0, strlen(b) // 2 - 49, 300)) AS t(at)
+            SELECT doc_id, o, substr(b, 2 * o + 1, 698) AS b FROM d, unnest(range(0, strlen(b) // 2 - 49, 300)) AS t(o)
         ), w AS (
-            SELECT doc_id, at + i AS i, min(doc_id) OVER (PARTITION BY substr(b, 2 * i + 1, 100)) AS first FROM c, unnest(range(0, least(300, strlen(b) // 2 - 49))) AS t(i)
+            SELECT doc_id, o + i AS i, min(doc_id) OVER (PARTITION BY substr(b, 2 * i + 1, 100)) AS first FROM c, unnest(range(0, least(300, strlen(b) // 2 - 49))) AS t(i)
         ), s AS (
             SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 50 AS new FROM w WHERE first < doc_id
         ), g AS (
