@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexforge.functions.arrays import let
+from lexforge.operators.molecules import BOND_CLASSES, functional_bonds as functional_bonds
 
 
 def piece_counts(tokens: DataFrame, unit: str, pieces: str, *, least_glyphs: int = 1) -> DataFrame:
@@ -185,34 +186,6 @@ def cut_through(tokens: DataFrame, by: list[str], piece: str, spans: str, cuts:
     return rows.groupBy(*by, klass(F.col("t.piece")).alias("class")).agg(F.count(F.lit(1)).alias("emitted"), F.count_if("t.hit").alias("cut_through"))
 
 
-#: Functional bonds by partner, bond and heteroatom; whatever else there is is ``other``.
-BOND_CLASSES = ("C=O", "C=N", "C=S", "N=O", "S=O", "P=O", "C#N", "other")
-
-
-def functional_bonds(parts: Column) -> Column:
-    """(label, position) of double and triple bonds with a heteroatom next to the bond sign, read from the glyphs.
-
-    The heteroatom is the one after the sign, or before it if what follows is a
-    carbon; what both are names the class. It covers bonds spelled out between
-    neighbouring atoms, without a graph.
-    """
-    n = F.size(parts)
-    kind = lambda g: F.upper(g)
-    hetero = lambda g: F.coalesce(g.rlike("^[A-Za-z]") & ~kind(g).isin("C", "H"), F.lit(False))
-    carbon = lambda g: F.coalesce(kind(g) == "C", F.lit(False))
-
-    def one(i: Column) -> Column:
-        sign, after = F.get(parts, i), F.get(parts, i + 1)
-        # the atom before, past one open branch
-        before = F.when(F.get(parts, i - 1) == "(", F.get(parts, i - 2)).otherwise(F.get(parts, i - 1))
-        label = lambda partner, atom: F.concat(kind(partner), sign, kind(atom))
-        known = lambda x: F.when(x.isin(*BOND_CLASSES), x).otherwise("other")
-        return F.when(hetero(after) & (carbon(before) | hetero(before)), F.struct(known(label(before, after)).alias("label"), (i + 1).alias("position"))).when(carbon(after) & hetero(F.get(parts, i - 1)), F.struct(known(label(after, F.get(parts, i - 1))).alias("label"), i.alias("position")))
-
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.get(parts, i).isin("=", "#"))
-    return F.filter(F.transform(at, one), lambda x: x.isNotNull())
-
-
 def locality_of(bonds: Column, cuts: Column) -> Column:
     """Bonds with whether they are local: no token boundary between the heteroatom and the bond's sign."""
     return F.transform(bonds, lambda b: F.struct(b["label"].alias("label"), (~F.array_contains(cuts, b["position"])).alias("local")))

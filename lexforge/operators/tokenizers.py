@@ -23,8 +23,8 @@ from lexforge.functions.lexing import GLYPHS, SPECIALS, chunks, glyphs
 Piece = tuple[str, ...]
 UNKNOWN = ("?",)
 _HALF = 32
-#: Chunks that a driver's training loop takes; a larger table is an error that names the way out (a smaller sample).
-MOST_CHUNKS = 5_000_000
+#: Chunks that a driver's training loop takes; a larger table is trained where it is.
+MOST_CHUNKS = 1_000_000
 
 
 def runs(parts: Piece, merge_brackets: bool) -> list[Piece]:
@@ -122,11 +122,10 @@ def chunk_table(df: DataFrame, text_col: str) -> DataFrame:
     return counted.select(glyphs(F.col("chunk")).alias("glyphs"), "n")
 
 
-def _collected(table: DataFrame) -> list[tuple[Piece, int]]:
+def _collected(table: DataFrame) -> list[tuple[Piece, int]] | None:
+    """The chunks in order, or None if there are more than ``MOST_CHUNKS``."""
     rows = table.limit(MOST_CHUNKS + 1).collect()
-    if len(rows) > MOST_CHUNKS:
-        raise ValueError(f"more than {MOST_CHUNKS} distinct chunks: train on a hash band of the corpus")
-    return sorted((tuple(r["glyphs"]), r["n"]) for r in rows)
+    return sorted((tuple(r["glyphs"]), r["n"]) for r in rows) if len(rows) <= MOST_CHUNKS else None
 
 
 def train_bpe(table: DataFrame, size: int, *, min_frequency: int = 2, merge_brackets: bool = False, alphabet: frozenset[str] | None = None, start: Tokenizer | None = None) -> Tokenizer:
@@ -135,8 +134,13 @@ def train_bpe(table: DataFrame, size: int, *, min_frequency: int = 2, merge_brac
     Ties go to the smaller pair of pieces by id. The log has, for each merge,
     its step, pair, new id, the pair's count, and by how much the counts of
     standing pieces changed. ``start`` continues another tokenizer's merges.
+    More than ``MOST_CHUNKS`` distinct chunks stay distributed, with the same result.
     """
     rows = _collected(table)
+    if rows is None:
+        from lexforge.operators import bpe  # which is made of tokenizers
+
+        return bpe.train_bpe(table, size, min_frequency=min_frequency, merge_brackets=merge_brackets, alphabet=alphabet, start=start)
     base = sorted({g for parts, _ in rows for g in parts} | set(alphabet or ()))
     pieces: list[Piece] = list(start.pieces) if start else [("[UNK]",), *[(g,) for g in base]]
     ids = {p: i for i, p in enumerate(pieces)}

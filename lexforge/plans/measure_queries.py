@@ -8,7 +8,6 @@ from lexforge.functions import lexing
 from lexforge.operators import emission, vocabulary
 from lexforge.plans import audit, deposit, registry, sensitivity
 from lexforge.plans.catalog import _GRID, _WORDS, ARM_A, ARM_B, _arm_counts, query, rounded, six, table, words
-from lexforge.plans.lexing_queries import GLYPHS, notations
 
 _ALL_A = "SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '[^ \\n]+')) AS piece FROM documents"
 #: All text in order: words and single spaces; runs of letters or digits and of anything else; lines.
@@ -60,30 +59,6 @@ def cut_through(spark, sf_dir):
     return emission.cut_through(rows, ["lang"], "pieces", "spans", "cuts", lambda p: F.when(p == " ", "space").otherwise("word"))
 
 
-_HETERO = "(regexp_matches(coalesce({0}, ''), '^[A-Za-z]') AND upper({0}) NOT IN ('C', 'H'))"
-_KNOWN = "CASE WHEN {0} IN ('C=O', 'C=N', 'C=S', 'N=O', 'S=O', 'P=O', 'C#N') THEN {0} ELSE 'other' END"
-_BONDS = f"""WITH g AS ({GLYPHS}), e AS (SELECT t, i, g[i] AS sign, CASE WHEN i < len(g) THEN g[i + 1] END AS after, g[i - 1] AS last, CASE WHEN g[i - 1] = '(' THEN CASE WHEN i > 2 THEN g[i - 2] END ELSE g[i - 1] END AS before FROM g, unnest(range(2, len(g))) AS u(i) WHERE g[i] IN ('=', '#')),
-    b AS (SELECT t, CASE WHEN {_HETERO.format('after')} AND (upper(before) = 'C' OR {_HETERO.format('before')}) THEN {_KNOWN.format("(upper(before) || sign || upper(after))")} WHEN upper(after) = 'C' AND {_HETERO.format('last')} THEN {_KNOWN.format("(upper(after) || sign || upper(last))")} END AS label,
-        CASE WHEN {_HETERO.format('after')} AND (upper(before) = 'C' OR {_HETERO.format('before')}) THEN i WHEN upper(after) = 'C' AND {_HETERO.format('last')} THEN i - 1 END AS position FROM e)"""
-
-
-@query(f"{_BONDS} SELECT t, label, position::INT AS position, position % 3 <> 0 AS local FROM b WHERE label IS NOT NULL")
-def functional_bonds(spark, sf_dir):
-    """Bonds of every spelling, with cuts at every third place."""
-    g = lexing.glyphs(F.col("t"))
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("g"), F.lit(1))), lambda i: i % 3 == 0)
-    rows = notations(spark, sf_dir).withColumn("g", g).withColumn("b", emission.functional_bonds(F.col("g"))).withColumn("l", emission.locality_of(F.col("b"), cuts))
-    return rows.select("t", F.explode(F.arrays_zip("b", "l")).alias("x")).select("t", "x.b.label", "x.b.position", "x.l.local")
-
-
-@query(f"{_BONDS} SELECT substr(t, 1, 1) AS first, count(*) AS n_bonds, round(avg((position % 3 <> 0)::INT), 6) AS locality, {', '.join(f'''round(avg((position % 3 <> 0)::INT) FILTER (label = '{c}'), 6) AS "{c}"''' for c in emission.BOND_CLASSES)} FROM b WHERE label IS NOT NULL GROUP BY 1")
-def bond_locality(spark, sf_dir):
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("g"), F.lit(1))), lambda i: i % 3 == 0)
-    rows = notations(spark, sf_dir).withColumn("g", lexing.glyphs(F.col("t")))
-    units = rows.select(F.substring("t", 1, 1).alias("first"), emission.locality_of(emission.functional_bonds(F.col("g")), cuts).alias("bonds"))
-    return rounded(emission.locality(units, ["first"]), "locality", *emission.BOND_CLASSES)
-
-
 _ORBIT = """WITH v AS (SELECT doc_id, lang, 'canonical' AS axis, text AS t FROM documents UNION ALL SELECT doc_id, lang, 'lower', lower(text) FROM documents UNION ALL SELECT doc_id, lang, 'digits', regexp_replace(text, '[0-9]+', ' ', 'g') FROM documents),
     w AS (SELECT doc_id, axis, unnest(regexp_extract_all(t, '[A-Za-z0-9]+')) AS w FROM v),
     c AS (SELECT doc_id, axis, w, count(*) AS n FROM w GROUP BY ALL), b AS (SELECT doc_id, w, n FROM c WHERE axis = 'canonical'),

@@ -14,7 +14,7 @@ import string
 from pyspark.sql import DataFrame, functions as F
 
 from lexforge.functions import lexing
-from lexforge.operators import emission, tokenizers
+from lexforge.operators import bpe, emission, tokenizers
 from lexforge.plans.catalog import _WORDS, _chunks, query, rounded, table, words
 from lexforge.plans.lexing_queries import CHUNK, GLYPHS, notations
 from lexforge.session import written
@@ -174,20 +174,29 @@ def segmentation_entropy(spark, sf_dir):
 FIRST = 16
 
 
-def _chain() -> str:
+def _chain(first: int) -> str:
     """SQL: words as ids with a space on either side; each step counts neighbours, takes the most frequent pair (of equal ones the smaller), and replaces it."""
     steps = [
         f"""w AS MATERIALIZED (SELECT piece, count(*) AS n FROM ({_WORDS}) GROUP BY piece), b AS MATERIALIZED (SELECT c, row_number() OVER (ORDER BY c) AS id FROM (SELECT DISTINCT unnest(string_split(piece, '')) AS c FROM w)),
         s0 AS MATERIALIZED (SELECT any_value(n) AS n, string_agg(' ' || id || ' ', '' ORDER BY i) AS s FROM (SELECT piece, n, unnest(string_split(piece, '')) AS c, generate_subscripts(string_split(piece, ''), 1) AS i FROM w) JOIN b USING (c) GROUP BY piece)"""
     ]
-    for k in range(FIRST):
+    for k in range(first):
         steps.append(f"p{k} AS MATERIALIZED (SELECT x[i]::INT AS l, x[i + 1]::INT AS r, sum(n)::BIGINT AS freq FROM (SELECT n, string_split(trim(s), '  ') AS x FROM s{k}), unnest(range(1, len(x))) AS u(i) GROUP BY ALL ORDER BY freq DESC, l, r LIMIT 1)")
         steps.append(f"s{k + 1} AS MATERIALIZED (SELECT n, replace(s, ' ' || l || '  ' || r || ' ', ' ' || ((SELECT count(*) FROM b) + {k + 1}) || ' ') AS s FROM s{k}, p{k})")
-    rows = " UNION ALL ".join(f"SELECT {k + 1}::INT AS step, l AS a, r AS b, ((SELECT count(*) FROM b) + {k + 1})::INT AS new_id, freq FROM p{k}" for k in range(FIRST))
+    rows = " UNION ALL ".join(f"SELECT {k + 1}::INT AS step, l AS a, r AS b, ((SELECT count(*) FROM b) + {k + 1})::INT AS new_id, freq FROM p{k}" for k in range(first))
     return f"WITH {', '.join(steps)} {rows}"
 
 
-@query(_chain())
+@query(_chain(64))
+def distributed_merges(spark, sf_dir):
+    """The first merges of a BPE tokenizer of all words, whose words stay distributed."""
+    table_ = _chunks(spark, sf_dir)
+    base = table_.select(F.explode("glyphs").alias("g")).distinct().count()
+    own = bpe.train_bpe(table_, base + 1 + 64)
+    return spark.createDataFrame([(r["step"], r["pair"][0], r["pair"][1], r["new_id"], r["candidate_freq"]) for r in own.log], "step int, a int, b int, new_id int, freq long")
+
+
+@query(_chain(FIRST))
 def first_merges(spark, sf_dir):
     """The first merges of a BPE tokenizer of all words: pairs, new ids and counts."""
     table_ = _chunks(spark, sf_dir)

@@ -27,28 +27,23 @@ def _parsed(spark: SparkSession, text: str, schema: str) -> DataFrame:
     return spark.createDataFrame([(text,)], "text string").select(F.from_json("text", schema)["model"].alias("model"))
 
 
+def _spelt(named: list[tuple[str, ...]], operands: list[list[int]]) -> tuple[list[tuple[str, ...]], list[tuple]]:
+    """All pieces by id, and the merges: a merge has the next id, or, where it makes a piece that is there already, that piece's, as in training."""
+    known, pieces, merges = set(named), list(named), []
+    for a, b in operands:
+        merges.append((pieces[a], pieces[b]))
+        if (both := pieces[a] + pieces[b]) not in known:
+            known.add(both)
+            pieces.append(both)
+    return pieces, merges
+
+
 def bpe_vocabulary(spark: SparkSession, text: str) -> DataFrame:
-    """The pieces of a BPE artifact: base ids as they are listed, and for the k-th merge the k-th id after them, with all glyphs that its operands come down to.
-
-    Operands are taken apart level by level, all merges at once, so the number of
-    joins is the depth of the deepest merge.
-    """
-    model = written(_parsed(spark, text, _BPE), "artifact")
-    base = model.select(F.explode("model.vocab").alias("surface", "id"))
-    first = model.select(F.size("model.vocab")).first()[0]
-    listed = model.select(F.posexplode(F.coalesce("model.merges", F.array().cast("array<array<int>>"))).alias("k", "pair"))
-    merges = listed.select((F.col("k") + first).alias("made"), F.transform("pair", lambda x, i: F.struct(i.cast("string").alias("side"), x.alias("child"))).alias("sides"))
-    # (token, path to a part, the part): a part that is a merge gives way to its two operands
-    parts = merges.select(F.col("made").alias("token"), F.lit("").alias("path"), F.col("made").alias("part"))
-    leaves = parts.limit(0)
-    while not parts.isEmpty():
-        taken = parts.join(F.broadcast(merges), F.col("part") == F.col("made")).select("token", "path", F.explode("sides").alias("s"))
-        taken = written(taken.select("token", F.concat("path", "s.side").alias("path"), F.col("s.child").alias("part")), "parts")
-        leaves = leaves.unionByName(taken.where(F.col("part") < first))
-        parts = taken.where(F.col("part") >= first)
-    spelt = leaves.join(F.broadcast(base), F.col("part") == F.col("id")).groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "surface"))), lambda x: x["surface"]).alias("glyphs"))
-    rows = base.select(F.col("id").alias("token_id"), F.array("surface").alias("glyphs")).unionByName(spelt.withColumnRenamed("token", "token_id"))
-    return rows.select("token_id", "glyphs", F.size("glyphs").alias("n_glyphs"), F.lit(None).cast("double").alias("score")).orderBy("token_id")
+    """The pieces of a BPE artifact: base ids as they are listed, and after them an id for each merge that makes a new piece, with all glyphs that its operands come down to."""
+    model = _parsed(spark, text, _BPE).first()["model"]
+    named = [(s,) for s, _ in sorted(model["vocab"].items(), key=lambda x: x[1])]
+    pieces, _ = _spelt(named, model["merges"] or [])
+    return spark.createDataFrame([(i, list(p), len(p), None) for i, p in enumerate(pieces)], "token_id int, glyphs array<string>, n_glyphs int, score double")
 
 
 def unigram_vocabulary(spark: SparkSession, text: str) -> DataFrame:
@@ -81,13 +76,7 @@ def load_tokenizer(spark: SparkSession, folder: str) -> Tokenizer:
         pieces = [tuple(v["glyphs"]) for v in model["vocab"]]
         return Tokenizer("unigram", pieces, scores={p: v["score"] for p, v in zip(pieces, model["vocab"]) if p != ("[UNK]",)}, merge_brackets=body["merge_brackets"])
     named = [(s,) for s, _ in sorted(model["vocab"].items(), key=lambda x: x[1])]
-    known, merges = dict.fromkeys(named), []
-    spelt = list(named)
-    for a, b in model["merges"]:
-        merges.append((spelt[a], spelt[b]))
-        if (both := spelt[a] + spelt[b]) not in known:
-            known[both] = None
-            spelt.append(both)
+    spelt, merges = _spelt(named, model["merges"])
     return Tokenizer("bpe", spelt, merges=merges, merge_brackets=body["merge_brackets"])
 
 
