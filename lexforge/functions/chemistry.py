@@ -1,12 +1,12 @@
-"""Canonical forms and rewrites, as plug-ins: by text alone, or by a chemistry toolkit where one is installed."""
+"""Canonical forms and rewrites of a column, by a plug-in: of molecules, or of any text."""
 
 from __future__ import annotations
 
-import importlib.util
 import unicodedata
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexforge.functions.lexing import relabel_rings
@@ -38,84 +38,11 @@ class TextCanonicalizer:
         return []
 
 
-class SignCanonicalizer(TextCanonicalizer):
-    """Rewrites of the signs alone, without any chemistry: they exercise what is built on rewrites where no toolkit is installed."""
-
-    def kekulized(self, text: str) -> str | None:
-        return text.upper() if any("a" <= c <= "z" for c in text) else None
-
-    def explicit_hydrogens(self, text: str) -> str | None:
-        return text.replace("C", "[CH]")
-
-    def without_dative(self, text: str) -> str | None:
-        return text.replace("->", "-").replace("<-", "-") or None
-
-    def other_toolkit(self, text: str) -> str | None:
-        return text[::-1] if text[::-1] != text else None
-
-    def randomized(self, text: str, n: int, seed: int) -> list[str]:
-        return [text[i:] + text[:i] for i in range(seed + 1, seed + n + 1)]
-
-
-class ToolkitCanonicalizer:
-    """Rewrites by RDKit; an unparseable string gives None."""
-
-    def _molecule(self, text: str):
-        from rdkit import Chem
-
-        return Chem.MolFromSmiles(text) if text else None
-
-    def canonical(self, text: str) -> str | None:
-        from rdkit import Chem
-
-        m = self._molecule(text)
-        return None if m is None else Chem.MolToSmiles(m)
-
-    def kekulized(self, text: str) -> str | None:
-        from rdkit import Chem
-
-        m = self._molecule(text)
-        if m is None or not any(a.GetIsAromatic() for a in m.GetAtoms()):
-            return None
-        Chem.Kekulize(m, clearAromaticFlags=True)
-        return Chem.MolToSmiles(m, kekuleSmiles=True)
-
-    def explicit_hydrogens(self, text: str) -> str | None:
-        from rdkit import Chem
-
-        m = self._molecule(text)
-        return None if m is None else Chem.MolToSmiles(m, allHsExplicit=True)
-
-    def without_dative(self, text: str) -> str | None:
-        from rdkit import Chem
-
-        m = self._molecule(text)
-        if m is None:
-            return None
-        m = Chem.RWMol(m)
-        for bond in m.GetBonds():
-            if bond.GetBondType() == Chem.BondType.DATIVE:
-                bond.SetBondType(Chem.BondType.SINGLE)
-        return self.canonical(Chem.MolToSmiles(m))
-
-    def other_toolkit(self, text: str) -> str | None:
-        if importlib.util.find_spec("openbabel") is None:
-            return None
-        from openbabel import pybel
-
-        found = pybel.readstring("smi", text).write("can").split()
-        return found[0] if found and self.canonical(found[0]) == self.canonical(text) else None
-
-    def randomized(self, text: str, n: int, seed: int) -> list[str]:
-        from rdkit import Chem
-
-        m = self._molecule(text)
-        return [] if m is None else list(Chem.MolToRandomSmilesVect(m, n, randomSeed=seed))
-
-
 def installed() -> Canonicalizer:
-    """The toolkit's plug-in if there is one, else the text's."""
-    return ToolkitCanonicalizer() if importlib.util.find_spec("rdkit") else TextCanonicalizer()
+    """The plug-in for notations of molecules."""
+    from lexforge.operators.forms import MoleculeForms  # which is made of the graphs above this layer
+
+    return MoleculeForms()
 
 
 def _udf(plug: Canonicalizer, method: str):
@@ -145,11 +72,14 @@ def orbit(df: DataFrame, id_col: str, column: str, *, k_random: int = 4, seed: i
     """(id, axis, text): each string in its canonical form and in all rewrites that it has."""
     plug = plug or installed()
 
-    @F.pandas_udf("array<string>")
-    def randomized(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: plug.randomized(x, k_random, seed) if x else [])
+    pair = "struct<axis: string, text: string>"
+
+    @F.arrow_udf(f"array<{pair}>")
+    def rewritten(texts: pa.Array) -> pa.Array:
+        """All rewrites of a text, one after the other."""
+        own = [[(m, getattr(plug, m)(x)) for m in ("kekulized", "explicit_hydrogens", "other_toolkit")] + [("random", r) for r in plug.randomized(x, k_random, seed)] if x else [] for x in texts.to_pylist()]
+        return pa.array([[{"axis": a, "text": t} for a, t in row] for row in own], pa.list_(pa.struct([("axis", pa.string()), ("text", pa.string())])))
 
-    named = [("canonical", F.col(column)), ("rings", relabel_rings(F.col(column))), *[(m, rewrite(F.col(column), m, plug)) for m in ("kekulized", "explicit_hydrogens", "other_toolkit")]]
-    fixed = F.array(*[F.struct(F.lit(n).alias("axis"), c.alias("text")) for n, c in named])
-    drawn = F.transform(randomized(F.col(column)), lambda x: F.struct(F.lit("random").alias("axis"), x.alias("text")))
+    fixed = F.array(*[F.struct(F.lit(n).alias("axis"), c.alias("text")).cast(pair) for n, c in (("canonical", F.col(column)), ("rings", relabel_rings(F.col(column))))])
+    drawn = rewritten(F.col(column))
     return df.select(F.col(id_col).alias("id"), F.explode(F.concat(fixed, drawn)).alias("v")).select("id", "v.axis", "v.text").where(F.col("text").isNotNull())

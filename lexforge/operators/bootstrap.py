@@ -1,11 +1,7 @@
-"""Bootstrap intervals from statistics a unit, exact and scalable.
+"""Order statistics of intervals, and the draws of one small cell by either generator.
 
-Exact: one cell's units in one task, resampled by numpy's generator from the
-cell's seed; for cells whose unit statistics (two numbers a unit) fit in a task.
-
-Scalable: Poisson weights from a hash of (seed, resample, unit). Each unit is
-weighted where it is; only one row a resample and task is shuffled. A different
-estimator of the same interval, so results are labelled by method.
+What a cell of any size needs is in :mod:`lexforge.operators.resampling`; the
+draws here are one stream from a seed, whose values are fixed.
 """
 
 from __future__ import annotations
@@ -15,10 +11,7 @@ import random
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-
-from lexforge.functions.hashing import bootstrap_seed
+from pyspark.sql import Column, functions as F
 
 RESAMPLES, LEVEL = 1000, 0.95
 
@@ -77,71 +70,3 @@ def ratio_interval(numerator: np.ndarray, denominator: np.ndarray, seed: int, re
 
 def mean_interval(values: np.ndarray, seed: int, resamples: int = RESAMPLES, level: float = LEVEL) -> tuple[float, float]:
     return ratio_interval(values, np.ones(len(values)), seed, resamples, level)
-
-
-def exact_ratio(units: DataFrame, key: str, numerator: str, denominator: str, order: str, *, offset: int = 0, resamples: int = RESAMPLES, generator: str = "numpy") -> DataFrame:
-    """(key, low, high): the exact interval for each cell; its seed comes from the key's text, plus an offset for a second statistic."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order)
-        name = str(own[key].iloc[0])
-        low, high = ratio_interval(own[numerator].to_numpy(float), own[denominator].to_numpy(float), bootstrap_seed(name) + offset, resamples, generator=generator)
-        return pd.DataFrame({key: [own[key].iloc[0]], "low": [low], "high": [high]})
-
-    return units.select(key, order, numerator, denominator).groupBy(key).applyInPandas(run, f"{key} {units.schema[key].dataType.simpleString()}, low double, high double")
-
-
-def poisson_weight(seed: int, resample: Column, unit: Column) -> Column:
-    """0, 1, 2 ... with the chances of a Poisson number of mean 1, from a hash."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), resample, unit), 11) / F.lit(float(1 << 53))
-    edges, total, p = [], 0.0, math.exp(-1)
-    for k in range(12):
-        total += p
-        edges.append(total)
-        p /= k + 1
-    return sum(((u >= e).cast("int") for e in edges[1:]), (u >= edges[0]).cast("int"))
-
-
-def poisson_ratio(units: DataFrame, key: str, numerator: str, denominator: str, unit: str, *, seed: int, resamples: int = RESAMPLES, level: float = LEVEL) -> DataFrame:
-    """(key, low, high) by Poisson weights. Sums are taken before the shuffle, so a cell with most of the units is one row a resample and task."""
-    rows = units.select(key, numerator, denominator, unit, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_resample"))
-    w = poisson_weight(seed, F.col("_resample"), F.col(unit))
-    sums = rows.groupBy(key, "_resample").agg(F.try_divide(F.sum(w * F.col(numerator)), F.sum(w * F.col(denominator))).alias("x"))
-    low, high = bounds(resamples, level)
-    at = F.array_sort(F.collect_list("x"))
-    return sums.groupBy(key).agg(F.get(at, F.lit(low)).alias("low"), F.get(at, F.lit(high)).alias("high"))
-
-
-def weighted_jaccard_interval(a: pd.DataFrame, b: pd.DataFrame, n: int, seed: int, resamples: int = RESAMPLES, level: float = LEVEL) -> tuple[float, float]:
-    """The interval of weighted Jaccard, both arms on the same draw of units. Frames: (unit from 0, piece, n); resamples with an empty arm are left out."""
-    codes = pd.Index(pd.concat([a["piece"], b["piece"]]).unique())
-    arms = [(d["unit"].to_numpy(), codes.get_indexer(d["piece"]), d["n"].to_numpy(float)) for d in (a, b)]
-    rng, found = np.random.default_rng(seed), []
-    for _ in range(resamples):
-        weight = np.bincount(rng.integers(0, n, n), minlength=n) if n else np.zeros(0)
-        x, y = (np.bincount(p, weight[u] * c, len(codes)) for u, p, c in arms)
-        if x.sum() and y.sum():
-            x, y = x / x.sum(), y / y.sum()
-            found.append(float(np.minimum(x, y).sum() / np.maximum(x, y).sum()))
-    if not found:
-        return math.nan, math.nan
-    found.sort()
-    low, high = bounds(len(found), level)
-    return found[low], found[max(low, high)]
-
-
-def intrinsics_interval(counts: pd.DataFrame, n: int, v: int, seed: int, resamples: int = RESAMPLES, level: float = LEVEL) -> dict[str, tuple[float, float]]:
-    """Intervals of imbalance, entropy and Renyi efficiency at a fixed vocabulary size, on shared draws. Frame: (unit from 0, piece, n)."""
-    piece, unit, c = pd.factorize(counts["piece"])[0], counts["unit"].to_numpy(), counts["n"].to_numpy(float)
-    rng, found = np.random.default_rng(seed), []
-    for _ in range(resamples):
-        weight = np.bincount(rng.integers(0, n, n), minlength=n)
-        total = np.bincount(piece, weight[unit] * c)
-        p = total[total > 0] / total.sum() if total.sum() else np.empty(0)
-        if len(p) and v > 1:
-            found.append((0.5 * (np.abs(p - 1 / v).sum() + (v - len(p)) / v), float(-(p * np.log2(p)).sum() / np.log2(v)), float(np.log2((p**2.5).sum()) / -1.5 / np.log2(v))))
-    if not found:
-        return {k: (math.nan, math.nan) for k in ("imbalance", "entropy", "renyi")}
-    low, high = bounds(len(found), level)
-    ranked = np.sort(np.array(found), axis=0)
-    return {k: (float(ranked[low, i]), float(ranked[max(low, high), i])) for i, k in enumerate(("imbalance", "entropy", "renyi"))}

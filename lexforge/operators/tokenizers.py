@@ -243,12 +243,9 @@ def train_unigram(table: DataFrame, size: int, *, max_piece_length: int = 16, se
     grouped = (F.get(own, F.lit(0)) == "[") & (F.element_at(own, -1) == "]")
     split = F.when(F.lit(not merge_brackets) & (F.size(own) > 1) & grouped, F.array(F.array(F.lit("[")), F.slice(own, F.lit(2), F.size(own) - 2), F.array(F.lit("]")))).otherwise(F.array(own))
     work = table.select(F.explode(split).alias("run"), "n").where(F.size("run") > 0).groupBy("run").agg(F.sum("n").alias("n")).repartition(tasks, "run").persist()
-    n = F.size("run")
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(max_piece_length))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: F.slice("run", s, k))))
-    seeds = work.select(F.explode(subs).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
-    single = seeds.where(F.size("piece") == 1)
-    longer = seeds.where((F.size("piece") > 1) & (F.col("n") > 1)).orderBy((F.col("n") * F.size("piece")).desc(), "piece").limit(seed_size)
-    weights = {tuple(r["piece"]): float(r["n"] * len(r["piece"])) for r in single.unionByName(longer).collect()}
+    from lexforge.operators import seeds  # which is made of tokenizers
+
+    weights = seeds.seeds(work, most=max_piece_length, size=seed_size)
     kept = {p for p in weights if len(p) == 1}
     scores = _scores(weights)
     while True:

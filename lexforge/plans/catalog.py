@@ -454,15 +454,3 @@ def lattice_entropy(spark, sf_dir):
     """The entropy of every document's segmentations under a Unigram tokenizer of their words."""
     own = tokenizers.train_unigram(_chunks(spark, sf_dir), 512)
     return tokenizers.segmentation_entropy(table(spark, sf_dir, "documents"), "doc_id", "text", own)
-
-
-@query()
-def bootstrap_ratio(spark, sf_dir):
-    units = table(spark, sf_dir, "documents").select("lang", "doc_id", F.length("text").alias("g"), F.regexp_count("text", F.lit(ARM_B)).alias("t"))
-    return bootstrap.exact_ratio(units, "lang", "g", "t", "doc_id")
-
-
-@query()
-def bootstrap_poisson(spark, sf_dir):
-    units = table(spark, sf_dir, "documents").select("lang", "doc_id", F.length("text").alias("g"), F.regexp_count("text", F.lit(ARM_B)).alias("t"))
-    return bootstrap.poisson_ratio(units, "lang", "g", "t", "doc_id", seed=7)

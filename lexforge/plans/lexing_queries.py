@@ -206,12 +206,6 @@ def canonical_plugin(spark, sf_dir):
     return chemistry.canonicalize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", chemistry.TextCanonicalizer())[0]
 
 
-@query(f"WITH n AS ({NOTATIONS}) SELECT t AS id, 'canonical' AS axis, t AS text FROM n UNION ALL SELECT t, 'rings', array_to_string(list_transform({_CUT}, lambda c: CASE WHEN regexp_full_match(c, '[0-9]') THEN ((try_cast(c AS INT) % 9) + 1)::VARCHAR ELSE c END), '') FROM n WHERE NOT contains(t, '%') AND len(list_filter({_CUT}, lambda c: regexp_full_match(c, '[0-9]'))) > 0 UNION ALL SELECT t, 'kekulized', upper(t) FROM n WHERE regexp_matches(t, '[a-z]') UNION ALL SELECT t, 'explicit_hydrogens', replace(t, 'C', '[CH]') FROM n UNION ALL SELECT t, 'other_toolkit', reverse(t) FROM n WHERE reverse(t) <> t UNION ALL SELECT t, 'random', t[i + 1:] || t[1:i] FROM n, unnest([1, 2]) AS u(i)")
-def rewrite_orbit(spark, sf_dir):
-    """Every spelling in all rewrites of a plug-in that works on signs alone."""
-    return chemistry.orbit(notations(spark, sf_dir), "t", "t", k_random=2, plug=chemistry.SignCanonicalizer())
-
-
 @query("SELECT page_id::VARCHAR AS source_id, coalesce(url, '') AS text, 'pages' AS source, make_timestamp(2000, 1, 1, 0, 0, 0) AS ingest_ts FROM pages")
 def coerced_batches(spark, sf_dir):
     """Rows in the fixed schema, other columns gone."""

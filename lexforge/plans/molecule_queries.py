@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexforge.functions import lexing
-from lexforge.operators import emission, molecules
+from lexforge.functions import chemistry, lexing
+from lexforge.operators import emission, forms, molecules
 from lexforge.plans.catalog import _WORDS, query, rounded, words
 from lexforge.plans.lexing_queries import _INSIDE, NOTATIONS, glyph_list, notations
 
@@ -35,6 +35,7 @@ def spelt(spark, sf_dir) -> DataFrame:
 
 _BRACKET = molecules.BRACKET.replace("'", "''")
 _ATOMS = "', '".join(sorted(molecules.BARE))
+
 # signs as a list; each text's tokens, how many glyphs they have, and where these begin
 GRAPHS = rf"""RECURSIVE s AS (SELECT t, regexp_extract_all(t, '\[[^\]]*\]|%[0-9][0-9]|Cl|Br|.') AS x FROM ({MOLECULES})),
     k AS (SELECT t, x, list_transform(x, lambda c: CASE WHEN c[1] = '[' THEN len({glyph_list('c')}) WHEN c[1] = '%' THEN length(c) ELSE 1 END) AS many FROM s WHERE len(x) > 0),
@@ -64,6 +65,11 @@ GRAPHS = rf"""RECURSIVE s AS (SELECT t, regexp_extract_all(t, '\[[^\]]*\]|%[0-9]
     ), h AS (
         SELECT t FROM atom GROUP BY t HAVING count(*) > 1 AND count(*) FILTER (symbol = 'H') > 0
     ), whole AS (SELECT t FROM f ANTI JOIN h USING (t)), bonds AS (SELECT t, a, b, bond FROM run JOIN whole USING (t) WHERE a IS NOT NULL AND b IS NOT NULL)"""
+def graphs(source: str) -> str:
+    """SQL: the graphs of the texts t of a query."""
+    return GRAPHS.replace(MOLECULES, source)
+
+
 _FUNCTIONAL = rf"""WITH {GRAPHS}, ends AS (SELECT t, a AS atom FROM bonds UNION ALL SELECT t, b FROM bonds), degree AS (SELECT t, atom, count(*) AS n FROM ends GROUP BY t, atom),
     g AS (SELECT t, flatten(list_transform(x, lambda c: CASE WHEN c[1] = '[' THEN {glyph_list('c')} WHEN c[1] = '%' THEN string_split(c, '') ELSE [c] END)) AS g FROM k),
     p AS (SELECT t, bond, CASE WHEN upper(x.symbol) = 'C' THEN false WHEN upper(y.symbol) = 'C' THEN true ELSE dx.n <= dy.n END AS first, x.symbol AS sx, x.low AS lx, x.high AS hx, y.symbol AS sy, y.low AS ly, y.high AS hy
@@ -106,3 +112,57 @@ def molecules_dropped(spark, sf_dir):
     """How many spellings there are, and how many are molecules; the others take no part in measures of bonds."""
     rows = spelt(spark, sf_dir).select(molecules.graph(lexing.glyphs(F.col("t"))).alias("m"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count("m").alias("n_parsed"))
+
+
+#: Fragments of which any sequence after a carbon is a molecule, within valences.
+SOUND = dict(zip("abcdefghijklmnopqrstuvwxyz", (
+    "C", "C(=O)", "O", "N", "CC", "S(=O)(=O)", "C(C)(C)", "c2ccc(cc2)", "C(F)", "C(=S)", "C(C#N)", "C3CC(CC3)", "C(=NO)", "N", "O", "P(=O)(O)", "C=C", "C(Cl)",
+    "S", "CC", "C4CC4", "n2c(ccc2)", "N(C)", "[15NH]", "c2cc3ccccc3cc2", "C(Br)",
+)))
+_SOUND_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SOUND.items()) + "}"
+SOUND_MOLECULES = f"SELECT DISTINCT CASE WHEN length(name) % 2 = 1 THEN 'C1' || b || 'CC1' ELSE 'C' || b END AS t FROM (SELECT coalesce(name, '') AS name, array_to_string(list_transform(regexp_extract_all(lower(coalesce(name, '')), '[a-z]'), lambda x: ({_SOUND_MAP})[x]), '') AS b FROM clients)"
+# what a rewrite keeps of a graph: atoms by element, degree and the elements beside them
+_KEPT = f"""WITH {graphs(SOUND_MOLECULES)}, ends AS (SELECT t, a AS atom, b AS other FROM bonds UNION ALL SELECT t, b, a FROM bonds),
+    named AS (SELECT a.t, a.atom, upper(a.symbol) AS symbol, string_agg(upper(o.symbol), '' ORDER BY upper(o.symbol)) AS beside FROM atom a LEFT JOIN ends e ON e.t = a.t AND e.atom = a.atom LEFT JOIN atom o ON o.t = e.t AND o.atom = e.other GROUP BY ALL),
+    kept AS (SELECT t, string_agg(symbol || '(' || coalesce(beside, '') || ')', ' ' ORDER BY symbol || '(' || coalesce(beside, '') || ')') AS graph, (SELECT count(*) FROM bonds b WHERE b.t = n.t) AS n_bonds FROM named n GROUP BY t)"""
+
+
+def sound(spark, sf_dir) -> DataFrame:
+    """(t) of the molecules that clients' names spell."""
+    fragment = F.create_map(*(F.lit(x) for pair in SOUND.items() for x in pair))
+    names = spark.read.parquet(f"{sf_dir}/clients.parquet").select(F.coalesce("name", F.lit("")).alias("name")).distinct()
+    body = F.array_join(F.transform(F.regexp_extract_all(F.lower("name"), F.lit("[a-z]"), F.lit(0)), lambda x: fragment[x]), "")
+    return names.select(F.when(F.length("name") % 2 == 1, F.concat(F.lit("C1"), body, F.lit("CC1"))).otherwise(F.concat(F.lit("C"), body)).alias("t")).distinct()
+
+
+def _kept(m):
+    """A graph's atoms by element with the elements beside them, in order."""
+    atoms, bonds = m["atoms"], m["bonds"]
+    name = lambda i: F.upper(F.get(atoms, i)["symbol"])
+
+    def one(i):
+        beside = F.transform(F.filter(bonds, lambda b: (b["a"] == i) | (b["b"] == i)), lambda b: name(F.when(b["a"] == i, b["b"]).otherwise(b["a"])))
+        return F.concat(name(i), F.lit("("), F.array_join(F.array_sort(beside), ""), F.lit(")"))
+
+    return F.array_join(F.array_sort(F.transform(F.sequence(F.lit(0), F.size(atoms) - 1), one)), " ")
+
+
+@query(
+    f"""{_KEPT}, axes AS (SELECT unnest(['canonical', 'explicit_hydrogens', 'other_toolkit', 'random', 'random']) AS axis)
+    SELECT t AS id, axis, graph, n_bonds FROM kept CROSS JOIN axes UNION ALL SELECT t, 'kekulized', graph, n_bonds FROM kept WHERE regexp_matches(t, '[cn][0-9]')
+    UNION ALL SELECT t, 'rings', graph, n_bonds FROM kept WHERE regexp_matches(regexp_replace(t, '\\[[^\\]]*\\]', '', 'g'), '[0-9]')"""
+)
+def rewrite_orbit(spark, sf_dir):
+    """Every molecule in all its rewrites, parsed again: each has the graph of the original."""
+    orbit = chemistry.orbit(sound(spark, sf_dir), "t", "t", k_random=2, plug=forms.MoleculeForms())
+    again = orbit.select("id", "axis", molecules.graph(lexing.glyphs(F.col("text"))).alias("m"))
+    return again.select("id", "axis", _kept(F.col("m")).alias("graph"), F.size("m.bonds").cast("long").alias("n_bonds"))
+
+
+@query(f"WITH {graphs(SOUND_MOLECULES)} SELECT t AS id, 1::BIGINT AS n_canonical, 6::BIGINT AS n_spellings FROM whole")
+def canonical_forms(spark, sf_dir):
+    """Canonical forms of a molecule's spelling, other canonical form, written hydrogens and three random orders: one for all."""
+    plug = forms.MoleculeForms()
+    named = chemistry.orbit(sound(spark, sf_dir), "t", "t", k_random=3, plug=plug).where("axis in ('canonical', 'explicit_hydrogens', 'other_toolkit', 'random')")
+    kept, _ = chemistry.canonicalize(named, "text", plug)
+    return kept.groupBy("id").agg(F.count_distinct("text").alias("n_canonical"), F.count(F.lit(1)).alias("n_spellings"))

@@ -14,7 +14,7 @@ import string
 from pyspark.sql import DataFrame, functions as F
 
 from lexforge.functions import lexing
-from lexforge.operators import bpe, emission, tokenizers
+from lexforge.operators import bpe, emission, seeds, tokenizers
 from lexforge.plans.catalog import _WORDS, _chunks, query, rounded, table, words
 from lexforge.plans.lexing_queries import CHUNK, GLYPHS, notations
 from lexforge.session import written
@@ -203,3 +203,10 @@ def first_merges(spark, sf_dir):
     base = table_.select(F.explode("glyphs").alias("g")).distinct().count()
     own = tokenizers.build("bpe", table_, size=base + 1 + FIRST)
     return spark.createDataFrame([(r["step"], r["pair"][0], r["pair"][1], r["new_id"], r["candidate_freq"]) for r in own.log], "step int, a int, b int, new_id int, freq long")
+
+
+@query(f"WITH w AS (SELECT piece, count(*) AS n FROM ({_WORDS}) GROUP BY piece) SELECT substr(piece, i, k) AS piece, sum(n)::BIGINT AS n FROM w, unnest(range(1, length(piece) + 1)) AS t(i), unnest(range(1, least(16, length(piece) - i + 1) + 1)) AS u(k) GROUP BY 1 HAVING sum(n) >= 2 OR length(substr(any_value(piece), any_value(i), any_value(k))) = 1")
+def unigram_seeds(spark, sf_dir):
+    """What a Unigram model is seeded with: the substrings of all words that occur twice, and single letters, with their counts."""
+    found = seeds.substring_counts(_chunks(spark, sf_dir).select(F.col("glyphs").alias("run"), "n"))
+    return found.select(F.array_join("piece", "").alias("piece"), "n")
