@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexforge.functions.arrays import let
 from lexforge.functions.hashing import bootstrap_seed
 from lexforge.operators.bootstrap import LEVEL, RESAMPLES, places
 
@@ -95,7 +96,7 @@ def multinomial_sums(values: DataFrame, units: DataFrame, *, offset: int = 0, re
 def poisson_weight(seed: int, resample: Column, unit: Column) -> Column:
     """0, 1, 2 ... with the chances of a Poisson number of mean 1, from an MD5."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), resample.cast("string"), unit.cast("string"))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    return sum(((u >= e).cast("int") for e in poisson_edges()), F.lit(0))
+    return let(u, lambda x: sum(((x >= e).cast("int") for e in poisson_edges()), F.lit(0)))
 
 
 def poisson_edges() -> list[float]:

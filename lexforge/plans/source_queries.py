@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexforge.plans.catalog import query, table
 from lexforge.session import shared_path
-from lexforge.sources import artifacts, delimited, sinks
+from lexforge.sources import artifacts, delimited, shard_writer, sinks
 
 _LINE = r"regexp_replace(text, '[\t\n\r]', ' ', 'g')"
 
@@ -204,3 +204,13 @@ def rendered_table(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), (F.sum("n_chars") / 16).alias("x")).orderBy("lang").collect()
     text = sinks.markdown([r.asDict() | {"none": None} for r in rows], [("lang", ""), ("n", ""), ("x", ".4f"), ("none", ".4f")])
     return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "i int, line string")
+
+
+@query("SELECT doc_id, length(text)::INT AS n_chars, md5(text) AS digest, 0 AS n_changed FROM documents")
+def byte_shards(spark, sf_dir):
+    """All documents written as shards of a megabyte, read back by the manifest, and shards that differ from it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = shared_path(spark, "byte-shards")
+    shard_writer.write_shards(docs, folder, target_bytes=1 << 20)
+    differ = len(shard_writer.changed(spark, folder))
+    return shard_writer.listed(spark, folder, docs.schema).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), F.lit(differ).alias("n_changed"))
