@@ -22,15 +22,16 @@ their own hashes.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexforge.llm.substring import FAN, _by_document, _by_target, _cut_bits, _gathered, _joined, _mixed, _PACKED, _powers, _slots, _target, _unpacked, _ANSWER, _ANSWER_NAMES, _ANSWERS
-from lexforge.session import release, written
+from lexforge.session import forget, release, written
 
 #: Bytes of a chunk and of text for each slot, at most about; bytes that are hashed together; contexts of an anchor beyond which its strings are dealt out.
 CHUNK, SLOT, BLOCK, HOT = 8 << 20, 16 << 20, 1 << 18, 512
@@ -38,9 +39,24 @@ CHUNK, SLOT, BLOCK, HOT = 8 << 20, 16 << 20, 1 << 18, 512
 _TIMES = np.array([1, 2, 8, 64])
 _LOW = np.uint64((1 << 20) - 1)
 _VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_SEGMENTS = "chunk long, slot int, keys binary, ids binary, sizes binary, places binary, text binary, starts binary, entries binary"
-_VERDICTS = "chunk long, slot int, runs binary, lengths binary, least binary"
-_NAMES, _VERDICT_NAMES = ([c.split()[0] for c in s.split(", ")] for s in (_SEGMENTS, _VERDICTS))
+#: Arrays of a chunk for a slot, or back, or (without a slot) for itself, one after the other and compressed.
+_PACKETS = "chunk long, slot int, many int, size int, packed binary"
+#: The place of an anchor's hash in a segment of a hot one, which is a string by itself.
+_ITSELF = (1 << 16) - 1
+_NAMES, _TYPES = [c.split()[0] for c in _PACKETS.split(", ")], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _packet(chunk: int, slot: int | None, many: int, *arrays: np.ndarray) -> tuple:
+    raw = b"".join(x.tobytes() for x in arrays)
+    return chunk, slot, many, len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, _TYPES)], _NAMES)
+
+
+def _raw(row: dict) -> bytes:
+    return pa.decompress(row["packed"], row["size"], codec="zstd", asbytes=True)
 
 
 class Hashed:
@@ -252,9 +268,8 @@ def chosen(chunk: Chunk, slots: int, answers: list[tuple[int, bytes]]) -> tuple[
             of = np.flatnonzero(bits[own, 0] & (bits[own, 1] == hot))
             s, n, p, h = start[of], many[of], place[of], key[of]
             if hot:
-                s, p = _ragged(s, n), np.repeat(p + s, n)
-                p, n = p - s, np.ones(len(s), np.int64)
-                h = _mixed(text.of(s, chunk.least))
+                s = _ragged(s, n)
+                n, p, h = np.ones(len(s), np.int64), np.full(len(s), _ITSELF), _mixed(text.of(s, chunk.least))
             found.append((s + at, n, p, h, text.of(s, n + chunk.least - 1)))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
 
@@ -272,14 +287,24 @@ def sent(name: int, chunk: Chunk, slots: int, answers: list[tuple[int, bytes]])
     number[by_slot] = np.arange(len(first))
     entry = np.empty(len(order), np.uint32)
     entry[order] = number[group]
-    rows = [(name, None, None, None, None, None, None, start.astype(np.int64).tobytes(), entry.tobytes())] if len(start) else []
+    rows = [_packet(name, None, len(start), np.diff(start, prepend=0), entry)] if len(start) else []
     cuts = np.flatnonzero(np.diff(slot[by_slot])) + 1
     for own in np.split(by_slot, cuts) if len(by_slot) else []:
         at = order[first[own]]
-        text = chunk.data[_ragged(start[at], length[at])]
-        rows.append((name, int(slot[own[0]]), key[at].tobytes(), least[own].tobytes(), many[at].astype(np.uint16).tobytes(), place[at].astype(np.uint16).tobytes(), text.tobytes(), None, None))
-    types = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], _NAMES)
+        rows.append(_packet(name, int(slot[own[0]]), len(at), least[own], many[at].astype(np.uint16), place[at].astype(np.uint16), chunk.data[_ragged(start[at], length[at])]))
+    return _table(rows)
+
+
+def unpacked(row: dict, least: int) -> tuple[np.ndarray, ...]:
+    """(ids, strings, place, key, text) of what a chunk sent to a slot; the keys are made from the text."""
+    raw, n = _raw(row), row["many"]
+    ids, text = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8, offset=12 * n)
+    many, place = (np.frombuffer(raw, np.uint16, n, k * n).astype(np.int64) for k in (8, 10))
+    length = many + least - 1
+    start = np.cumsum(length) - length
+    hashed, alone = Hashed(text), place == _ITSELF
+    own = hashed.of(start + np.where(alone, 0, place), np.where(alone, least, anchor_length(least)))
+    return ids, many, np.where(alone, 0, place), _mixed(own), text
 
 
 def smallest(data: np.ndarray, start: np.ndarray, many: np.ndarray, place: np.ndarray, key: np.ndarray, ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,9 +340,7 @@ def smallest(data: np.ndarray, start: np.ndarray, many: np.ndarray, place: np.nd
 
 def decided(table: pa.Table, least: int) -> pa.Table:
     """The verdicts of a slot: for each segment of each chunk the smallest ids of its strings, as runs of equal ones."""
-    text = np.frombuffer(b"".join(table.column("text").to_pylist()), np.uint8)
-    key, ids = _joined(table, "keys", np.uint64), _joined(table, "ids", np.int64)
-    many, place = (_joined(table, c, np.uint16).astype(np.int64) for c in ("sizes", "places"))
+    ids, many, place, key, text = (np.concatenate(c) for c in zip(*(unpacked(row, least) for row in table.select(["many", "size", "packed"]).to_pylist())))
     length = many + least - 1
     start = np.cumsum(length) - length
     order = np.argsort(key, kind="stable")
@@ -344,24 +367,28 @@ def decided(table: pa.Table, least: int) -> pa.Table:
     begin[order] = in_order
     back = _ragged(begin, runs)
     lengths, low = np.concatenate(runs_of)[back].astype(np.uint16), np.concatenate(low)[back]
-    counts = np.array([len(x) // 8 for x in table.column("keys").to_pylist()])
+    counts = table.column("many").to_numpy()
     ends, run_ends = np.cumsum(counts), np.concatenate(([0], np.cumsum(runs)))
-    columns: list[list] = [[], [], []]
-    for e, c in zip(ends.tolist(), counts.tolist()):
+    rows = []
+    for e, c, chunk, slot in zip(ends.tolist(), counts.tolist(), table.column("chunk").to_pylist(), table.column("slot").to_pylist()):
         a, b = run_ends[e - c], run_ends[e]
-        for column, value in zip(columns, (runs[e - c : e].astype(np.uint16), lengths[a:b], low[a:b])):
-            column.append(value.tobytes())
-    return pa.table([table.column("chunk"), table.column("slot"), *(pa.array(c, pa.binary()) for c in columns)], _VERDICT_NAMES)
+        rows.append(_packet(chunk, slot, c, low[a:b], lengths[a:b], runs[e - c : e].astype(np.uint16)))
+    return _table(rows)
 
 
 def cut(chunk: Chunk, told: pa.Table) -> pa.Table:
     """The documents of a chunk without what is to go."""
     gone = np.zeros(len(chunk.data) + 1, np.int32)
-    where = [i for i, x in enumerate(told.column("starts").to_pylist()) if x is not None]
-    if where:
-        start, entry = (np.frombuffer(told.column(c)[where[0]].as_py(), t).astype(np.int64) for c, t in (("starts", np.int64), ("entries", np.uint32)))
-        verdicts = told.filter(pc.is_valid(told.column("slot"))).sort_by("slot")
-        runs, lengths, low = _joined(verdicts, "runs", np.uint16).astype(np.int64), _joined(verdicts, "lengths", np.uint16).astype(np.int64), _joined(verdicts, "least", np.int64)
+    rows = sorted(told.to_pylist(), key=lambda row: -1 if row["slot"] is None else row["slot"])
+    if len(rows) > 1:
+        raw, n = _raw(rows[0]), rows[0]["many"]  # the chunk's own
+        start, entry = np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.uint32, offset=8 * n).astype(np.int64)
+        found: list[tuple] = []
+        for row in rows[1:]:
+            raw, n = _raw(row), row["many"]
+            total = (row["size"] - 2 * n) // 10
+            found.append((np.frombuffer(raw, np.int64, total), np.frombuffer(raw, np.uint16, total, 8 * total), np.frombuffer(raw, np.uint16, offset=10 * total)))
+        low, lengths, runs = (np.concatenate(c).astype(np.int64) for c in zip(*found))
         begin = np.cumsum(runs) - runs
         ahead = np.cumsum(lengths) - lengths
         ahead -= np.repeat(ahead[begin], runs)
@@ -383,6 +410,14 @@ def cut(chunk: Chunk, told: pa.Table) -> pa.Table:
     return pa.table([chunk.docs.column("doc_id"), pa.array(np.diff(chunk.bounds)), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
+def _done(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that nothing will read any more, and lets Spark delete the shuffles before them: a first collection frees the plans, a second finds what only they held."""
+    forget(*tables)
+    for pause in (0.5, 0):
+        release(spark)
+        time.sleep(pause)
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
     """For each row: doc_id, n_bytes, n_removed, spans (start and length of what goes, in bytes) and kept, the bytes left.
 
@@ -422,20 +457,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         answers = answers.repartition("target").mapInArrow(deal, _ANSWERS)
     shared = written(answers.groupBy("target").applyInArrow(lambda t: _by_document(t, "anchor"), _ANSWER.format("anchor")), "anchors")
-    release(spark)
+    _done(spark)
 
     def segments(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         found = list(zip(told.column("anchor_slots")[0].as_py(), told.column("anchor_bits")[0].as_py())) if table.num_rows and told.num_rows else []
         if not found:
-            return pa.schema([(c, t) for c, t in zip(_NAMES, [pa.int64(), pa.int32(), *[pa.binary()] * 7])]).empty_table()
+            return _table([])
         return sent(key[0].as_py(), Chunk(table, least), slots, found)
 
-    met = written(long.groupBy("chunk").cogroup(shared.groupBy("own")).applyInArrow(segments, _SEGMENTS), "segments")
-    release(spark)
-    verdicts = met.where("slot is not null").select(*_NAMES[:7]).groupBy("slot").applyInArrow(lambda t: decided(t, least), _VERDICTS)
-    own = met.where("slot is null").select("chunk", "starts", "entries")
-    told = written(verdicts.unionByName(own, allowMissingColumns=True), "verdicts")
-    release(spark)
+    met = written(long.groupBy("chunk").cogroup(shared.groupBy("own")).applyInArrow(segments, _PACKETS), "segments")
+    _done(spark, shared)
+    verdicts = met.where("slot is not null").groupBy("slot").applyInArrow(lambda t: decided(t, least), _PACKETS)
+    told = written(verdicts.union(met.where("slot is null")), "verdicts")
+    _done(spark, met)
     done = long.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda table, t: cut(Chunk(table, least), t), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary")
     short = rows.where(F.length("data") < least).select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("cast(array() as array<struct<start: long, length: long>>)").alias("spans"), F.col("data").alias("kept"))
     return done.union(short)
