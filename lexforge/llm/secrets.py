@@ -25,16 +25,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexforge.functions.arrays import let, starts
 
 _RUN = r"A-Za-z0-9+/_\-"
-#: Names whose value is a candidate whatever it looks like; up to 8 more characters of the name may follow.
-_NAMES = r"(?i:passw|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|signing[_\- ]?key|credential)[\w\-]{0,8}"
+#: Names whose value is a candidate whatever it looks like; up to 64 more characters of the name may follow (a lookbehind needs an end).
+_NAMES = r"(?i:passw|passphrase|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|signing[_\- ]?key|credential)[\w\-]{0,64}"
+#: What stands between a name and its value.
+_GIVEN = r"[\"']?\s{0,2}(?:=>|[:=]{1,2})\s{0,2}"
 #: A long run with a digit.
 _DIGITS = rf"(?<![{_RUN}])(?=[A-Za-z+/_\-]*[0-9])[{_RUN}]{{16,}}={{0,2}}"
-#: What a candidate is: a private key block, a password in a URL (after a user of up to 64 characters), a quoted value after a name, an unquoted one, a bearer's token, tokens with dots, and runs with a digit. None has an upper length. The lookaheads let a word without a digit fail at its first character.
+#: What a candidate is: a private key block, a password in a URL (after a user of up to 256 characters, up to the last @ before the path), a tag's content, a quoted value after a name, an unquoted one, a bearer's token, tokens with dots, and runs with a digit. None has an upper length. The lookaheads let a word without a digit fail at its first character.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,32}PRIVATE KEY-----"
-    r"|(?<=:)(?<=://[^\s:/@\"'<>]{0,64}:)[^\s/@\"'<>]{3,}(?=@)"
-    rf"|(?<=[\"'])(?<={_NAMES}[\"']?\s{{0,2}}[:=]{{1,2}}\s{{0,2}}[\"'])[^\s\"']{{6,}}(?=[\"'])"
-    rf"|(?<=[:=]\s{{0,2}})(?![\s:=])(?<={_NAMES}[\"']?\s{{0,2}}[:=]{{1,2}}\s{{0,2}})[^\s\"'`<>]{{5,}}[^\s\"'`<>.,;:)\]}}]"
+    r"|(?<=:)(?<=://[^\s:/@\"'<>]{0,256}:)[^\s/\"'<>]{3,}(?=@)"
+    rf"|(?<=[\"'])(?<={_NAMES}{_GIVEN}[\"'])[^\s\"']{{6,}}(?=[\"'])"
+    rf"|(?<=>)(?<=<{_NAMES}>)[^\s<>]{{6,}}(?=</)"
+    rf"|(?<=[:=>]\s{{0,2}})(?![\s:=>])(?<={_NAMES}{_GIVEN})[^\s\"'`<>]{{5,}}[^\s\"'`<>.,;:)\]}}]"
     rf"|(?<=[Bb]earer )[{_RUN}.]{{15,}}[{_RUN}]={{0,2}}"
     rf"|(?<![{_RUN}])(?:SG\.[\w\-]{{8,}}\.[\w\-]{{8,}}|eyJ[\w\-]{{8,}}\.[\w\-]{{4,}}(?:\.[\w\-]+)?)"
     rf"|{_DIGITS}"
@@ -54,12 +57,12 @@ DICTIONARY = (
     " test user name file path data page list item code text link main home com org net www http html json api key the and for"
 ).split()
 
-_SECRET_WORD = r"(?i)(token|secret|passw|pwd|api[_\- ]?key|auth|bearer|credential|private|signing)[^\n]{0,20}$"
+_SECRET_WORD = r"(?i)(token|secret|passw|passphrase|pwd|api[_\- ]?key|auth|bearer|credential|private|signing)[^\n]{0,20}$"
 _BENIGN_WORD = r"(?i)(sha-?\d*|md5|commit|checksum|digest|uuid|guid|hash|version|revision|etag|\bid|isbn|order|invoice|phone|card|account|number|serial|href|src|url|ref|integrity|http[^\s]*)[\"'=:\s#(]{0,4}$"
 _TEST_PATH = r"(?i)(test|spec|fixture|example|sample|mock|docs?/|\.lock$|\.md$)"
 _CONFIG_PATH = r"(?i)(\.env|\.ya?ml|\.json|\.ini|\.conf|\.properties|\.toml|\.tf|\.pem|config|settings)"
 _PREFIX = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|rk_live_|sk-|xox[abprs]-|glpat-|AIza|eyJ|npm_|hf_|SG\.|-----BEGIN )"
-_IN_URL = r"://[^\s:/@\"'<>]{0,64}:$"
+_IN_URL = r"://[^\s:/@\"'<>]{0,256}:$"
 _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 FEATURES = ("length", "changes", "digits", "upper", "lower", "signs", "hex", "number", "distinct", "longest_run", "covered", "vowels", "uuid", "assigned", "quoted", "secret_word", "benign_word", "prose", "test_path", "config_path", "prefix", "in_url")
@@ -238,7 +241,7 @@ def candidates(text: Column) -> Column:
     """
     low = F.lower(text)
     every = lambda *parts: [low.contains(x) for x in parts]
-    named = every("passw", "pwd", "secret", "token", "credential", "bearer ") + [low.contains("key") & low.rlike("api|access|private|signing")]
+    named = every("passw", "passphrase", "pwd", "secret", "token", "credential", "bearer ") + [low.contains("key") & low.rlike("api|access|private|signing")]
     other = [text.contains(x) for x in ("://", "SG.", "eyJ", "-----BEGIN ")]
     some = named[0]
     for x in [*named[1:], *other]:

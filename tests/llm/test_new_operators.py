@@ -230,8 +230,7 @@ def test_chunks_and_slots_equal_plain_python(monkeypatch, hot):
                 answers[int(own)].append((int(slot), bits))
     sent = pa.concat_tables([suffix.sent(k, chunks[k], slots, answers[k]) for k in range(2)])
     verdicts = pa.concat_tables([suffix.decided(sent.filter(pa.compute.equal(sent.column("slot"), s)), least) for s in range(slots)])
-    own = sent.filter(pa.compute.is_null(sent.column("slot"))).select(["chunk", "slot", "starts", "entries"])
-    told = pa.concat_tables([verdicts, own], promote_options="default")
+    told = pa.concat_tables([verdicts, sent.filter(pa.compute.is_null(sent.column("slot")))])
     found = []
     for k in range(2):
         for r in suffix.cut(chunks[k], told.filter(pa.compute.equal(told.column("chunk"), k))).to_pylist():
@@ -268,3 +267,16 @@ def test_repeats_without_rows(spark):
 
 def test_new_queries_are_registered():
     assert {"op11_centroids", "op12_suffix", "op13_funnels"} <= QUERIES.keys()
+
+
+def test_secrets_behind_long_names_and_users(spark):
+    """Names that go on, passwords with an @, arrows, tags: found whole. What looks alike and isn't assigned stays."""
+    from lexforge.llm import secrets
+
+    user = "u" * 70
+    gone = ["SECRET_KEY_BASE=hunter2!x9", "DB_PASSWORD_STAGING_EU: hunter2!x9", f"https://{user}:Sup3r-S3cret9@db/x", "https://user:Sup3r@S3cret@db/x", "token => 'abcDEFghiJKL!x9'", "passphrase = kX9!vQ2#mLp4", "<password>kX9!vQ2#mLp4</password>"]
+    kept = ["the secret of a good soup is time", "see https://example.org/a@b and mail me", "key: value, a => b", "password reset instructions were sent"]
+    rows = spark.createDataFrame([(i, t, "src0") for i, t in enumerate(gone + kept)], "doc_id int, text string, source string")
+    found = {r["doc_id"]: r["text"] for r in secrets.redact(rows).collect()}
+    assert [found[i] for i in range(len(gone))] == ["SECRET_KEY_BASE=[SECRET]", "DB_PASSWORD_STAGING_EU: [SECRET]", f"https://{user}:[SECRET]@db/x", "https://user:[SECRET]@db/x", "token => '[SECRET]'", "passphrase = [SECRET]", "<password>[SECRET]</password>"]
+    assert [found[i + len(gone)] for i in range(len(kept))] == kept
