@@ -21,8 +21,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it is trained on the stage's own input.
 
-    Null and empty texts have score 0 and go; repeated rows go or stay together.
-    Any other column stays as it is, and an empty table stays empty.
+    Null and empty texts have score 0 and go; repeated rows go or stay together, and
+    a score at the limit stays. Texts of any length are judged whole. Any other column
+    stays as it is, whatever its name, and an empty table stays empty.
     """
     return quality.keep_accepted(docs)
 
@@ -31,7 +32,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates (shingles of five words, similarity 0.8) the document with the smallest doc_id stays; of repeated rows of that id, one.
 
     Null ids stay where no other id is alike; all null and empty texts are alike.
-    Of rows equal in id and text the first by its other columns stays. An empty
+    Of rows equal in id and text the first by its other columns stays. Texts of any
+    length are compared whole; other columns stay, whatever their names. An empty
     table stays empty.
     """
     return simhash.keep_representatives(docs)
@@ -40,7 +42,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; n_chars follows the new text. No document goes.
 
-    Null and empty texts, null paths and repeated rows stay as they are.
+    Null and empty texts, null paths and repeated rows stay as they are; texts of any
+    length are read whole, and a score at the limit is a secret's. Other columns
+    stay, whatever their names, and an empty table stays empty.
     """
     redacted = secrets.redact(docs)
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
@@ -50,13 +54,21 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents as often as the mix takes them, up to three times; those it takes 0 times are gone.
 
     Null sources are a source of their own; texts without words have size 0 and
-    are in as often as their source's other documents below the threshold.
+    are in as often as their source's other documents below the threshold. Equal
+    hashes, as of repeated rows, are in alike. A text of any length counts whole; other columns stay,
+    whatever their names, and an empty table stays empty. Without a column
+    ``source`` it is an error.
     """
     return mixing.apply_mix(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document encoded: doc_id, source, n_ids, ids. A null or empty text has no ids; repeated rows are encoded alike."""
+    """Each document encoded: doc_id, source, n_ids, ids.
+
+    A null or empty text has no ids; repeated rows are encoded alike, and texts of any
+    length whole. An empty table gives no rows; other columns, whatever their
+    names, are left out. Without a column ``source`` it is an error.
+    """
     encoded = spm.encode(docs, MODEL, keep=("source",))
     return encoded.select("doc_id", "source", F.size("ids").alias("n_ids"), "ids")
 

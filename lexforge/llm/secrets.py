@@ -294,7 +294,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", path_col: str | None = "source", least: float = LEAST, mark: str = "[SECRET]", forest: list | None = None) -> DataFrame:
-    """``docs`` with each secret in the text replaced by ``mark``; all else stays, repeated rows and other columns too. A null text stays null, an empty one empty; texts of any length are read whole."""
+    """``docs`` with each secret in the text replaced by ``mark``; all else stays, repeated rows and other columns too. A null text stays null, an empty one empty; texts of any length are read whole. A value that a text repeats goes everywhere; a score of exactly ``least`` is a secret's. An empty table stays empty."""
     forest = train(docs.sparkSession) if forest is None else forest
     text = docs[text_col].cast("string")
 

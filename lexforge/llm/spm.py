@@ -245,7 +245,12 @@ def decode(encoded: DataFrame, model_path: str, *, keep: tuple[str, ...] = ()) -
 
 
 def round_trip(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids_sha256 (of the ids joined by one space) and decoded_sha256 (of the text decoded from them), for each row."""
+    """doc_id, n_ids, ids_sha256 (of the ids joined by one space) and decoded_sha256 (of the text decoded from them), for each row.
+
+    A null or empty text has no ids, and its decoded text is empty. Texts of any length
+    are encoded whole, repeated rows alike; a null id stays null. An empty table
+    gives no rows, and other columns, whatever their names, aren't read.
+    """
     encoded = encode(docs, model_path, id_col=id_col, text_col=text_col)
     digest = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
     return decode(digest, model_path, keep=("n_ids", "ids_sha256")).select("doc_id", "n_ids", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))

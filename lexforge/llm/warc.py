@@ -184,6 +184,10 @@ def _parsed(data: bytes) -> tuple:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes archives of ``pages`` into the shared folder and reads every record back."""
+    """Writes archives of ``pages`` into the shared folder and reads every record back: a row for each row of ``pages``.
+
+    Nulls, empty and very long payloads, ties and repeated rows are as :func:`write_archives`
+    says; an empty table gives no rows, and other columns, whatever their names, aren't read.
+    """
     folder = shared_path(pages.sparkSession, "warc")
     return read_records(write_archives(pages, folder, **options), folder)

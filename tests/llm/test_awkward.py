@@ -84,3 +84,27 @@ def test_nothing_but_nulls(awkward):
     nulls = awkward.select(*[F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes])
     for name, run in OPERATORS.items():
         assert run(nulls).count() == awkward.count(), name
+
+
+def test_stages_of_nothing_but_nulls(awkward):
+    nulls = awkward.select(*[F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes])
+    n = awkward.count()
+    forest = secrets.train(awkward.sparkSession)
+    assert secrets.redact(nulls, forest=forest).collect() == nulls.collect() and secrets.redact(nulls.limit(0), forest=forest).count() == 0
+    assert quality.keep_accepted(nulls).count() == 0
+    assert 1 <= simhash.keep_representatives(nulls).count() <= n
+
+
+def test_an_index_row_given_twice_is_read_twice(awkward):
+    folder = shared_path(awkward.sparkSession, "twice-warc")
+    index = warc.write_archives(awkward, folder, id_col="doc_id", url_col="source", payload_col="text")
+    once = warc.read_records(index, folder).collect()
+    twice = warc.read_records(index.union(index), folder).collect()
+    assert sorted(map(str, twice)) == sorted(map(str, once + once))
+
+
+def test_a_query_id_with_two_vectors(spark):
+    """Each row is a candidate for others; the query asks once, with the smaller vector, and neither row is its own neighbour."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [5.0, 1.0]), (2, [1.0, 5.0])]
+    found = [tuple(r) for r in permindex.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert found == [(20, 1, 2, 5.0), (20, 2, 1, 1.0)]
