@@ -89,13 +89,13 @@ def clearance(vocabulary: DataFrame | None, counts: DataFrame, by: list[str], th
     return fired.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pieces"), *shares).withColumn("unsafe", F.col("f_100") < 0.95 if 100 in thresholds else F.lit(None).cast("boolean"))
 
 
-def threshold(ranked: DataFrame, by: list[str], p: float, n_min: int) -> DataFrame:
-    """From (rank, n): how many fire n_min times, whether their share reaches p, and if not the first rank that doesn't fire so often."""
+def threshold(counts: DataFrame, by: list[str], p: float, n_min: int) -> DataFrame:
+    """From a row a piece with its n: how many fire n_min times, whether their share reaches p, and if not the first rank, by falling n, that doesn't fire so often: the one after those that do."""
     if not 0 < p <= 1:
         raise ValueError("p must be above 0 and at most 1")
-    counted = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") >= n_min).alias("clearing"), F.min(F.when(F.col("n") < n_min, F.col("rank"))).alias("_first"))
+    counted = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") >= n_min).alias("clearing"))
     crossed = F.coalesce(F.try_divide("clearing", "all") >= p, F.lit(False))
-    return counted.select(*by, F.lit(p).alias("p"), F.lit(n_min).alias("n_min"), "clearing", crossed.alias("crossed"), F.when(~crossed, F.col("_first")).alias("first_rank_below"))
+    return counted.select(*by, F.lit(p).alias("p"), F.lit(n_min).alias("n_min"), "clearing", crossed.alias("crossed"), F.when(~crossed & (F.col("clearing") < F.col("all")), F.col("clearing") + 1).cast("int").alias("first_rank_below"))
 
 
 def non_atomic(vocabulary: DataFrame, atomic: DataFrame, surface_col: str = "surface") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexforge.functions.lexing import piece_class, surface
+from lexforge.session import written
 
 
 def _sides(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -95,6 +96,25 @@ def rank_frequency(counts: DataFrame, by: list[str], key: str = "piece", n: str
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(n).desc(), key)))
 
 
+def rank_all(counts: DataFrame, by: list[str], key: str = "piece", n: str = "n") -> DataFrame:
+    """:func:`rank_frequency` of every piece, where a corpus may be far larger than a task.
+
+    Rows are dealt out by ranges of the order itself; each range ranks its own, and what
+    is in a corpus's ranges before is added. (Where only the first ranks are wanted, the plain
+    window is cheaper: each task drops what can't be among them.)
+    """
+    order = [F.col(n).desc(), F.col(key)]
+    ranged = written(counts.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    many = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_many"))  # a row for each range and corpus in it
+    before = F.coalesce(F.sum("_many").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = many.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_range").alias("_own"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    same = F.col("_range") == F.col("_own")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ranged.withColumn("_rank", own).join(offsets, same).select(*counts.columns, (F.col("_rank") + F.col("_before")).alias("rank"))
+
+
 def ordered(vocabulary: DataFrame) -> DataFrame:
     """Surfaces by number of glyphs, then by surface."""
     return vocabulary.select(F.size("piece").alias("n_glyphs"), surface(F.col("piece")).alias("surface")).orderBy("n_glyphs", "surface")

@@ -192,6 +192,13 @@ def rank_frequency(spark, sf_dir):
     return vocabulary.rank_frequency(counts, ["lang"]).where("rank <= 50")
 
 
+@query(f"SELECT lang, piece, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, piece)::BIGINT AS rank FROM ({_WORDS}) GROUP BY lang, piece")
+def rank_all(spark, sf_dir):
+    """The rank of every word in its language."""
+    counts = words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
+    return vocabulary.rank_all(counts, ["lang"]).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"SELECT lang, piece, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS weight FROM (SELECT lang, piece, count(*) AS n FROM ({_WORDS}) GROUP BY ALL)")
 def normalized_weights(spark, sf_dir):
     return rounded(vocabulary.normalized(words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n")), ["lang"]), "weight")
@@ -265,7 +272,7 @@ def clearance_fpn(spark, sf_dir):
 )
 def clearance_threshold(spark, sf_dir):
     counts = words(spark, sf_dir).groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
-    return emission.threshold(vocabulary.rank_frequency(counts, ["lang"]), ["lang"], 0.95, 100)
+    return emission.threshold(counts, ["lang"], 0.95, 100)
 
 
 def _arm_counts(spark, sf_dir) -> DataFrame:

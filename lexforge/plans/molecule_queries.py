@@ -166,3 +166,12 @@ def canonical_forms(spark, sf_dir):
     named = chemistry.orbit(sound(spark, sf_dir), "t", "t", k_random=3, plug=plug).where("axis in ('canonical', 'explicit_hydrogens', 'other_toolkit', 'random')")
     kept, _ = chemistry.canonicalize(named, "text", plug)
     return kept.groupBy("id").agg(F.count_distinct("text").alias("n_canonical"), F.count(F.lit(1)).alias("n_spellings"))
+
+
+@query(f"{_FUNCTIONAL}, u AS (SELECT substr(t, 1, 1) AS first, avg((position % 3 <> 0)::INT) AS x, avg((position % 2 <> 0)::INT) AS y FROM b GROUP BY 1) SELECT first, round(x, 6) AS locality_a, round(y, 6) AS locality_b, round(y - x, 6) AS delta_locality FROM u")
+def locality_pair(spark, sf_dir):
+    """Two arms that cut at every third and at every second place, beside each other."""
+    rows = spelt(spark, sf_dir).withColumn("g", lexing.glyphs(F.col("t"))).select(F.substring("t", 1, 1).alias("first"), F.size("g").alias("n"), emission.functional_bonds(F.col("g")).alias("b"))
+    every = lambda k: F.filter(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: i % k == 0)
+    both = rows.select("first", F.explode(F.array(*(F.struct(F.lit(arm).alias("arm"), emission.locality_of(F.col("b"), every(k)).alias("bonds")) for arm, k in (("a", 3), ("b", 2))))).alias("x")).select("first", "x.arm", "x.bonds")
+    return rounded(emission.arms_beside(emission.locality(both, ["first", "arm"]), "arm", ["first"], ["locality"]), "locality_a", "locality_b", "delta_locality")

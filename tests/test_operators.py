@@ -283,3 +283,16 @@ def test_places_and_arms_beside(spark):
 def test_closure_of_a_very_long_piece(spark):
     df = spark.createDataFrame([(["a"] * 3000,), (["a"] * 2,), (["a"] * 2998,), (["b"],)], "piece array<string>")
     assert vocabulary.closure(df, []).first()[:6] == (3, 2, 1, 0, 1, 0)
+
+
+def test_ranks_of_one_large_corpus(spark):
+    """One corpus in many ranges, ties and a null corpus among them: the window's ranks, and no task with all rows."""
+    rows = spark.range(0, 60_000, 1, 6).select(F.when(F.col("id") % 50 == 0, None).otherwise("c").alias("cell"), F.concat(F.lit("p"), "id").alias("piece"), (F.col("id") * 7919 % 400).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else a table as small as this is one range
+    try:
+        ranked = vocabulary.rank_all(rows, ["cell"])
+        ranges = ranked.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 40_000
+    assert ranked.exceptAll(vocabulary.rank_frequency(rows, ["cell"]).withColumn("rank", F.col("rank").cast(dict(ranked.dtypes)["rank"]))).isEmpty() and ranked.count() == 60_000
