@@ -69,6 +69,18 @@ def organic_glyphs(chunk: Column) -> Column:
     return F.regexp_extract_all(chunk, F.lit(r"(?s)(Cl|Br|.)"), F.lit(1))
 
 
+_BRACKETED = re.compile(r"\[[^\n\r\x85\u2028\u2029]*\]")
+_INSIDE, _OUTSIDE = re.compile(_IN_BRACKET), re.compile("Cl|Br|.", re.DOTALL)
+
+
+def chunk_glyphs(chunk: str) -> list[str]:
+    """The glyphs of one chunk, as :func:`glyphs` has them, where Python has the chunk anyway."""
+    if _BRACKETED.fullmatch(chunk):
+        found = _INSIDE.findall(chunk)
+        return found if "".join(found) == chunk else list(chunk)
+    return _OUTSIDE.findall(chunk)
+
+
 def glyphs(text: Column) -> Column:
     """All glyphs of a text, in order."""
     return F.flatten(F.transform(chunks(text), lambda c: F.when(c.rlike(r"^\[.*\]$"), bracket_glyphs(c)).otherwise(organic_glyphs(c))))

@@ -6,11 +6,14 @@ pieces; what is counted by piece is long: (unit, piece, n).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexforge.functions.arrays import let
+from lexforge.functions.batches import parts as few
 from lexforge.operators.molecules import BOND_CLASSES, functional_bonds as functional_bonds
 
 
@@ -140,9 +143,18 @@ def absorption(units: DataFrame, by: list[str]) -> DataFrame:
     return units.groupBy(*by).agg(F.sum("n_chunks").alias("chunks"), F.try_divide(F.sum("n_absorbed"), F.sum("n_chunks")).alias("absorbed"), F.try_divide(F.sum("n_cross"), F.sum("n_chunks")).alias("crossed"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _ends(lengths: pd.Series) -> pd.Series:
-    return lengths.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64)[:-1].astype(np.int32))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _ends(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for rows in few(batch):
+            counts = rows.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            sums = np.concatenate(([0], np.cumsum(rows.flatten().to_numpy(), dtype=np.int64)))
+            edges = np.concatenate(([0], np.cumsum(counts)))
+            ends = sums[1:] - np.repeat(sums[edges[:-1]], counts)
+            inner = np.ones(len(ends), bool)
+            inner[edges[1:][counts > 0] - 1] = False
+            kept = np.concatenate(([0], np.cumsum(np.maximum(counts - 1, 0))))
+            yield pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(ends[inner].astype(np.int32)), mask=rows.is_null())
 
 
 def cut_positions(lengths: Column) -> Column:
@@ -175,7 +187,17 @@ def nestedness(units: DataFrame, by: list[str]) -> DataFrame:
 def contrast(units: DataFrame, keep: list[str], a: str, b: str) -> DataFrame:
     """Both arms of each text from the glyph counts of their tokens: n_a, n_b, the relative gap between them, and where their boundaries agree."""
     sizes = lambda c: F.aggregate(F.col(c), F.lit(0), lambda s, n: (s + n).cast("int"))
-    told = units.select(*keep, F.size(a).alias("n_a"), F.size(b).alias("n_b"), nestedness_of(cut_positions(F.col(a)), cut_positions(F.col(b)), sizes(a)).alias("x"))
+    return _contrasted(units, keep, a, b, cut_positions(F.col(a)), cut_positions(F.col(b)), sizes(a))
+
+
+def contrast_of_ends(units: DataFrame, keep: list[str], a: str, b: str) -> DataFrame:
+    """:func:`contrast` from where tokens end."""
+    inner = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
+    return _contrasted(units, keep, a, b, inner(a), inner(b), F.coalesce(F.try_element_at(F.col(a), F.lit(-1)), F.lit(0)))
+
+
+def _contrasted(units: DataFrame, keep: list[str], a: str, b: str, cuts_a: Column, cuts_b: Column, total: Column) -> DataFrame:
+    told = units.select(*keep, F.size(a).alias("n_a"), F.size(b).alias("n_b"), nestedness_of(cuts_a, cuts_b, total).alias("x"))
     return told.select(*keep, "n_a", "n_b", relative_gap(F.col("n_a"), F.col("n_b")).alias("gap"), "x.*")
 
 

@@ -18,13 +18,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexforge.functions.lexing import GLYPHS, SPECIALS, chunks, glyphs
+from lexforge.functions.batches import parts as few
+from lexforge.functions.lexing import GLYPHS, SPECIALS, chunk_glyphs, chunks, glyphs
 
 Piece = tuple[str, ...]
 UNKNOWN = ("?",)
 _HALF = 32
 #: Chunks that a driver's training loop takes; a larger table is trained where it is.
 MOST_CHUNKS = 1_000_000
+#: Glyphs of the chunks whose pieces a task remembers: chunks of a text can be long, and seldom come again.
+KNOWN = 1 << 19
 
 
 def runs(parts: Piece, merge_brackets: bool) -> list[Piece]:
@@ -51,15 +54,32 @@ class Tokenizer:
         self.longest = max(map(len, self.scores), default=1)
         self.worst = min(self.scores.values(), default=0.0)
         self._known: dict[Piece, list[Piece]] = {}
+        self._room = KNOWN
+        self._inside = {pair for p in ([a + b for a, b in self.merges] if self.kind == "bpe" else self.scores) for pair in zip(p, p[1:])}
 
     def segment(self, parts: Piece) -> list[Piece]:
         """The pieces of a chunk's glyphs."""
-        found = self._known.get(parts)
+        found: list[Piece] = []
+        for run in runs(parts, self.merge_brackets):
+            at = 0
+            for to in [i for i, pair in enumerate(zip(run, run[1:]), 1) if pair not in self._inside]:
+                found += self._segment(run[at:to])
+                at = to
+            if at < len(run):
+                found += self._segment(run[at:])
+        return found
+
+    def _segment(self, run: Piece) -> list[Piece]:
+        """The pieces of a part of a run. Runs are parted where two neighbours stand side by side in no piece: what is on either side is cut by itself, and comes again more often than a chunk."""
+        if len(run) == 1:
+            return [run]
+        found = self._known.get(run)
         if found is None:
-            if len(self._known) > 1 << 18:
+            self._room -= len(run)
+            if self._room < 0:
                 self._known.clear()
-            found = [p for run in runs(parts, self.merge_brackets) for p in (self._merged(run) if self.kind == "bpe" else self._best(run))]
-            self._known[parts] = found
+                self._room = KNOWN - len(run)
+            found = self._known[run] = self._merged(run) if self.kind == "bpe" else self._best(run)
         return found
 
     def _merged(self, run: Piece) -> list[Piece]:
@@ -283,48 +303,74 @@ def _scores(weights: dict[Piece, float]) -> dict[Piece, float]:
     return {p: math.log(w / total) for p, w in weights.items()}
 
 
-def encode(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, keep: list[str] | None = None) -> DataFrame:
-    """``df`` with tokens: array of (piece, start, end, first glyph, id); id -1 for a piece the vocabulary lacks. Null texts have null tokens."""
+#: The fields of a token.
+FIELDS = {"piece": "array<string>", "start": "int", "end": "int", "glyph": "int", "id": "int"}
+
+
+def encode(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, keep: list[str] | None = None, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    """``df`` with tokens: array of (piece, start, end, first glyph, id), or some of these; id -1 for a piece the vocabulary lacks. Null texts have null tokens.
+
+    A task has the tokens of about half a million bytes of text at a time, or of one text.
+    """
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(tokenizer)
-    kind = "array<struct<piece:array<string>,start:int,end:int,glyph:int,id:int>>"
 
-    @F.arrow_udf(kind)
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("array<struct<" + ",".join(f"{name}:{FIELDS[name]}" for name in fields) + ">>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
-        for batch in parts:
-            yield _encoded(own, batch.to_pylist())
+        for batch in batches:
+            for some in few(batch):
+                yield _encoded(own, some.to_pylist(), fields)
 
-    parts = F.transform(chunks(F.col(text_col)), glyphs)
-    return df.select(*([F.col(c) for c in keep] if keep is not None else ["*"]), run(parts).alias("tokens"))
+    return df.select(*([F.col(c) for c in keep] if keep is not None else ["*"]), run(chunks(F.col(text_col))).alias("tokens"))
 
 
-def _encoded(own: Tokenizer, texts: list) -> pa.Array:
-    """The tokens of texts given as chunks of glyphs, as one flat array of each field under lists."""
-    counts, names, of_piece, ids, sizes, n_glyphs = [], [], [], [], [], []
+def _encoded(own: Tokenizer, texts: list, fields: tuple[str, ...] = tuple(FIELDS)) -> pa.Array:
+    """The tokens of texts given as chunks, as one flat array of each field under lists."""
+    found: list[Piece] = []
+    edges = [0]
     for chunked in texts:
-        found = [piece for parts in chunked or () for piece in own.segment(tuple(parts))]
-        counts.append(len(found))
-        for piece in found:
-            names.extend(piece)
-        of_piece.extend(map(len, found))
-        ids.extend([own.ids.get(piece, -1) for piece in found])
-        sizes.extend([sum(map(len, piece)) for piece in found])
-    n_glyphs = np.array(of_piece, np.int64)
-    edges = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        for chunk in chunked or ():
+            found += own.segment(tuple(chunk_glyphs(chunk)))
+        edges.append(len(found))
+    edges = np.array(edges, np.int64)
+    counts = np.diff(edges)
 
     def starts(n: np.ndarray) -> np.ndarray:  # within a text
         before = np.concatenate(([0], np.cumsum(n)))
         return before[:-1] - np.repeat(before[edges[:-1]], counts)
 
-    length = np.array(sizes, np.int64)
-    at = starts(length)
     whole = lambda x: pa.array(np.asarray(x).astype(np.int32))
-    pieces = pa.ListArray.from_arrays(whole(np.concatenate(([0], np.cumsum(n_glyphs)))), pa.array(names, pa.string()))
-    tokens = pa.StructArray.from_arrays([pieces, whole(at), whole(at + length), whole(starts(n_glyphs)), whole(ids)], ["piece", "start", "end", "glyph", "id"])
+    n_glyphs = np.fromiter(map(len, found), np.int64, len(found))
+    sizes = {piece: sum(map(len, piece)) for piece in set(found)}
+    length = np.fromiter(map(sizes.__getitem__, found), np.int64, len(found))
+    made = {
+        "piece": lambda: pa.ListArray.from_arrays(whole(np.concatenate(([0], np.cumsum(n_glyphs)))), pa.array([g for piece in found for g in piece], pa.string())),
+        "start": lambda: whole(starts(length)),
+        "end": lambda: whole(starts(length) + length),
+        "glyph": lambda: whole(starts(n_glyphs)),
+        "id": lambda: whole(np.fromiter((own.ids.get(piece, -1) for piece in found), np.int64, len(found))),
+    }
+    tokens = pa.StructArray.from_arrays([made[name]() for name in fields], list(fields))
     return pa.ListArray.from_arrays(whole(edges), tokens, mask=pa.array([x is None for x in texts]))
 
 
+def ends(df: DataFrame, text_col: str, arms: dict[str, Tokenizer], *, keep: list[str]) -> DataFrame:
+    """Where each text's tokens end, by characters, under each of some tokenizers: a column of ascending places an arm, in one pass over the texts. Null texts have nulls."""
+    sent = df.sparkSession.sparkContext.broadcast(arms)
+
+    @F.arrow_udf("struct<" + ",".join(f"`{arm}`:array<int>" for arm in arms) + ">")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for some in few(batch):
+                texts = some.to_pylist()
+                found = [_encoded(own, texts, ("end",)) for own in sent.value.values()]
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(x.offsets, x.values.field(0), mask=x.is_null()) for x in found], list(sent.value))
+
+    told = df.select(*keep, run(chunks(F.col(text_col))).alias("_ends"))
+    return told.select(*keep, *[F.col("_ends").getField(arm).alias(arm) for arm in arms])
+
+
 def lattice_entropy(run: Piece, scores: dict[Piece, float], longest: int) -> float:
     """The entropy, in nats, over all segmentations of a run; 0 where there is none."""
     n = len(run)
@@ -366,7 +412,7 @@ def segmentation_entropy(df: DataFrame, id_col: str, text_col: str, tokenizer: T
 
 def segment_table(df: DataFrame, id_col: str, text_col: str, tokenizer: Tokenizer) -> DataFrame:
     """One row a token: id, pos, piece, start, end, n_glyphs."""
-    return encode(df, text_col, tokenizer, keep=[id_col]).select(id_col, F.posexplode("tokens").alias("pos", "t")).select(id_col, "pos", "t.piece", "t.start", "t.end", F.size("t.piece").alias("n_glyphs"))
+    return encode(df, text_col, tokenizer, keep=[id_col], fields=("piece", "start", "end")).select(id_col, F.posexplode("tokens").alias("pos", "t")).select(id_col, "pos", "t.piece", "t.start", "t.end", F.size("t.piece").alias("n_glyphs"))
 
 
 def build(kind: str, table: DataFrame | None = None, **options) -> Tokenizer:

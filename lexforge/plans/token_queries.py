@@ -52,14 +52,14 @@ def _digest(tokens: str):
 @query(f"SELECT doc_id, len({_tokens(_MERGED)})::INT AS n_tokens, md5(array_to_string({_tokens(_MERGED)}, '|')) AS digest FROM documents")
 def merged_tokens(spark, sf_dir):
     """Every document under the merges, by the BPE segmenter."""
-    found = tokenizers.encode(table(spark, sf_dir, "documents"), "text", merging(), keep=["doc_id"])
+    found = tokenizers.encode(table(spark, sf_dir, "documents"), "text", merging(), keep=["doc_id"], fields=("piece",))
     return found.select("doc_id", F.size("tokens").alias("n_tokens"), _digest("tokens").alias("digest"))
 
 
 @query(f"SELECT doc_id, len({_tokens(_SCORED)})::INT AS n_tokens, md5(array_to_string({_tokens(_SCORED)}, '|')) AS digest FROM documents")
 def scored_tokens(spark, sf_dir):
     """Every document under the scores, by the best path."""
-    found = tokenizers.encode(table(spark, sf_dir, "documents"), "text", scoring(), keep=["doc_id"])
+    found = tokenizers.encode(table(spark, sf_dir, "documents"), "text", scoring(), keep=["doc_id"], fields=("piece",))
     return found.select("doc_id", F.size("tokens").alias("n_tokens"), _digest("tokens").alias("digest"))
 
 
@@ -77,7 +77,7 @@ def _known(pieces: str) -> str:
 @query(f"SELECT lang, count(*) AS n, sum(len(k))::BIGINT AS tokens, sum(g)::BIGINT AS glyphs, round(avg(len(k)), 6) AS fertility, round(sum(g) / sum(len(k)), 6) AS glyphs_per_token, round(sum(len({_known('k')})) / sum(len(k)), 6) AS oov_tokens, round(avg((len({_known('k')}) > 0)::INT), 6) AS oov_units FROM (SELECT lang, {_tokens(_MERGED)} AS k, length(text) - (length(text) - length(regexp_replace(text, 'Cl|Br', 'x', 'g'))) AS g FROM documents) GROUP BY lang")
 def encoded_fertility(spark, sf_dir):
     """Tokens, glyphs and unknown pieces of every document, and what the measures make of them by language."""
-    found = tokenizers.encode(table(spark, sf_dir, "documents"), "text", merging(), keep=["lang"])
+    found = tokenizers.encode(table(spark, sf_dir, "documents"), "text", merging(), keep=["lang"], fields=("piece", "id"))
     n_glyphs = F.aggregate("tokens", F.lit(0), lambda s, t: s + F.size(t["piece"]))
     units = written(found.select("lang", F.size("tokens").alias("n_tokens"), n_glyphs.alias("n_glyphs"), F.size(F.filter("tokens", lambda t: t["id"] == -1)).alias("n_unknown")), "units")
     shares = emission.transfer(units, ["lang"]).select("lang", "oov_tokens", "oov_units")
@@ -88,7 +88,7 @@ def encoded_fertility(spark, sf_dir):
 def encoded_absorption(spark, sf_dir):
     """Chunks of every document that the merges make one token."""
     docs = table(spark, sf_dir, "documents")
-    found = tokenizers.encode(docs, "text", merging(), keep=["lang", "text"])
+    found = tokenizers.encode(docs, "text", merging(), keep=["lang", "text"], fields=("start", "end"))
     units = found.select("lang", emission.absorbed(lexing.spans(lexing.chunks(F.col("text"))), F.col("tokens"), False).alias("x")).select("lang", "x.*")
     return rounded(emission.absorption(units, ["lang"]).drop("crossed"), "absorbed")
 
@@ -100,10 +100,8 @@ def _boundaries(pattern: str) -> str:
 @query(f"WITH a AS ({_boundaries(_MERGED)}), b AS ({_boundaries(_SCORED)}), j AS (SELECT doc_id, count(*) FILTER (a.z IS NOT NULL AND b.z IS NOT NULL) AS agree, count(*) FILTER (a.z IS NULL) AS nest, count(*) FILTER (b.z IS NULL) AS conflict FROM a FULL JOIN b USING (doc_id, z) GROUP BY doc_id), n AS (SELECT doc_id, len({_tokens(_MERGED)}) AS n_a, len({_tokens(_SCORED)}) AS n_b, greatest(length(text) - 1, 0) AS positions FROM documents) SELECT doc_id, n_a::INT AS n_a, n_b::INT AS n_b, round(abs(n_a - n_b) / ((n_a + n_b) / 2), 6) AS gap, positions::INT AS positions, coalesce(agree, 0)::INT AS agree_cut, coalesce(nest, 0)::INT AS nest, coalesce(conflict, 0)::INT AS conflict, (positions - coalesce(agree, 0) - coalesce(nest, 0) - coalesce(conflict, 0))::INT AS agree_merge FROM n LEFT JOIN j USING (doc_id)")
 def pair_contrast(spark, sf_dir):
     """Both arms on every document: how many tokens, and where their boundaries agree, by characters."""
-    both = tokenizers.encode(table(spark, sf_dir, "documents"), "text", merging(), keep=["doc_id", "text"]).withColumnRenamed("tokens", "a")
-    both = tokenizers.encode(both, "text", scoring(), keep=["doc_id", "a"]).withColumnRenamed("tokens", "b")
-    sizes = lambda c: F.transform(c, lambda t: t["end"] - t["start"]).alias(c)
-    return rounded(emission.contrast(both.select("doc_id", sizes("a"), sizes("b")), ["doc_id"], "a", "b"), "gap")
+    both = tokenizers.ends(table(spark, sf_dir, "documents"), "text", {"a": merging(), "b": scoring()}, keep=["doc_id"])
+    return rounded(emission.contrast_of_ends(both, ["doc_id"], "a", "b"), "gap")
 
 
 _IDS = _named(_BASE)
@@ -113,7 +111,7 @@ _IDS = _named(_BASE)
 def decoded_words(spark, sf_dir):
     """Ids of every distinct word without digits, and the word again from them."""
     own = merging()
-    found = tokenizers.encode(words(spark, sf_dir).select("piece").where(~F.col("piece").rlike("[0-9]")).distinct(), "piece", own, keep=["piece"]).select("piece", F.col("tokens.id").alias("ids"))
+    found = tokenizers.encode(words(spark, sf_dir).select("piece").where(~F.col("piece").rlike("[0-9]")).distinct(), "piece", own, keep=["piece"], fields=("id",)).select("piece", F.col("tokens.id").alias("ids"))
     back = F.pandas_udf(lambda ids: ids.map(lambda x: own.decode(list(x))), "string")
     return found.select("piece", back("ids").alias("decoded"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
@@ -124,7 +122,7 @@ _ALPHABET = _named([("[UNK]",), *[(g,) for g in sorted(lexing.GLYPHS)]])
 @query(f"SELECT t, array_to_string(list_transform(g, lambda x: coalesce(list_position({_ALPHABET}, x) - 1, -1)::VARCHAR), ' ') AS ids FROM ({GLYPHS})")
 def base_tokens(spark, sf_dir):
     """Every spelling under the tokenizer without merges; a sign that the alphabet lacks has id -1."""
-    found = tokenizers.encode(notations(spark, sf_dir), "t", tokenizers.build("atomic"), keep=["t"])
+    found = tokenizers.encode(notations(spark, sf_dir), "t", tokenizers.build("atomic"), keep=["t"], fields=("id",))
     return found.select("t", F.array_join(F.transform("tokens.id", lambda i: i.cast("string")), " ").alias("ids"))
 
 
