@@ -54,7 +54,7 @@ def chunk_inventory(df: DataFrame, text_col: str, *, seq: str | None = None, mos
     reference operator's own limit. None takes all, in one job less.
     """
     first = F.min(seq) if seq else F.min("chunk")
-    all_chunks = df.select(*([seq] if seq else []), F.explode(chunks(F.col(text_col))).alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).withColumn("is_bracket", F.col("chunk").rlike(r"^\[.*\]$"))
+    all_chunks = df.select(*([seq] if seq else []), F.explode(chunks(F.col(text_col))).alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).withColumn("is_bracket", F.col("chunk").rlike(r"(?d)^\[.*\]$"))  # of line ends only \n is none of a bracket's signs
     plain = all_chunks.where("not is_bracket")
     bound = most is not None and plain.count() > most
     kept = plain.orderBy("first", "chunk").limit(most) if bound else plain

@@ -4,11 +4,13 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lexforge import plans
 from lexforge.functions import lexing
 from lexforge.functions.hashing import bootstrap_seed
 from lexforge.operators import bootstrap, dedup, emission, sampling, tokenizers, vocabulary
@@ -296,3 +298,13 @@ def test_ranks_of_one_large_corpus(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(ranges) > 1 and max(r["count"] for r in ranges) < 40_000
     assert ranked.exceptAll(vocabulary.rank_frequency(rows, ["cell"]).withColumn("rank", F.col("rank").cast(dict(ranked.dtypes)["rank"]))).isEmpty() and ranked.count() == 60_000
+
+
+def test_chunk_inventory_query_takes_all_chunks(spark, tmp_path, monkeypatch):
+    """The query has no cap on chunks, and brackets with a carriage return are brackets, as in its SQL."""
+    whole = sampling.chunk_inventory
+    monkeypatch.setattr(sampling, "chunk_inventory", lambda df, text_col, most=2, **more: whole(df, text_col, most=most, **more))
+    text = [("a1bb2ccc3dddd(e)[x\ry][z]\n[q\nr]",), (None,), ("",)]
+    spark.createDataFrame(text, "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(plans.ORACLES["chunk_inventory"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()[0]
+    assert tuple(plans.QUERIES["chunk_inventory"](spark, str(tmp_path)).first()) == want
