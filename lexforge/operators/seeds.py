@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lexforge.operators.tokenizers import Piece
+from lexforge.session import written
 
 #: Suffixes that are sorted together; glyphs by which longer substrings meet, while shorter ones are few and go by themselves; branches for each bucket, about.
 BLOCK, HEAD, BUCKET = 1 << 19, 3, 1 << 20
@@ -140,9 +141,26 @@ def substring_counts(runs: DataFrame, *, most: int = 16, least_count: int = 2) -
     return met.groupBy("bucket").applyInArrow(added, "piece array<string>, n long")
 
 
+def chosen(runs: DataFrame, *, most: int = 16, size: int = 1_000_000) -> DataFrame:
+    """(piece, n): single glyphs, and the ``size`` longer substrings of the largest count times length that occur twice; ties by the piece.
+
+    The ranking is dealt out by ranges: whole ranges are taken, and only the one where ``size`` is reached is sorted.
+    """
+    counts = written(substring_counts(runs, most=most), "substrings")
+    longer = counts.where(F.size("piece") > 1).withColumn("_weight", F.col("n") * F.size("piece"))
+    if longer.count() > size:
+        order = [F.col("_weight").desc(), F.col("piece")]
+        longer = written(longer.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+        left, at = size, None
+        for r in longer.groupBy("_range").agg(F.count(F.lit(1)).alias("many")).orderBy("_range").collect():  # a row a range
+            at = r["_range"]
+            if r["many"] > left:
+                break
+            left -= r["many"]
+        longer = longer.where(F.col("_range") < at).unionByName(longer.where(F.col("_range") == at).orderBy(*order).limit(left))
+    return counts.where(F.size("piece") == 1).unionByName(longer.select("piece", "n"))
+
+
 def seeds(runs: DataFrame, *, most: int = 16, size: int = 1_000_000) -> dict[Piece, float]:
-    """Single glyphs, and the ``size`` longer substrings of the largest count times length that occur twice; ties by the piece."""
-    counts = substring_counts(runs, most=most)
-    single = counts.where(F.size("piece") == 1)
-    longer = counts.where(F.size("piece") > 1).orderBy((F.col("n") * F.size("piece")).desc(), "piece").limit(size)
-    return {tuple(r["piece"]): float(r["n"] * len(r["piece"])) for r in single.unionByName(longer).collect()}
+    """The :func:`chosen` pieces with their count times length."""
+    return {tuple(r["piece"]): float(r["n"] * len(r["piece"])) for r in chosen(runs, most=most, size=size).collect()}

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexforge.functions.batches import parts as few
 from lexforge.functions.lexing import GLYPHS, SPECIALS, chunk_glyphs, chunks, glyphs
+from lexforge.session import forget, written
 
 Piece = tuple[str, ...]
 UNKNOWN = ("?",)
@@ -61,16 +62,17 @@ class Tokenizer:
         """The pieces of a chunk's glyphs."""
         found: list[Piece] = []
         for run in runs(parts, self.merge_brackets):
-            at = 0
-            for to in [i for i, pair in enumerate(zip(run, run[1:]), 1) if pair not in self._inside]:
-                found += self._segment(run[at:to])
-                at = to
-            if at < len(run):
-                found += self._segment(run[at:])
+            for part in self.parted(run):
+                found += self._segment(part)
         return found
 
+    def parted(self, run: Piece) -> list[Piece]:
+        """A run's parts: cut where two neighbours stand side by side in no piece."""
+        cuts = [0, *[i for i, pair in enumerate(zip(run, run[1:]), 1) if pair not in self._inside], len(run)]
+        return [run[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+
     def _segment(self, run: Piece) -> list[Piece]:
-        """The pieces of a part of a run. Runs are parted where two neighbours stand side by side in no piece: what is on either side is cut by itself, and comes again more often than a chunk."""
+        """The pieces of a part of a run, which comes again more often than a chunk."""
         if len(run) == 1:
             return [run]
         found = self._known.get(run)
@@ -254,53 +256,58 @@ def train_unigram(table: DataFrame, size: int, *, max_piece_length: int = 16, se
     length. Each round runs EM (the E-step over chunks by Spark; a piece with an
     expected count under 0.5 goes) and keeps the best share, until there are
     ``size`` pieces. Single glyphs stay. The chunk table stays where it
-    is; the driver gets the pieces and their sums, ``seed_size`` and the single
-    glyphs at most. An E-step is ``tasks`` tasks, whose sums are taken in the
-    order of chunks and rounded, so reruns agree on clusters of any size.
+    is, in ``tasks`` parts; lattices are made once, with pieces as numbers. The driver
+    has the pieces' glyphs and their sums as arrays, ``seed_size`` and the single
+    glyphs at most. Sums are of whole units, so reruns agree on clusters of any size.
     """
     spark = table.sparkSession
     own = F.col("glyphs")
     grouped = (F.get(own, F.lit(0)) == "[") & (F.element_at(own, -1) == "]")
     split = F.when(F.lit(not merge_brackets) & (F.size(own) > 1) & grouped, F.array(F.array(F.lit("[")), F.slice(own, F.lit(2), F.size(own) - 2), F.array(F.lit("]")))).otherwise(F.array(own))
     work = table.select(F.explode(split).alias("run"), "n").where(F.size("run") > 0).groupBy("run").agg(F.sum("n").alias("n")).repartition(tasks, "run").persist()
-    from lexforge.operators import seeds  # which is made of tokenizers
-
-    weights = seeds.seeds(work, most=max_piece_length, size=seed_size)
-    kept = {p for p in weights if len(p) == 1}
-    scores = _scores(weights)
+    from lexforge.operators import lattice, seeds  # which are made of tokenizers
+
+    found = seeds.chosen(work, most=max_piece_length, size=seed_size).toArrow()
+    if not found.num_rows:
+        work.unpersist()
+        return Tokenizer("unigram", [("[UNK]",)], merge_brackets=merge_brackets)
+    column = found.column("piece").combine_chunks()
+    names = sorted(column.flatten().unique().to_pylist())
+    ids = {g: i for i, g in enumerate(names, 1)}
+    rows = lattice.rows_of(column, ids, max_piece_length)
+    order = np.lexsort(rows.T[::-1])  # a piece's number is its place among all in order
+    rows = rows[order]
+    sizes = (rows > 0).sum(axis=1)
+    single, alive = sizes == 1, np.ones(len(rows), bool)
+    scores = _scores(found.column("n").to_numpy()[order] * sizes.astype(float), alive)
+    del found, column
+    built = written(lattice.lattices(work, lattice.Numbers(rows), ids), "lattices")
+    work.unpersist()
     while True:
         for _ in range(sub_iterations):
-            sent = spark.sparkContext.broadcast(scores)
-            longest = max(map(len, scores))
-
-            def expect(batches: Iterator[pd.DataFrame], sent=sent, longest=longest) -> Iterator[pd.DataFrame]:
-                total: dict[Piece, float] = defaultdict(float)
-                for batch in batches:
-                    for run, count in zip(batch["run"], batch["n"]):
-                        for piece, e in forward_backward(tuple(run), sent.value, longest)[1].items():
-                            total[piece] += e * count
-                if total:  # a task can have no chunks
-                    yield pd.DataFrame({"piece": [list(p) for p in total], "e": list(total.values())})
-
-            sums = work.sortWithinPartitions("run").mapInPandas(expect, "piece array<string>, e double").groupBy("piece").agg(F.sum(F.round("e", 6).cast("decimal(38,6)")).alias("e")).collect()
-            expected = {tuple(r["piece"]): float(r["e"]) for r in sums}
-            scores = _scores({p: max(expected.get(p, 0.0), 1e-3) for p in scores if p in kept or expected.get(p, 0.0) >= 0.5})
-        if len(scores) <= size:
+            counts = lattice.expected(built, scores, max_piece_length)
+            alive &= single | (counts >= 0.5)
+            scores = _scores(np.maximum(counts, 1e-3), alive)
+        many = int(alive.sum())
+        if many <= size:
             break
-        target = max(size, int(shrink * len(scores)))
-        ranked = sorted((p for p in scores if p not in kept), key=lambda p: (-scores[p], p))
-        survivors = [*sorted(kept), *ranked[: max(0, target - len(kept))]]
-        if len(survivors) == len(scores):
+        target = max(size, int(shrink * many))
+        longer = np.flatnonzero(alive & ~single)
+        gone = longer[np.argsort(-scores[longer], kind="stable")][max(0, target - int((alive & single).sum())) :]
+        if not len(gone):
             break
-        scores = _scores({p: math.exp(scores[p]) for p in survivors})
-    work.unpersist()
-    pieces = [("[UNK]",), *sorted(scores, key=lambda p: (-scores[p], p))]
-    return Tokenizer("unigram", pieces, scores=scores, merge_brackets=merge_brackets)
+        alive[gone] = False
+        scores = _scores(np.exp(scores), alive)
+    forget(built)
+    best = np.flatnonzero(alive)
+    best = best[np.argsort(-scores[best], kind="stable")]
+    pieces = [tuple(names[g - 1] for g in rows[i, : sizes[i]]) for i in best]
+    return Tokenizer("unigram", [("[UNK]",), *pieces], scores={p: float(scores[i]) for p, i in zip(pieces, best)}, merge_brackets=merge_brackets)
 
 
-def _scores(weights: dict[Piece, float]) -> dict[Piece, float]:
-    total = sum(weights[p] for p in sorted(weights))
-    return {p: math.log(w / total) for p, w in weights.items()}
+def _scores(weights: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Logs of the shares of the pieces that are left."""
+    return np.where(alive, np.log(np.where(alive, weights, 1.0) / weights[alive].sum()), -np.inf)
 
 
 #: The fields of a token.
@@ -393,10 +400,19 @@ def chunk_entropies(table: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     def run(parts: pd.Series) -> pd.Series:
         own = sent.value
 
+        scores = {("\0",): 0.0} | own.scores
+        known: dict[Piece, float] = {}
+
+        def of(part: Piece) -> float:  # ways to cut on either side of a part's ends don't depend on each other, so entropies add up
+            if part not in known and len(known) >= KNOWN // 8:
+                known.clear()
+            if part not in known:
+                known[part] = lattice_entropy(part, scores, own.longest)
+            return known[part]
+
         def one(p) -> float:
-            known = [g if (g,) in own.scores else "\0" for g in p]
-            scores = own.scores if "\0" not in known else own.scores | {("\0",): 0.0}
-            return sum(lattice_entropy(r, scores, own.longest) for r in runs(tuple(known), own.merge_brackets))
+            named = tuple(g if (g,) in own.scores else "\0" for g in p)
+            return math.fsum(of(part) for r in runs(named, own.merge_brackets) for part in own.parted(r) if len(part) > 1)
 
         return parts.map(one)
 
