@@ -145,9 +145,8 @@ def chunk_table(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def _collected(table: DataFrame) -> list[tuple[Piece, int]] | None:
-    """The chunks in order, or None if there are more than ``MOST_CHUNKS``."""
-    rows = table.limit(MOST_CHUNKS + 1).collect()
-    return sorted((tuple(r["glyphs"]), r["n"]) for r in rows) if len(rows) <= MOST_CHUNKS else None
+    """The chunks of a written table in order, or None if there are more than ``MOST_CHUNKS``, which are counted where they are."""
+    return sorted((tuple(r["glyphs"]), r["n"]) for r in table.collect()) if table.count() <= MOST_CHUNKS else None
 
 
 def train_bpe(table: DataFrame, size: int, *, min_frequency: int = 2, merge_brackets: bool = False, alphabet: frozenset[str] | None = None, start: Tokenizer | None = None) -> Tokenizer:
@@ -158,11 +157,15 @@ def train_bpe(table: DataFrame, size: int, *, min_frequency: int = 2, merge_brac
     standing pieces changed. ``start`` continues another tokenizer's merges.
     More than ``MOST_CHUNKS`` distinct chunks stay distributed, with the same result.
     """
+    table = written(table, "chunks")  # made once, however often it is read
     rows = _collected(table)
     if rows is None:
         from lexforge.operators import bpe  # which is made of tokenizers
 
-        return bpe.train_bpe(table, size, min_frequency=min_frequency, merge_brackets=merge_brackets, alphabet=alphabet, start=start)
+        own = bpe.train_bpe(table, size, min_frequency=min_frequency, merge_brackets=merge_brackets, alphabet=alphabet, start=start)
+        forget(table)
+        return own
+    forget(table)
     base = sorted({g for parts, _ in rows for g in parts} | set(alphabet or ()))
     pieces: list[Piece] = list(start.pieces) if start else [("[UNK]",), *[(g,) for g in base]]
     ids = {p: i for i, p in enumerate(pieces)}

@@ -89,3 +89,14 @@ def test_artifacts_keep_ids_where_two_merges_make_a_piece(spark, tmp_path):
     assert (again.pieces, again.merges, again.ids) == (own.pieces, own.merges, own.ids)
     listed = artifacts.bpe_vocabulary(spark, (tmp_path / "t" / "tokenizer.json").read_text()).collect()
     assert [(r["token_id"], tuple(r["glyphs"])) for r in listed] == list(enumerate(pieces))
+
+
+def test_counts_here_or_in_a_table(spark, monkeypatch):
+    """Pairs' counts on the driver, in a table from the start, or moved to one on the way give one log."""
+    rng = random.Random(9)
+    rows = [(list("".join(rng.choice(["ab", "abc", "ca", "d", "aa", "cad"]) for _ in range(rng.randrange(1, 7)))), rng.randrange(1, 5)) for _ in range(80)]
+    table = spark.createDataFrame(rows, "glyphs array<string>, n long").repartition(3)
+    expected = tokenizers.train_bpe(table, 24).log
+    for most in (1_000_000, 0, 12):
+        monkeypatch.setattr(bpe, "PAIRS", most)
+        assert bpe.train_bpe(table, 24).log == expected
