@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lexforge.functions.batches import parts as few
@@ -29,6 +30,15 @@ _HALF = 32
 MOST_CHUNKS = 1_000_000
 #: Glyphs of the chunks whose pieces a task remembers: chunks of a text can be long, and seldom come again.
 KNOWN = 1 << 19
+#: Glyphs of two letters outside brackets; they have numbers beyond those of characters.
+_DOUBLE, _BEYOND = [(ord("C"), ord("l")), (ord("B"), ord("r"))], 0x110000
+
+
+def _number(glyph: str) -> int | None:
+    """The number of a glyph outside brackets: its code point, or one beyond."""
+    if len(glyph) == 1:
+        return ord(glyph)
+    return next((_BEYOND + k for k, (a, b) in enumerate(_DOUBLE) if glyph == chr(a) + chr(b)), None)
 
 
 def runs(parts: Piece, merge_brackets: bool) -> list[Piece]:
@@ -56,8 +66,33 @@ class Tokenizer:
         self.worst = min(self.scores.values(), default=0.0)
         self._known: dict[Piece, list[Piece]] = {}
         self._room = KNOWN
+        self._pairs = self._sides = self._singles = None  # made where texts are encoded
         self._inside = {pair for p in ([a + b for a, b in self.merges] if self.kind == "bpe" else self.scores) for pair in zip(p, p[1:])}
 
+    def together(self, codes: np.ndarray) -> np.ndarray:
+        """Of glyphs outside brackets, by number, which stand beside the next one in some piece."""
+        if self._pairs is None:
+            told = [(x, y) for a, b in self._inside if (x := _number(a)) is not None and (y := _number(b)) is not None]
+            self._pairs = np.array(sorted(x << _HALF | y for x, y in told), np.int64)
+            self._sides = np.zeros((2, _BEYOND + len(_DOUBLE)), bool)
+            for side, own in enumerate(zip(*told)):
+                self._sides[side, list(own)] = True
+        found = self._sides[0, codes[:-1]] & self._sides[1, codes[1:]]
+        at = np.flatnonzero(found)
+        pair = codes[at].astype(np.int64) << _HALF | codes[at + 1]
+        place = np.searchsorted(self._pairs, pair)
+        found[at] = self._pairs[np.minimum(place, len(self._pairs) - 1)] == pair if len(self._pairs) else False
+        return found
+
+    def single(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of glyphs outside brackets, by number; -1 for those that aren't pieces."""
+        if self._singles is None:
+            self._singles = np.full(_BEYOND + len(_DOUBLE), -1, np.int32)
+            for piece, i in self.ids.items():
+                if len(piece) == 1 and (k := _number(piece[0])) is not None:
+                    self._singles[k] = i
+        return self._singles[codes].astype(np.int64)
+
     def segment(self, parts: Piece) -> list[Piece]:
         """The pieces of a chunk's glyphs."""
         found: list[Piece] = []
@@ -330,39 +365,105 @@ def encode(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, keep: list[str
         own = sent.value
         for batch in batches:
             for some in few(batch):
-                yield _encoded(own, some.to_pylist(), fields)
+                yield _encoded(own, some, fields)
 
     return df.select(*([F.col(c) for c in keep] if keep is not None else ["*"]), run(chunks(F.col(text_col))).alias("tokens"))
 
 
-def _encoded(own: Tokenizer, texts: list, fields: tuple[str, ...] = tuple(FIELDS)) -> pa.Array:
-    """The tokens of texts given as chunks, as one flat array of each field under lists."""
-    found: list[Piece] = []
-    edges = [0]
-    for chunked in texts:
-        for chunk in chunked or ():
-            found += own.segment(tuple(chunk_glyphs(chunk)))
-        edges.append(len(found))
-    edges = np.array(edges, np.int64)
-    counts = np.diff(edges)
-
-    def starts(n: np.ndarray) -> np.ndarray:  # within a text
-        before = np.concatenate(([0], np.cumsum(n)))
-        return before[:-1] - np.repeat(before[edges[:-1]], counts)
-
-    whole = lambda x: pa.array(np.asarray(x).astype(np.int32))
-    n_glyphs = np.fromiter(map(len, found), np.int64, len(found))
-    sizes = {piece: sum(map(len, piece)) for piece in set(found)}
-    length = np.fromiter(map(sizes.__getitem__, found), np.int64, len(found))
+def _encoded(own: Tokenizer, rows: pa.ListArray | list, fields: tuple[str, ...] = tuple(FIELDS)) -> pa.Array:
+    """The tokens of texts given as chunks, as one flat array of each field under lists.
+
+    Tokens divide the texts, so all that is made is where glyphs and tokens end. Chunks in
+    brackets and parts of two glyphs or more are segmented once each; the rest is array work.
+    """
+    rows = pa.array(rows, pa.list_(pa.string())) if isinstance(rows, list) else rows
+    strings = rows.flatten()
+    joined = "".join(strings.to_pylist())
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int32)
+    chunk_ends = np.cumsum(pc.utf8_length(strings).to_numpy(zero_copy_only=False), dtype=np.int64)
+    chunk_starts = np.concatenate(([0], chunk_ends[:-1])) if len(chunk_ends) else chunk_ends
+    begins = np.zeros(len(points) + 1, bool)  # of chunks, by characters
+    begins[chunk_starts] = True
+    begins[-1] = True
+
+    whole = np.ones(len(points) + 1, bool)  # glyphs begin here
+    codes = points.copy()
+    for k, (a, b) in enumerate(_DOUBLE):
+        at = np.flatnonzero((points[:-1] == a) & (points[1:] == b) & ~begins[1:-1])
+        codes[at], whole[at + 1] = _BEYOND + k, False
+    held = np.flatnonzero(chunk_ends - chunk_starts >= 2)
+    held = held[(points[chunk_starts[held]] == ord("[")) & (points[chunk_ends[held] - 1] == ord("]"))]
+    cut = begins.copy()  # tokens begin here
+    special: dict[int, int] = {}  # ids of tokens in brackets, by where they begin
+    known: dict[str, tuple[list[int], list[tuple[int, int]]]] = {}
+    for a, b in zip(chunk_starts[held].tolist(), chunk_ends[held].tolist()):
+        if (chunk := joined[a:b]) not in known:
+            parts = chunk_glyphs(chunk)
+            pieces = own.segment(tuple(parts))
+            ends_of = lambda sizes: np.cumsum([0, *sizes])[:-1].tolist()
+            known[chunk] = ends_of(map(len, parts)), list(zip(ends_of(sum(map(len, p)) for p in pieces), (own.ids.get(p, -1) for p in pieces)))
+        places, tokens = known[chunk]
+        whole[a:b] = cut[a:b] = False
+        whole[[a + i for i in places]] = True
+        cut[[a + i for i, _ in tokens]] = True
+        special |= {a + i: k for i, k in tokens}
+    glyph_at = np.flatnonzero(whole)  # and the end
+    glyph_code = codes[glyph_at[:-1]]
+    inside = own.together(glyph_code)  # neighbours that may be in one piece
+    free = np.ones(len(points) + 1, bool)
+    for a, b in zip(chunk_starts[held].tolist(), chunk_ends[held].tolist()):
+        free[a:b] = False
+    cut[glyph_at[1:-1][~inside & free[glyph_at[1:-1]]]] = True
+
+    token_at = np.flatnonzero(cut[glyph_at])  # by glyphs, and the end
+    n_glyphs = np.diff(token_at)
+    ids = own.single(glyph_code[token_at[:-1]])
+    longer = np.flatnonzero((n_glyphs > 1) & free[glyph_at[token_at[:-1]]])
+    if len(longer):
+        spelt: dict[str, int] = {}
+        which = np.fromiter((spelt.setdefault(joined[a:b], len(spelt)) for a, b in zip(glyph_at[token_at[longer]].tolist(), glyph_at[token_at[longer + 1]].tolist())), np.int64, len(longer))
+        split = [own._segment(tuple(chunk_glyphs(x))) for x in spelt]
+        many = np.fromiter(map(len, split), np.int64, len(split))
+        sizes = np.fromiter((len(p) for x in split for p in x), np.int64, many.sum())
+        own_ids = np.fromiter((own.ids.get(p, -1) for x in split for p in x), np.int64, many.sum())
+        first = np.cumsum(many) - many
+        reps = many[which]
+        at = np.repeat(first[which] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        each = np.ones(len(n_glyphs), np.int64)
+        each[longer] = reps
+        put = np.repeat(np.isin(np.arange(len(n_glyphs)), longer, assume_unique=True), each)
+        n_glyphs, ids = np.repeat(n_glyphs, each), np.repeat(ids, each)
+        n_glyphs[put], ids[put] = sizes[at], own_ids[at]
+        token_at = np.concatenate(([0], np.cumsum(n_glyphs)))
+    token_char = glyph_at[token_at]
+    if special:
+        places = np.fromiter(special.keys(), np.int64, len(special))
+        ids[np.searchsorted(token_char, places)] = np.fromiter(special.values(), np.int64, len(special))
+
+    ends_of_rows = np.concatenate(([0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy(), dtype=np.int64)))
+    row_char = np.concatenate(([0], chunk_ends))[ends_of_rows]
+    edges = np.searchsorted(token_char, row_char)
+    number = lambda x: pa.array(np.asarray(x).astype(np.int32))
+
+    def glyph_strings() -> pa.Array:
+        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        at = np.concatenate(([0], np.cumsum(width)))[glyph_at]
+        return pa.StringArray.from_buffers(len(glyph_at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(joined.encode()))
+
     made = {
-        "piece": lambda: pa.ListArray.from_arrays(whole(np.concatenate(([0], np.cumsum(n_glyphs)))), pa.array([g for piece in found for g in piece], pa.string())),
-        "start": lambda: whole(starts(length)),
-        "end": lambda: whole(starts(length) + length),
-        "glyph": lambda: whole(starts(n_glyphs)),
-        "id": lambda: whole(np.fromiter((own.ids.get(piece, -1) for piece in found), np.int64, len(found))),
+        "piece": lambda: pa.ListArray.from_arrays(number(token_at), glyph_strings()),
+        "start": lambda: number(_within(token_char, edges)),
+        "end": lambda: number(_within(token_char, edges) + np.diff(token_char)),
+        "glyph": lambda: number(_within(token_at, edges)),
+        "id": lambda: number(ids),
     }
     tokens = pa.StructArray.from_arrays([made[name]() for name in fields], list(fields))
-    return pa.ListArray.from_arrays(whole(edges), tokens, mask=pa.array([x is None for x in texts]))
+    return pa.ListArray.from_arrays(number(edges), tokens, mask=rows.is_null())
+
+
+def _within(at: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where tokens begin within their text, from where they begin in all; ``edges`` has the tokens of texts."""
+    return at[:-1] - np.repeat(at[edges[:-1]], np.diff(edges))
 
 
 def ends(df: DataFrame, text_col: str, arms: dict[str, Tokenizer], *, keep: list[str]) -> DataFrame:
@@ -373,8 +474,7 @@ def ends(df: DataFrame, text_col: str, arms: dict[str, Tokenizer], *, keep: list
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for some in few(batch):
-                texts = some.to_pylist()
-                found = [_encoded(own, texts, ("end",)) for own in sent.value.values()]
+                found = [_encoded(own, some, ("end",)) for own in sent.value.values()]
                 yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(x.offsets, x.values.field(0), mask=x.is_null()) for x in found], list(sent.value))
 
     told = df.select(*keep, run(chunks(F.col(text_col))).alias("_ends"))
