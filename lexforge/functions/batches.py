@@ -22,3 +22,13 @@ def parts(rows: pa.ListArray, most: int = MOST) -> Iterator[pa.ListArray]:
         to = max(at + 1, int(np.searchsorted(edges, edges[at] + most, side="right")) - 1)
         yield rows.slice(at, to - at)
         at = to
+
+
+def together(columns: list[pa.ListArray], most: int = MOST) -> Iterator[list[pa.ListArray]]:
+    """:func:`parts` of several columns of arrays of numbers or structs: the same rows of each."""
+    edges = sum(c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py() for c in columns)
+    at, n = 0, len(columns[0])
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + most, side="right")) - 1)
+        yield [c.slice(at, to - at) for c in columns]
+        at = to

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexforge.functions.arrays import let
-from lexforge.functions.batches import parts as few
+from lexforge.functions.batches import parts as few, together
 from lexforge.operators.molecules import BOND_CLASSES, functional_bonds as functional_bonds
 
 
@@ -113,29 +114,56 @@ def dead_zone(clearances: DataFrame, on: list[str], ps: tuple[float, ...] = (0.9
     return rows.select("*", (F.col("f_b") - F.col("f_a")).alias("delta"), ((F.col("f_a") < F.col("p")) | (F.col("f_b") < F.col("p"))).alias("any_unsafe"), ((F.col("f_a") < F.col("p")) & (F.col("f_b") < F.col("p"))).alias("both_unsafe"))
 
 
-def _placed(spans: Column, marks: Column) -> Column:
-    """For each (start, end) of some ascending spans, how many of some marks (ascending places) are at or before its start: array of (start, end, before). One sort, so no mark is looked at once a span."""
-    both = F.array_sort(F.concat(F.transform(marks, lambda m: F.struct(m.alias("at"), F.lit(0).alias("kind"), m.alias("end"))), F.transform(spans, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("kind"), x["end"].alias("end")))))
-    own = F.filter(F.transform(both, lambda x, i: F.struct(x["at"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), i.alias("i"))), lambda x: x["kind"] == 1)
-    return F.transform(own, lambda x, j: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["i"] - j).cast("int").alias("before")))
+#: Places of a text are numbered after those of the texts before it.
+_TEXT = 1 << 32
 
 
-def absorbed(chunks: Column, tokens: Column, cross: bool) -> Column:
-    """(n_chunks, n_absorbed, n_cross) of a text: chunks that are one token, and (where tokens may cross chunks) that a longer one holds. Tokens are ascending and don't overlap."""
+def _flat(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, start and end of all parts of some texts: of spans, or of lengths, of which negative ones only take room."""
+    counts = rows.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    row, values = np.repeat(np.arange(len(rows)), counts), rows.flatten()
+    if pa.types.is_struct(values.type):
+        start, end = (values.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("start", "end"))
+        return row, start, end
+    sizes = values.to_numpy(zero_copy_only=False).astype(np.int64)
+    sums = np.concatenate(([0], np.cumsum(np.abs(sizes))))
+    first = sums[:-1][np.minimum(np.cumsum(counts) - counts, max(0, len(sizes) - 1))] if len(sizes) else np.zeros(len(rows), np.int64)
+    end = sums[1:] - first[row]
+    real = sizes > 0
+    return row[real], (end - np.abs(sizes))[real], end[real]
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("n_chunks", "n_absorbed", "n_cross")]))
+def _absorbed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for chunks, tokens in together(list(batch)):
+            (row, start, end), (of, begin, stop) = _flat(chunks), _flat(tokens)
+            row, start, end = (x[start < end] for x in (row, start, end))
+            at = np.searchsorted(of * _TEXT + begin, row * _TEXT + start, side="right") - 1  # the last token begun
+            own = np.maximum(at, 0)
+            there = (at >= 0) & (of[own] == row) if len(of) else np.zeros(len(row), bool)
+            whole, inside = (there.copy() for _ in range(2))
+            if len(of):
+                whole &= (begin[own] == start) & (stop[own] == end)
+                inside &= (end <= stop[own]) & (stop[own] - begin[own] > end - start)
+            count = lambda x, none: pa.array(np.bincount(x, minlength=len(chunks)).astype(np.int32), mask=none)
+            no_chunks, none = (x.is_null().to_numpy(zero_copy_only=False) for x in (chunks, tokens))
+            yield pa.StructArray.from_arrays([count(row, no_chunks), count(row[whole], no_chunks | none), count(row[inside], no_chunks | none)], ["n_chunks", "n_absorbed", "n_cross"])
+
 
-    def told(x: Column) -> Column:
-        real, own = x["chunks"], x["tokens"]
+def _bare(xs: Column) -> Column:
+    return F.transform(xs, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
 
-        def of(c: Column, yes) -> Column:
-            token = F.get(own, c["before"] - 1)
-            return F.coalesce(yes(c, token), F.lit(False))
 
-        whole = F.size(F.filter(_placed(real, F.transform(own, lambda t: t["start"])), lambda c: of(c, lambda c, t: (t["start"] == c["start"]) & (t["end"] == c["end"]))))
-        inside = F.size(F.filter(_placed(real, F.transform(own, lambda t: t["start"])), lambda c: of(c, lambda c, t: (c["end"] <= t["end"]) & (t["end"] - t["start"] > c["end"] - c["start"]))))
-        return F.struct(F.size(real).alias("n_chunks"), whole.alias("n_absorbed"), (inside if cross else F.lit(None).cast("int")).alias("n_cross"))
+def absorbed(chunks: Column, tokens: Column, cross: bool) -> Column:
+    """(n_chunks, n_absorbed, n_cross) of a text: chunks that are one token, and (where tokens may cross chunks) that a longer one holds. Tokens are ascending and don't overlap. In Arrow batches, as :func:`cut_positions`."""
+    return absorbed_lengths(_bare(chunks), _bare(tokens), cross)
+
 
-    bare = lambda xs: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return let(F.struct(F.filter(bare(chunks), lambda c: c["start"] < c["end"]).alias("chunks"), bare(tokens).alias("tokens")), told)
+def absorbed_lengths(chunks: Column, tokens: Column, cross: bool) -> Column:
+    """:func:`absorbed` from the lengths of parts that follow each other; those that are no chunk, or no token, have theirs with a minus."""
+    x = _absorbed(chunks, tokens)
+    return F.struct(x["n_chunks"].alias("n_chunks"), x["n_absorbed"].alias("n_absorbed"), (x["n_cross"] if cross else F.lit(None).cast("int")).alias("n_cross"))
 
 
 def absorption(units: DataFrame, by: list[str]) -> DataFrame:
@@ -201,10 +229,23 @@ def _contrasted(units: DataFrame, keep: list[str], a: str, b: str, cuts_a: Colum
     return told.select(*keep, "n_a", "n_b", relative_gap(F.col("n_a"), F.col("n_b")).alias("gap"), "x.*")
 
 
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _cut_inside(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for spans, cuts in together(list(batch)):
+            row, start, end = _flat(spans)
+            of = np.repeat(np.arange(len(cuts)), cuts.value_lengths().fill_null(0).to_numpy().astype(np.int64))
+            at = np.sort(of * _TEXT + cuts.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            after = np.append(at, np.iinfo(np.int64).max)[np.searchsorted(at, row * _TEXT + start, side="right")]  # the first cut behind its start
+            edges = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(spans)))))
+            none = pc.or_(spans.is_null(), cuts.is_null())
+            yield pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(after < row * _TEXT + end), mask=none)
+
+
 def cut_through(tokens: DataFrame, by: list[str], piece: str, spans: str, cuts: str, klass) -> DataFrame:
-    """By class of piece: how many were emitted, and how many the other arm cuts inside. tokens: arrays of pieces and their spans, both in order, and the other arm's ascending cuts."""
-    inside = let(F.array_sort(cuts), lambda own: F.transform(_placed(F.col(spans), own), lambda x: F.coalesce(F.get(own, x["before"]) < x["end"], F.lit(False))))
-    rows = tokens.select(*by, F.explode(F.arrays_zip(F.col(piece).alias("piece"), inside.alias("hit"))).alias("t"))
+    """By class of piece: how many were emitted, and how many the other arm cuts inside. tokens: arrays of pieces and their spans (or lengths, where pieces follow each other), both in order, and the other arm's cuts. Counted in Arrow batches, as :func:`cut_positions`."""
+    own = F.col(spans) if dict(tokens.dtypes)[spans] == "array<int>" else _bare(F.col(spans))
+    rows = tokens.select(*by, F.explode(F.arrays_zip(F.col(piece).alias("piece"), _cut_inside(own, F.col(cuts)).alias("hit"))).alias("t"))
     return rows.groupBy(*by, klass(F.col("t.piece")).alias("class")).agg(F.count(F.lit(1)).alias("emitted"), F.count_if("t.hit").alias("cut_through"))
 
 

@@ -89,7 +89,7 @@ def encoded_absorption(spark, sf_dir):
     """Chunks of every document that the merges make one token."""
     docs = table(spark, sf_dir, "documents")
     found = tokenizers.encode(docs, "text", merging(), keep=["lang", "text"], fields=("start", "end"))
-    units = found.select("lang", emission.absorbed(lexing.spans(lexing.chunks(F.col("text"))), F.col("tokens"), False).alias("x")).select("lang", "x.*")
+    units = found.select("lang", emission.absorbed_lengths(F.transform(lexing.chunks(F.col("text")), lambda c: F.length(c)), F.transform("tokens", lambda t: t["end"] - t["start"]), False).alias("x")).select("lang", "x.*")
     return rounded(emission.absorption(units, ["lang"]).drop("crossed"), "absorbed")
 
 

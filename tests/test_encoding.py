@@ -5,9 +5,10 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexforge.functions import lexing
-from lexforge.operators import tokenizers
+from lexforge.operators import emission, tokenizers
 from lexforge.plans import token_queries
 
 _SIGNS = ["a", "b", "C", "B", "l", "r", "[", "]", "(", "@@", "1", "%12", ".", "é", "😀", "Cl", "Br", "\n", "[13CH2]", "[]", "[nH]", "[C\n]", "the", "tion", "ing", "ou", " "]
@@ -53,3 +54,37 @@ def test_a_part_that_comes_again_is_segmented_once(monkeypatch):
     monkeypatch.setattr(tokenizers.Tokenizer, "_segment", lambda self, run: seen.append(run) or kept(self, run))
     found = tokenizers._encoded(token_queries.merging(), pa.array([["the thing of all "] * 500]), ("id",))
     assert len(found[0]) == 500 * 12 and len(seen) <= 4
+
+
+def _plainly(chunks, tokens):
+    """What absorbed counts, span by span."""
+    real = [c for c in chunks if c[0] < c[1]]
+    own = [max((t for t in tokens if t[0] <= c[0]), default=(0, -1)) for c in real]
+    return len(real), sum(t == c for c, t in zip(real, own)), sum(c[1] <= t[1] and t[1] - t[0] > c[1] - c[0] for c, t in zip(real, own))
+
+
+def _spans(lengths):
+    ends = [sum(map(abs, lengths[: i + 1])) for i in range(len(lengths))]
+    return [(e - n, e) for e, n in zip(ends, lengths) if n > 0]
+
+
+def test_absorption_and_cuts_by_arrays(spark):
+    r = random.Random(4)
+    sizes = lambda: [r.choice([-2, -1, 1, 1, 2, 3]) for _ in range(r.randrange(9))]
+    rows = [(i, sizes(), sizes(), sorted(r.sample(range(20), r.randrange(6)))) for i in range(200)] + [(200, None, [1], [1]), (201, [1], None, None)]
+    df = spark.createDataFrame(rows, "id int, a array<int>, b array<int>, cuts array<int>").repartition(3)
+    found = {x["id"]: x for x in df.select("id", emission.absorbed_lengths(F.col("a"), F.col("b"), True).alias("x")).select("id", "x.*").collect()}
+    for i, a, b, _ in rows[:200]:
+        assert tuple(found[i])[1:] == _plainly(_spans(a), _spans(b))
+    assert tuple(found[200])[1:] == (None, None, None) and tuple(found[201])[1:] == (1, None, None)
+    pieces = df.withColumn("a", F.transform("a", lambda n: F.abs(n))).withColumn("p", F.transform("a", lambda n: n.cast("string")))
+    got = {x["class"]: (x["emitted"], x["cut_through"]) for x in emission.cut_through(pieces, [], "p", "a", "cuts", lambda p: p).collect()}
+    for k in (1, 2, 3):
+        each = [(s, cuts) for _, a, _, cuts in rows[:200] for s in _spans([abs(n) for n in a]) if s[1] - s[0] == k]
+        assert got[str(k)] == (len(each), sum(any(s[0] < c < s[1] for c in cuts) for s, cuts in each))
+
+
+def test_running_sums_of_spans_are_not_made_by_array_functions(spark):
+    df = spark.createDataFrame([(0, [1], [1])], "id int, a array<int>, b array<int>")
+    plan = df.select(emission.absorbed_lengths(F.col("a"), F.col("b"), True))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "array_sort" not in plan
