@@ -57,7 +57,7 @@ def file_set_tallies(spark, sf_dir):
     """A file set of one folder a language, in one scan."""
     path = shared_path(spark, "set")
     docs = _one_line(spark, sf_dir).where("lang is not null")
-    docs.select("lang", F.concat_ws("\t", "doc_id", "text").alias("value")).repartition("lang").write.partitionBy("lang").text(path)
+    docs.select("lang", F.concat_ws("\t", "doc_id", "text").alias("value")).write.partitionBy("lang").text(path)
     found = delimited.file_tallies(spark, delimited.Delimited("own", path, verbatim=True))
     return found.groupBy(F.regexp_extract("file", "lang=([^/]*)", 1).alias("lang")).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_kept").alias("n_kept"))
 
