@@ -16,18 +16,23 @@ unit, which any SQL engine can make too; another estimator of the same interval.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexforge.functions.arrays import let
+from lexforge.functions.batches import parts as few
 from lexforge.functions.hashing import bootstrap_seed
 from lexforge.operators.bootstrap import LEVEL, RESAMPLES, places
 
 #: Units of a part, about.
 PART = 1 << 16
+#: Units whose weights are held at a time, and values that are weighted at a time.
+BLOCK = 1 << 10
 #: Poisson weights go up to this; the chance of more is 1e-10.
 MOST_WEIGHT = 12
 
@@ -109,17 +114,76 @@ def poisson_edges() -> list[float]:
     return edges
 
 
+def _weights(seed: int, unit: str, resamples: int) -> bytes:
+    """The first 48 bits of each resample's MD5, as :func:`poisson_weight` has them, in eight bytes each."""
+    return b"".join(b"\0\0" + hashlib.md5(f"{seed}|{r}|{unit}".encode(), usedforsecurity=False).digest()[:6] for r in range(resamples))
+
+
+def _weighted(rows_of: pa.Table, seed: int, resamples: int) -> np.ndarray:
+    """From rows (unit, cell, value): a row for each cell number, a column for each resample."""
+    edges = np.array(poisson_edges())
+    units = rows_of.column("unit").combine_chunks().dictionary_encode()
+    names, unit = units.dictionary.to_pylist(), units.indices.to_numpy()
+    cell, value = rows_of.column("cell").to_numpy(), rows_of.column("value").to_numpy()
+    out = np.zeros((int(cell.max(initial=-1)) + 1, resamples))
+    order = np.argsort(unit, kind="stable")
+    unit, cell, value = unit[order], cell[order], value[order]
+    for at in range(0, len(names), BLOCK):  # weights of so many units at a time
+        own = names[at : at + BLOCK]
+        drawn = np.frombuffer(b"".join(_weights(seed, u, resamples) for u in own), ">u8").reshape(len(own), resamples).astype(float) / float(1 << 48)
+        weight = np.searchsorted(edges, drawn.ravel(), side="right").reshape(drawn.shape).astype(float)
+        low, high = np.searchsorted(unit, [at, at + len(own)])
+        for i in range(low, high, 4 * BLOCK):
+            rows = slice(i, min(high, i + 4 * BLOCK))
+            cells, which = np.unique(cell[rows], return_inverse=True)
+            dense = np.zeros((len(cells), len(own)))
+            np.add.at(dense, (which, unit[rows] - at), value[rows])
+            out[cells] += dense @ weight
+    return out
+
+
 def poisson_sums(values: DataFrame, *, seed: int, resamples: int = RESAMPLES) -> DataFrame:
     """(key, item, resample, total) from values (key, unit, item, value), by Poisson weights.
 
-    A unit's values are weighted where they are, and its weights are made once for each
-    unit of a task; sums are taken before the shuffle. Null keys and units take
-    no part, a null value counts as 0. Units without values need not be known.
+    A unit's values are weighted where they are, and its weights are made once; a task sends a row for each key and item of a batch, with
+    sums of all resamples. Null keys and units take no part, a null value counts as 0, and resamples in which none of an
+    item's units has a weight have no row. Units without values need not be known.
     """
-    own = values.where(F.col("key").isNotNull() & F.col("unit").isNotNull()).groupBy("key", "unit").agg(F.collect_list(F.struct("item", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))).alias("values"))
-    weighted = own.select("key", "unit", "values", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("weight", poisson_weight(seed, F.col("resample"), F.col("unit")))
-    rows = weighted.where("weight > 0").select("key", "resample", "weight", F.explode("values").alias("v"))
-    return rows.groupBy("key", "v.item", "resample").agg(F.sum(F.col("weight") * F.col("v.value")).alias("total"))
+    spark = values.sparkSession
+    each = F.struct("item", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    # a unit's rows are few bytes and much work, so tasks aren't put together by size
+    dealt = values.where(F.col("key").isNotNull() & F.col("unit").isNotNull()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "unit")
+    own = dealt.groupBy("key", "unit").agg(F.collect_list(each).alias("values")).select("key", F.col("unit").cast("string").alias("unit"), "values")
+    kinds = dict(values.dtypes)
+    most = max(1, (1 << 23) // resamples)  # values of a part, so that its sums have a bound
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for lists in few(batch.column("values"), most):
+                yield told(batch.slice(at, len(lists)), lists)
+                at += len(lists)
+
+    def told(batch: pa.RecordBatch, lists: pa.ListArray) -> pa.RecordBatch:
+        row = pa.array(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()))
+        key, unit = batch.column("key").take(row), batch.column("unit").take(row)
+        items, value = lists.flatten().field("item"), lists.flatten().field("value")
+        cell = np.zeros(len(row), np.int64)
+        for column in (key, *(items.flatten() if pa.types.is_struct(items.type) else [items])):
+            coded = column.dictionary_encode()
+            cell = cell * (len(coded.dictionary) + 1) + coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+        _, first, cell = np.unique(cell, return_index=True, return_inverse=True)
+        table = pa.table({"unit": unit, "cell": cell, "value": value})
+        sums = _weighted(table, seed, resamples)
+        ones = table.set_column(2, "value", pa.array(np.ones(len(cell))))
+        seen = sums if (value.to_numpy() > 0).all() else _weighted(ones, seed, resamples)
+        nested = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * resamples), pa.array(x.ravel()))
+        at = pa.array(first)
+        return pa.RecordBatch.from_arrays([key.take(at), items.take(at), nested(sums), nested((seen > 0).astype(np.int8))], ["key", "item", "totals", "seen"])
+
+    made = own.mapInArrow(run, f"key {kinds['key']}, item {kinds['item']}, totals array<double>, seen array<tinyint>")
+    found = made.select("key", "item", F.posexplode(F.arrays_zip("totals", "seen")).alias("resample", "x")).where("x.seen > 0")
+    return found.groupBy("key", "item", "resample").agg(F.sum("x.totals").alias("total"))
 
 
 def ratio(sums: DataFrame, numerator: str, denominator: str, name: str = "x") -> DataFrame:

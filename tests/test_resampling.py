@@ -125,3 +125,11 @@ def test_units_without_values_are_drawn_too(spark):
     values = spark.createDataFrame([("c", 0, "x", None), ("c", 1, "x", 1.0), ("c", 99, "x", 5.0)], "key string, unit long, item string, value double")
     totals = [r["total"] for r in resampling.multinomial_sums(values, units, resamples=300, part=10).collect()]
     assert len(totals) == 300 and max(totals) < 9 and abs(np.mean(totals) - 1) < 0.3
+
+
+def test_poisson_sums_send_a_row_for_an_item_not_for_a_unit(spark):
+    """A task's rows for the shuffle are its keys and items, however many units there are."""
+    values = spark.range(400).select(F.lit("c").alias("key"), F.col("id").alias("unit"), F.lit("x").alias("item"), F.lit(0).alias("value"))
+    sums = resampling.poisson_sums(values, seed=2, resamples=5)
+    assert [(r["item"], r["total"]) for r in sums.collect()] == [("x", 0.0)] * 5
+    assert "MapInArrow" in sums._jdf.queryExecution().toString()
