@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexforge.functions import chemistry, lexing
 from lexforge.operators import emission, forms, molecules
-from lexforge.plans.catalog import _WORDS, query, rounded, words
+from lexforge.plans.catalog import _WORDS, dealt, query, rounded, words
 from lexforge.plans.lexing_queries import _INSIDE, NOTATIONS, glyph_list, notations
 
 FRAGMENTS = dict(zip("abcdefghijklmnopqrstuvwxyz", (
@@ -30,7 +30,7 @@ def spelt(spark, sf_dir) -> DataFrame:
     body = F.array_join(F.transform(F.regexp_extract_all(F.lower("piece"), F.lit("[a-z]"), F.lit(0)), lambda x: fragment[x]), "")
     by = F.length("piece") % 3
     made = words(spark, sf_dir).select("piece").distinct().select(F.when(by == 0, body).when(by == 1, F.concat(F.lit("C=1"), body, F.lit("N1"))).otherwise(F.concat(F.lit("N1"), body, F.lit("CC=1"))).alias("t"))
-    return made.union(notations(spark, sf_dir)).distinct()
+    return dealt(made.union(notations(spark, sf_dir)).distinct(), "t")
 
 
 _BRACKET = molecules.BRACKET.replace("'", "''")
@@ -132,7 +132,7 @@ def sound(spark, sf_dir) -> DataFrame:
     fragment = F.create_map(*(F.lit(x) for pair in SOUND.items() for x in pair))
     names = spark.read.parquet(f"{sf_dir}/clients.parquet").select(F.coalesce("name", F.lit("")).alias("name")).distinct()
     body = F.array_join(F.transform(F.regexp_extract_all(F.lower("name"), F.lit("[a-z]"), F.lit(0)), lambda x: fragment[x]), "")
-    return names.select(F.when(F.length("name") % 2 == 1, F.concat(F.lit("C1"), body, F.lit("CC1"))).otherwise(F.concat(F.lit("C"), body)).alias("t")).distinct()
+    return dealt(names.select(F.when(F.length("name") % 2 == 1, F.concat(F.lit("C1"), body, F.lit("CC1"))).otherwise(F.concat(F.lit("C"), body)).alias("t")).distinct(), "t")
 
 
 def _kept(m):
