@@ -96,6 +96,24 @@ def test_deposits(spark):
     assert tuple(got) == (True, False, False, False, True)
 
 
+def test_overlaps_by_sets_of_cells(spark):
+    """No array holds all pieces of a cell, and a cell without pieces stays."""
+    cells = spark.createDataFrame([(0, 2.0), (1, 4.0), (2, 1.0)], "rung int, fertility double")
+    pieces = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b"), (1, "c"), (1, "c")], "rung int, piece string")
+    crossed = sensitivity.crossing(cells, cells, pieces, pieces)
+    found = {(r["y"], r["x"]): r["jaccard"] for r in crossed.collect()}
+    third = pytest.approx(1 / 3)
+    assert found == {(0, 0): 1, (0, 1): third, (1, 0): third, (1, 1): 1, (0, 2): 0, (2, 0): 0, (1, 2): 0, (2, 1): 0, (2, 2): None}
+    assert "array_intersect" not in crossed._jdf.queryExecution().executedPlan().toString()
+    other = spark.createDataFrame([(5, 1.0)], "rung int, fertility double")
+    one = sensitivity.crossing(cells, other, pieces, spark.createDataFrame([(5, "c"), (5, "d")], "rung int, piece string"))
+    assert {(r["y"], r["x"]): r["jaccard"] for r in one.collect()} == {(0, 5): 0, (1, 5): third, (2, 5): 0}
+    placed = cells.withColumn("cell", F.col("rung")).withColumn("k", F.lit("k"))
+    own = sensitivity.overlaps(pieces.select(F.col("rung").alias("cell"), "piece"), pieces.where("rung = 0").select(F.col("rung").alias("cell"), "piece"))
+    got = sensitivity.contrasts(placed.where("rung > 0"), placed.where("rung = 0").drop("rung"), ["k"], own)
+    assert {r["rung"]: (r["jaccard"], r["fertility_gap"]) for r in got.collect()} == {1: (third, pytest.approx(2 / 3)), 2: (0, pytest.approx(2 / 3))}
+
+
 def test_sensitivity(spark):
     cells = spark.createDataFrame([(1, ["a", "b"], 2.0), (2, ["b", "c"], 4.0)], "rung int, pieces array<string>, fertility double")
     found = {(r["y"], r["x"]): r for r in sensitivity.crossing(cells, cells).collect()}
