@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexforge.functions.lexing import piece_class, surface
+from lexforge.operators import parts
 from lexforge.session import written
 
 
@@ -139,24 +140,22 @@ def closure(vocabulary: DataFrame, by: list[str]) -> DataFrame:
     pieces of the vocabulary; of those of three or more, c_orph, the share of
     orphans, with no proper part of two or more glyphs among the multi-glyph
     pieces; c_full, the share whose proper parts (of two or more glyphs) are all
-    in. Parts are looked up by one join, each with where it lies, and only parts as
-    long as some piece of the vocabulary: no others can be in it, so a piece
-    of n glyphs has n rows a length that occurs. What travels is the
-    glyphs joined by a separator that none has, and the piece's name, or its
-    SHA-256 if that is shorter. Distinct lengths go to all tasks as one row.
+    in. Parts are looked up by one join, each with where it lies. What is sent to it are only
+    parts as long as some piece of the vocabulary, and of those what a filter of fixed size lets
+    through (:mod:`lexforge.operators.parts`): few that aren't in the vocabulary, and all that are.
+    What travels is the glyphs joined by a separator that none has, and the piece's name, or its
+    SHA-256 if that is shorter.
     """
     key = lambda p: F.array_join(p, "\x1f")
     n = F.size("piece")
-    own = vocabulary.select(*by, key(F.col("piece")).alias("part"), n.alias("len")).distinct()
-    name = key(F.col("piece"))
-    multi = vocabulary.where(n >= 2).select(*by, "piece").distinct().select(*by, "piece", n.alias("n"), F.when(F.length(name) > 64, F.sha2(name, 256)).otherwise(name).alias("name"))
-    lengths = own.agg(F.collect_set("len").alias("lengths"))
-    # where parts lie is exploded and what they are cut from the row after it, in compiled code; single glyphs matter only as the ends of a piece
-    placed = multi.crossJoin(F.broadcast(lengths)).select(*by, "name", "n", "piece", F.explode(F.filter("lengths", lambda k: (k >= 1) & (k < F.col("n")))).alias("len"))
-    last = F.col("n") - F.col("len")
-    placed = placed.select("*", F.explode(F.when(F.col("len") > 1, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0), last))).alias("at"))
-    parts = placed.select(*by, "name", "n", "len", "at", key(F.slice("piece", F.col("at") + 1, F.col("len"))).alias("part"))
-    held = parts.join(own.select(*by, "part"), [*by, "part"], "left_semi").groupBy(*by, "name", "n").agg(
+    own = written(vocabulary.select(*by, key(F.col("piece")).alias("part"), n.alias("len")).where("len > 0").distinct(), "pieces")
+    name = F.when(F.length("part") > 64, F.sha2("part", 256)).otherwise(F.col("part"))
+    multi = own.where("len >= 2").select(*by, name.alias("name"), F.col("len").alias("n"), F.split("part", "\x1f").alias("piece"))
+    place = parts.likely(own.select(*by, "len", F.split("part", "\x1f").alias("piece")), by)
+    placed = multi.select(*by, "name", "n", "piece", F.explode(place(F.col("piece"))).alias("p"))
+    placed = placed.select(*by, "name", "n", "piece", F.shiftright("p", 32).cast("int").alias("len"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
+    found = placed.select(*by, "name", "n", "len", "at", key(F.slice("piece", F.col("at") + 1, F.col("len"))).alias("part"))
+    held = found.join(own.select(*by, "part"), [*by, "part"], "left_semi").groupBy(*by, "name", "n").agg(
         F.count_if(F.col("len") >= 2).alias("known"),
         F.collect_set(F.when(F.col("at") == 0, F.col("len"))).alias("heads"),
         F.collect_set(F.when(F.col("at") + F.col("len") == F.col("n"), F.col("at"))).alias("tails"),

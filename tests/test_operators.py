@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexforge import plans
 from lexforge.functions import lexing
 from lexforge.functions.hashing import bootstrap_seed
-from lexforge.operators import bootstrap, dedup, emission, sampling, tokenizers, vocabulary
+from lexforge.operators import bootstrap, dedup, emission, parts, sampling, tokenizers, vocabulary
 
 
 def pieces(spark, words, **more):
@@ -282,6 +282,25 @@ def test_places_and_arms_beside(spark):
     assert [r[:] for r in both] == [("x", 1.0, 3.0, 2.0)]
 
 
+def test_parts_that_may_be_pieces(spark):
+    """The filter leaves out no part that is a piece of the same vocabulary, and lets few others through; closure sends only these to its join."""
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("abcdefgh[") for _ in range(r.randint(1, 9))) for _ in range(600)})
+    df = spark.createDataFrame([(c, list(w)) for w in words for c in (["x", "y"] if len(w) % 2 else ["x"])], "cell string, piece array<string>")
+    place = parts.likely(df.withColumn("len", F.size("piece")), ["cell"])
+    told = others = 0
+    for cell, piece, found in df.select("cell", "piece", place(F.col("piece"))).collect():
+        known = {w for w in words if cell == "x" or len(w) % 2}
+        w, n = "".join(piece), len(piece)
+        due = {(k, i) for k in range(1, n) for i in range(n - k + 1) if w[i : i + k] in known and (k > 1 or i in (0, n - 1))}
+        got = {(p >> 32, p & (1 << 32) - 1) for p in found}
+        assert due <= got
+        told, others = told + len(got), others + len(got - due)
+    assert told > 1000 and others < told / 100
+    plan = vocabulary.closure(df, ["cell"])._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in plan
+
+
 def test_closure_of_a_very_long_piece(spark):
     df = spark.createDataFrame([(["a"] * 3000,), (["a"] * 2,), (["a"] * 2998,), (["b"],)], "piece array<string>")
     assert vocabulary.closure(df, []).first()[:6] == (3, 2, 1, 0, 1, 0)
