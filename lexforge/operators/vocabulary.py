@@ -44,8 +44,9 @@ def restricted(counts: DataFrame, allowed: DataFrame, key: str = "piece") -> Dat
 
 
 def multi_glyph(vocabulary: DataFrame) -> DataFrame:
-    """The pieces of two glyphs or more."""
-    return vocabulary.where(F.size("piece") >= 2).select("piece").distinct()
+    """The distinct pieces of two glyphs or more. What travels is their glyphs joined by a separator that none has, and their glyphs are made once: a filter below the grouping would make them again."""
+    told = vocabulary.select(F.array_join("piece", "\x1f").alias("part"), F.size("piece").alias("n"))
+    return told.groupBy("part").agg(F.max("n").alias("n")).where("n >= 2").select(F.split("part", "\x1f").alias("piece"))
 
 
 def membership(a: DataFrame, b: DataFrame, key: str = "piece") -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge import plans
+from lexforge.plans import lexing_queries
 from lexforge.functions import lexing
 from lexforge.functions.hashing import bootstrap_seed
 from lexforge.operators import bootstrap, dedup, emission, parts, sampling, tokenizers, vocabulary
@@ -282,6 +283,17 @@ def test_places_and_arms_beside(spark):
     assert [r[:] for r in both] == [("x", 1.0, 3.0, 2.0)]
 
 
+def test_multi_glyph_makes_glyphs_once(spark, sf):
+    """No filter repeats what makes the pieces, arrays aren't shuffled, and spellings keep the session's number of tasks."""
+    df = spark.createDataFrame([("CCl",), ("C",), ("CCl",), ("C[Na]",), (None,)], "t string").select(lexing.glyphs(F.col("t")).alias("piece"))
+    found = vocabulary.multi_glyph(df)
+    assert sorted(tuple(r["piece"]) for r in found.collect()) == [("C", "Cl"), ("C", "[", "Na", "]")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_extract_all" in x] and not [x for x in plan.splitlines() if "Exchange hashpartitioning(piece" in x]
+    rows = lexing_queries.notations(spark, sf)
+    assert rows.count() == rows.distinct().count() and rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_parts_that_may_be_pieces(spark):
     """The filter leaves out no part that is a piece of the same vocabulary, and lets few others through; closure sends only these to its join."""
     r = random.Random(5)
