@@ -47,6 +47,12 @@ def filter_conformant(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFram
     return df.where(ok), df.where(~ok).select(text_col, offenders(F.col(text_col)).alias("offenders"))
 
 
+def conformance(df: DataFrame, text_col: str) -> DataFrame:
+    """(kept, rejected): how many rows :func:`filter_conformant` keeps and rejects, in one pass."""
+    ok = conformant(F.col(text_col))
+    return df.select(ok.alias("ok")).agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("rejected"))
+
+
 def chunk_inventory(df: DataFrame, text_col: str, *, seq: str | None = None, most: int | None = 3_000_000) -> tuple[DataFrame, bool]:
     """(chunk, n, is_bracket) of distinct chunks, and whether the cap on chunks outside brackets bound.
 

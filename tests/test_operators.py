@@ -283,6 +283,14 @@ def test_places_and_arms_beside(spark):
     assert [r[:] for r in both] == [("x", 1.0, 3.0, 2.0)]
 
 
+def test_conformance_in_one_pass(spark):
+    df = spark.createDataFrame([("C[Na]",), ("C[te]",), (None,), ("",), ("C?",)], "t string")
+    found = sampling.conformance(df, "t")
+    assert found.first()[:] == tuple(x.count() for x in sampling.filter_conformant(df, "t")) == (2, 3)
+    assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in lexing_queries.conformance_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_multi_glyph_makes_glyphs_once(spark, sf):
     """No filter repeats what makes the pieces, arrays aren't shuffled, and spellings keep the session's number of tasks."""
     df = spark.createDataFrame([("CCl",), ("C",), ("CCl",), ("C[Na]",), (None,)], "t string").select(lexing.glyphs(F.col("t")).alias("piece"))
