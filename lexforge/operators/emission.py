@@ -283,21 +283,32 @@ def multiset_jaccard(counts: DataFrame, by: list[str], key: str, a: str, b: str)
     return counts.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.least(x, y)), F.sum(F.greatest(x, y))), F.lit(1.0)).alias("jaccard"))
 
 
-def _bag(xs: Column) -> Column:
-    """The distinct values of an array in order, with their counts: array of (value, n)."""
-
-    def counted(own: Column) -> Column:
-        first = F.filter(F.transform(own, lambda v, i: F.struct(v.alias("value"), i.alias("i"), ((i == 0) | ~F.get(own, i - 1).eqNullSafe(v)).alias("new"))), lambda x: x["new"])
-        return let(first, lambda runs: F.transform(runs, lambda r, k: F.struct(r["value"].alias("value"), (F.coalesce(F.get(runs, k + 1)["i"], F.size(own)) - r["i"]).cast("int").alias("n"))))
-
-    return let(F.array_sort(xs), counted)
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _in_common(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for base, *others in together(list(batch)):
+            owns = [np.repeat(np.arange(len(x)), x.value_lengths().fill_null(0).to_numpy().astype(np.int64)) for x in (base, *others)]
+            values = pc.dictionary_encode(pa.concat_arrays([x.flatten() for x in (base, *others)]), null_encoding="encode")
+            codes = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            width = int(codes.max(initial=0)) + 1
+            edges = np.cumsum([0, *map(len, owns)])
+            bags = [np.unique(own * width + codes[a:b], return_counts=True) for own, a, b in zip(owns, edges, edges[1:])]
+            low = []
+            for keys, n in bags[1:]:
+                _, i, j = np.intersect1d(bags[0][0], keys, assume_unique=True, return_indices=True)
+                low.append(np.bincount(bags[0][0][i] // width, np.minimum(bags[0][1][i], n[j]), len(base)).astype(np.int32))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(base) + 1, dtype=np.int32) * len(others)), pa.array(np.stack(low, 1).ravel()))
+
+
+def bag_jaccards(base: Column, others: list[Column]) -> list[Column]:
+    """:func:`bag_jaccard` of an array and each of some others, which are counted in Arrow batches: sorting by array functions takes several times as long."""
+    low = _in_common(base, *others)
+    return [F.coalesce(F.try_divide(n, F.size(base) + F.size(x) - n), F.when(base.isNotNull() & x.isNotNull(), F.lit(1.0))) for k, x in enumerate(others) for n in [F.get(low, F.lit(k))]]
 
 
 def bag_jaccard(a: Column, b: Column) -> Column:
-    """The multiset Jaccard of two arrays in a row; 1 for two empty ones. Both are sorted once, and of two neighbours of one value the smaller count comes first."""
-    shared = lambda both: F.aggregate(F.transform(both, lambda x, i: F.when(F.get(both, i + 1)["value"].eqNullSafe(x["value"]), x["n"]).otherwise(0)), F.lit(0), lambda s, n: s + n)
-    low = let(F.array_sort(F.concat(_bag(a), _bag(b))), shared)
-    return let(low, lambda n: F.coalesce(F.try_divide(n, F.size(a) + F.size(b) - n), F.lit(1.0)))
+    """The multiset Jaccard of two arrays in a row; 1 for two empty ones, null if one is."""
+    return bag_jaccards(a, [b])[0]
 
 
 def orbit_readings(encoded: DataFrame) -> DataFrame:
@@ -307,6 +318,15 @@ def orbit_readings(encoded: DataFrame) -> DataFrame:
     return rows.groupBy("id", "axis").agg(F.avg(F.abs(F.size("tokens") - F.size("base")) / F.size("base")).alias("length_change"), F.avg(1 - bag_jaccard(F.col("tokens"), F.col("base"))).alias("bag_instability"))
 
 
+def readings_beside(texts: DataFrame, keep: list[str], base: str, others: dict[str, str]) -> DataFrame:
+    """:func:`orbit_readings` where a row has the tokens of the canonical form and of one spelling an axis (the columns in ``others``): no tokens are shuffled."""
+    told = texts.where(F.size(base) > 0)
+    change = lambda c: F.abs(F.size(c) - F.size(base)) / F.size(base)
+    like = bag_jaccards(F.col(base), [F.col(c) for c in others.values()])
+    each = F.array(*[F.struct(F.lit(axis).alias("axis"), change(c).alias("length_change"), (1 - x).alias("bag_instability")) for (axis, c), x in zip(others.items(), like)])
+    return told.select(*keep, F.explode(each).alias("x")).select(*keep, "x.*")
+
+
 def noncanonicity(readings: DataFrame, by: list[str]) -> DataFrame:
     """Means over the texts that have an axis."""
     return readings.groupBy(*by, "axis").agg(F.count(F.lit(1)).alias("n"), F.avg("length_change").alias("length_change"), F.avg("bag_instability").alias("bag_instability"))

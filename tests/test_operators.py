@@ -291,6 +291,26 @@ def test_conformance_in_one_pass(spark):
     assert "Union" not in lexing_queries.conformance_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_readings_beside_are_those_of_rows(spark, sf):
+    r = random.Random(7)
+    bag = lambda: [r.choice(["a", "b", "é", "cc", None]) for _ in range(r.randint(0, 12))]
+    rows = [(i, bag(), bag(), bag()) for i in range(300)] + [(300, ["a"], [], None)]
+    df = spark.createDataFrame(rows, "id int, base array<string>, p array<string>, q array<string>")
+    found = {(x["id"], x["axis"]): (x["length_change"], x["bag_instability"]) for x in emission.readings_beside(df, ["id"], "base", {"p": "p", "q": "q"}).collect()}
+    assert len(found) == 2 * sum(len(x[1]) > 0 for x in rows)
+    for (i, axis), (change, instability) in found.items():
+        a, b = rows[i][1], rows[i][2 if axis == "p" else 3]
+        if b is None:
+            assert (change, instability) == (None, None)
+            continue
+        low = (Counter(a) & Counter(b)).total()
+        assert change == pytest.approx(abs(len(a) - len(b)) / len(a)) and instability == pytest.approx(1 - low / (len(a) + len(b) - low))
+    long = df.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), F.col(c).alias("tokens")) for k, c in (("canonical", "base"), ("p", "p"))])).alias("v")).select("id", "v.*")
+    assert {(x["id"], x["axis"]): x["bag_instability"] for x in emission.orbit_readings(long).collect()} == {k: pytest.approx(v[1]) for k, v in found.items() if k[1] == "p"}
+    plan = plans.QUERIES["noncanonicity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_multi_glyph_makes_glyphs_once(spark, sf):
     """No filter repeats what makes the pieces, arrays aren't shuffled, and spellings keep the session's number of tasks."""
     df = spark.createDataFrame([("CCl",), ("C",), ("CCl",), ("C[Na]",), (None,)], "t string").select(lexing.glyphs(F.col("t")).alias("piece"))
