@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -68,18 +69,23 @@ def rewrite(text: Column, method: str, plug: Canonicalizer | None = None) -> Col
     return _udf(plug or installed(), method)(text)
 
 
-def orbit(df: DataFrame, id_col: str, column: str, *, k_random: int = 4, seed: int = 0, plug: Canonicalizer | None = None) -> DataFrame:
-    """(id, axis, text): each string in its canonical form and in all rewrites that it has."""
+#: The rewrites of :func:`orbit`.
+AXES = ("canonical", "rings", "kekulized", "explicit_hydrogens", "other_toolkit", "random")
+
+
+def orbit(df: DataFrame, id_col: str, column: str, *, k_random: int = 4, seed: int = 0, plug: Canonicalizer | None = None, axes: Sequence[str] = AXES) -> DataFrame:
+    """(id, axis, text): each string in its canonical form and in all rewrites that it has, or only in those named."""
     plug = plug or installed()
+    methods = [m for m in ("kekulized", "explicit_hydrogens", "other_toolkit") if m in axes]
 
     pair = "struct<axis: string, text: string>"
 
     @F.arrow_udf(f"array<{pair}>")
     def rewritten(texts: pa.Array) -> pa.Array:
         """All rewrites of a text, one after the other."""
-        own = [[(m, getattr(plug, m)(x)) for m in ("kekulized", "explicit_hydrogens", "other_toolkit")] + [("random", r) for r in plug.randomized(x, k_random, seed)] if x else [] for x in texts.to_pylist()]
+        own = [[(m, getattr(plug, m)(x)) for m in methods] + [("random", r) for r in (plug.randomized(x, k_random, seed) if "random" in axes else [])] if x else [] for x in texts.to_pylist()]
         return pa.array([[{"axis": a, "text": t} for a, t in row] for row in own], pa.list_(pa.struct([("axis", pa.string()), ("text", pa.string())])))
 
-    fixed = F.array(*[F.struct(F.lit(n).alias("axis"), c.alias("text")).cast(pair) for n, c in (("canonical", F.col(column)), ("rings", relabel_rings(F.col(column))))])
+    fixed = F.array(*[F.struct(F.lit(n).alias("axis"), c.alias("text")).cast(pair) for n, c in (("canonical", F.col(column)), ("rings", relabel_rings(F.col(column)))) if n in axes]).cast(f"array<{pair}>")
     drawn = rewritten(F.col(column))
     return df.select(F.col(id_col).alias("id"), F.explode(F.concat(fixed, drawn)).alias("v")).select("id", "v.axis", "v.text").where(F.col("text").isNotNull())

@@ -30,7 +30,7 @@ def spelt(spark, sf_dir) -> DataFrame:
     body = F.array_join(F.transform(F.regexp_extract_all(F.lower("piece"), F.lit("[a-z]"), F.lit(0)), lambda x: fragment[x]), "")
     by = F.length("piece") % 3
     made = words(spark, sf_dir).select("piece").distinct().select(F.when(by == 0, body).when(by == 1, F.concat(F.lit("C=1"), body, F.lit("N1"))).otherwise(F.concat(F.lit("N1"), body, F.lit("CC=1"))).alias("t"))
-    return dealt(made.union(notations(spark, sf_dir)).distinct(), "t")
+    return dealt(made.union(notations(spark, sf_dir)), "t").distinct()
 
 
 _BRACKET = molecules.BRACKET.replace("'", "''")
@@ -132,7 +132,7 @@ def sound(spark, sf_dir) -> DataFrame:
     fragment = F.create_map(*(F.lit(x) for pair in SOUND.items() for x in pair))
     names = spark.read.parquet(f"{sf_dir}/clients.parquet").select(F.coalesce("name", F.lit("")).alias("name")).distinct()
     body = F.array_join(F.transform(F.regexp_extract_all(F.lower("name"), F.lit("[a-z]"), F.lit(0)), lambda x: fragment[x]), "")
-    return dealt(names.select(F.when(F.length("name") % 2 == 1, F.concat(F.lit("C1"), body, F.lit("CC1"))).otherwise(F.concat(F.lit("C"), body)).alias("t")).distinct(), "t")
+    return dealt(names.select(F.when(F.length("name") % 2 == 1, F.concat(F.lit("C1"), body, F.lit("CC1"))).otherwise(F.concat(F.lit("C"), body)).alias("t")), "t").distinct()
 
 
 def _kept(m):
@@ -163,7 +163,7 @@ def rewrite_orbit(spark, sf_dir):
 def canonical_forms(spark, sf_dir):
     """Canonical forms of a molecule's spelling, other canonical form, written hydrogens and three random orders: one for all."""
     plug = forms.MoleculeForms()
-    named = chemistry.orbit(sound(spark, sf_dir), "t", "t", k_random=3, plug=plug).where("axis in ('canonical', 'explicit_hydrogens', 'other_toolkit', 'random')")
+    named = chemistry.orbit(sound(spark, sf_dir), "t", "t", k_random=3, plug=plug, axes=("canonical", "explicit_hydrogens", "other_toolkit", "random"))
     kept, _ = chemistry.canonicalize(named, "text", plug)
     return kept.groupBy("id").agg(F.count_distinct("text").alias("n_canonical"), F.count(F.lit(1)).alias("n_spellings"))
 

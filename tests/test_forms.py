@@ -114,3 +114,100 @@ def test_duplicates_of_spelling_fall_together(spark):
 def test_long_chains():
     own = forms.molecule("C" * 3000 + "O")
     assert len(forms.spelt(own, list(range(3001)))) == 3001
+
+
+@pytest.mark.parametrize("name", ["sound", "spelt"])
+def test_molecules_stay_dealt_out_within_a_query(spark, tmp_path, name):
+    """Also where more follows: after a ``distinct`` by the same column Spark drops the dealing out, and adaptive execution gives all to one task."""
+    from pyspark.sql import functions as F
+
+    from lexforge.plans import molecule_queries
+
+    made = [f"ab{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(made)], "client_id long, name string").write.parquet(f"{tmp_path}/clients.parquet")
+    spark.createDataFrame([(0, " ".join(made), "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = getattr(molecule_queries, name)(spark, str(tmp_path))
+    assert found.select("t").distinct().count() == found.count()
+    tasks = found.select(F.spark_partition_id().alias("task")).groupBy("task").count().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_only_rewrites_that_are_asked_for_are_made(spark):
+    class Refusing(forms.MoleculeForms):
+        def kekulized(self, text):
+            raise AssertionError("a rewrite that wasn't asked for")
+
+    plug = Refusing()
+    rows = spark.createDataFrame([(1, "OCC"), (2, "c1ccccc1O"), (3, "C(C"), (4, None)], "id int, t string")
+    asked = ("canonical", "other_toolkit", "random")
+    found = {(r["id"], r["axis"], r["text"]) for r in chemistry.orbit(rows, "id", "t", k_random=2, plug=plug, axes=asked).collect()}
+    whole = {(r["id"], r["axis"], r["text"]) for r in chemistry.orbit(rows, "id", "t", k_random=2).collect()}
+    assert found == {r for r in whole if r[1] in asked} and {r[1] for r in found} == set(asked)
+    drawn = {(r["id"], r["axis"]) for r in chemistry.orbit(rows, "id", "t", plug=plug, axes=["random"]).collect()}
+    assert drawn == {(1, "random"), (2, "random")}
+
+
+def by_whole_rounds(own, classes):
+    """Classes refined with every atom looked at in every round."""
+    while True:
+        keys = [(c, sorted((order, classes[b]) for b, order in own.bonds[a].items())) for a, c in enumerate(classes)]
+        out = [sorted(set(map(str, keys)), key=lambda k: next(x for x in keys if str(x) == k)).index(str(k)) for k in keys]
+        if len(set(out)) == len(set(classes)):
+            return out
+        classes = out
+
+
+@pytest.mark.parametrize("text", [*MOLECULES, "C1CC2C1C1CC21", "C1CCC1.C1CCC1.C1CC1"])
+def test_classes_equal_those_of_whole_rounds(text):
+    own = forms.molecule(text)
+    first = sorted(set(own.atoms))
+    whole = by_whole_rounds(own, [first.index(a) for a in own.atoms])
+    classes = forms._Classes.start(own)
+    assert classes.of == [sum(x < c for x in whole) for c in whole]
+    for a in (a for a, c in enumerate(classes.of) if len(classes.members[c]) > 1):
+        apart = by_whole_rounds(own, [2 * c + (b != a and c == whole[a]) for b, c in enumerate(whole)])
+        found = classes.apart(a)
+        assert found.of == [sum(x < c for x in apart) for c in apart]
+        assert all(found.members[c] == [b for b, x in enumerate(found.of) if x == c] for c in set(found.of))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bonds_in_no_ring(seed):
+    """By the bonds that close rings, against a depth-first search."""
+    rng = random.Random(seed)
+    n = rng.randrange(3, 20)
+    pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randrange(6))}
+    labels = {p: f"%{k + 10}" for k, p in enumerate(sorted(p for p in pairs if p[1] - p[0] > 1))}
+    branch = [rng.random() < 0.3 for _ in range(n)]
+    text, depth = "", 0
+    for i in range(n):
+        text += "C" + "".join(labels[p] for p in sorted(labels) if i in p)
+        if branch[i] and i < n - 1:
+            text, depth = text + "(", depth + 1
+        elif depth and rng.random() < 0.4 and i < n - 1:
+            text, depth = text + ")", depth - 1
+    text += ")" * depth
+    if (found := forms.read(forms._PARTS.findall(text))) is None:  # a label between atoms that are bonded already
+        return
+    atoms, bonds, parents = found
+    near = [{} for _ in atoms]
+    for a, b, _ in bonds:
+        near[a][b] = near[b][a] = 1
+    rings = forms.in_rings(near)
+    assert forms._bridges(bonds, parents) == [p < 0 or (p, a) not in rings for a, p in enumerate(parents)]
+
+
+def test_a_label_that_joins_two_parts_closes_no_ring():
+    assert forms.molecule("c1ccccc1-2.c3-2cccc3") is None  # four carbons and one that needs a double bond
+    joined = forms.molecule("c12ccccc1.c1ccccc12")
+    assert joined.bonds[0] == {1: 1.5, 5: 1.5, 11: 1} and PLUG.canonical("c12ccccc1.c1ccccc12") == PLUG.canonical("c1ccccc1-c1ccccc1")
+
+
+def test_ends_and_rings_far_apart_are_told_quickly():
+    """Many mirror images, each of which needs no whole ranking of its own."""
+    text = "C" + "C(C)(C)c1ccc(cc1)" * 150 + "O"
+    own = forms.molecule(text)
+    found = forms.ranked(own)
+    assert sorted(found) == list(range(len(own.atoms)))
+    again = shuffled(own, 1)
+    assert forms.spelt(again, forms.ranked(again)) == forms.spelt(own, found)
